@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from emberglass.llm import op02_simhash
+from emberglass.llm import op02_simhash, op04_records, op05_minhash, op06_urlfilter, op08_bpe, op09_mixing, op10_linededup
 
-_MODULES = [op02_simhash]
+_MODULES = [op02_simhash, op04_records, op05_minhash, op06_urlfilter, op08_bpe, op09_mixing, op10_linededup]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
