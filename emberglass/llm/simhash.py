@@ -72,8 +72,11 @@ def _variants(members: DataFrame, width: int) -> DataFrame:
     return cut.select("fp", mask.alias("mask"), F.col("fp").bitwiseAND(mask).alias("value"), F.col("c.o").alias("rest"))
 
 
-def links(distinct: DataFrame, scratch: Scratch, bucket: int = BUCKET) -> DataFrame:
-    """Pairs (src, dst) of different fingerprints (column fp, each once) that differ in at most BITS bits."""
+def links(distinct: DataFrame, scratch: Scratch, bucket: int = BUCKET, bits: int = BITS) -> DataFrame:
+    """Pairs (src, dst) of different fingerprints (column fp, each once) that differ in at most bits bits.
+
+    All pairs for up to BITS; beyond, those that differ in at most one bit of one segment.
+    """
     members = distinct.select("fp", F.lit(0).cast("long").alias("mask"), F.lit(-1).cast("long").alias("rest"))
     found, width = [], 32
     while True:
@@ -82,7 +85,7 @@ def links(distinct: DataFrame, scratch: Scratch, bucket: int = BUCKET) -> DataFr
         shared = scratch.save(shared, f"shared-{width}")
         small = shared if last else shared.filter(F.col("n") <= bucket)
         a, b = small.select("mask", "value", F.col("fp").alias("src")), small.select("mask", "value", F.col("fp").alias("dst"))
-        near = F.bit_count(F.col("src").bitwiseXOR(F.col("dst"))) <= BITS
+        near = F.bit_count(F.col("src").bitwiseXOR(F.col("dst"))) <= bits
         found.append(scratch.save(a.join(b, (a["mask"] == b["mask"]) & (a["value"] == b["value"]) & (F.col("src") < F.col("dst")) & near).select("src", "dst").distinct(), "links"))
         members = shared.filter(F.col("n") > bucket).select("fp", "mask", "rest")
         if last or members.isEmpty():
@@ -113,3 +116,66 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     named = member.join(heads, "root").select("fp", "component_id", "n_links")
     hexed = F.lpad(F.lower(F.hex("fp")), 16, "0")
     return each.join(named, "fp").select("doc_id", hexed.alias("fingerprint"), "component_id", "n_links")
+
+
+#: For keep_one(): seeds of the two fingerprints over a text's distinct words, and the bits in which candidates differ.
+SEEDS, CANDIDATE_BITS = (42, 43), 14
+
+
+def _word_set_fp(found: set[bytes], seed: int) -> int:
+    if not found:
+        return 0
+    h = np.array([xxhash.xxh64_intdigest(w, seed) for w in found], dtype=np.uint64)
+    counts = np.unpackbits(h.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+    return _signed(int.from_bytes(np.packbits(counts * 2 > len(found)).tobytes(), "big"))
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """docs with one row of each group of near-duplicates: that with the least id (null ids last).
+
+    Texts are linked if they share at least similarity of their n_words-word shingles (as sets). Equal texts are one
+    node. Candidates come from the deletion-variant index over two SimHashes of the texts' distinct words, which move
+    less under small edits than SimHashes of shingles do, and are verified on the shingles of whole texts. Texts without
+    words are alike; a null is the empty text. Rows with equal id and text are one document. All columns are kept.
+    """
+    scratch = Scratch(docs.sparkSession, "keep-one")
+    digest = F.md5(F.coalesce(F.col(text_col).cast("string"), F.lit(""))).alias("node")
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")
+
+    def prints(batch: pa.RecordBatch) -> pa.RecordBatch:
+        found = [set(words(t)) for t in texts(batch.column(2))]
+        fps = [pa.array([_word_set_fp(w, seed) for w in found], pa.int64()) for seed in SEEDS]
+        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *fps], ["node", "doc_id", "fp0", "fp1"])
+
+    each = scratch.save(map_batches(docs.select(digest, F.col(id_col).cast("long").alias("doc_id"), text), prints, "node string, doc_id long, fp0 long, fp1 long"), "prints")
+    nodes = scratch.save(each.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("fp0").alias("fp0"), F.first("fp1").alias("fp1")), "nodes")
+    pairs = None
+    for fp in ("fp0", "fp1"):
+        heads = scratch.save(nodes.groupBy(F.col(fp).alias("fp")).agg(F.min("node").alias("head")), "heads")
+        same = nodes.join(heads, nodes[fp] == heads["fp"]).select(F.col("head").alias("a"), F.col("node").alias("b"))
+        near = links(heads.select("fp"), scratch, bits=CANDIDATE_BITS)
+        a, b = heads.select(F.col("fp").alias("src"), F.col("head").alias("a")), heads.select(F.col("fp").alias("dst"), F.col("head").alias("b"))
+        found = same.union(near.join(a, "src").join(b, "dst").select("a", "b")).filter("a <> b")
+        pairs = found if pairs is None else pairs.union(found)
+    pairs = scratch.save(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "candidates")
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+
+    def grams(batch: pa.RecordBatch) -> pa.RecordBatch:
+        out = []
+        for t in texts(batch.column(1)):
+            joined, starts, ends = spans(words(t), n_words)
+            out.append(sorted({_signed(xxhash.xxh64_intdigest(joined[x:y], 7)) for x, y in zip(starts, ends)}))
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.int64()))], ["node", "grams"])
+
+    chosen = docs.select(digest, text).join(wanted, "node", "left_semi").dropDuplicates(["node"])
+    sets = scratch.save(map_batches(chosen.select("node", "text"), grams, "node string, grams array<long>"), "grams")
+    a, b = sets.select(F.col("node").alias("a"), F.col("grams").alias("x")), sets.select(F.col("node").alias("b"), F.col("grams").alias("y"))
+    shared = F.size(F.array_intersect("x", "y"))
+    share = F.when(F.size("x") + F.size("y") == 0, 1.0).otherwise(shared / (F.size("x") + F.size("y") - shared))
+    linked = scratch.save(pairs.join(a, "a").join(b, "b").filter(share >= similarity).select(F.col("a").alias("src"), F.col("b").alias("dst")), "linked")
+    member = nodes.join(connected_components(linked, scratch), "node", "left").select(F.coalesce("component", "node").alias("root"), "node", "doc_id")
+    best = member.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "node")).alias("b"))
+    kept = scratch.save(best.select(F.col("b.node").alias("_node"), F.col("b.doc_id").alias("_id")), "kept")
+    rows = docs.withColumn("_digest", F.md5(F.coalesce(F.col(text_col).cast("string"), F.lit(""))))
+    same = (F.col("_digest") == F.col("_node")) & F.col(id_col).cast("long").eqNullSafe(F.col("_id"))
+    return rows.join(kept, same).dropDuplicates(["_node", "_id"]).select(*docs.columns)
