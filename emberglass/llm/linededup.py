@@ -37,7 +37,9 @@ def dedup_lines(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_
     rows = docs.drop("n_lines", "removed_lines")
     lines = F.split(F.col(text_col), "\n", -1)
     doc = [F.col(id_col).alias("_id"), F.xxhash64(F.col(text_col)).alias("_th")]
-    windows = rows.select(*doc, F.explode(_windows(lines)).alias("w")).select("_id", "_th", "w.pos", "w.h1", "w.h2")
+    # split once, in a projection of its own: an expression within a lambda is computed anew for every line
+    split = rows.select(*doc, lines.alias("_lines"))
+    windows = split.select("_id", "_th", F.explode(_windows(F.col("_lines"))).alias("w")).select("_id", "_th", "w.pos", "w.h1", "w.h2")
     windows = scratch.save(windows, "windows")
     place = F.struct("_id", "_th", "pos")
     repeats = windows.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.max(place).alias("last")).filter("first <> last")
@@ -46,8 +48,9 @@ def dedup_lines(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_
     runs = F.flatten(F.transform("at", lambda p: F.array(*[p + k for k in range(WINDOW)])))
     covered = covered.select(F.col("_id").alias("_cid"), F.col("_th").alias("_cth"), F.array_distinct(runs).alias("_gone"))
     joined = rows.select("*", *doc).join(covered, F.col("_id").eqNullSafe(F.col("_cid")) & (F.col("_th") == F.col("_cth")), "left")
-    kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("_gone"))
-    text = F.when(F.col("_gone").isNull(), F.col(text_col)).otherwise(F.array_join(F.transform(kept, lambda i: F.get(lines, i)), "\n"))
-    n = F.when(F.col(text_col).isNull(), 0).otherwise(F.size(lines)).cast("long")
+    joined = joined.withColumn("_lines", lines)
+    kept = F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), F.col("_gone"))
+    text = F.when(F.col("_gone").isNull(), F.col(text_col)).otherwise(F.array_join(F.transform(kept, lambda i: F.get("_lines", i)), "\n"))
+    n = F.when(F.col(text_col).isNull(), 0).otherwise(F.size("_lines")).cast("long")
     out = [text.alias(c) if c == text_col else F.col(c) for c in rows.columns]
     return joined.select(*out, n.alias("n_lines"), F.coalesce(F.size("_gone"), F.lit(0)).cast("long").alias("removed_lines"))
