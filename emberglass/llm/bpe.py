@@ -1,17 +1,24 @@
 """BPE encoding and decoding with a public tokenizer file, and tree concatenation for long texts.
 
-A text up to LEAF characters is encoded run by run: white space (space, 09-0D) always ends a piece, so each run between
-is encoded by the library by itself, once per worker process, and the results are strung together.
+White space always ends a piece, so the runs between are encoded by themselves, each once per worker process, and the
+results are strung together. Where the file's normalizer and pre-tokenizer are the ones known here, runs of Latin
+characters are lower-cased and split by a pattern of the same meaning and only the pieces go to the library's model;
+all other runs go through the whole library.
 
-A longer text is halved, regardless of what stands at the cut, down to leaves of LEAF characters. The leaves' runs are
-encoded in one parallel library call, then halves are joined upwards: a window around the cut is encoded again and
+A text of more than LEAF characters is halved, regardless of what stands at the cut, down to leaves of LEAF characters. The leaves' runs are
+encoded together, those for the library in one parallel call of it, then halves are joined upwards: a window around the cut is encoded again and
 grown until its first and its last tokens agree with those of both sides, in ids and in places. Of two encodings that
 share tokens at the same places, the one may go on where the other stops, so the joined ids are those of the whole.
 """
 
 from __future__ import annotations
 
+import json
 import re
+import sys
+import unicodedata
+from array import array
+from bisect import bisect_left, bisect_right
 from functools import lru_cache
 
 import numpy as np
@@ -19,17 +26,64 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from emberglass.llm.text import map_batches, texts
+from emberglass.llm.text import map_batches
 
 #: Characters of a text that is encoded without cutting.
 LEAF = 8192
-#: Characters on either side of a cut in the first window, and tokens that have to agree on either side.
+#: Characters on either side of a cut in the first window, and atoms (below) that have to agree on either side.
 REACH, AGREE = 48, 3
-#: Runs kept per worker process, and the bytes of a run up to which it is kept.
-KEPT, KEPT_BYTES = 300_000, 64
+#: Pieces and runs that either of two generations keeps in a worker process, the length up to which they are kept, and
+#: runs per library call.
+KEPT_PIECES, KEPT_RUNS, KEPT_LENGTH, CALL = 200_000, 50_000, 64, 10_000
 _RUN = re.compile(r"[^\x20\x09-\x0D]+")
 
 
+#: What is alike for all characters below U+0180 but one whether the library or this module does it.
+_HARD = re.compile("[^\x00-\u012f\u0131-\u017f]")
+_KINDS = {k: "".join(re.escape(chr(c)) for c in range(0x180) if unicodedata.category(chr(c))[0] == k) for k in "LN"}
+_SPACES = "\t-\r \x85\xa0"
+_PIECE = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_KINDS['L']}]+|[{_KINDS['N']}]|[^{_SPACES}{_KINDS['L']}{_KINDS['N']}]+")
+_NORMALIZERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
+_SPLIT = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
+
+
+def pack(ids: list[int]) -> bytes:
+    """Little-endian unsigned 32-bit integers."""
+    out = array("I", ids)
+    if sys.byteorder == "big":
+        out.byteswap()
+    return out.tobytes()
+
+
+#: Starts, ends (characters) and ids of successive parts of a text.
+Atoms = tuple[list[int], list[int], list[bytes]]
+
+
+class _Known(dict):
+    """What has been found out about pieces or runs; those not asked for since two fillings are forgotten."""
+
+    def __init__(self, size: int):
+        self.size, self.old = size, {}
+
+    def __missing__(self, key):
+        found = self[key] = self.old[key]
+        return found
+
+    def new(self, keys: set) -> list:
+        """Those of keys that aren't known; what was kept is thinned first, so all of keys can be known together."""
+        if len(self) > self.size:
+            self.old = {k: v for k, v in self.items() if len(k) <= KEPT_LENGTH}
+            self.clear()
+        return [k for k in keys if k not in self and k not in self.old]
+
+
+def _byte_level() -> dict[int, str]:
+    """The character that stands for each byte: itself if printable, else the next free one from U+0100 on."""
+    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    others = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(others)}
+
+
 class Codec:
     """One tokenizer file's encoder and decoder. Special tokens in a text are what the library takes them for."""
 
@@ -40,113 +94,144 @@ class Codec:
         self.lib.no_truncation()
         self.lib.no_padding()
         self.leaf, self.reach = leaf, reach
-        self._ids: dict[bytes, bytes] = {}
-        self._placed: dict[str, tuple] = {}
-
-    def _library(self, runs: list[str]) -> list:
-        return self.lib.encode_batch(runs, add_special_tokens=False) if runs else []
-
-    def encode_all(self, batch: list[bytes]) -> list[bytes]:
-        """Ids of each UTF-8 text as little-endian unsigned 32-bit integers."""
-        # bytes are never fewer than characters
-        long = {k: t.decode() for k, t in enumerate(batch) if len(t) > self.leaf}
-        runs = [() if k in long else t.split() for k, t in enumerate(batch)]
-        if len(self._ids) > KEPT:
-            self._ids.clear()
-        known = self._ids
-        new = list({r for found in runs for r in found if r not in known})
-        own = {}
-        for r, e in zip(new, self._library([r.decode() for r in new])):
-            (known if len(r) <= KEPT_BYTES and len(known) < 2 * KEPT else own)[r] = np.array(e.ids, "<u4").tobytes()
-        if own:
-            known = _Both(own, known)
-        out = [b"".join(map(known.__getitem__, found)) for found in runs]
-        for k, text in long.items():
-            out[k] = self.encode_tree(text)[0].astype("<u4").tobytes()
+        config = json.loads(self.lib.to_str())
+        steps = (config["pre_tokenizer"] or {}).get("pretokenizers", [{}])
+        self.latin = (
+            (config["normalizer"] or {}).get("normalizers") == _NORMALIZERS
+            and [x.get("type") for x in steps] == ["Split", "ByteLevel"]
+            and steps[0]["pattern"] == {"Regex": _SPLIT}
+            and (steps[0]["behavior"], steps[0]["invert"]) == ("Removed", True)
+            and not steps[1]["add_prefix_space"]
+            and not steps[1]["use_regex"]
+        )
+        special = [re.escape(x["content"]) for x in config["added_tokens"]]
+        self.hard = re.compile("|".join([_HARD.pattern, *special]) if self.latin else r"(?s:.)")
+        self.model, self.bytes = self.lib.model, _byte_level()
+        self._pieces, self._runs = _Known(KEPT_PIECES), _Known(KEPT_RUNS)
+
+    def _learn(self, pieces: set[str]) -> None:
+        for piece in self._pieces.new(pieces):
+            shown = piece if piece.isascii() and piece.isalpha() else "".join(map(self.bytes.__getitem__, piece.encode()))
+            self._pieces[piece] = pack([t.id for t in self.model.tokenize(shown)])
+
+    def encode_all(self, batch: list[str]) -> list[bytes]:
+        """Ids of each text as little-endian unsigned 32-bit integers."""
+        out: list[bytes] = [b""] * len(batch)
+        easy: dict[int, list[str]] = {}
+        for k, text in enumerate(batch):
+            if len(text) > self.leaf or self.hard.search(text):
+                out[k] = self.encode_tree(text)
+            else:
+                easy[k] = _PIECE.findall(text.lower())
+        self._learn(set().union(*easy.values()))
+        known = self._pieces.__getitem__
+        for k, pieces in easy.items():
+            out[k] = b"".join(map(known, pieces))
         return out
 
     def decode_all(self, batch: list[bytes]) -> list[str]:
         return self.lib.decode_batch([np.frombuffer(x, "<u4").tolist() for x in batch], skip_special_tokens=False)
 
-    def _leaves(self, text: str, cuts: list[int]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """(ids, starts, ends) of the text between the cuts, each piece by itself."""
-        pieces = [[(m.group(), m.start() + a) for m in _RUN.finditer(text[a:b])] for a, b in zip(cuts, cuts[1:])]
-        if len(self._placed) > KEPT:
-            self._placed.clear()
-        known = self._placed
-        new = list({r for piece in pieces for r, _ in piece if r not in known})
-        own = {}
-        for r, e in zip(new, self._library(new)):
-            places = np.array(e.offsets, np.int64).reshape(-1, 2)
-            (known if len(r) <= KEPT_BYTES and len(known) < 2 * KEPT else own)[r] = (np.array(e.ids, np.uint32).tobytes(), places[:, 0].tobytes(), places[:, 1].tobytes(), len(places))
-        out = []
-        for piece in pieces:
-            got = [own[r] if r in own else known[r] for r, _ in piece]
-            at = np.repeat(np.array([a for _, a in piece], np.int64), np.array([g[3] for g in got], np.int64))
-            ids, starts, ends = (np.frombuffer(b"".join(g[k] for g in got), t) for k, t in enumerate((np.uint32, np.int64, np.int64)))
-            out.append((ids, starts + at, ends + at))
+    def _tokens(self, piece: str, at: int) -> Atoms:
+        """The tokens of a long piece of Latin characters that stands at a place."""
+        raw = piece.encode()
+        shown = [self.bytes[b] for b in raw]
+        before = [at]  # characters that begin before each byte of what the model sees, and before its end
+        for b, c in zip(raw, shown):
+            before += [before[-1] + (b & 0xC0 != 0x80)] * len(c.encode())
+        found = self.model.tokenize("".join(shown))
+        return [before[t.offsets[0] + 1] - 1 for t in found], [before[t.offsets[1]] for t in found], [pack([t.id]) for t in found]
+
+    def _latin(self, lowered: str, a: int, b: int) -> Atoms:
+        pieces = _PIECE.findall(lowered, a, b)
+        if not pieces:
+            return [], [], []
+        starts, ends = map(list, zip(*[m.span() for m in _PIECE.finditer(lowered, a, b)]))
+        if max(map(len, pieces)) <= KEPT_LENGTH:
+            self._learn(set(pieces))
+            return starts, ends, list(map(self._pieces.__getitem__, pieces))
+        self._learn({p for p in pieces if len(p) <= KEPT_LENGTH})
+        out: Atoms = ([], [], [])
+        for piece, x, y in zip(pieces, starts, ends):
+            for all_of, some in zip(out, ([x], [y], [self._pieces[piece]]) if len(piece) <= KEPT_LENGTH else self._tokens(piece, x)):
+                all_of += some
+        return out
+
+    def _by_library(self, text: str, a: int, b: int) -> Atoms:
+        """Run by run; a run with other characters than Latin goes to the library as it is."""
+        runs = [(m.group(), m.start()) for m in _RUN.finditer(text, a, b)]
+        hard = self._runs.new({r for r, _ in runs if self.hard.search(r)})
+        for k in range(0, len(hard), CALL):
+            for run, e in zip(hard[k : k + CALL], self.lib.encode_batch(hard[k : k + CALL], add_special_tokens=False)):
+                whole = ([0], [len(run)], [pack(e.ids)])
+                self._runs[run] = whole if len(run) <= KEPT_LENGTH else ([x for x, _ in e.offsets], [y for _, y in e.offsets], [pack([i]) for i in e.ids])
+        out: Atoms = ([], [], [])
+        for run, at in runs:
+            easy = not self.hard.search(run)
+            starts, ends, ids = self._latin(run.lower(), 0, len(run)) if easy else self._runs[run]
+            for all_of, some in zip(out, ([x + at for x in starts], [y + at for y in ends], ids)):
+                all_of += some
         return out
 
-    def encode_tree(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(ids, starts, ends) of a text of any length; places are in characters."""
+    def atoms(self, text: str, a: int, b: int, lowered: str | None = None) -> Atoms:
+        """text[a:b] by itself, as atoms at their places in text: short pieces and runs whole, long ones by token.
+
+        lowered: the text lower-cased, if all of it is of easy characters.
+        """
+        if lowered is not None:
+            return self._latin(lowered, a, b)
+        part = text[a:b]
+        if self.hard.search(part):
+            return self._by_library(text, a, b)
+        starts, ends, ids = self._latin(part.lower(), 0, b - a)
+        return [x + a for x in starts], [y + a for y in ends], ids
+
+    def encode_tree(self, text: str) -> bytes:
+        """Ids of a text of any length."""
         cuts = [0, len(text)]
-        while max(np.diff(cuts)) > self.leaf:
+        while max(b - a for a, b in zip(cuts, cuts[1:])) > self.leaf:
             cuts = sorted({*cuts, *((a + b) // 2 for a, b in zip(cuts, cuts[1:]) if b - a > self.leaf)})
-        parts = self._leaves(text, cuts)
+        lowered = None if self.hard.search(text) else text.lower()
+        parts = [self.atoms(text, a, b, lowered) for a, b in zip(cuts, cuts[1:])]
         while len(parts) > 1:
-            joined = [self._join(text, parts[k], parts[k + 1], cuts[k], cuts[k + 1], cuts[k + 2]) for k in range(0, len(parts) - 1, 2)]
+            joined = [self._join(text, lowered, parts[k], parts[k + 1], cuts[k], cuts[k + 1], cuts[k + 2]) for k in range(0, len(parts) - 1, 2)]
             parts = joined + parts[len(joined) * 2 :]
             cuts = [*cuts[:-1:2], cuts[-1]]
-        return parts[0]
+        return b"".join(parts[0][2])
 
-    def _join(self, text: str, left: tuple, right: tuple, low: int, cut: int, high: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def _join(self, text: str, lowered: str | None, left: Atoms, right: Atoms, low: int, cut: int, high: int) -> Atoms:
         reach = self.reach
         while True:
-            a = int(np.searchsorted(left[1], cut - reach))  # first token of the left side in the window
-            b = int(np.searchsorted(right[2], cut + reach, "right"))  # first of the right side beyond it
-            begin = low if a == 0 or cut - reach <= low else int(left[1][a]) if a < len(left[0]) else cut - reach
-            end = high if b == len(right[0]) or cut + reach >= high else int(right[2][b - 1]) if b else cut + reach
-            e = self.lib.encode(text[begin:end], add_special_tokens=False)
-            places = np.array(e.offsets, np.int64).reshape(-1, 2) + begin
-            window = (np.array(e.ids, np.uint32), places[:, 0], places[:, 1])
+            a = bisect_left(left[0], cut - reach)  # first atom of the left side in the window
+            b = bisect_right(right[1], cut + reach)  # first of the right side beyond it
+            begin = low if a == 0 or cut - reach <= low else left[0][a] if a < len(left[0]) else cut - reach
+            end = high if b == len(right[0]) or cut + reach >= high else right[1][b - 1] if b else cut + reach
+            window = self.atoms(text, begin, end, lowered)
             n = len(window[0])
-            # (kept of the left side, first of the window); (end in the window, first kept of the right side)
+            # what is kept of the left side and where the window goes on; where the window ends and the right side goes on
             head = (0, 0) if begin == low else self._agree(left, a, len(left[0]), window, range(0, n - AGREE + 1))
-            tail = (n, len(right[0])) if end == high else self._agree(right, 0, b, window, range(n - AGREE, -1, -1))
+            tail = (len(right[0]) - AGREE, n - AGREE) if end == high else self._agree(right, 0, b, window, range(n - AGREE, -1, -1))
             if head and tail:
-                (keep, first), (last, on) = head if begin == low else (head[0], head[1]), tail if end == high else (tail[1] + AGREE, tail[0] + AGREE)
-                if first <= last:
-                    return tuple(np.concatenate((x[:keep], w[first:last], y[on:])) for x, w, y in zip(left, window, right))
+                (keep, first), (on, last) = head, tail
+                if first <= last + AGREE:
+                    return tuple(x[:keep] + w[first : last + AGREE] + y[on + AGREE :] for x, w, y in zip(left, window, right))
             reach *= 2
 
     @staticmethod
-    def _agree(side: tuple, a: int, b: int, window: tuple, order: range) -> tuple[int, int] | None:
-        """(place in the side, place in the window) of the first AGREE tokens, in the window's order, that both have."""
-        where: dict[tuple, int] = {}
-        for k in range(a, b):
-            where[(int(side[0][k]), int(side[1][k]), int(side[2][k]))] = k
-        tokens = list(zip(window[0].tolist(), window[1].tolist(), window[2].tolist()))
+    def _agree(side: Atoms, a: int, b: int, window: Atoms, order: range) -> tuple[int, int] | None:
+        """(place in the side, place in the window) of the first AGREE atoms, in the window's order, that both have."""
+        where = {x: k for k, x in enumerate(zip(*(c[a:b] for c in side)), a)}
+        found = list(zip(*window))
         for i in order:
-            k = where.get(tokens[i])
-            if k is not None and k + AGREE <= b and all(where.get(tokens[i + d]) == k + d for d in range(1, AGREE)):
+            k = where.get(found[i])
+            if k is not None and k + AGREE <= b and all(where.get(found[i + d]) == k + d for d in range(1, AGREE)):
                 return k, i
         return None
 
 
-class _Both:
-    """Looks up runs of one batch first, then those kept."""
-
-    def __init__(self, own: dict, known: dict):
-        self.own, self.known = own, known
-
-    def __getitem__(self, run: bytes) -> bytes:
-        found = self.own.get(run)
-        return self.known[run] if found is None else found
-
-
 @lru_cache(maxsize=2)
 def codec(path: str, leaf: int = LEAF, reach: int = REACH) -> Codec:
-    """One per worker process, so that the runs it has seen are kept from task to task."""
+    """One per worker process, so that what it has learnt is kept from task to task."""
     return Codec(path, leaf, reach)
 
 
@@ -157,7 +242,7 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
     """
 
     def each(batch: pa.RecordBatch) -> pa.RecordBatch:
-        ids = codec(path, leaf).encode_all(texts(batch.column(1)))
+        ids = codec(path, leaf).encode_all([t or "" for t in batch.column(1).to_pylist()])
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary())], ["doc_id", "ids"])
 
     return map_batches(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")), each, "doc_id long, ids binary")

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from emberglass.llm.ranges import in_order
-from emberglass.llm.text import words
+from emberglass.llm.text import slices, words
 from emberglass.storage import Scratch
 
 #: A fingerprint has BINS * B_BITS bits. BINS is a power of two; B_BITS divides 8.
@@ -130,7 +130,7 @@ def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", p
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, last, first = TaskContext.get().partitionId(), None, None
-        for batch in batches:
+        for batch in slices(batches):
             out = []
             for doc_id, text in zip(*(c.to_pylist() for c in batch.columns)):
                 mark = fingerprint(text)

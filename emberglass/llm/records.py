@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from emberglass.llm.bpe import LEAF, codec
 from emberglass.llm.ranges import in_order
-from emberglass.llm.text import texts
+from emberglass.llm.text import slices
 
 MASK = 0xA282EAD8
 _HEAD, _BODY, _CHECK = struct.Struct("<QI"), struct.Struct("<qBB"), struct.Struct("<I")
@@ -96,8 +96,8 @@ def write_records(docs: DataFrame, root: str, tokenizer: str, end_id: int, id_co
         end = struct.pack("<I", end_id)
         at, before, index = 0, 0, []
         with fs.open_output_stream(own) as out:
-            for batch in batches:
-                for doc_id, ids in zip(batch.column(0).to_pylist(), codec(tokenizer, leaf).encode_all(texts(batch.column(1)))):
+            for batch in slices(batches):
+                for doc_id, ids in zip(batch.column(0).to_pylist(), codec(tokenizer, leaf).encode_all([t or "" for t in batch.column(1).to_pylist()])):
                     record = frame(doc_id, ids + end)
                     out.write(record)
                     index.append((at, before))
