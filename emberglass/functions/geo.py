@@ -40,9 +40,12 @@ def metres_per_degree(lat: Column) -> tuple[Column, Column]:
     return of_lat, of_lon
 
 
-def point_segment_m(lat: Column, lon: Column, lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
-    """Metres from a point to a segment on the plane at the point; a segment of no length is its vertex."""
-    of_lat, of_lon = metres_per_degree(lat)
+def point_segment_m(lat: Column, lon: Column, lat1: Column, lon1: Column, lat2: Column, lon2: Column, scale: tuple[Column, Column] | None = None) -> Column:
+    """Metres from a point to a segment on the plane at the point; a segment of no length is its vertex.
+
+    scale: metres_per_degree(lat), where that is at hand as columns, so that it isn't computed for every pair.
+    """
+    of_lat, of_lon = scale or metres_per_degree(lat)
     ax, ay, bx, by = (lon1 - lon) * of_lon, (lat1 - lat) * of_lat, (lon2 - lon) * of_lon, (lat2 - lat) * of_lat
     dx, dy = bx - ax, by - ay
     n = dx * dx + dy * dy

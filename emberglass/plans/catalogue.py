@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from emberglass.plans import events
+from emberglass.plans import events, spatial
 
-BOOKS = [events.book]
+BOOKS = [events.book, spatial.book]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
