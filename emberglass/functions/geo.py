@@ -46,12 +46,9 @@ def point_segment_m(lat: Column, lon: Column, lat1: Column, lon1: Column, lat2:
     scale: metres_per_degree(lat), where that is at hand as columns, so that it isn't computed for every pair.
     """
     of_lat, of_lon = scale or metres_per_degree(lat)
-    ax, ay, bx, by = (lon1 - lon) * of_lon, (lat1 - lat) * of_lat, (lon2 - lon) * of_lon, (lat2 - lat) * of_lat
-    dx, dy = bx - ax, by - ay
-    n = dx * dx + dy * dy
-    t = F.when(n > 0, F.greatest(F.lit(0.0), F.least(F.lit(1.0), -(ax * dx + ay * dy) / n))).otherwise(0.0)
-    x, y = ax + t * dx, ay + t * dy
-    return F.sqrt(x * x + y * y)
+    px, py, dx, dy = (lon - lon1) * of_lon, (lat - lat1) * of_lat, (lon2 - lon1) * of_lon, (lat2 - lat1) * of_lat
+    t = F.coalesce(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.try_divide(px * dx + py * dy, dx * dx + dy * dy))), F.lit(0.0))
+    return F.hypot(px - t * dx, py - t * dy)
 
 
 def _pairs(ring: Column, f) -> Column:

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from emberglass.plans import events, spatial
+from emberglass.plans import events, scoring, spatial
 
-BOOKS = [events.book, spatial.book]
+BOOKS = [events.book, spatial.book, scoring.book]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
