@@ -49,10 +49,10 @@ def average_precision(rows: DataFrame, keys: list[str], y: str, p: str) -> DataF
 
     Rows are summed by score first, so only distinct scores are sorted.
     """
-    g = rows.groupBy(*keys, F.col(p).alias("_p")).agg(F.sum(F.col(y).cast("long")).alias("tp"), F.count("*").alias("k"))
+    g = rows.groupBy(*keys, F.col(p).alias("_p")).agg(F.sum(F.col(y).cast("long")).alias("_tp"), F.count("*").alias("_k"))
     w = Window.partitionBy(*keys).orderBy(F.desc("_p")).rowsBetween(Window.unboundedPreceding, 0)
-    g = g.withColumns({"ctp": F.sum("tp").over(w), "ck": F.sum("k").over(w)})
-    return g.groupBy(*keys).agg(F.sum("k").alias("n"), F.sum("tp").alias("positives"), F.when(F.sum("tp") > 0, F.sum(F.col("tp") * F.col("ctp") / F.col("ck")) / F.sum("tp")).alias("ap"))
+    g = g.withColumns({"_ctp": F.sum("_tp").over(w), "_ck": F.sum("_k").over(w)})
+    return g.groupBy(*keys).agg(F.sum("_k").alias("n"), F.sum("_tp").alias("positives"), F.when(F.sum("_tp") > 0, F.sum(F.col("_tp") * F.col("_ctp") / F.col("_ck")) / F.sum("_tp")).alias("ap"))
 
 
 def confusion(rows: DataFrame, keys: list[str], y: str, p: str, thresholds: list[float]) -> DataFrame:
