@@ -171,3 +171,37 @@ def test_stream_equals_batch(spark, tmp_path):
     q = out.writeStream.outputMode("complete").format("memory").queryName("bins").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
     q.awaitTermination(60)
     assert sorted(map(tuple, spark.sql("SELECT * FROM bins").collect())) == sorted(map(tuple, tumbling(df).collect()))
+
+
+def test_shapes(spark):
+    import numpy as np
+
+    from emberglass.functions import shapes
+
+    square = np.array([(0, 0), (1, 0), (1, 1), (0, 1), (0, 0)], float)
+    half = shapes.morph(square, square[[2, 3, 4, 1, 2]] + 2, 0.5, 8)
+    assert half.mean(0) == pytest.approx([1.5, 1.5], abs=0.3) and (half[0] == half[-1]).all()
+    ring = [{"lat": a, "lon": b} for a, b in [(0.0, 0.0), (0.0, 2.0), (2.0, 2.0), (2.0, 0.0), (0.0, 0.0)]]
+    df = spark.createDataFrame([(1, ring)], "id int, ring array<struct<lat: double, lon: double>>")
+    assert {(r["row"], r["col"]) for r in shapes.cells_in_ring(df, 1.0).collect()} == {(0, 0), (0, 1), (1, 0), (1, 1)}
+    lat, lon = shapes.destination(F.lit(0.0), F.lit(179.5), F.lit(90.0), F.lit(111.195))
+    assert tuple(spark.range(1).select(lat, lon).first()) == pytest.approx((0.0, -179.5), abs=1e-3)
+    assert [r[0] for r in spark.createDataFrame([(1704067200,), (1720000000,)], "t long").select(shapes.local_stamp(F.col("t"))).collect()] == ["2024-01-01T01:00:00+01:00", "2024-07-03T11:46:40+02:00"]
+
+
+def test_api(spark):
+    from emberglass.plans import api
+
+    assert api.cursor("12") == 12 and api.cursor(None) is None
+    for bad in ("-1", "1.5", "x", "", "9" * 15):
+        with pytest.raises(ValueError):
+            api.cursor(bad)
+    rows = [(k, 1, 1800 * k, "MTG_I1", None, 37.0 + 0.01 * k, -2.0) for k in range(5)]
+    det = causal.with_availability(spark.createDataFrame(rows, DET))
+    assert api.fires(det, 4000)["clusters"].first()["n"] == 2
+    assert {r["predictor"]: r["rate_kmh"] for r in api.growth_of(det, 9000, 0.5).collect()}["constant_rate"] == 0.5
+    t = spark.createDataFrame([(1, 5, "5km", 2.0, True)], "fire_id long, asset_id long, ring string, distance_km double, in_corridor boolean")
+    s = api.situation_of(det, t, spark.createDataFrame([(1, 99)], "fire_id long, valid_s long"), 9000).first()
+    assert s["spread_status"] == "expired" and s["total_frp"] is None and s["text"] == "5 detections. 1 assets near, 1 in the path. The forecast has expired."
+    e = spark.createDataFrame([(k,) for k in range(5)], "seq int")
+    assert [r["seq"] for r in api.ledger(e, 2).collect()] == [3, 4] and api.ledger(e, 0).count() == 0
