@@ -97,9 +97,10 @@ def _sums(rows: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
     return np.bincount(rows, values, n)
 
 
-def fit_rows(rows: list[tuple[list[int], int]], pairs: list[tuple[list[int], list[int]]], n: int, penalty: float, ridge: float, steps: int = 400) -> tuple[np.ndarray, float]:
+def fit_rows(rows: list[tuple[list[int], int]], pairs: list[tuple[list[int], list[int]]], n: int, penalty: float, ridge: float, positive_weight: float = 1.0, steps: int = 400) -> tuple[np.ndarray, float]:
     """Weights and bias from (features, label) and from (gained, lost) features of swapped sentences, by Adam on all rows."""
     y = np.array([label for _, label in rows], float)
+    weight = np.where(y > 0, positive_weight, 1.0)
     at = np.repeat(np.arange(len(rows)), [len(f) for f, _ in rows])
     col = np.fromiter((k for f, _ in rows for k in f), np.int64, len(at))
     p_at = np.repeat(np.arange(len(pairs)), [len(a) + len(b) for a, b in pairs])
@@ -109,7 +110,7 @@ def fit_rows(rows: list[tuple[list[int], int]], pairs: list[tuple[list[int], lis
     m, v = np.zeros(n + 1), np.zeros(n + 1)
     for t in range(1, steps + 1):
         z = bias + _sums(at, w[col], len(rows))
-        g = 1 / (1 + np.exp(-np.clip(z, -500, 500))) - y
+        g = weight * (1 / (1 + np.exp(-np.clip(z, -500, 500))) - y)
         grad = np.append(_sums(col, g[at], n) / len(rows) + ridge * w, g.mean())
         if pairs:
             d = _sums(p_at, w[p_col] * p_sign, len(pairs))
@@ -120,11 +121,11 @@ def fit_rows(rows: list[tuple[list[int], int]], pairs: list[tuple[list[int], lis
     return w, bias
 
 
-def fit(docs: DataFrame, labels: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_rows: int = 20_000, max_features: int = 4096, min_z: float = 4.0, penalty: float = 1.0, ridge: float = 1e-4, identities: Sequence[Sequence[str]] = IDENTITIES, seed: int = 0) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_rows: int = 20_000, max_features: int = 4096, min_z: float = 4.0, penalty: float = 1.0, ridge: float = 1e-4, positive_weight: float = 3.0, identities: Sequence[Sequence[str]] = IDENTITIES, seed: int = 0) -> Model:
     """A model from at most max_rows labelled documents, those whose seeded id hash is least.
 
     Features are those that differ between the classes by at least min_z standard errors, at most max_features of them,
-    counted where the texts are. Null labels and null ids are left out; of conflicting labels the larger counts; labels
+    counted where the texts are. Toxic rows, the fewer, weigh positive_weight each. Null labels and null ids are left out; of conflicting labels the larger counts; labels
     without a document are left out. With one class or none all scores are that class's rate, or 0.5.
     """
     key = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("label")).filter("doc_id is not null and label is not null")
@@ -169,7 +170,7 @@ def fit(docs: DataFrame, labels: DataFrame, scratch: Scratch, id_col: str = "doc
     schema = pa.schema([("features", ints), ("label", pa.int32()), ("changed", pa.list_(pa.struct([("gained", ints), ("lost", ints)])))])
     got = rows.mapInArrow(vectors, "features array<int>, label int, changed array<struct<gained:array<int>,lost:array<int>>>").collect()
     pairs = [(c["gained"], c["lost"]) for r in got for c in r["changed"]]
-    weights, bias = fit_rows([(r["features"], r["label"]) for r in got], pairs, len(grams), penalty, ridge)
+    weights, bias = fit_rows([(r["features"], r["label"]) for r in got], pairs, len(grams), penalty, ridge, positive_weight)
     return Model(grams, weights, bias)
 
 
