@@ -38,7 +38,7 @@ from emberglass.storage import Scratch
 DISCOUNT, STRENGTH, ROOT_DISCOUNT, ROOT_STRENGTH = 0.8, 1.0, 0.6, 1.0
 BURN_IN, SAMPLES, STIRLING = 2, 3, 48
 #: Tokens of a block, packed entries of a bucket, share of all tokens from which a context is dealt out.
-BLOCK, BUCKET, HOT = 1_000_000, 1_000_000, 1000
+BLOCK, BUCKET, HOT = 600_000, 700_000, 1000
 _ID = (1 << 48) - 1
 _BEGIN, _END = 1, 2  # no word's hash can be told from these, but for one in 2**47 words
 _ODD = np.uint64(0x9E3779B97F4A7C15)
