@@ -25,6 +25,9 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 class Scratch:
     """Tables of one operator call, each written once and read back from the shared folder."""
 
@@ -39,7 +42,12 @@ class Scratch:
     def save(self, df: DataFrame, name: str = "t") -> DataFrame:
         self._n += 1
         path = self.path(f"{name}-{self._n}")
-        df.write.parquet(path)
+        before = self.spark.conf.get(_CLEANUP, "false")
+        self.spark.conf.set(_CLEANUP, "true")  # what is written is read from there: its shuffles can go
+        try:
+            df.write.parquet(path)
+        finally:
+            self.spark.conf.set(_CLEANUP, before)
         back = self.spark.read.schema(df.schema).parquet(path)
         back._scratch_path = path
         return back
