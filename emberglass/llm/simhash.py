@@ -72,11 +72,21 @@ def _variants(members: DataFrame, width: int) -> DataFrame:
     return cut.select("fp", mask.alias("mask"), F.col("fp").bitwiseAND(mask).alias("value"), F.col("c.o").alias("rest"))
 
 
-def links(distinct: DataFrame, scratch: Scratch, bucket: int = BUCKET, bits: int = BITS) -> DataFrame:
-    """Pairs (src, dst) of different fingerprints (column fp, each once) that differ in at most bits bits.
+def chains(distinct: DataFrame, bits: int) -> DataFrame:
+    """Candidate pairs (src, dst) of different fingerprints (column fp, each once): in every bucket of the index each
+    member meets the least one and the three before it in order, if they differ in at most bits bits. So a bucket gives
+    pairs in proportion to its members, however many they are, and like members next to each other hang together."""
+    members = distinct.select("fp", F.lit(0).cast("long").alias("mask"), F.lit(-1).cast("long").alias("rest"))
+    bucket = Window.partitionBy("mask", "value")
+    order = bucket.orderBy("fp")
+    others = [F.min("fp").over(order), *[F.lag("fp", k).over(order) for k in (1, 2, 3)]]
+    shared = _variants(members, 32).select("fp", F.array_compact(F.array_distinct(F.array(*others))).alias("others")).filter(F.size("others") > 1)
+    pairs = shared.select(F.explode("others").alias("src"), F.col("fp").alias("dst")).filter("src <> dst")
+    return pairs.filter(F.bit_count(F.col("src").bitwiseXOR(F.col("dst"))) <= bits).distinct()
 
-    All pairs for up to BITS; beyond, those that differ in at most one bit of one segment.
-    """
+
+def links(distinct: DataFrame, scratch: Scratch, bucket: int = BUCKET) -> DataFrame:
+    """Pairs (src, dst) of different fingerprints (column fp, each once) that differ in at most BITS bits."""
     members = distinct.select("fp", F.lit(0).cast("long").alias("mask"), F.lit(-1).cast("long").alias("rest"))
     found, width = [], 32
     while True:
@@ -85,7 +95,7 @@ def links(distinct: DataFrame, scratch: Scratch, bucket: int = BUCKET, bits: int
         shared = scratch.save(shared, f"shared-{width}")
         small = shared if last else shared.filter(F.col("n") <= bucket)
         a, b = small.select("mask", "value", F.col("fp").alias("src")), small.select("mask", "value", F.col("fp").alias("dst"))
-        near = F.bit_count(F.col("src").bitwiseXOR(F.col("dst"))) <= bits
+        near = F.bit_count(F.col("src").bitwiseXOR(F.col("dst"))) <= BITS
         found.append(scratch.save(a.join(b, (a["mask"] == b["mask"]) & (a["value"] == b["value"]) & (F.col("src") < F.col("dst")) & near).select("src", "dst").distinct(), "links"))
         members = shared.filter(F.col("n") > bucket).select("fp", "mask", "rest")
         if last or members.isEmpty():
@@ -135,8 +145,8 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_
 
     Texts are linked if they share at least similarity of their n_words-word shingles (as sets). Equal texts are one
     node. Candidates come from the deletion-variant index over two SimHashes of the texts' distinct words, which move
-    less under small edits than SimHashes of shingles do, and are verified on the shingles of whole texts. Texts without
-    words are alike; a null is the empty text. Rows with equal id and text are one document. All columns are kept.
+    less under small edits than SimHashes of shingles do, in number proportional to the texts, and are verified on the
+    shingles of whole texts. Texts without words are alike; a null is the empty text. Rows with equal id and text are one document. All columns are kept.
     """
     scratch = Scratch(docs.sparkSession, "keep-one")
     digest = F.md5(F.coalesce(F.col(text_col).cast("string"), F.lit(""))).alias("node")
@@ -153,7 +163,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_
     for fp in ("fp0", "fp1"):
         heads = scratch.save(nodes.groupBy(F.col(fp).alias("fp")).agg(F.min("node").alias("head")), "heads")
         same = nodes.join(heads, nodes[fp] == heads["fp"]).select(F.col("head").alias("a"), F.col("node").alias("b"))
-        near = links(heads.select("fp"), scratch, bits=CANDIDATE_BITS)
+        near = chains(heads.select("fp"), CANDIDATE_BITS)
         a, b = heads.select(F.col("fp").alias("src"), F.col("head").alias("a")), heads.select(F.col("fp").alias("dst"), F.col("head").alias("b"))
         found = same.union(near.join(a, "src").join(b, "dst").select("a", "b")).filter("a <> b")
         pairs = found if pairs is None else pairs.union(found)
