@@ -80,7 +80,7 @@ def chains(distinct: DataFrame, bits: int) -> DataFrame:
     bucket = Window.partitionBy("mask", "value")
     order = bucket.orderBy("fp")
     others = [F.min("fp").over(order), *[F.lag("fp", k).over(order) for k in (1, 2, 3)]]
-    shared = _variants(members, 32).select("fp", F.array_compact(F.array_distinct(F.array(*others))).alias("others")).filter(F.size("others") > 1)
+    shared = _variants(members, 32).select("fp", F.array_compact(F.array_distinct(F.array(*others))).alias("others")).filter(F.get("others", F.lit(0)) != F.col("fp"))
     pairs = shared.select(F.explode("others").alias("src"), F.col("fp").alias("dst")).filter("src <> dst")
     return pairs.filter(F.bit_count(F.col("src").bitwiseXOR(F.col("dst"))) <= bits).distinct()
 
