@@ -20,6 +20,7 @@ import unicodedata
 from array import array
 from bisect import bisect_left, bisect_right
 from functools import lru_cache
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +35,7 @@ LEAF = 8192
 REACH, AGREE = 48, 3
 #: Pieces and runs that either of two generations keeps in a worker process, the length up to which they are kept, and
 #: runs per library call.
-KEPT_PIECES, KEPT_RUNS, KEPT_LENGTH, CALL = 200_000, 50_000, 64, 10_000
+KEPT_PIECES, KEPT_RUNS, KEPT_LENGTH, CALL = 300_000, 50_000, 64, 10_000
 _RUN = re.compile(r"[^\x20\x09-\x0D]+")
 
 
@@ -43,6 +44,7 @@ _HARD = re.compile("[^\x00-\u012f\u0131-\u017f]")
 _KINDS = {k: "".join(re.escape(chr(c)) for c in range(0x180) if unicodedata.category(chr(c))[0] == k) for k in "LN"}
 _SPACES = "\t-\r \x85\xa0"
 _PIECE = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_KINDS['L']}]+|[{_KINDS['N']}]|[^{_SPACES}{_KINDS['L']}{_KINDS['N']}]+")
+_PIECES = re.compile(f"({_PIECE.pattern})")
 _NORMALIZERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
 _SPLIT = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
 
@@ -143,10 +145,11 @@ class Codec:
         return [before[t.offsets[0] + 1] - 1 for t in found], [before[t.offsets[1]] for t in found], [pack([t.id]) for t in found]
 
     def _latin(self, lowered: str, a: int, b: int) -> Atoms:
-        pieces = _PIECE.findall(lowered, a, b)
+        parts = _PIECES.split(lowered[a:b])  # what is between pieces, a piece, what is between, ...
+        pieces, at = parts[1::2], list(accumulate(map(len, parts), initial=a))
         if not pieces:
             return [], [], []
-        starts, ends = map(list, zip(*[m.span() for m in _PIECE.finditer(lowered, a, b)]))
+        starts, ends = at[1:-1:2], at[2:-1:2]
         if max(map(len, pieces)) <= KEPT_LENGTH:
             self._learn(set(pieces))
             return starts, ends, list(map(self._pieces.__getitem__, pieces))
