@@ -93,15 +93,16 @@ class Block:
         return cls(found, n_words, pairs // len(found), pairs % len(found), n, token, list(zip(doc_ids, held, lens.tolist())))
 
     def dump(self) -> bytes:
+        """The words and the tokens as numbers of words; pairs are made anew when it is loaded."""
         ids = [d[0] for d in self.docs]
         docs = [(np.array([i or 0 for i in ids], np.int64).view(np.uint64), 8), (np.array([(i is None) * 2 + h for i, h, _ in self.docs]), 1), (np.array([k for _, _, k in self.docs]), 8)]
-        return pack((self.words, 6), (self.n_words, 4), (np.diff(self.u, prepend=0), 4), (self.w, 4), (self.n, 4), (self.token, 4), *docs)
+        return pack((self.words, 6), (self.w[self.token], 4), *docs)
 
     @classmethod
     def load(cls, blob: bytes) -> Block:
-        found, n_words, du, w, n, token, ids, flags, lens = unpack(blob)
-        docs = [(None if f & 2 else i, bool(f & 1), k) for i, f, k in zip(ids.view(np.int64).tolist(), flags.tolist(), lens.tolist())]
-        return cls(found, n_words, np.cumsum(du).astype(np.int64), w.astype(np.int64), n, token.astype(np.int64), docs)
+        found, token, ids, flags, lens = unpack(blob)
+        texts_ = np.split(found[token.astype(np.int64)], np.cumsum(lens.astype(np.int64))[:-1])
+        return cls.of(texts_, [bool(f & 1) for f in flags.tolist()], [None if f & 2 else i for i, f in zip(ids.view(np.int64).tolist(), flags.tolist())])
 
     def word_order(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         """(order of the words by bucket, where each of n buckets starts)."""
@@ -227,23 +228,25 @@ def score(docs: DataFrame, held_out: Column, scratch: Scratch, id_col: str = "do
         with fs.open_input_stream(p) as f:
             return Block.load(f.read())
 
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for name, path in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                block, out = load(path), []
-                order, starts = block.word_order(n_word_buckets)
-                for k in range(n_word_buckets):
-                    if len(part := order[starts[k] : starts[k + 1]]):
-                        out.append((_WORDS, k, name, pack((block.words[part], 6), (block.n_words[part], 4))))
-                order, starts = block.pair_order(n_pair_buckets, hot)
-                for k in range(n_pair_buckets):
-                    if len(part := order[starts[k] : starts[k + 1]]):
-                        rooms, sizes = _runs(block.words[block.u[part]])
-                        out.append((_PAIRS, k, name, pack((rooms, 6), (sizes, 4), (block.words[block.w[part]], 6), (block.n[part], 4))))
-                yield from _table(out).to_batches()
-
-    dealt = made.select("block", "path").repartition(max(1, n_pair_buckets), "block").mapInArrow(deal, _ROWS)
-    dealt = scratch.save(dealt, "dealt")
+    def dealt(kind: int) -> DataFrame:
+        """Packed counts of all blocks' words, or pairs, for their buckets; one block a task or a few."""
+
+        def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for name, path in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                    block, out = load(path), []
+                    order, starts = block.word_order(n_word_buckets) if kind == _WORDS else block.pair_order(n_pair_buckets, hot)
+                    for k in range(len(starts) - 1):
+                        if not len(part := order[starts[k] : starts[k + 1]]):
+                            continue
+                        if kind == _WORDS:
+                            out.append((kind, k, name, pack((block.words[part], 6), (block.n_words[part], 4))))
+                        else:
+                            rooms, sizes = _runs(block.words[block.u[part]])
+                            out.append((kind, k, name, pack((rooms, 6), (sizes, 4), (block.words[block.w[part]], 6), (block.n[part], 4))))
+                    yield from _table(out).to_batches()
+
+        return made.select("block", "path").repartition(max(1, n_pair_buckets), "block").mapInArrow(deal, _ROWS)
 
     def restaurants(table: pa.Table) -> pa.Table:
         got = [unpack(b) for b in table["blob"].to_pylist()]
@@ -278,8 +281,7 @@ def score(docs: DataFrame, held_out: Column, scratch: Scratch, id_col: str = "do
             out.append((_PAIR_REPLY, name, bucket, pack((c[mine], 5), (np.rint(tables[mine] * _TENTHS), 6))))
         return _table(out)
 
-    pairs = dealt.filter(F.col("kind") == _PAIRS)
-    seated = scratch.save(pairs.groupBy("dest").applyInArrow(restaurants, _ROWS), "seated")
+    seated = scratch.save(dealt(_PAIRS).groupBy("dest").applyInArrow(restaurants, _ROWS), "seated")
 
     def parent(table: pa.Table) -> pa.Table:
         kinds, bucket = np.array(table["kind"].to_pylist()), table["dest"][0].as_py()
@@ -308,7 +310,7 @@ def score(docs: DataFrame, held_out: Column, scratch: Scratch, id_col: str = "do
             out.append((_WORD_REPLY, table["src"][int(k)].as_py(), bucket, pack(*columns)))
         return _table(out)
 
-    to_parent = dealt.filter(F.col("kind") == _WORDS).union(seated.filter(F.col("kind").isin(_TABLES, _CONTEXTS)))
+    to_parent = dealt(_WORDS).union(seated.filter(F.col("kind").isin(_TABLES, _CONTEXTS)))
     parents = scratch.save(to_parent.groupBy("dest").applyInArrow(parent, _ROWS), "parents")
 
     def sums_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
