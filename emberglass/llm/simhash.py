@@ -14,7 +14,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from emberglass.llm.text import map_batches, spans, texts, words
@@ -140,25 +140,95 @@ def _word_set_fp(found: set[bytes], seed: int) -> int:
     return _signed(int.from_bytes(np.packbits(counts * 2 > len(found)).tobytes(), "big"))
 
 
+#: Shingles that are known to be frequent, at most; texts from whose shingles they are got, about.
+FREQUENT, SAMPLED = 1 << 16, 4096
+
+
+def _grams(text: bytes, n_words: int) -> np.ndarray:
+    """Hashes of the different n_words-word shingles, ascending."""
+    joined, starts, ends = spans(words(text), n_words)
+    return np.array(sorted({_signed(xxhash.xxh64_intdigest(joined[x:y], 7)) for x, y in zip(starts, ends)}), np.int64)
+
+
+def _parities(grams: np.ndarray) -> list[int]:
+    """1024 bits in 16 numbers: whether oddly many hashes fall on each. Two sets differ in as many hashes as bits, at least."""
+    odd = np.bincount(grams & 1023, minlength=1024) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64).tolist()
+
+
+def _prefixes(rows: DataFrame, frequent: tuple[np.ndarray, np.ndarray], n_words: int, similarity: float) -> DataFrame:
+    """Rows (gram, nid, size, pos) of rows (nid, text): each text's first shingles in one order for all texts, frequent ones
+    last, as many as any two texts that share similarity of their shingles need to have one in common. No words give a row."""
+    known, times = frequent
+
+    def each(batch: pa.RecordBatch) -> pa.RecordBatch:
+        out = []
+        for nid, t in zip(batch.column(0).to_pylist(), texts(batch.column(1))):
+            g = _grams(t, n_words)
+            if not len(g):
+                out.append((np.zeros(1, np.int64), nid, 0))
+                continue
+            at = np.minimum(np.searchsorted(known, g), max(len(known) - 1, 0))
+            n = np.where(known[at] == g, times[at], 0) if len(known) else np.zeros(len(g), np.int64)
+            first = len(g) - int(np.ceil(similarity * len(g) - 1e-9)) + 1
+            out.append((g[np.lexsort((g, n))[:first]], nid, len(g)))
+        lens = [len(g) for g, _, _ in out]
+        pos = np.concatenate([np.arange(n) for n in lens]) if out else []
+        columns = [np.concatenate([g for g, _, _ in out]) if out else [], np.repeat(np.array([n for _, n, _ in out], np.int64), lens), np.repeat([k for _, _, k in out], lens), pos]
+        return pa.RecordBatch.from_arrays([pa.array(np.asarray(c), k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.int32(), pa.int32()))], ["gram", "nid", "size", "pos"])
+
+    return map_batches(rows, each, "gram long, nid long, size int, pos int")
+
+
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_words: int = 5, similarity: float = 0.8) -> DataFrame:
     """docs with one row of each group of near-duplicates: that with the least id (null ids last).
 
     Texts are linked if they share at least similarity of their n_words-word shingles (as sets). Equal texts are one
-    node. Candidates come from the deletion-variant index over two SimHashes of the texts' distinct words, which move
-    less under small edits than SimHashes of shingles do, in number proportional to the texts, and are verified on the
-    shingles of whole texts. Texts without words are alike; a null is the empty text. Rows with equal id and text are one document. All columns are kept.
+    node. Texts without words are alike; a null is the empty text. Rows with equal id and text are one document. All
+    columns are kept.
+
+    No linked pair is lost. Two such texts have a shingle in common among the first of each (see _prefixes), so all pairs
+    that meet there are candidates, but for those already in one group, which a further link would not change. To have
+    few left, groups are first made of part of the pairs, in number proportional to the texts: of those that the
+    deletion-variant index over two SimHashes of the texts' distinct words finds (these move less under small edits than
+    SimHashes of shingles do), and of each text with the least one it meets. All candidates are verified on whole texts.
     """
     scratch = Scratch(docs.sparkSession, "keep-one")
     digest = F.md5(F.coalesce(F.col(text_col).cast("string"), F.lit(""))).alias("node")
     text = F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")
+    rows = docs.select(digest, F.col(id_col).cast("long").alias("doc_id"), text)
 
     def prints(batch: pa.RecordBatch) -> pa.RecordBatch:
-        found = [set(words(t)) for t in texts(batch.column(2))]
+        known = texts(batch.column(2))
+        found, grams = [set(words(t)) for t in known], [_grams(t, n_words) for t in known]
         fps = [pa.array([_word_set_fp(w, seed) for w in found], pa.int64()) for seed in SEEDS]
-        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *fps], ["node", "doc_id", "fp0", "fp1"])
+        sizes, odd = pa.array([len(g) for g in grams], pa.int32()), pa.array([_parities(g) for g in grams], pa.list_(pa.int64()))
+        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *fps, sizes, odd], ["node", "doc_id", "fp0", "fp1", "size", "odd"])
 
-    each = scratch.save(map_batches(docs.select(digest, F.col(id_col).cast("long").alias("doc_id"), text), prints, "node string, doc_id long, fp0 long, fp1 long"), "prints")
-    nodes = scratch.save(each.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("fp0").alias("fp0"), F.first("fp1").alias("fp1")), "nodes")
+    def gram_sets(batch: pa.RecordBatch) -> pa.RecordBatch:
+        out = [_grams(t, n_words) for t in texts(batch.column(1))]
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.int64()))], ["node", "grams"])
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        """The linked pairs (src, dst) among pairs (a, b). Sets that must differ too much to be linked are not fetched."""
+        a, b = nodes.select(F.col("node").alias("a"), F.col("size").alias("n"), F.col("odd").alias("x")), nodes.select(F.col("node").alias("b"), F.col("size").alias("m"), F.col("odd").alias("y"))
+        differ = F.aggregate(F.zip_with("x", "y", lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda k, n: k + n)
+        may = (F.greatest("n", "m") * similarity - 1e-6 <= F.least("n", "m")) & (differ * (1 + similarity) <= (F.col("n") + F.col("m")) * (1 - similarity) + 1e-6)
+        pairs = scratch.save(pairs.join(a, "a").join(b, "b").filter(may).select("a", "b"), "near")
+        wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+        chosen = rows.select("node", "text").join(wanted, "node", "left_semi").dropDuplicates(["node"])
+        sets = scratch.save(map_batches(chosen, gram_sets, "node string, grams array<long>"), "grams")
+        a, b = sets.select(F.col("node").alias("a"), F.col("grams").alias("x")), sets.select(F.col("node").alias("b"), F.col("grams").alias("y"))
+        shared = F.size(F.array_intersect("x", "y"))
+        share = F.when(F.size("x") + F.size("y") == 0, 1.0).otherwise(shared / (F.size("x") + F.size("y") - shared))
+        linked = scratch.save(pairs.join(a, "a").join(b, "b").filter(share >= similarity).select(F.col("a").alias("src"), F.col("b").alias("dst")), "linked")
+        scratch.drop(sets)
+        return linked
+
+    each = scratch.save(map_batches(rows, prints, "node string, doc_id long, fp0 long, fp1 long, size int, odd array<long>"), "prints")
+    nid = F.xxhash64("node").alias("nid")
+    nodes = scratch.save(each.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("fp0").alias("fp0"), F.first("fp1").alias("fp1"), F.first("size").alias("size"), F.first("odd").alias("odd")).withColumn("nid", nid), "nodes")
+    scratch.drop(each)
     pairs = None
     for fp in ("fp0", "fp1"):
         heads = scratch.save(nodes.groupBy(F.col(fp).alias("fp")).agg(F.min("node").alias("head")), "heads")
@@ -167,22 +237,37 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_
         a, b = heads.select(F.col("fp").alias("src"), F.col("head").alias("a")), heads.select(F.col("fp").alias("dst"), F.col("head").alias("b"))
         found = same.union(near.join(a, "src").join(b, "dst").select("a", "b")).filter("a <> b")
         pairs = found if pairs is None else pairs.union(found)
-    pairs = scratch.save(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "candidates")
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
 
-    def grams(batch: pa.RecordBatch) -> pa.RecordBatch:
-        out = []
-        for t in texts(batch.column(1)):
-            joined, starts, ends = spans(words(t), n_words)
-            out.append(sorted({_signed(xxhash.xxh64_intdigest(joined[x:y], 7)) for x, y in zip(starts, ends)}))
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.int64()))], ["node", "grams"])
-
-    chosen = docs.select(digest, text).join(wanted, "node", "left_semi").dropDuplicates(["node"])
-    sets = scratch.save(map_batches(chosen.select("node", "text"), grams, "node string, grams array<long>"), "grams")
-    a, b = sets.select(F.col("node").alias("a"), F.col("grams").alias("x")), sets.select(F.col("node").alias("b"), F.col("grams").alias("y"))
-    shared = F.size(F.array_intersect("x", "y"))
-    share = F.when(F.size("x") + F.size("y") == 0, 1.0).otherwise(shared / (F.size("x") + F.size("y") - shared))
-    linked = scratch.save(pairs.join(a, "a").join(b, "b").filter(share >= similarity).select(F.col("a").alias("src"), F.col("b").alias("dst")), "linked")
+    texts_ = rows.select(nid, "text")
+    part = texts_.filter(F.pmod(F.xxhash64("nid", F.lit(1)), F.lit(max(1, nodes.count() // SAMPLED))) == 0)
+    often = map_batches(part, lambda b: pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.int64), *(_grams(t, n_words) for t in texts(b.column(1)))]), pa.int64())], ["gram"]), "gram long")
+    often = often.groupBy("gram").agg(F.count("*").alias("n")).filter("n > 2").orderBy(F.desc("n"), "gram").limit(FREQUENT).orderBy("gram").collect()
+    frequent = tuple(np.array([r[k] for r in often], np.int64) for k in (0, 1))  # only the order depends on it
+    meet = Window.partitionBy("gram")
+    least = F.min(F.struct("nid", "size", "pos")).over(meet).alias("h")
+    shared = _prefixes(texts_, frequent, n_words, similarity).select("*", least, F.max("nid").over(meet).alias("last"))
+    shared = scratch.save(shared.filter("h.nid <> last").drop("last").dropDuplicates(["gram", "nid"]), "shared")
+
+    def enough(size0: Column, pos0: Column, size1: Column, pos1: Column) -> Column:
+        """At their first common shingle, two linked texts have enough shingles from there on."""
+        return F.least(size0 - pos0, size1 - pos1) * (1 + similarity) >= (size0 + size1) * similarity - 1e-6
+
+    def named(found: DataFrame) -> DataFrame:
+        a, b = nodes.select(F.col("nid").alias("m"), F.col("node").alias("a")), nodes.select(F.col("nid").alias("n"), F.col("node").alias("b"))
+        return found.distinct().join(a, "m").join(b, "n").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+
+    first = shared.filter((F.col("h.nid") != F.col("nid")) & enough(F.col("h.size"), F.col("h.pos"), F.col("size"), F.col("pos")))
+    pairs = pairs.union(named(first.select(F.col("h.nid").alias("m"), F.col("nid").alias("n"))))
+    pairs = scratch.save(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "candidates")
+    linked = verified(pairs)
+    groups = scratch.save(nodes.join(connected_components(linked, scratch), "node", "left").select("nid", F.xxhash64(F.coalesce("component", "node")).alias("root")), "groups")
+    open_ = shared.drop("h").join(groups, "nid").select("*", F.min("root").over(meet).alias("r0"), F.max("root").over(meet).alias("r1")).filter("r0 <> r1").drop("r0", "r1")
+    open_ = scratch.save(open_, "open")
+    scratch.drop(shared)
+    x, y = open_.select("gram", *[F.col(c).alias(f"{c}0") for c in ("nid", "size", "pos", "root")]), open_.select("gram", *[F.col(c).alias(f"{c}1") for c in ("nid", "size", "pos", "root")])
+    fit = (x["gram"] == y["gram"]) & (F.col("nid0") < F.col("nid1")) & (F.col("root0") != F.col("root1")) & enough(F.col("size0"), F.col("pos0"), F.col("size1"), F.col("pos1"))
+    rest = scratch.save(named(x.join(y, fit).select(F.col("nid0").alias("m"), F.col("nid1").alias("n"))).join(pairs, ["a", "b"], "left_anti"), "rest")
+    linked = linked.union(verified(rest))
     member = nodes.join(connected_components(linked, scratch), "node", "left").select(F.coalesce("component", "node").alias("root"), "node", "doc_id")
     best = member.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "node")).alias("b"))
     kept = scratch.save(best.select(F.col("b.node").alias("_node"), F.col("b.doc_id").alias("_id")), "kept")
