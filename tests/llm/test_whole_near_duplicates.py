@@ -39,3 +39,16 @@ def test_pairs_in_full_buckets_are_found(spark):
         w = rng.sample(vocab, len(vocab))
         rows += [(k, " ".join([*w, f"a{k}"])), (100 + k, " ".join([*w, f"b{k}"]))]
     assert kept(spark, rows) == brute(rows) == list(range(60))
+
+
+def test_members_of_one_fingerprint_are_compared_with_each_other(spark):
+    """Equal word sets, so equal fingerprints; the two that are alike are not alike to the bucket's head."""
+    rng, rows = random.Random(5), []
+    for k in range(5):
+        w = [f"w{k}x{j}" for j in range(100)]
+        a, b = " ".join(w), " ".join([w[1], w[0], *w[2:]])
+        head = a
+        while not hashlib.md5(head.encode()).hexdigest() < min(hashlib.md5(x.encode()).hexdigest() for x in (a, b)):
+            head = " ".join(rng.sample(w, len(w)))
+        rows += [(k, head), (10 + k, a), (20 + k, b)]
+    assert kept(spark, rows) == brute(rows) == [*range(5), *range(10, 15)]
