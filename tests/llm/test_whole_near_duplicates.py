@@ -52,3 +52,18 @@ def test_members_of_one_fingerprint_are_compared_with_each_other(spark):
             head = " ".join(rng.sample(w, len(w)))
         rows += [(k, head), (10 + k, a), (20 + k, b)]
     assert kept(spark, rows) == brute(rows) == [*range(5), *range(10, 15)]
+
+
+def test_no_pair_near_the_threshold_is_lost(spark):
+    """300 texts with a copy each whose likeness is 0.8 to 0.9, or just below."""
+    rng, rows, near = random.Random(6), [], 0
+    common = [f"c{k}" for k in range(30)]
+    for k in range(300):
+        w = [rng.choice(common) if rng.random() < 0.3 else f"u{rng.randrange(10**6)}" for _ in range(rng.randint(40, 160))]
+        e = list(w)
+        for at in rng.sample(range(len(w)), max(1, round(len(w) * rng.uniform(0.01, 0.03)))):
+            e[at] = f"e{rng.randrange(10**6)}"
+        rows += [(k, " ".join(w)), (1000 + k, " ".join(e))]
+        near += 0.8 <= alike(rows[-2][1], rows[-1][1]) <= 0.9
+    rows += [(2000, ""), (2001, " \n"), (2002, "one two"), (2003, "One  two")]
+    assert near > 40 and kept(spark, rows) == brute(rows)
