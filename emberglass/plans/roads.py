@@ -57,7 +57,7 @@ r AS (SELECT id AS node, id AS root FROM core UNION SELECT i.other, r.root FROM
 SELECT p.id, CASE WHEN c.label IS NOT NULL THEN 'core' WHEN n.near IS NOT NULL THEN 'border' ELSE 'noise' END AS kind, coalesce(c.label, n.near, -1) AS label FROM p LEFT JOIN c ON c.node = p.id LEFT JOIN (SELECT l.id, min(c.label) AS near FROM l JOIN c ON c.node = l.other GROUP BY l.id) n ON n.id = p.id""")
 def dbscan_labels(spark, table):
     s = F.col("s_suppkey")
-    points = table("supplier").filter(s <= 1000).select(s.alias("id"), (s * 37 % 101).cast("double").alias("x"), (s * 53 % 103).cast("double").alias("y"))
+    points = table("supplier").select(s.alias("id"), (s * 37 % 101).cast("double").alias("x"), (s * 53 % 103).cast("double").alias("y"))
     return egress.dbscan(points, 10.0, 4, Scratch(spark, "dbscan"))
 
 
