@@ -163,7 +163,7 @@ def fit(docs: DataFrame, labels: DataFrame, scratch: Scratch, id_col: str = "doc
                     x, x2 = features.of(a), features.of(b)
                     if x != x2:
                         changed.append({"gained": sorted(x2 - x), "lost": sorted(x - x2)})
-                out.append({"features": sorted(features.of(t)), "label": int(label > 0), "changed": changed[:100]})
+                out.append({"features": sorted(features.of(t)), "label": int(label > 0), "changed": changed})
             yield pa.RecordBatch.from_pylist(out, schema)
 
     ints = pa.list_(pa.int32())
