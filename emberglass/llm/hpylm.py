@@ -147,14 +147,14 @@ def seat(c: np.ndarray, room: np.ndarray, q: np.ndarray, d: float, theta: float,
         for k, rows in enumerate(classes, 2):
             if not len(rows):
                 continue
-            rest = total[room[rows]] / share[room[rows]] - t[rows]
+            rest = (total[room[rows]] - t[rows]) / share[room[rows]]
             new = np.log(theta + d * (np.maximum(rest, 0)[:, None] + np.arange(k)))
             w = weights[k, 1 : k + 1] + np.cumsum(new, axis=1) + np.arange(1, k + 1) * log_q[rows, None]
             drawn = np.argmax(w + rng.gumbel(size=w.shape), axis=1) + 1.0
             np.add.at(total, room[rows], drawn - t[rows])
             t[rows] = drawn
         if len(many):
-            rest = np.maximum(total[room[many]] / share[room[many]] - t[many], 0)
+            rest = np.maximum((total[room[many]] - t[many]) / share[room[many]], 0)
             drawn, seated = np.ones(len(many)), 1
             while seated < c[many].max():
                 step = np.clip(c[many] - seated, 0, max(1, seated // 8))
