@@ -5,12 +5,16 @@ labelled sentence that mentions a group, the same sentence with the mention swap
 difference of the two scores (in log odds) is penalised. So a neutral mention of a group that the labelled rows happen
 to mention in toxic texts does not make a text toxic.
 
+Mentions are those named in IDENTITIES and, as a corpus may have none of them, kinds learnt from the labelled rows: words
+of like frequency that the labels do not tell apart. What is neutral like a mention must not count for its spelling.
+
 Nothing but a row's text is an input of its score.
 """
 
 from __future__ import annotations
 
 import re
+import warnings
 from collections import Counter
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
@@ -77,19 +81,22 @@ class Model:
     grams: list[str]
     weights: np.ndarray
     bias: float
+    n_pairs: int = 0  # swapped sentences that were penalised
+    kinds: tuple[tuple[str, ...], ...] = ()  # that were learnt
 
     def score(self, features: set[int]) -> float:
         z = self.bias + float(self.weights[sorted(features)].sum())
         return float(1 / (1 + np.exp(-np.clip(z, -500, 500))))
 
 
-def swaps(text: str, identities: Sequence[Sequence[str]] = IDENTITIES, most: int = 3) -> Iterator[tuple[str, str]]:
-    """(sentence, the sentence with its terms moved on by 1, 2, ... most places in their kinds) for sentences with terms."""
+def swaps(text: str, identities: Sequence[Sequence[str]] = IDENTITIES) -> Iterator[tuple[str, str]]:
+    """(sentence, the sentence with all its terms moved on by 1, 2, ... places in their kinds) for sentences with terms,
+    until every term has been every other of its kind."""
     kind = {t: (k, i) for k in identities for i, t in enumerate(k)}
     for m in _SENTENCE.finditer(text.lower()):
         sentence = m.group()
         present = {w for w in _WORD.findall(sentence) if w in kind}
-        for step in range(1, min(most, max((len(kind[w][0]) for w in present), default=1) - 1) + 1):
+        for step in range(1, max((len(kind[w][0]) for w in present), default=1)):
             yield sentence, _WORD.sub(lambda w: kind[w.group()][0][(kind[w.group()][1] + step) % len(kind[w.group()][0])] if w.group() in kind else w.group(), sentence)
 
 
@@ -97,36 +104,67 @@ def _sums(rows: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
     return np.bincount(rows, values, n)
 
 
-def fit_rows(rows: list[tuple[list[int], int]], pairs: list[tuple[list[int], list[int]]], n: int, penalty: float, ridge: float, positive_weight: float = 1.0, steps: int = 400) -> tuple[np.ndarray, float]:
-    """Weights and bias from (features, label) and from (gained, lost) features of swapped sentences, by Adam on all rows."""
-    y = np.array([label for _, label in rows], float)
+class Lists:
+    """Lists of feature numbers, flat: a list's entries have its number in at. len() is the number of lists."""
+
+    def __init__(self, column: pa.ChunkedArray | pa.Array):
+        lens = column.combine_chunks().value_lengths() if isinstance(column, pa.ChunkedArray) else column.value_lengths()
+        lens = np.asarray(lens, dtype=np.int64)
+        flat = column.combine_chunks().flatten() if isinstance(column, pa.ChunkedArray) else column.flatten()
+        self.n, self.at, self.col = len(lens), np.repeat(np.arange(len(lens)), lens), np.asarray(flat, dtype=np.int64)
+
+    def __len__(self) -> int:
+        return self.n
+
+
+class Pairs:
+    """Features (gained, lost) by swaps, each different change once with the times it occurs; len() counts them all."""
+
+    def __init__(self, gained: Lists, lost: Lists, times: np.ndarray):
+        self.at, self.col = np.append(gained.at, lost.at), np.append(gained.col, lost.col)
+        self.sign, self.times = np.append(np.ones(len(gained.at)), -np.ones(len(lost.at))), np.asarray(times, float)
+
+    def __len__(self) -> int:
+        return int(self.times.sum())
+
+
+def fit_rows(rows: Lists, pairs: Pairs, y: np.ndarray, n: int, penalty: float, ridge: float, positive_weight: float = 1.0, steps: int = 400) -> tuple[np.ndarray, float]:
+    """Weights and bias from the features and labels of rows and from the changes by swaps, by Adam on all of them.
+
+    The least of: mean weighted log loss + ridge / 2 * |w|^2 + penalty * mean squared change of the log odds.
+    """
     weight = np.where(y > 0, positive_weight, 1.0)
-    at = np.repeat(np.arange(len(rows)), [len(f) for f, _ in rows])
-    col = np.fromiter((k for f, _ in rows for k in f), np.int64, len(at))
-    p_at = np.repeat(np.arange(len(pairs)), [len(a) + len(b) for a, b in pairs])
-    p_col = np.fromiter((k for a, b in pairs for k in (*a, *b)), np.int64, len(p_at))
-    p_sign = np.fromiter((s for a, b in pairs for s in (*[1.0] * len(a), *[-1.0] * len(b))), float, len(p_at))
     w, bias = np.zeros(n), float(np.log((y.mean() + 1e-6) / (1 - y.mean() + 1e-6)))
     m, v = np.zeros(n + 1), np.zeros(n + 1)
     for t in range(1, steps + 1):
-        z = bias + _sums(at, w[col], len(rows))
+        z = bias + _sums(rows.at, w[rows.col], len(rows))
         g = weight * (1 / (1 + np.exp(-np.clip(z, -500, 500))) - y)
-        grad = np.append(_sums(col, g[at], n) / len(rows) + ridge * w, g.mean())
-        if pairs:
-            d = _sums(p_at, w[p_col] * p_sign, len(pairs))
-            grad[:-1] += 2 * penalty / len(pairs) * _sums(p_col, d[p_at] * p_sign, n)
+        grad = np.append(_sums(rows.col, g[rows.at], n) / len(rows) + ridge * w, g.mean())
+        if len(pairs):
+            d = _sums(pairs.at, w[pairs.col] * pairs.sign, len(pairs.times)) * pairs.times
+            grad[:-1] += 2 * penalty / len(pairs) * _sums(pairs.col, d[pairs.at] * pairs.sign, n)
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
         step = 0.1 / (1 + t / 100) * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
         w, bias = w - step[:-1], bias - float(step[-1])
     return w, bias
 
 
-def fit(docs: DataFrame, labels: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_rows: int = 20_000, max_features: int = 4096, min_z: float = 4.0, penalty: float = 1.0, ridge: float = 1e-4, positive_weight: float = 3.0, identities: Sequence[Sequence[str]] = IDENTITIES, seed: int = 0) -> Model:
+#: Words of a learnt kind; share of the labelled rows that hold such a word, from and to.
+KIND_SIZE, MENTION_SHARE = 4, (0.002, 0.05)
+
+
+def fit(docs: DataFrame, labels: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_rows: int = 20_000, max_features: int = 4096, min_z: float = 4.0, penalty: float = 1.0, ridge: float = 1e-4, positive_weight: float = 3.0, identities: Sequence[Sequence[str]] = IDENTITIES, learnt_kinds: int = 16, seed: int = 0) -> Model:
     """A model from at most max_rows labelled documents, those whose seeded id hash is least.
 
     Features are those that differ between the classes by at least min_z standard errors, at most max_features of them,
-    counted where the texts are. Toxic rows, the fewer, weigh positive_weight each. Null labels and null ids are left out; of conflicting labels the larger counts; labels
-    without a document are left out. With one class or none all scores are that class's rate, or 0.5.
+    counted where the texts are. Toxic rows, the fewer, weigh positive_weight each. To identities come learnt_kinds kinds
+    of KIND_SIZE words that the classes hold alike (less than one standard error apart), the most frequent within
+    MENTION_SHARE first, those of like frequency together. Every sentence of the labelled rows is swapped; equal changes
+    are added up before the driver gets them. Where no swap changes a known feature, the penalty has nothing to act on:
+    that is warned of, and Model.n_pairs is 0.
+
+    Null labels and null ids are left out; of conflicting labels the larger counts; labels without a document are left
+    out. With one class or none all scores are that class's rate, or 0.5.
     """
     key = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("label")).filter("doc_id is not null and label is not null")
     key = key.groupBy("doc_id").agg(F.max("label").alias("label")).orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id").limit(max_rows)
@@ -148,18 +186,26 @@ def fit(docs: DataFrame, labels: DataFrame, scratch: Scratch, id_col: str = "doc
         rate = n1 / (n0 + n1) if n0 + n1 else 0.5
         return Model([], np.zeros(0), float(np.log((rate + 1e-6) / (1 - rate + 1e-6))))
     counts = rows.mapInArrow(count, "gram string, n0 long, n1 long").groupBy("gram").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
-    p1, p0, p = F.col("n1") / n1, F.col("n0") / n0, (F.col("n0") + F.col("n1") + 1) / (n0 + n1 + 2)
+    counts = scratch.save(counts.filter(F.col("n0") + F.col("n1") >= 5), "counts")
+    both = F.col("n0") + F.col("n1")
+    p1, p0, p = F.col("n1") / n1, F.col("n0") / n0, (both + 1) / (n0 + n1 + 2)
     z = F.abs(p1 - p0) / F.sqrt(p * (1 - p) * (1 / n0 + 1 / n1))
-    best = counts.filter((F.col("n0") + F.col("n1") >= 5) & (z >= min_z)).orderBy(z.desc(), "gram").limit(max_features)
+    best = counts.filter(z >= min_z).orderBy(z.desc(), "gram").limit(max_features)
     grams = [r["gram"] for r in best.select("gram").collect()]
-    features = Features(grams)
+    low, high = (share * (n0 + n1) for share in MENTION_SHARE)
+    alike = counts.filter(F.col("gram").startswith("=") & (F.char_length("gram") > 2) & (both >= low) & (both <= high) & (z < 1))
+    named = {t for k in identities for t in k}
+    found = [r["gram"][1:] for r in alike.orderBy(both.desc(), "gram").limit(KIND_SIZE * learnt_kinds + len(named)).select("gram").collect()]
+    found = [w for w in found if w not in named][: KIND_SIZE * learnt_kinds]
+    learnt = tuple(tuple(found[k : k + KIND_SIZE]) for k in range(0, len(found), KIND_SIZE))
+    features, kinds = Features(grams), (*identities, *learnt)
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             out = []
             for t, label in zip(*(c.to_pylist() for c in batch.columns)):
                 changed = []
-                for a, b in swaps(t, identities):
+                for a, b in swaps(t, kinds):
                     x, x2 = features.of(a), features.of(b)
                     if x != x2:
                         changed.append({"gained": sorted(x2 - x), "lost": sorted(x - x2)})
@@ -168,10 +214,14 @@ def fit(docs: DataFrame, labels: DataFrame, scratch: Scratch, id_col: str = "doc
 
     ints = pa.list_(pa.int32())
     schema = pa.schema([("features", ints), ("label", pa.int32()), ("changed", pa.list_(pa.struct([("gained", ints), ("lost", ints)])))])
-    got = rows.mapInArrow(vectors, "features array<int>, label int, changed array<struct<gained:array<int>,lost:array<int>>>").collect()
-    pairs = [(c["gained"], c["lost"]) for r in got for c in r["changed"]]
-    weights, bias = fit_rows([(r["features"], r["label"]) for r in got], pairs, len(grams), penalty, ridge, positive_weight)
-    return Model(grams, weights, bias)
+    vec = scratch.save(rows.mapInArrow(vectors, "features array<int>, label int, changed array<struct<gained:array<int>,lost:array<int>>>"), "vectors")
+    got = vec.select("features", "label").toArrow()  # max_rows rows
+    changes = vec.select(F.explode("changed").alias("c")).groupBy("c.gained", "c.lost").agg(F.count("*").alias("times")).toArrow()
+    pairs = Pairs(Lists(changes["gained"]), Lists(changes["lost"]), changes["times"].to_numpy())
+    if not len(pairs):
+        warnings.warn("no swapped sentence changes a known feature: the counterfactual penalty has nothing to act on", stacklevel=2)
+    weights, bias = fit_rows(Lists(got["features"]), pairs, got["label"].to_numpy().astype(float), len(grams), penalty, ridge, positive_weight)
+    return Model(grams, weights, bias, len(pairs), learnt)
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
