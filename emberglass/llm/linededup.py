@@ -47,10 +47,12 @@ def dedup_lines(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_
     covered = later.groupBy("_id", "_th").agg(F.collect_set("pos").alias("at"))
     runs = F.flatten(F.transform("at", lambda p: F.array(*[p + k for k in range(WINDOW)])))
     covered = covered.select(F.col("_id").alias("_cid"), F.col("_th").alias("_cth"), F.array_distinct(runs).alias("_gone"))
-    joined = rows.select("*", *doc).join(covered, F.col("_id").eqNullSafe(F.col("_cid")) & (F.col("_th") == F.col("_cth")), "left")
-    joined = joined.withColumn("_lines", lines)
+    whole = rows.select(F.struct("*").alias("row"), *doc)  # no name of docs can clash
+    joined = whole.join(covered, F.col("_id").eqNullSafe(F.col("_cid")) & (F.col("_th") == F.col("_cth")), "left")
+    old = F.col(f"row.`{text_col}`")
+    joined = joined.withColumn("_lines", F.split(old, "\n", -1))
     kept = F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), F.col("_gone"))
-    text = F.when(F.col("_gone").isNull(), F.col(text_col)).otherwise(F.array_join(F.transform(kept, lambda i: F.get("_lines", i)), "\n"))
-    n = F.when(F.col(text_col).isNull(), 0).otherwise(F.size("_lines")).cast("long")
-    out = [text.alias(c) if c == text_col else F.col(c) for c in rows.columns]
+    text = F.when(F.col("_gone").isNull(), old).otherwise(F.array_join(F.transform(kept, lambda i: F.get("_lines", i)), "\n"))
+    n = F.when(old.isNull(), 0).otherwise(F.size("_lines")).cast("long")
+    out = [(text if c == text_col else F.col(f"row.`{c}`")).alias(c) for c in rows.columns]
     return joined.select(*out, n.alias("n_lines"), F.coalesce(F.size("_gone"), F.lit(0)).cast("long").alias("removed_lines"))

@@ -72,31 +72,53 @@ def _variants(members: DataFrame, width: int) -> DataFrame:
     return cut.select("fp", mask.alias("mask"), F.col("fp").bitwiseAND(mask).alias("value"), F.col("c.o").alias("rest"))
 
 
-def chains(distinct: DataFrame, bits: int) -> DataFrame:
-    """Candidate pairs (src, dst) of different fingerprints (column fp, each once): in every bucket of the index each
-    member meets the least one and the three before it in order, if they differ in at most bits bits. So a bucket gives
-    pairs in proportion to its members, however many they are, and like members next to each other hang together."""
+def _sizes(variants: DataFrame) -> DataFrame:
+    """(mask, value, n, src, dst) of the buckets with two members or more: how many, the least and the greatest. Only
+    partial aggregates are shuffled, so a bucket that very many share is counted by all tasks."""
+    size = variants.groupBy("mask", "value").agg(F.count("*").alias("n"), F.min("fp").alias("src"), F.max("fp").alias("dst"))
+    return size.filter("n > 1")
+
+
+def _apart(bits: int) -> Column:
+    return (F.col("src") != F.col("dst")) & (F.bit_count(F.col("src").bitwiseXOR(F.col("dst"))) <= bits)
+
+
+def chains(distinct: DataFrame, bits: int, scratch: Scratch, bucket: int = BUCKET) -> DataFrame:
+    """Some pairs (src, dst) of different fingerprints (column fp, each once) that share a bucket of the index and differ
+    in at most bits bits: in every bucket each member meets the least one, and in those of up to bucket members also the
+    three before it in order. So a bucket gives pairs in proportion to its members. Other pairs are left to the caller."""
     members = distinct.select("fp", F.lit(0).cast("long").alias("mask"), F.lit(-1).cast("long").alias("rest"))
-    bucket = Window.partitionBy("mask", "value")
-    order = bucket.orderBy("fp")
-    others = [F.min("fp").over(order), *[F.lag("fp", k).over(order) for k in (1, 2, 3)]]
-    shared = _variants(members, 32).select("fp", F.array_compact(F.array_distinct(F.array(*others))).alias("others")).filter(F.get("others", F.lit(0)) != F.col("fp"))
-    pairs = shared.select(F.explode("others").alias("src"), F.col("fp").alias("dst")).filter("src <> dst")
-    return pairs.filter(F.bit_count(F.col("src").bitwiseXOR(F.col("dst"))) <= bits).distinct()
+    variants = _variants(members, 32).select("fp", "mask", "value")
+    sizes = scratch.save(_sizes(variants), "sizes")
+    pairs = sizes.filter("n = 2").select("src", "dst")
+    more = scratch.save(variants.join(sizes.filter("n > 2").select("mask", "value", "n", "src"), ["mask", "value"]), "members")
+    pairs = pairs.union(more.select("src", F.col("fp").alias("dst")))
+    order = Window.partitionBy("mask", "value").orderBy("fp")
+    before = more.filter(F.col("n") <= bucket).select("fp", F.array_compact(F.array(*[F.lag("fp", k).over(order) for k in (1, 2, 3)])).alias("others"))
+    pairs = pairs.union(before.select(F.explode("others").alias("src"), F.col("fp").alias("dst")))
+    return pairs.filter(_apart(bits)).distinct()
 
 
 def links(distinct: DataFrame, scratch: Scratch, bucket: int = BUCKET) -> DataFrame:
-    """Pairs (src, dst) of different fingerprints (column fp, each once) that differ in at most BITS bits."""
+    """Pairs (src, dst) of different fingerprints (column fp, each once) that differ in at most BITS bits.
+
+    Buckets of two give their pair at once; those of up to bucket members are joined with themselves; larger ones are cut
+    again. The join that finds the members of the larger buckets can be split where one is hot. No row gives no pair.
+    """
     members = distinct.select("fp", F.lit(0).cast("long").alias("mask"), F.lit(-1).cast("long").alias("rest"))
     found, width = [], 32
     while True:
         last = width == 2
-        shared = _variants(members, width).withColumn("n", F.count("*").over(Window.partitionBy("mask", "value"))).filter("n > 1")
-        shared = scratch.save(shared, f"shared-{width}")
+        variants = _variants(members, width)
+        sizes = scratch.save(_sizes(variants), f"sizes-{width}")
+        found.append(sizes.filter("n = 2").select("src", "dst").filter(_apart(BITS)))
+        more = sizes.filter("n > 2").select("mask", "value", "n")
+        if more.isEmpty():
+            break
+        shared = scratch.save(variants.join(more, ["mask", "value"]), f"shared-{width}")
         small = shared if last else shared.filter(F.col("n") <= bucket)
         a, b = small.select("mask", "value", F.col("fp").alias("src")), small.select("mask", "value", F.col("fp").alias("dst"))
-        near = F.bit_count(F.col("src").bitwiseXOR(F.col("dst"))) <= BITS
-        found.append(scratch.save(a.join(b, (a["mask"] == b["mask"]) & (a["value"] == b["value"]) & (F.col("src") < F.col("dst")) & near).select("src", "dst").distinct(), "links"))
+        found.append(scratch.save(a.join(b, (a["mask"] == b["mask"]) & (a["value"] == b["value"]) & (F.col("src") < F.col("dst")) & _apart(BITS)).select("src", "dst").distinct(), "links"))
         members = shared.filter(F.col("n") > bucket).select("fp", "mask", "rest")
         if last or members.isEmpty():
             break
@@ -233,7 +255,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_
     for fp in ("fp0", "fp1"):
         heads = scratch.save(nodes.groupBy(F.col(fp).alias("fp")).agg(F.min("node").alias("head")), "heads")
         same = nodes.join(heads, nodes[fp] == heads["fp"]).select(F.col("head").alias("a"), F.col("node").alias("b"))
-        near = chains(heads.select("fp"), CANDIDATE_BITS)
+        near = chains(heads.select("fp"), CANDIDATE_BITS, scratch)
         a, b = heads.select(F.col("fp").alias("src"), F.col("head").alias("a")), heads.select(F.col("fp").alias("dst"), F.col("head").alias("b"))
         found = same.union(near.join(a, "src").join(b, "dst").select("a", "b")).filter("a <> b")
         pairs = found if pairs is None else pairs.union(found)
@@ -270,7 +292,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_
     linked = linked.union(verified(rest))
     member = nodes.join(connected_components(linked, scratch), "node", "left").select(F.coalesce("component", "node").alias("root"), "node", "doc_id")
     best = member.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "node")).alias("b"))
-    kept = scratch.save(best.select(F.col("b.node").alias("_node"), F.col("b.doc_id").alias("_id")), "kept")
-    rows = docs.withColumn("_digest", F.md5(F.coalesce(F.col(text_col).cast("string"), F.lit(""))))
-    same = (F.col("_digest") == F.col("_node")) & F.col(id_col).cast("long").eqNullSafe(F.col("_id"))
-    return rows.join(kept, same).dropDuplicates(["_node", "_id"]).select(*docs.columns)
+    kept = scratch.save(best.select(F.col("b.node").alias("node"), F.col("b.doc_id").alias("doc_id")), "kept")
+    whole = docs.select(digest, F.col(id_col).cast("long").alias("id"), F.struct("*").alias("row"))  # no name of docs can clash
+    same = (whole["node"] == kept["node"]) & F.col("id").eqNullSafe(F.col("doc_id"))
+    return whole.join(kept, same).select(kept["node"], "id", "row").dropDuplicates(["node", "id"]).select("row.*")

@@ -89,7 +89,7 @@ def judge(pages: DataFrame, rules: DataFrame, edges: DataFrame, scratch: Scratch
     """
     url = F.col(url_col)
     kept = pages.drop("host", "path", "rule", "verdict")
-    rows = kept.withColumns({"host": host_of(url), "path": path_of(url), "_node": node_of(url)})
+    rows = kept.select(F.struct("*").alias("row"), host_of(url).alias("host"), path_of(url).alias("path"), node_of(url).alias("node"))
     edges = scratch.save(edges.distinct(), "edges")
     alias = scratch.save(connected_components(edges, scratch), "aliases")
     node_host = F.regexp_extract("node", r"^[^/?#]*", 0)
@@ -98,7 +98,7 @@ def judge(pages: DataFrame, rules: DataFrame, edges: DataFrame, scratch: Scratch
     places = rows.select("host", "path").union(alias.select("host", "path")).distinct()
     best = scratch.save(best_rules(places, rules), "rules")
     groups = alias.join(best, ["host", "path"]).groupBy("component").agg(F.when(F.max(F.col("verdict") == "allow"), "allow").otherwise("block").alias("inherited"))
-    inherited = alias.join(groups, "component").select(F.col("node").alias("_node"), "inherited")
-    out = rows.join(best, ["host", "path"], "left").join(inherited, "_node", "left")
+    inherited = alias.join(groups, "component").select("node", "inherited")
+    out = rows.join(best, ["host", "path"], "left").join(inherited, "node", "left")
     verdict = F.coalesce("verdict", "inherited", F.lit(default))
-    return out.select(*kept.columns, "host", "path", "rule", verdict.alias("verdict"))
+    return out.select("row.*", "host", "path", "rule", verdict.alias("verdict"))
