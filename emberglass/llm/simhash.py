@@ -83,20 +83,11 @@ def _apart(bits: int) -> Column:
     return (F.col("src") != F.col("dst")) & (F.bit_count(F.col("src").bitwiseXOR(F.col("dst"))) <= bits)
 
 
-def chains(distinct: DataFrame, bits: int, scratch: Scratch, bucket: int = BUCKET) -> DataFrame:
-    """Some pairs (src, dst) of different fingerprints (column fp, each once) that share a bucket of the index and differ
-    in at most bits bits: in every bucket each member meets the least one, and in those of up to bucket members also the
-    three before it in order. So a bucket gives pairs in proportion to its members. Other pairs are left to the caller."""
+def chains(distinct: DataFrame, bits: int) -> DataFrame:
+    """Some pairs (src, dst) of different fingerprints (column fp, each once) that differ in at most bits bits: the least
+    and the greatest of every bucket of the index. Other pairs are left to the caller."""
     members = distinct.select("fp", F.lit(0).cast("long").alias("mask"), F.lit(-1).cast("long").alias("rest"))
-    variants = _variants(members, 32).select("fp", "mask", "value")
-    sizes = scratch.save(_sizes(variants), "sizes")
-    pairs = sizes.filter("n = 2").select("src", "dst")
-    more = scratch.save(variants.join(sizes.filter("n > 2").select("mask", "value", "n", "src"), ["mask", "value"]), "members")
-    pairs = pairs.union(more.select("src", F.col("fp").alias("dst")))
-    order = Window.partitionBy("mask", "value").orderBy("fp")
-    before = more.filter(F.col("n") <= bucket).select("fp", F.array_compact(F.array(*[F.lag("fp", k).over(order) for k in (1, 2, 3)])).alias("others"))
-    pairs = pairs.union(before.select(F.explode("others").alias("src"), F.col("fp").alias("dst")))
-    return pairs.filter(_apart(bits)).distinct()
+    return _sizes(_variants(members, 32)).select("src", "dst").filter(_apart(bits)).distinct()
 
 
 def links(distinct: DataFrame, scratch: Scratch, bucket: int = BUCKET) -> DataFrame:
@@ -150,8 +141,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return each.join(named, "fp").select("doc_id", hexed.alias("fingerprint"), "component_id", "n_links")
 
 
-#: For keep_one(): seeds of the two fingerprints over a text's distinct words, and the bits in which candidates differ.
-SEEDS, CANDIDATE_BITS = (42, 43), 14
+#: For keep_one(): seed of the fingerprint over a text's distinct words, and the bits in which candidates differ.
+SEED, CANDIDATE_BITS = 42, 14
 
 
 def _word_set_fp(found: set[bytes], seed: int) -> int:
@@ -162,8 +153,9 @@ def _word_set_fp(found: set[bytes], seed: int) -> int:
     return _signed(int.from_bytes(np.packbits(counts * 2 > len(found)).tobytes(), "big"))
 
 
-#: Shingles that are known to be frequent, at most; texts from whose shingles they are got, about.
-FREQUENT, SAMPLED = 1 << 16, 4096
+#: Shingles that are known to be frequent, at most; texts from whose shingles they are got, about; places of a bitmap of
+#: the texts whose shingles are fetched.
+FREQUENT, SAMPLED, SLOTS = 1 << 16, 4096, 1 << 20
 
 
 def _grams(text: bytes, n_words: int) -> np.ndarray:
@@ -178,28 +170,29 @@ def _parities(grams: np.ndarray) -> list[int]:
     return np.packbits(odd.astype(np.uint8)).view(np.int64).tolist()
 
 
-def _prefixes(rows: DataFrame, frequent: tuple[np.ndarray, np.ndarray], n_words: int, similarity: float) -> DataFrame:
-    """Rows (gram, nid, size, pos) of rows (nid, text): each text's first shingles in one order for all texts, frequent ones
-    last, as many as any two texts that share similarity of their shingles need to have one in common. No words give a row."""
+def _prefix(g: np.ndarray, frequent: tuple[np.ndarray, np.ndarray], similarity: float) -> np.ndarray:
+    """A text's first shingles in one order for all texts, frequent ones last, as many as any two texts that share
+    similarity of their shingles need to have one in common. No shingles give one of their own."""
+    if not len(g):
+        return np.zeros(1, np.int64)
     known, times = frequent
+    at = np.minimum(np.searchsorted(known, g), max(len(known) - 1, 0))
+    n = np.where(known[at] == g, times[at], 0) if len(known) else np.zeros(len(g), np.int64)
+    first = len(g) - int(np.ceil(similarity * len(g) - 1e-9)) + 1
+    return g[np.lexsort((g, n))[:first]]
+
+
+def _frequent(rows: DataFrame, n_words: int) -> tuple[np.ndarray, np.ndarray]:
+    """(shingles, times) of the FREQUENT most frequent shingles in about SAMPLED of the texts. Only an order depends on it."""
+    part = rows.filter(F.pmod(F.xxhash64("node", F.lit(1)), F.lit(max(1, rows.count() // SAMPLED))) == 0).select("text")
 
     def each(batch: pa.RecordBatch) -> pa.RecordBatch:
-        out = []
-        for nid, t in zip(batch.column(0).to_pylist(), texts(batch.column(1))):
-            g = _grams(t, n_words)
-            if not len(g):
-                out.append((np.zeros(1, np.int64), nid, 0))
-                continue
-            at = np.minimum(np.searchsorted(known, g), max(len(known) - 1, 0))
-            n = np.where(known[at] == g, times[at], 0) if len(known) else np.zeros(len(g), np.int64)
-            first = len(g) - int(np.ceil(similarity * len(g) - 1e-9)) + 1
-            out.append((g[np.lexsort((g, n))[:first]], nid, len(g)))
-        lens = [len(g) for g, _, _ in out]
-        pos = np.concatenate([np.arange(n) for n in lens]) if out else []
-        columns = [np.concatenate([g for g, _, _ in out]) if out else [], np.repeat(np.array([n for _, n, _ in out], np.int64), lens), np.repeat([k for _, _, k in out], lens), pos]
-        return pa.RecordBatch.from_arrays([pa.array(np.asarray(c), k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.int32(), pa.int32()))], ["gram", "nid", "size", "pos"])
-
-    return map_batches(rows, each, "gram long, nid long, size int, pos int")
+        grams = [np.zeros(0, np.int64), *(_grams(t, n_words) for t in texts(batch.column(0)))]
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(grams), pa.int64())], ["gram"])
+
+    often = map_batches(part, each, "gram long").groupBy("gram").agg(F.count("*").alias("n")).filter("n > 2")
+    found = often.orderBy(F.desc("n"), "gram").limit(FREQUENT).orderBy("gram").collect()
+    return tuple(np.array([r[k] for r in found], np.int64) for k in (0, 1))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_words: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -209,37 +202,46 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_
     node. Texts without words are alike; a null is the empty text. Rows with equal id and text are one document. All
     columns are kept.
 
-    No linked pair is lost. Two such texts have a shingle in common among the first of each (see _prefixes), so all pairs
+    No linked pair is lost. Two such texts have a shingle in common among the first of each (see _prefix), so all pairs
     that meet there are candidates, but for those already in one group, which a further link would not change. To have
     few left, groups are first made of part of the pairs, in number proportional to the texts: of those that the
-    deletion-variant index over two SimHashes of the texts' distinct words finds (these move less under small edits than
+    deletion-variant index over SimHashes of the texts' distinct words finds (these move less under small edits than
     SimHashes of shingles do), and of each text with the least one it meets. All candidates are verified on whole texts.
+
+    Texts go through Python once for their marks and first shingles; whole sets of shingles are got again only for texts
+    in candidate pairs, told by a bitmap of SLOTS places, which is all that is broadcast. Texts are shuffled once, at the
+    end.
     """
     scratch = Scratch(docs.sparkSession, "keep-one")
     digest = F.md5(F.coalesce(F.col(text_col).cast("string"), F.lit(""))).alias("node")
     text = F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")
     rows = docs.select(digest, F.col(id_col).cast("long").alias("doc_id"), text)
+    frequent = _frequent(rows, n_words)
 
     def prints(batch: pa.RecordBatch) -> pa.RecordBatch:
         known = texts(batch.column(2))
-        found, grams = [set(words(t)) for t in known], [_grams(t, n_words) for t in known]
-        fps = [pa.array([_word_set_fp(w, seed) for w in found], pa.int64()) for seed in SEEDS]
+        grams = [_grams(t, n_words) for t in known]
+        fps = pa.array([_word_set_fp(set(words(t)), SEED) for t in known], pa.int64())
         sizes, odd = pa.array([len(g) for g in grams], pa.int32()), pa.array([_parities(g) for g in grams], pa.list_(pa.int64()))
-        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *fps, sizes, odd], ["node", "doc_id", "fp0", "fp1", "size", "odd"])
+        first = pa.array([_prefix(g, frequent, similarity) for g in grams], pa.list_(pa.int64()))
+        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), fps, sizes, odd, first], ["node", "doc_id", "fp", "size", "odd", "first"])
 
     def gram_sets(batch: pa.RecordBatch) -> pa.RecordBatch:
         out = [_grams(t, n_words) for t in texts(batch.column(1))]
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.int64()))], ["node", "grams"])
 
+    def slot(node: str, doc_id: str) -> Column:
+        return F.pmod(F.xxhash64(node, doc_id), F.lit(SLOTS)).alias("slot")
+
     def verified(pairs: DataFrame) -> DataFrame:
         """The linked pairs (src, dst) among pairs (a, b). Sets that must differ too much to be linked are not fetched."""
-        a, b = nodes.select(F.col("node").alias("a"), F.col("size").alias("n"), F.col("odd").alias("x")), nodes.select(F.col("node").alias("b"), F.col("size").alias("m"), F.col("odd").alias("y"))
-        differ = F.aggregate(F.zip_with("x", "y", lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda k, n: k + n)
-        may = (F.greatest("n", "m") * similarity - 1e-6 <= F.least("n", "m")) & (differ * (1 + similarity) <= (F.col("n") + F.col("m")) * (1 - similarity) + 1e-6)
-        pairs = scratch.save(pairs.join(a, "a").join(b, "b").filter(may).select("a", "b"), "near")
-        wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-        chosen = rows.select("node", "text").join(wanted, "node", "left_semi").dropDuplicates(["node"])
-        sets = scratch.save(map_batches(chosen, gram_sets, "node string, grams array<long>"), "grams")
+        a, b = (nodes.select(F.col("node").alias(c), F.col("doc_id").alias(f"i{c}"), F.col("size").alias(f"n{c}"), F.col("odd").alias(f"o{c}")) for c in "ab")
+        differ = F.aggregate(F.zip_with("oa", "ob", lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda k, n: k + n)
+        may = (F.greatest("na", "nb") * similarity - 1e-6 <= F.least("na", "nb")) & (differ * (1 + similarity) <= (F.col("na") + F.col("nb")) * (1 - similarity) + 1e-6)
+        pairs = scratch.save(pairs.join(a, "a").join(b, "b").filter(may).select("a", "b", "ia", "ib"), "near")
+        wanted = pairs.select(slot("a", "ia")).union(pairs.select(slot("b", "ib"))).distinct()  # SLOTS rows at most
+        chosen = rows.withColumn("slot", slot("node", "doc_id")).join(F.broadcast(wanted), "slot", "left_semi").select("node", "text")
+        sets = scratch.save(map_batches(chosen, gram_sets, "node string, grams array<long>").dropDuplicates(["node"]), "grams")
         a, b = sets.select(F.col("node").alias("a"), F.col("grams").alias("x")), sets.select(F.col("node").alias("b"), F.col("grams").alias("y"))
         shared = F.size(F.array_intersect("x", "y"))
         share = F.when(F.size("x") + F.size("y") == 0, 1.0).otherwise(shared / (F.size("x") + F.size("y") - shared))
@@ -247,28 +249,24 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_
         scratch.drop(sets)
         return linked
 
-    each = scratch.save(map_batches(rows, prints, "node string, doc_id long, fp0 long, fp1 long, size int, odd array<long>"), "prints")
-    nid = F.xxhash64("node").alias("nid")
-    nodes = scratch.save(each.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("fp0").alias("fp0"), F.first("fp1").alias("fp1"), F.first("size").alias("size"), F.first("odd").alias("odd")).withColumn("nid", nid), "nodes")
-    scratch.drop(each)
-    pairs = None
-    for fp in ("fp0", "fp1"):
-        heads = scratch.save(nodes.groupBy(F.col(fp).alias("fp")).agg(F.min("node").alias("head")), "heads")
-        same = nodes.join(heads, nodes[fp] == heads["fp"]).select(F.col("head").alias("a"), F.col("node").alias("b"))
-        near = chains(heads.select("fp"), CANDIDATE_BITS, scratch)
-        a, b = heads.select(F.col("fp").alias("src"), F.col("head").alias("a")), heads.select(F.col("fp").alias("dst"), F.col("head").alias("b"))
-        found = same.union(near.join(a, "src").join(b, "dst").select("a", "b")).filter("a <> b")
-        pairs = found if pairs is None else pairs.union(found)
-
-    texts_ = rows.select(nid, "text")
-    part = texts_.filter(F.pmod(F.xxhash64("nid", F.lit(1)), F.lit(max(1, nodes.count() // SAMPLED))) == 0)
-    often = map_batches(part, lambda b: pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.int64), *(_grams(t, n_words) for t in texts(b.column(1)))]), pa.int64())], ["gram"]), "gram long")
-    often = often.groupBy("gram").agg(F.count("*").alias("n")).filter("n > 2").orderBy(F.desc("n"), "gram").limit(FREQUENT).orderBy("gram").collect()
-    frequent = tuple(np.array([r[k] for r in often], np.int64) for k in (0, 1))  # only the order depends on it
+    each = map_batches(rows, prints, "node string, doc_id long, fp long, size int, odd array<long>, first array<long>")
+    each = scratch.save(each.withColumn("nid", F.xxhash64("node")), "prints")
+    nodes = scratch.save(each.groupBy("node", "nid").agg(F.min("doc_id").alias("doc_id"), *[F.first(c).alias(c) for c in ("fp", "size", "odd")]), "nodes")
+    heads = scratch.save(nodes.groupBy("fp").agg(F.min("node").alias("head")), "heads")
+    same = nodes.join(heads, "fp").select(F.col("head").alias("a"), F.col("node").alias("b"))
+    near = chains(heads.select("fp"), CANDIDATE_BITS)
+    a, b = heads.select(F.col("fp").alias("src"), F.col("head").alias("a")), heads.select(F.col("fp").alias("dst"), F.col("head").alias("b"))
+    pairs = same.union(near.join(a, "src").join(b, "dst").select("a", "b")).filter("a <> b")
+
     meet = Window.partitionBy("gram")
-    least = F.min(F.struct("nid", "size", "pos")).over(meet).alias("h")
-    shared = _prefixes(texts_, frequent, n_words, similarity).select("*", least, F.max("nid").over(meet).alias("last"))
-    shared = scratch.save(shared.filter("h.nid <> last").drop("last").dropDuplicates(["gram", "nid"]), "shared")
+    order = meet.orderBy("nid", "pos")
+    least = F.first(F.struct("nid", "size", "pos")).over(order).alias("h")
+    shared = each.select("nid", "size", F.posexplode("first").alias("pos", "gram"))
+    shared = shared.select("gram", "nid", "size", "pos", least, F.lag("nid").over(order).alias("before"), F.lead("nid").over(order).alias("after"))
+    # one row of each text, of texts that meet another
+    shared = shared.filter("(before is null and after <> nid) or before <> nid or (h.nid = nid and before = nid and after <> nid)").drop("before", "after")
+    shared = scratch.save(shared.dropDuplicates(["gram", "nid"]), "shared")
+    scratch.drop(each)
 
     def enough(size0: Column, pos0: Column, size1: Column, pos1: Column) -> Column:
         """At their first common shingle, two linked texts have enough shingles from there on."""
@@ -283,16 +281,21 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_
     pairs = scratch.save(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "candidates")
     linked = verified(pairs)
     groups = scratch.save(nodes.join(connected_components(linked, scratch), "node", "left").select("nid", F.xxhash64(F.coalesce("component", "node")).alias("root")), "groups")
-    open_ = shared.drop("h").join(groups, "nid").select("*", F.min("root").over(meet).alias("r0"), F.max("root").over(meet).alias("r1")).filter("r0 <> r1").drop("r0", "r1")
-    open_ = scratch.save(open_, "open")
+    rooted = shared.drop("h").join(groups, "nid")
+    apart = rooted.groupBy("gram").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).filter("r0 <> r1").select("gram")
+    open_ = scratch.save(rooted.join(apart, "gram"), "open")
     scratch.drop(shared)
-    x, y = open_.select("gram", *[F.col(c).alias(f"{c}0") for c in ("nid", "size", "pos", "root")]), open_.select("gram", *[F.col(c).alias(f"{c}1") for c in ("nid", "size", "pos", "root")])
+    x, y = (open_.select("gram", *[F.col(c).alias(f"{c}{k}") for c in ("nid", "size", "pos", "root")]) for k in (0, 1))
     fit = (x["gram"] == y["gram"]) & (F.col("nid0") < F.col("nid1")) & (F.col("root0") != F.col("root1")) & enough(F.col("size0"), F.col("pos0"), F.col("size1"), F.col("pos1"))
     rest = scratch.save(named(x.join(y, fit).select(F.col("nid0").alias("m"), F.col("nid1").alias("n"))).join(pairs, ["a", "b"], "left_anti"), "rest")
     linked = linked.union(verified(rest))
     member = nodes.join(connected_components(linked, scratch), "node", "left").select(F.coalesce("component", "node").alias("root"), "node", "doc_id")
     best = member.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "node")).alias("b"))
-    kept = scratch.save(best.select(F.col("b.node").alias("node"), F.col("b.doc_id").alias("doc_id")), "kept")
-    whole = docs.select(digest, F.col(id_col).cast("long").alias("id"), F.struct("*").alias("row"))  # no name of docs can clash
-    same = (whole["node"] == kept["node"]) & F.col("id").eqNullSafe(F.col("doc_id"))
-    return whole.join(kept, same).select(kept["node"], "id", "row").dropDuplicates(["node", "id"]).select("row.*")
+
+    def key(node: str | Column, doc_id: Column) -> Column:
+        return F.concat(node, F.lit(":"), F.coalesce(doc_id.cast("long").cast("string"), F.lit(""))).alias("key")
+
+    kept = scratch.save(best.select(key(F.col("b.node"), F.col("b.doc_id"))), "kept")
+    whole = docs.select(key(digest, F.col(id_col)), F.struct("*").alias("row"))  # no name of docs can clash
+    # what is kept grows with the input, so it isn't broadcast; both sides and the last step go by the same key
+    return whole.join(kept.hint("merge"), "key").dropDuplicates(["key"]).select("row.*")
