@@ -2,17 +2,20 @@
 
 Every word is drawn in the restaurant of the word before it (texts begin in a restaurant of their own); all these share
 one parent, whose dishes come from a uniform base. In a restaurant, customers who ate a word sit at one or more tables
-with it, and each table is a customer of the parent. How many tables there are is sampled by Gibbs: for each word of
-each restaurant in turn, given the rest, with the weights of all seatings that have so many tables (generalised
-Stirling numbers; beyond STIRLING customers, they are seated one after another). Predictive probabilities are averaged
-over SAMPLES sweeps after BURN_IN; they are linear in the tables, so the tables are averaged.
+with it, and each table is a customer of the parent. How many tables there are is sampled by Gibbs, given the room's
+other tables, with the weights of all seatings that have so many tables: generalised Stirling numbers, from a table up
+to STIRLING customers and by their saddle point beyond. Words with equally many customers (up to CLASS) are drawn at
+once from the room's totals before them, the others one group after another. The tables are averaged over SAMPLES
+sweeps after BURN_IN, and the predictive probabilities taken from the averages; in a context's own part they are linear
+in its tables, the product with the parent's probability is taken of averages. The parent is seated once, on the
+contexts' averaged tables; contexts are not seated again for it.
 
 How it is spread out. Texts are cut into blocks; a block's words and pairs of words are packed into a file. Packed
 counts of its pairs go to buckets of contexts, where all of a restaurant meets and is seated; the tables of each word
 go to buckets of words, where the parent is. Both send back to each block what its own words and pairs need. No count
 is cut off and nothing of the corpus goes to the driver but a few sums. Three things are approximate: words are known
-by 48 bits of a hash; while it is being seated, a bucket takes the parent's probabilities from its own pairs; very
-frequent contexts (over one in HOT of all tokens) are dealt over many buckets, each of which takes the others to be
+by 48 bits of a hash; while it is being seated, a bucket takes the parent's probabilities from its own pairs, so scores
+move a little with the number of buckets, which depends on the number of tokens alone; very frequent contexts (over one in HOT of all tokens) are dealt over many buckets, each of which takes the others to be
 like itself.
 """
 
@@ -22,6 +25,7 @@ import math
 import struct
 import uuid
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -36,9 +40,9 @@ from emberglass.storage import Scratch
 
 #: Discount and strength of the contexts' restaurants and of their parent.
 DISCOUNT, STRENGTH, ROOT_DISCOUNT, ROOT_STRENGTH = 0.8, 1.0, 0.6, 1.0
-BURN_IN, SAMPLES, STIRLING = 2, 3, 48
-#: Tokens of a block, packed entries of a bucket, share of all tokens from which a context is dealt out.
-BLOCK, BUCKET, HOT = 600_000, 700_000, 1000
+BURN_IN, SAMPLES, CLASS, STIRLING = 2, 3, 48, 1024
+#: Tokens of a block, tokens whose pairs or words share a bucket, share of all tokens from which a context is dealt out.
+BLOCK, PAIR_BUCKET, WORD_BUCKET, HOT = 600_000, 1_000_000, 3_000_000, 1000
 _ID = (1 << 48) - 1
 _BEGIN, _END = 1, 2  # no word's hash can be told from these, but for one in 2**47 words
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -118,51 +122,89 @@ class Block:
         return order, np.searchsorted(bucket[order], np.arange(n + 1))
 
 
+@lru_cache(maxsize=4)
 def _log_stirling(n: int, d: float) -> np.ndarray:
     """log S(c, t) for c, t up to n: weights of the seatings of c customers at t tables."""
     s = np.full((n + 1, n + 1), -np.inf)
     s[0, 0] = 0
     with np.errstate(divide="ignore", invalid="ignore"):
         for c in range(n):
-            t = np.arange(1, n + 1)
-            s[c + 1, 1:] = np.logaddexp(s[c, :-1], s[c, 1:] + np.log(np.maximum(c - d * t, 1e-300)))
+            t = np.arange(1, c + 2)
+            s[c + 1, 1 : c + 2] = np.logaddexp(s[c, : c + 1], s[c, 1 : c + 2] + np.log(np.maximum(c - d * t, 1e-300)))
     return s
 
 
+def _drawn(weights: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+    """For each row of log weights of 1, 2, ... tables a number drawn by them."""
+    return np.argmax(weights + rng.gumbel(size=weights.shape), axis=1) + 1.0
+
+
+def _peak(c: np.ndarray, rest: np.ndarray, log_q: np.ndarray, d: float, theta: float) -> tuple[np.ndarray, np.ndarray]:
+    """Peak and deviation of the number of tables of very many customers.
+
+    S(c, t) is c! / t! times the coefficient of x^c in ((1 - (1 - x)^d) / d)^t. At its saddle point, with y = 1 - x, t is a
+    function of y, and log S grows by log((1 - y^d) / d) - log t with each table.
+    """
+
+    def at(log_y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        y = np.exp(log_y)
+        f = -np.expm1(d * log_y) / d
+        t = c * f * np.exp((1 - d) * log_y) / -np.expm1(log_y)
+        return t, np.log(f) - np.log(t + 0.5) + np.log(theta + d * (rest + t)) + log_q + 0 * y
+
+    low, high = np.full(len(c), -200.0), np.full(len(c), -1e-9)
+    for _ in range(60):
+        mid = (low + high) / 2
+        more = at(mid)[1] > 0
+        low, high = np.where(more, mid, low), np.where(more, high, mid)
+    (t0, r0), (t1, r1) = at(low - 1e-3), at(np.minimum(low + 1e-3, -1e-10))
+    return at(low)[0] + 0.5, np.sqrt(np.maximum(t1 - t0, 1e-12) / np.maximum(r0 - r1, 1e-12))
+
+
 def seat(c: np.ndarray, room: np.ndarray, q: np.ndarray, d: float, theta: float, rng: np.random.Generator, share: np.ndarray | float = 1.0) -> tuple[np.ndarray, np.ndarray]:
     """Tables of each word and each room's tables, averaged over SAMPLES Gibbs sweeps.
 
     c: customers (1 at least) of the word in its room, q: the parent's probability of the word, share: the part of its
-    room that is here.
+    room that is here. No words give no tables.
     """
     rooms = int(room.max()) + 1 if len(room) else 0
     share = np.broadcast_to(np.asarray(share, float), (rooms,))
-    t = np.ones(len(c))
+    t = np.where(c > CLASS, np.rint(c * 0.6), 1.0)  # a large room comes down to its tables in fewer sweeps than up
     total = np.bincount(room, t, rooms)
-    weights = _log_stirling(STIRLING, d)
-    classes = [np.flatnonzero(c == k) for k in range(2, STIRLING + 1)]
-    many = np.flatnonzero(c > STIRLING)
+    by_count = np.argsort(c, kind="stable")
+    by_count = by_count[np.searchsorted(c[by_count], 2) :]
+    ends = np.searchsorted(c[by_count], np.append(np.arange(2, CLASS + 2), STIRLING + 1))
+    classes = [by_count[a:b] for a, b in zip(ends[:-2], ends[1:-1])]
+    middle, many = by_count[ends[-2] : ends[-1]], by_count[ends[-1] :]
+    groups = [middle[k : k + 256] for k in range(0, len(middle), 256)]
     sum_t, log_q = np.zeros(len(c)), np.log(q)
+    weights = _log_stirling(STIRLING if len(middle) or len(many) else CLASS, d)
+
+    def rest_of(rows: np.ndarray) -> np.ndarray:
+        return np.maximum((total[room[rows]] - t[rows]) / share[room[rows]], 0)
+
+    def by_weights(rows: np.ndarray, counts: np.ndarray | int, most: int) -> np.ndarray:
+        new = np.log(theta + d * (rest_of(rows)[:, None] + np.arange(most)))
+        return _drawn(weights[counts, 1 : most + 1] + np.cumsum(new, axis=1) + np.arange(1, most + 1) * log_q[rows, None], rng)
+
+    def put(rows: np.ndarray, tables: np.ndarray) -> None:
+        np.add.at(total, room[rows], tables - t[rows])
+        t[rows] = tables
+
     for sweep in range(BURN_IN + SAMPLES):
         for k, rows in enumerate(classes, 2):
-            if not len(rows):
-                continue
-            rest = (total[room[rows]] - t[rows]) / share[room[rows]]
-            new = np.log(theta + d * (np.maximum(rest, 0)[:, None] + np.arange(k)))
-            w = weights[k, 1 : k + 1] + np.cumsum(new, axis=1) + np.arange(1, k + 1) * log_q[rows, None]
-            drawn = np.argmax(w + rng.gumbel(size=w.shape), axis=1) + 1.0
-            np.add.at(total, room[rows], drawn - t[rows])
-            t[rows] = drawn
+            if len(rows):
+                put(rows, by_weights(rows, k, k))
+        for rows in groups:  # far more tables than now are no longer likely after the first sweep
+            put(rows, by_weights(rows, c[rows].astype(np.int64), min(int(c[rows[-1]]), 4 * int(t[rows].max()) + 64)))
         if len(many):
-            rest = np.maximum((total[room[many]] - t[many]) / share[room[many]], 0)
-            drawn, seated = np.ones(len(many)), 1
-            while seated < c[many].max():
-                step = np.clip(c[many] - seated, 0, max(1, seated // 8))
-                fresh = (theta + d * (rest + drawn)) * q[many]
-                drawn += rng.binomial(step.astype(np.int64), fresh / (np.maximum(seated - d * drawn, 1 - d) + fresh))
-                seated += max(1, seated // 8)
-            np.add.at(total, room[many], drawn - t[many])
-            t[many] = drawn
+            peak, deviation = _peak(c[many].astype(float), rest_of(many), log_q[many], d, theta)
+            few = peak < 16  # their weights hardly depend on the customers any more
+            scale = (np.sqrt(peak**2 + 4 * deviation**2) - peak) / 2  # of a gamma distribution with this peak and deviation
+            drawn = np.clip(np.rint(rng.gamma(peak / scale + 1, scale)), 1, c[many])
+            if few.any():
+                drawn[few] = by_weights(many[few], STIRLING, 64)
+            put(many, drawn)
         if sweep >= BURN_IN:
             sum_t += t
     mean = sum_t / SAMPLES
@@ -201,7 +243,7 @@ def score(docs: DataFrame, held_out: Column, scratch: Scratch, id_col: str = "do
             with fs.open_output_stream(f"{base}/{name}.bin") as out:
                 out.write(block.dump())
             often = block.n_words * HOT * 2 >= sum(d[2] for d in block.docs)
-            return pa.RecordBatch.from_arrays([pa.array([c], t) for c, t in ((name.int & (1 << 62) - 1, pa.int64()), (f"{root}/{name}.bin", pa.string()), (int(block.n_words.sum()), pa.int64()), (len(block.n), pa.int64()), (len(block.words), pa.int64()), (block.words[often].astype(np.int64), pa.list_(pa.int64())), (block.n_words[often], pa.list_(pa.int64())))], ["block", "path", "tokens", "pairs", "words", "often", "times"])
+            return pa.RecordBatch.from_arrays([pa.array([c], t) for c, t in ((name.int & (1 << 62) - 1, pa.int64()), (f"{root}/{name}.bin", pa.string()), (int(block.n_words.sum()), pa.int64()), (len(block.token), pa.int64()), (block.words[often].astype(np.int64), pa.list_(pa.int64())), (block.n_words[often], pa.list_(pa.int64())))], ["block", "path", "tokens", "all", "often", "times"])
 
         for batch in slices(batches):
             for doc_id, is_held, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), texts(batch.column(2))):
@@ -217,9 +259,9 @@ def score(docs: DataFrame, held_out: Column, scratch: Scratch, id_col: str = "do
         if ids:
             yield done()
 
-    made = scratch.save(rows.mapInArrow(blocks, "block long, path string, tokens long, pairs long, words long, often array<long>, times array<long>"), "made")
-    sums = made.agg(F.sum("tokens"), F.sum("pairs"), F.sum("words")).first()
-    n_train, n_pair_buckets, n_word_buckets = sums[0] or 0, max(1, math.ceil((sums[1] or 0) / BUCKET)), max(1, math.ceil((sums[2] or 0) / BUCKET))
+    made = scratch.save(rows.mapInArrow(blocks, "block long, path string, tokens long, all long, often array<long>, times array<long>"), "made")
+    n_train, n_all = (x or 0 for x in made.agg(F.sum("tokens"), F.sum("all")).first())
+    n_pair_buckets, n_word_buckets = max(1, math.ceil(n_all / PAIR_BUCKET)), max(1, math.ceil(n_all / WORD_BUCKET))
     often = made.select(F.explode(F.arrays_zip("often", "times")).alias("x")).groupBy("x.often").agg(F.sum("x.times").alias("n"))
     hot = np.sort(np.array([r[0] for r in often.filter(F.col("n") * HOT >= n_train).select("often").collect()], np.uint64))  # HOT words at most
 
