@@ -11,10 +11,12 @@ ranked by their exact distances.
 from __future__ import annotations
 
 import math
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -39,35 +41,39 @@ def _kmeans(x: np.ndarray, k: int, rng: np.random.Generator, rounds: int = 8) ->
     return words
 
 
+def _extended(x: np.ndarray, sums: np.ndarray, codes: np.ndarray, book: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
+    """The beam best (sums, codes) of each row of x after one more book."""
+    left = x[:, None] - sums
+    cost = (left**2).sum(2)[:, :, None] - 2 * left @ book.T + (book**2).sum(1)
+    flat = cost.reshape(len(x), -1)
+    keep = min(beam, flat.shape[1])
+    best = np.argpartition(flat, keep - 1, axis=1)[:, :keep]
+    source, word = best // len(book), best % len(book)
+    rows = np.arange(len(x))[:, None]
+    return sums[rows, source] + book[word], np.concatenate([codes[rows, source], word[:, :, None].astype(np.uint8)], axis=2)
+
+
 def encode(x: np.ndarray, books: np.ndarray, beam: int = BEAM) -> tuple[np.ndarray, np.ndarray]:
     """(codes, squared norms of the approximations) of the rows of x by beam search."""
-    m, k, _ = books.shape
     sums, codes = np.zeros((len(x), 1, x.shape[1])), np.zeros((len(x), 1, 0), np.uint8)
-    for j in range(m):
-        left = x[:, None] - sums
-        cost = (left**2).sum(2)[:, :, None] - 2 * left @ books[j].T + (books[j] ** 2).sum(1)
-        flat = cost.reshape(len(x), -1)
-        keep = min(beam, flat.shape[1])
-        best = np.argpartition(flat, keep - 1, axis=1)[:, :keep]
-        source, word = best // k, best % k
-        rows = np.arange(len(x))[:, None]
-        sums = sums[rows, source] + books[j][word]
-        codes = np.concatenate([codes[rows, source], word[:, :, None].astype(np.uint8)], axis=2)
+    for book in books:
+        sums, codes = _extended(x, sums, codes, book, beam)
     best = np.argmin(((x[:, None] - sums) ** 2).sum(2), axis=1)
     rows = np.arange(len(x))
     return codes[rows, best], (sums[rows, best] ** 2).sum(1)
 
 
-def learn(x: np.ndarray, books: int = BOOKS, words: int = WORDS_EACH, seed: int = 0) -> np.ndarray:
-    """Codebooks (books, words, dimensions) by k-means on residuals, each round going on from beam-searched sums."""
+def learn(x: np.ndarray, books: int = BOOKS, words: int = WORDS_EACH, seed: int = 0, beam: int = 4) -> np.ndarray:
+    """Codebooks (books, words, dimensions) by k-means on residuals, each book going on from the beam's best sums so far."""
     rng = np.random.default_rng(seed)
     found: list[np.ndarray] = []
+    blocks = [x[a : a + _BLOCK] for a in range(0, len(x), _BLOCK)]
+    state = [(np.zeros((len(b), 1, x.shape[1])), np.zeros((len(b), 1, 0), np.uint8)) for b in blocks]
     left = x
     for _ in range(books):
         found.append(_kmeans(left, words, rng))
-        made = np.array(found)
-        approx = np.concatenate([made[np.arange(len(made)), encode(x[a : a + _BLOCK], made, 4)[0]].sum(1) for a in range(0, len(x), _BLOCK)])
-        left = x - approx
+        state = [_extended(b, *s, found[-1], beam) for b, s in zip(blocks, state)]
+        left = np.concatenate([b - s[np.arange(len(b)), np.argmin(((b[:, None] - s) ** 2).sum(2), axis=1)] for b, (s, _) in zip(blocks, state)])
     return np.array(found)
 
 
@@ -96,7 +102,8 @@ def search(vectors: DataFrame, is_query, k: int = 10, id_col: str = "vec_id", ve
 
     is_query is a condition on vec_id. usable() says which rows take part. All of them are indexed; equal vectors are
     one entry of the index, with the k + 1 least of their ids, so that a vector that very many rows have crowds nothing
-    out. Queries are scored in blocks of QUERY_BLOCK against all entries.
+    out. Queries lie in files of about QUERY_BLOCK in the shared folder; one stage scores all of them against all entries,
+    a task taking a part of the codes (some forty bytes an entry) and one block of queries at a time.
     """
     spark, scratch = vectors.sparkSession, Scratch(vectors.sparkSession, "additive")
     rows = scratch.save(usable(vectors, id_col, vec_col), "rows")
@@ -120,44 +127,56 @@ def search(vectors: DataFrame, is_query, k: int = 10, id_col: str = "vec_id", ve
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(norms)], ["entry", "codes", "norm"])
 
     coded = scratch.save(entries.select("entry", "v").mapInArrow(index, "entry long, codes binary, norm double"), "codes")
-    queries = rows.filter(is_query)
-    n_blocks = math.ceil(queries.count() / QUERY_BLOCK)
-    if not n_blocks:
+    queries = scratch.save(rows.filter(is_query).select("vec_id", "v"), "queries")
+    n_queries = queries.count()
+    if not n_queries:
         return spark.createDataFrame([], empty)
-    queries = scratch.save(queries.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(n_blocks))), "queries")
-    found = None
-    for block in range(n_blocks):
-        asked = queries.filter(F.col("block") == block).select("vec_id", "v").orderBy("vec_id").collect()
-        if not asked:
-            continue
-        q_ids = np.array([r["vec_id"] for r in asked], np.int64)
-        q = np.array([r["v"] for r in asked])
-
-        def best(batches: Iterator[pa.RecordBatch], q_ids=q_ids, q=q) -> Iterator[pa.RecordBatch]:
-            tables = np.ascontiguousarray((-2 * q @ flat.T).T.astype(np.float32)).reshape(m, words, len(q))
-            top_d = np.full((len(q), 0), np.inf, np.float32)
-            top_e = np.zeros((len(q), 0), np.int64)
-            for batch in batches:
-                for a in range(0, batch.num_rows, _BLOCK):
-                    part = batch.slice(a, _BLOCK)
-                    e = part.column(0).to_numpy()
-                    order = np.argsort(e)
-                    codes = np.frombuffer(b"".join(part.column(1).to_pylist()), np.uint8).reshape(-1, m)[order]
-                    d = np.repeat(part.column(2).to_numpy().astype(np.float32)[order, None], len(q), axis=1)
+    # one file a block, in the shared folder, so that every task goes through all of them without the driver holding one
+    n_blocks, root = math.ceil(n_queries / QUERY_BLOCK), scratch.path("asked")
+
+    def stored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = pa.Table.from_batches(list(batches), schema=pa.schema([("vec_id", pa.int64()), ("v", pa.list_(pa.float64()))])).combine_chunks()
+        if len(got):
+            fs, base = pafs.FileSystem.from_uri(root)
+            fs.create_dir(base, recursive=True)
+            name = f"{base}/{uuid.uuid4().hex}.npy"
+            with fs.open_output_stream(name) as out:
+                out.write(got["vec_id"].combine_chunks().to_numpy(zero_copy_only=False).tobytes() + _matrix(got["v"].chunk(0)).tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array([f"{root}/{name.rpartition('/')[2]}"]), pa.array([len(got)], pa.int64())], ["path", "n"])
+
+    asked = scratch.save(queries.repartition(n_blocks, F.xxhash64("vec_id", F.lit(1))).mapInArrow(stored, "path string, n long"), "asked-files")
+    files = [(r["path"], r["n"]) for r in asked.collect()]  # a name for every QUERY_BLOCK queries or so
+
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = [(b.column(0).to_numpy(), np.frombuffer(b"".join(b.column(1).to_pylist()), np.uint8).reshape(-1, m), b.column(2).to_numpy().astype(np.float32)) for b in batches if b.num_rows]
+        if not parts:
+            return
+        e, codes, norms = (np.concatenate(c) for c in zip(*parts))
+        order = np.argsort(e)
+        e, codes, norms = e[order], codes[order], norms[order]
+        for path, n in files:
+            fs, p = pafs.FileSystem.from_uri(path)
+            with fs.open_input_stream(p) as f:
+                data = f.read()
+            all_ids, all_q = np.frombuffer(data, np.int64, n), np.frombuffer(data, np.float64, offset=8 * n).reshape(n, -1)
+            for at in range(0, n, QUERY_BLOCK):
+                q_ids, q = all_ids[at : at + QUERY_BLOCK], all_q[at : at + QUERY_BLOCK]
+                tables = np.ascontiguousarray((-2 * q @ flat.T).T.astype(np.float32)).reshape(m, words, len(q))
+                top_d, top_e = np.full((len(q), 0), np.inf, np.float32), np.zeros((len(q), 0), np.int64)
+                for a in range(0, len(e), _BLOCK):
+                    d = np.repeat(norms[a : a + _BLOCK, None], len(q), axis=1)
                     for j in range(m):
-                        d += tables[j][codes[:, j]]
+                        d += tables[j][codes[a : a + _BLOCK, j]]
                     d_all = np.concatenate([top_d, d.T], axis=1)
-                    e_all = np.concatenate([top_e, np.broadcast_to(e[order], (len(q), len(e)))], axis=1)
+                    e_all = np.concatenate([top_e, np.broadcast_to(e[a : a + _BLOCK], (len(q), d.shape[0]))], axis=1)
                     if d_all.shape[1] > rerank:
                         pick = np.argpartition(d_all, rerank - 1, axis=1)[:, :rerank]
                         d_all, e_all = np.take_along_axis(d_all, pick, 1), np.take_along_axis(e_all, pick, 1)
                     top_d, top_e = d_all, e_all
-            for i in range(len(q)):
-                if top_e.shape[1]:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(top_e.shape[1], q_ids[i])), pa.array(top_e[i]), pa.array(top_d[i].astype(np.float64))], ["query_id", "entry", "about"])
+                for i in range(0, len(q), 64):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(q_ids[i : i + 64], top_e.shape[1])), pa.array(top_e[i : i + 64].ravel()), pa.array(top_d[i : i + 64].ravel().astype(np.float64))], ["query_id", "entry", "about"])
 
-        part = coded.mapInArrow(best, "query_id long, entry long, about double")
-        found = part if found is None else found.union(part)
+    found = coded.mapInArrow(best, "query_id long, entry long, about double")
     nth = F.row_number().over(Window.partitionBy("query_id").orderBy("about", "entry"))
     near = scratch.save(found.withColumn("nth", nth).filter(F.col("nth") <= rerank).select("query_id", "entry"), "candidates")
     exact = near.join(entries, "entry").join(queries.select(F.col("vec_id").alias("query_id"), F.col("v").alias("q")), "query_id")

@@ -2,7 +2,8 @@
 
 Shingles of five words are hashed once to 64 bits. The top bits name one of BINS bins, the least of the rest is the
 bin's value. Empty bins are filled by optimal densification: each tries bins in a fixed pseudo-random order of its own,
-the same for all documents, until it meets one that was not empty. Of each value the low B_BITS bits are stored, packed.
+the same for all documents, until it meets one that was not empty (after 64 misses, one chance in 10^9 with a quarter of
+the bins full, the next one that is). Of each value the low B_BITS bits are stored, packed.
 Two fingerprints' share of equal values, corrected for values that agree by chance (one in 2**B_BITS), estimates the
 share of shingles in common.
 """
@@ -17,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from emberglass.llm.ranges import in_order
@@ -114,6 +115,22 @@ def _batches(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(zip(*rows), _COLUMNS)], [n for n, _ in _COLUMNS])
 
 
+def _following(parts: DataFrame, scratch: Scratch) -> DataFrame:
+    """(part, next) for parts 0, 1, ... n - 1, which may be empty: the next one that isn't, after the last the first.
+
+    Equality joins only; where parts are empty, pointers are doubled until none points to an empty one.
+    """
+    n = parts.count()
+    now = scratch.save(parts.select("part", "empty", F.pmod(F.col("part") + 1, F.lit(max(n, 1))).alias("next")), "next")
+    for _ in range(max(n, 1).bit_length() + 1):
+        on = now.select(F.col("part").alias("at"), F.col("empty").alias("skip"), F.col("next").alias("then"))
+        moved = now.join(on, F.col("next") == F.col("at"))
+        if moved.filter("skip and not empty").isEmpty():
+            break
+        now = scratch.save(moved.select("part", "empty", F.when(F.col("skip"), F.col("then")).otherwise(F.col("next")).alias("next")), "next")
+    return now.filter("not empty").select("part", "next")
+
+
 def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", per_range: int = 8192) -> DataFrame:
     """One row per row of docs: the fingerprints of its text, and of the text whose last floor(n / 4) characters give
     way to the first as many (or all) of the next document's, and how near they are to each other and to the next's.
@@ -141,12 +158,11 @@ def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", p
                 last = (doc_id, text, mark)
             if out:
                 yield _batches(out)
-        if last is not None:
-            yield _batches([(1, part, last[0], *[None] * 6, first, last[1])])
+        yield _batches([(1, part, last[0], *[None] * 6, first, last[1]) if last else (2, part, *[None] * 9)])
 
     done = scratch.save(rows.mapInArrow(each, _SCHEMA), "rows")
     ends = done.filter("kind = 1").select("part", "doc_id", "first_text", "last_text")
-    following = F.coalesce(F.lead("first_text").over(Window.orderBy("part")), F.first("first_text").over(Window.orderBy("part")))
+    follows = _following(done.filter("kind > 0").select("part", (F.col("kind") == 2).alias("empty")), scratch)
 
     def edge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -154,6 +170,7 @@ def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", p
             if out:
                 yield _batches(out)
 
-    edges = ends.select("doc_id", "last_text", following.alias("following")).mapInArrow(edge, _SCHEMA)
+    first = ends.select(F.col("part").alias("next"), F.col("first_text").alias("following"))
+    edges = ends.join(follows, "part").join(first, "next").select("doc_id", "last_text", "following").mapInArrow(edge, _SCHEMA)
     whole = done.filter("kind = 0").union(edges)
     return whole.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next")
