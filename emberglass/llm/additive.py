@@ -16,10 +16,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from emberglass.llm.files import filesystem
 from emberglass.storage import Scratch
 
 #: Codebooks, codewords in each, partial sums kept while encoding.
@@ -137,7 +137,7 @@ def search(vectors: DataFrame, is_query, k: int = 10, id_col: str = "vec_id", ve
     def stored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = pa.Table.from_batches(list(batches), schema=pa.schema([("vec_id", pa.int64()), ("v", pa.list_(pa.float64()))])).combine_chunks()
         if len(got):
-            fs, base = pafs.FileSystem.from_uri(root)
+            fs, base = filesystem(root)
             fs.create_dir(base, recursive=True)
             name = f"{base}/{uuid.uuid4().hex}.npy"
             with fs.open_output_stream(name) as out:
@@ -155,7 +155,7 @@ def search(vectors: DataFrame, is_query, k: int = 10, id_col: str = "vec_id", ve
         order = np.argsort(e)
         e, codes, norms = e[order], codes[order], norms[order]
         for path, n in files:
-            fs, p = pafs.FileSystem.from_uri(path)
+            fs, p = filesystem(path)
             with fs.open_input_stream(p) as f:
                 data = f.read()
             all_ids, all_q = np.frombuffer(data, np.int64, n), np.frombuffer(data, np.float64, offset=8 * n).reshape(n, -1)

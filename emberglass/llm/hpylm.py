@@ -29,12 +29,12 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.fs as pafs
 import xxhash
 import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from emberglass.llm.files import filesystem
 from emberglass.llm.text import slices, texts, words
 from emberglass.storage import Scratch
 
@@ -232,7 +232,7 @@ def score(docs: DataFrame, held_out: Column, scratch: Scratch, id_col: str = "do
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(held_out, F.lit(False)).alias("held"), F.col(text_col).cast("string").alias("text"))
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fs, base = pafs.FileSystem.from_uri(root)
+        fs, base = filesystem(root)
         fs.create_dir(base, recursive=True)
         digest = xxhash.xxh3_64_intdigest
         ids, held, doc_ids, n = [], [], [], 0
@@ -266,7 +266,7 @@ def score(docs: DataFrame, held_out: Column, scratch: Scratch, id_col: str = "do
     hot = np.sort(np.array([r[0] for r in often.filter(F.col("n") * HOT >= n_train).select("often").collect()], np.uint64))  # HOT words at most
 
     def load(path: str) -> Block:
-        fs, p = pafs.FileSystem.from_uri(path)
+        fs, p = filesystem(path)
         with fs.open_input_stream(p) as f:
             return Block.load(f.read())
 

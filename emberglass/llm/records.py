@@ -24,12 +24,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from emberglass.llm.bpe import LEAF, codec
+from emberglass.llm.files import filesystem
 from emberglass.llm.ranges import in_order
 from emberglass.llm.text import slices
 
@@ -71,7 +71,7 @@ def read_record(file) -> tuple[int | None, bytes] | None:
 
 def read_at(path: str, positions: list[int]) -> Iterator[tuple[int | None, bytes]]:
     """Records of one shard by number, in the order asked for, by way of its index."""
-    fs, p = pafs.FileSystem.from_uri(path)
+    fs, p = filesystem(path)
     with fs.open_input_file(f"{p}.idx") as f:
         offsets = np.frombuffer(f.read(), "<u8").reshape(-1, 2)[:, 0]
     with fs.open_input_file(p) as f:
@@ -89,7 +89,7 @@ def write_records(docs: DataFrame, root: str, tokenizer: str, end_id: int, id_co
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get()
-        fs, base = pafs.FileSystem.from_uri(root)
+        fs, base = filesystem(root)
         fs.create_dir(base, recursive=True)
         final = f"{base}/shard-{task.partitionId():05d}.bin"
         own = f"{final}.{task.taskAttemptId()}-{uuid.uuid4().hex}"
@@ -127,7 +127,7 @@ def read_records(manifest: DataFrame) -> DataFrame:
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for path, at in zip(*(c.to_pylist() for c in batch.columns)):
-                fs, p = pafs.FileSystem.from_uri(path)
+                fs, p = filesystem(path)
                 with fs.open_input_stream(p, buffer_size=1 << 20) as file:
                     more = True
                     while more:
@@ -142,3 +142,47 @@ def read_records(manifest: DataFrame) -> DataFrame:
     spark = manifest.sparkSession
     table = spark.createDataFrame(starts, "path string, start long")
     return table.repartition(max(1, len(starts))).mapInArrow(read, "doc_id long, start long, n_tokens long, ids binary")
+
+
+def read_shuffled(manifest: DataFrame, seed: int = 0, n_partitions: int | None = None) -> DataFrame:
+    """Rows (place, doc_id, n_tokens, ids) of all shards in a seeded random order: place counts from 0 within a partition.
+
+    The indexes alone are read first. Every record has its partition and its place there by a hash of its shard, its
+    number and the seed, and is then read by its offset, so no record's data is shuffled. Partitions are as many as
+    shards if n_partitions is not given. An empty manifest gives no rows.
+    """
+    shards = manifest.filter("n_records > 0")
+
+    def offsets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path in batch.column(0).to_pylist():
+                fs, p = filesystem(path)
+                with fs.open_input_file(f"{p}.idx") as f:
+                    at = np.frombuffer(f.read(), "<u8").reshape(-1, 2)[:, 0].astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array([path] * len(at)), pa.array(np.arange(len(at))), pa.array(at)], ["path", "number", "offset"])
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place, files = 0, {}
+        try:
+            for batch in slices(batches):
+                rows = []
+                for path, offset in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                    if path not in files:
+                        if len(files) >= 64:
+                            files.pop(next(iter(files))).close()
+                        fs, p = filesystem(path)
+                        files[path] = fs.open_input_file(p)
+                    files[path].seek(offset)
+                    doc_id, ids = read_record(files[path])
+                    rows.append((place, doc_id, len(ids) // 4, ids))
+                    place += 1
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.int64(), pa.binary()))], ["place", "doc_id", "n_tokens", "ids"])
+        finally:
+            for f in files.values():
+                f.close()
+
+    order = F.xxhash64("path", "number", F.lit(seed))
+    found = shards.select("path").mapInArrow(offsets, "path string, number long, offset long").withColumn("order", order)
+    n = n_partitions or max(1, shards.count())
+    dealt = found.repartition(n, "order").sortWithinPartitions("order", "path", "number")
+    return dealt.select("path", "offset").mapInArrow(read, "place long, doc_id long, n_tokens long, ids binary")
