@@ -7,6 +7,7 @@ temporary folder takes its place.
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
@@ -28,13 +29,36 @@ def shared_dir(spark: SparkSession) -> str:
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
+_roots: dict[str, SparkSession] = {}
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jvm.org.apache.hadoop.conf.Configuration()).delete(p, True)
+
+
+@atexit.register
+def clean() -> None:
+    """Deletes the tables of all calls so far. It runs when the application ends; results not yet read are lost by it."""
+    while _roots:
+        path, spark = _roots.popitem()
+        try:
+            _delete(spark, path)
+        except Exception:  # the JVM may be gone by then
+            return
+
+
 class Scratch:
-    """Tables of one operator call, each written once and read back from the shared folder."""
+    """Tables of one operator call, each written once and read back from the shared folder.
+
+    Results are read from them lazily, so they stay until the application ends, unless drop() is called before.
+    """
 
     def __init__(self, spark: SparkSession, label: str):
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
         self._n = 0
+        _roots[self.root] = spark
 
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
@@ -56,6 +80,4 @@ class Scratch:
         """Deletes what save() wrote for df; call it once nothing reads df any more."""
         path = getattr(df, "_scratch_path", None)
         if path:
-            jvm = self.spark.sparkContext._jvm
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+            _delete(self.spark, path)
