@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from emberglass.constants import DEFAULT_FOOTPRINT_M, FAMILIES, FAMILY, FOOTPRINT_M, GEOSTATIONARY, lookup
 from emberglass.functions.geo import haversine_km, in_ring, metres_per_degree, point_segment_m
+from emberglass.storage import Scratch
 
 #: Metres of a degree in the index; a cell spans two radii, so the two models of a degree may differ by up to a factor 2.
 INDEX_LAT_M, INDEX_LON_M = 110977.0, 111320.0
@@ -57,11 +58,33 @@ def allows(sources: Column, min_conf: Column, source: Column, conf: Column) -> C
 
 def cut_field(pairs: DataFrame, det: DataFrame, configs: DataFrame) -> DataFrame:
     """(config_ord, config, seg_id, cut_s, evidence): first time of a detection within the configuration's radius, and
-    the sorted ids of all at that time. The twelve configurations are a broadcast table."""
-    met = pairs.join(det, "id").join(F.broadcast(configs), allows(F.col("sources"), F.col("min_conf"), F.col("source"), F.col("confidence")))
-    met = met.filter(F.col("distance_m") <= radius_m(F.col("source"), F.col("scale"), F.col("fixed_m")))
-    first = met.groupBy("config_ord", "config", "seg_id", "at_s").agg(F.array_sort(F.collect_set("id")).alias("evidence"))
-    return first.groupBy("config_ord", "config", "seg_id").agg(F.min(F.struct("at_s", "evidence")).alias("m")).select("config_ord", "config", "seg_id", F.col("m.at_s").alias("cut_s"), F.col("m.evidence").alias("evidence"))
+    the sorted ids of all at that time. The twelve configurations are a broadcast table.
+
+    det may say in a column static_heat which detections lie at a known source of heat (see flag_heat()): only
+    configurations with static_kept take those. Pairs beyond a sensor's largest radius go first; times come from partial
+    aggregates, and evidence is collected for the pairs at those times alone.
+    """
+    if "static_heat" not in det.columns:
+        det = det.withColumn("static_heat", F.lit(False))
+    largest = configs.agg(F.max("scale").alias("most_scale"), F.max("fixed_m").alias("most_fixed"))  # one row
+    near = pairs.join(det.select("id", "at_s", "source", "confidence", "static_heat"), "id").join(F.broadcast(largest))
+    near = near.filter(F.col("distance_m") <= F.greatest(radius_m(F.col("source"), F.col("most_scale"), F.lit(None).cast("double")), F.col("most_fixed")))
+    takes = allows(F.col("sources"), F.col("min_conf"), F.col("source"), F.col("confidence")) & (F.col("static_kept") | ~F.col("static_heat"))
+
+    def met(rows: DataFrame) -> DataFrame:
+        return rows.join(F.broadcast(configs), takes).filter(F.col("distance_m") <= radius_m(F.col("source"), F.col("scale"), F.col("fixed_m")))
+
+    first = met(near.select("seg_id", "at_s", "source", "confidence", "static_heat", "distance_m")).groupBy("config_ord", "config", "seg_id").agg(F.min("at_s").alias("cut_s"))
+    at_cut = near.join(first.select("seg_id", F.col("cut_s").alias("at_s")).distinct(), ["seg_id", "at_s"], "left_semi")
+    evidence = met(at_cut).select("config_ord", "seg_id", F.col("at_s").alias("cut_s"), "id")
+    found = first.join(evidence, ["config_ord", "seg_id", "cut_s"]).groupBy("config_ord", "config", "seg_id", "cut_s")
+    return found.agg(F.array_sort(F.collect_set("id")).alias("evidence"))
+
+
+def flag_heat(det: DataFrame, rings: DataFrame) -> DataFrame:
+    """det with static_heat: whether it lies in one of the rings."""
+    kept, removed = without_heat(det, rings)
+    return kept.withColumn("static_heat", F.lit(False)).unionByName(removed.withColumn("static_heat", F.lit(True)))
 
 
 def band(cuts: DataFrame, nominal: str = "all-1x") -> DataFrame:
@@ -99,34 +122,32 @@ def without_heat(det: DataFrame, rings: DataFrame) -> tuple[DataFrame, DataFrame
     return d.join(r, hit, "left_anti").drop("cell"), d.join(r, hit, "left_semi").drop("cell")
 
 
-def nearest_node(points: DataFrame, nodes: DataFrame, size_deg: float = 0.02) -> DataFrame:
+def nearest_node(points: DataFrame, nodes: DataFrame, scratch: Scratch, size_deg: float = 0.02) -> DataFrame:
     """points (point_id, plat, plon) with the nearest node (node_id, lat, lon) by cosine-scaled degrees, first id on ties.
 
     Looks into the rings of cells around the point, growing until a node is nearer than any cell not yet looked into:
-    each round only takes the points that are still open.
+    each round only takes the points that are still open, and is written before the next. After four rounds cells are
+    made larger instead of more, until one round covers the globe; only points and cells meet, never all of both. Without
+    nodes there are no rows.
     """
-    n = nodes.select("node_id", "lat", "lon", F.struct(F.floor(F.col("lat") / size_deg).cast("long").alias("r"), F.floor(F.col("lon") / size_deg).cast("long").alias("c")).alias("cell"))
     cos2 = F.pow(F.cos(F.radians("plat")), 2)
     d2 = F.pow(F.col("lat") - F.col("plat"), 2) + cos2 * F.pow(F.col("lon") - F.col("plon"), 2)
-    open_, found, reach = points, None, 1
+    open_, found, reach = points.select("point_id", "plat", "plon"), None, 1
     while True:
+        last = size_deg >= 360
+        cell = lambda c: F.floor(F.col(c) / size_deg).cast("long")
+        n = nodes.select("node_id", "lat", "lon", F.struct(cell("lat").alias("r"), cell("lon").alias("c")).alias("cell"))
         span = F.sequence(F.lit(-reach), F.lit(reach))
-        r, c = F.floor(F.col("plat") / size_deg).cast("long"), F.floor(F.col("plon") / size_deg).cast("long")
-        cells = F.flatten(F.transform(span, lambda a: F.transform(span, lambda b: F.struct((r + a).alias("r"), (c + b).alias("c")))))
-        if reach > 64:  # nodes are far or few: the rest meets all of them
-            met = open_.crossJoin(nodes.select("node_id", "lat", "lon"))
-        else:
-            met = open_.withColumn("cell", F.explode(cells)).join(n, "cell")
+        cells = F.flatten(F.transform(span, lambda a: F.transform(span, lambda b: F.struct((cell("plat") + a).alias("r"), (cell("plon") + b).alias("c")))))
+        met = open_.withColumn("cell", F.explode(cells)).join(n, "cell")
         best = met.groupBy("point_id").agg(F.min(F.struct(d2.alias("d2"), "node_id")).alias("b"), F.first("plat").alias("plat"))
-        sure = best if reach > 64 else best.filter(F.sqrt("b.d2") <= F.lit(reach * size_deg) * F.cos(F.radians("plat")))
-        sure = sure.select("point_id", F.col("b.node_id").alias("node_id"), F.col("b.d2").alias("d2"))
+        sure = best if last else best.filter(F.sqrt("b.d2") <= F.lit(reach * size_deg) * F.cos(F.radians("plat")))
+        sure = scratch.save(sure.select("point_id", F.col("b.node_id").alias("node_id"), F.col("b.d2").alias("d2")), "nearest")
         found = sure if found is None else found.union(sure)
-        if reach > 64:
+        open_ = scratch.save(open_.join(sure, "point_id", "left_anti"), "open")
+        if last or open_.isEmpty():
             return found
-        open_ = open_.join(sure, "point_id", "left_anti")
-        if open_.isEmpty():
-            return found
-        reach *= 4
+        reach, size_deg = (reach * 2, size_deg) if reach < 8 else (reach, size_deg * 4)
 
 
 def ring_of(distance_km: Column, inside: Column) -> Column:
@@ -136,17 +157,44 @@ def ring_of(distance_km: Column, inside: Column) -> Column:
 SEVERITY = {"inside": 0, "5km": 1, "10km": 2, "20km": 3}
 
 
-def threats(assets: DataFrame, fires: DataFrame, most_km: float = 20.0) -> DataFrame:
-    """Assets (asset_id, lat, lon) within most_km of a fire (fire_id, flat, flon, radius_km), or inside it, with ring.
+def _columns(row: Column, size_deg: Column) -> Column:
+    """Into how many columns a row of cells is cut, so that each is wider than size_deg of arc everywhere in the row and
+    in those next to it; 1 near the poles."""
+    top = (F.greatest(F.abs(row), F.abs(row + 1)) + 1) * size_deg
+    return F.when(top >= 88, F.lit(1)).otherwise(F.greatest(F.lit(1), F.floor(360 * F.cos(F.radians(top)) / (size_deg * 1.1)))).cast("long")
 
-    Assets look for fires in grid cells of the largest distance that can matter.
+
+def within(points: DataFrame, discs: DataFrame, km: Column) -> DataFrame:
+    """points (lat, lon, ...) with the discs (dlat, dlon, reach_km, ...) in whose reach they are; km is the distance.
+
+    Discs lie in grids of cells as large as their reach, by powers of two; points look into nine cells of each grid that
+    there is (some twenty at most). Rows of cells are cut into fewer columns towards the poles and close at 180 degrees.
     """
-    size = (most_km + float(fires.agg(F.max("radius_km")).first()[0] or 0)) / 110.0 / math.cos(math.radians(60))
-    a = assets.withColumn("cell", F.explode(cells_around(F.col("lat"), F.col("lon"), size)))
-    f = fires.withColumn("cell", F.struct(F.floor(F.col("flat") / size).cast("long").alias("r"), F.floor(F.col("flon") / size).cast("long").alias("c")))
-    km = haversine_km(F.col("lat"), F.col("lon"), F.col("flat"), F.col("flon"))
+    reach = F.greatest(F.col("reach_km"), F.lit(0.001)) / 110.0
+    step = F.least(F.lit(180.0), F.pow(F.lit(2.0), F.ceil(F.log2(reach))))
+    d = discs.filter("dlat is not null and dlon is not null and reach_km is not null").withColumn("size", step)
+    row = F.floor(F.col("dlat") / F.col("size")).cast("long")
+
+    def column(lon: Column, n: Column) -> Column:
+        return F.pmod(F.floor((lon + 180) / 360 * n).cast("long"), n)
+
+    d = d.withColumn("cell", F.struct(row.alias("r"), column(F.col("dlon"), _columns(row, F.col("size"))).alias("c")))
+    p = points.join(F.broadcast(d.select("size").distinct()))  # powers of two up to 180
+    around = []
+    for i in (-1, 0, 1):
+        r = F.floor(F.col("lat") / F.col("size")).cast("long") + i
+        n = _columns(r, F.col("size"))
+        around += [F.struct(r.alias("r"), F.pmod(column(F.col("lon"), n) + j, n).alias("c")) for j in (-1, 0, 1)]
+    p = p.withColumn("cell", F.explode(F.array_distinct(F.array(*around))))
+    return p.join(d, ["size", "cell"]).filter(km <= F.col("reach_km")).drop("size", "cell")
+
+
+def threats(assets: DataFrame, fires: DataFrame, most_km: float = 20.0) -> DataFrame:
+    """Assets (asset_id, lat, lon) within most_km of a fire (fire_id, flat, flon, radius_km), or inside it, with ring."""
+    f = fires.select("fire_id", F.col("flat").alias("dlat"), F.col("flon").alias("dlon"), "radius_km", (F.col("radius_km") + most_km).alias("reach_km"))
+    km = haversine_km(F.col("lat"), F.col("lon"), F.col("dlat"), F.col("dlon"))
     edge = F.greatest(F.lit(0.0), km - F.col("radius_km"))
-    out = a.join(f, "cell").withColumns({"distance_km": edge, "ring": ring_of(edge, km <= F.col("radius_km"))}).filter("ring is not null")
+    out = within(assets, f, km).withColumns({"distance_km": edge, "ring": ring_of(edge, km <= F.col("radius_km"))}).filter("ring is not null")
     return out.select("fire_id", "asset_id", "ring", "distance_km")
 
 
@@ -166,12 +214,11 @@ def reach(cells: DataFrame, settlements: DataFrame, threatened: DataFrame) -> Da
     (negative: unknown); threatened: sid. An unknown population counts as none in the sum and is counted on its own.
     """
     usable = cells.filter("range_m > 0 and clat is not null and clon is not null")
-    size = float(usable.agg(F.max("range_m")).first()[0] or 1) / 1000 / 110.0 / math.cos(math.radians(60))
-    s = settlements.join(threatened.select("sid", F.lit(True).alias("t")), "sid", "left").withColumn("cell", F.struct(F.floor(F.col("lat") / size).cast("long").alias("r"), F.floor(F.col("lon") / size).cast("long").alias("c")))
-    c = usable.withColumn("cell", F.explode(cells_around(F.col("clat"), F.col("clon"), size)))
-    km = haversine_km(F.col("lat"), F.col("lon"), F.col("clat"), F.col("clon"))
+    s = settlements.join(threatened.select("sid", F.lit(True).alias("t")), "sid", "left")
+    c = usable.select("cell_id", F.col("clat").alias("dlat"), F.col("clon").alias("dlon"), (F.col("range_m") / 1000).alias("reach_km"), "range_m")
+    km = haversine_km(F.col("lat"), F.col("lon"), F.col("dlat"), F.col("dlon"))
     pop = F.when(F.col("population") >= 0, F.col("population"))
-    met = c.join(s, "cell").filter(km * 1000 <= F.col("range_m"))
+    met = within(s, c, km).filter(km * 1000 <= F.col("range_m"))
     safe = F.col("t").isNull()
     per = met.groupBy("cell_id").agg(F.count("*").alias("covered"), F.sum(F.when(safe, F.coalesce(pop, F.lit(0))).otherwise(0)).alias("over_alerted"), F.count_if(safe & pop.isNull()).alias("unknown"))
     return usable.select("cell_id", (F.col("range_m") != 1000).alias("measured")).join(per, "cell_id", "left").select("cell_id", "measured", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("covered", "over_alerted", "unknown")])

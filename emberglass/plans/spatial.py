@@ -6,9 +6,10 @@ from pyspark.sql import functions as F
 
 from emberglass.constants import sweep_configs
 from emberglass.functions import geo
-from emberglass.operators import normalize, situation, spatial
+from emberglass.operators import situation, spatial
 from emberglass.plans.base import Book, detections
 from emberglass.plans.events import BEAR, HAV
+from emberglass.storage import Scratch
 
 book = Book()
 
@@ -21,10 +22,11 @@ xy AS (SELECT seg_id, id, (lon1 - lon) * {MLON.format(p='lat')} AS ax, (lat1 - l
 tt AS (SELECT *, greatest(0e0, least(1e0, -(ax * (bx - ax) + ay * (by_ - ay)) / ((bx - ax) * (bx - ax) + (by_ - ay) * (by_ - ay)))) AS t FROM xy),
 pairs AS (SELECT * FROM (SELECT seg_id, id, sqrt(pow(ax + t * (bx - ax), 2) + pow(ay + t * (by_ - ay), 2)) AS distance_m FROM tt) WHERE distance_m <= 2000),
 d AS (SELECT *, CASE WHEN frp >= 50 THEN 0.9e0 WHEN frp >= 10 THEN 0.65e0 END AS confidence, CASE source WHEN 'MTG_I1' THEN 600 WHEN 'VIIRS_SNPP_NRT' THEN 375 ELSE 1000 END AS foot,
-   CASE source WHEN 'MTG_I1' THEN 'MTG-I1' WHEN 'VIIRS_SNPP_NRT' THEN 'VIIRS' WHEN 'MODIS_NRT' THEN 'MODIS' WHEN 'SENTINEL_3A' THEN 'Sentinel-3' ELSE source END AS family FROM vis),
-cfg AS (SELECT * FROM (VALUES (0, 'all-1x', 'all', 1e0, NULL, NULL), (1, 'all-0.5x', 'all', 0.5e0, NULL, NULL), (2, 'all-2x', 'all', 2e0, NULL, NULL), (3, 'geopolar-1x', 'geo+polar', 1e0, NULL, NULL), (4, 'geopolar-2x', 'geo+polar', 2e0, NULL, NULL),
-  (5, 'geo-1x', 'geo', 1e0, NULL, NULL), (6, 'geo-2x', 'geo', 2e0, NULL, NULL), (7, 'polar-1x', 'polar', 1e0, NULL, NULL), (8, 'polar-2x', 'polar', 2e0, NULL, NULL), (9, 'all-1x-highconf', 'all', 1e0, 0.9e0, NULL), (10, 'all-1x-withstatic', 'all', 1e0, NULL, NULL), (11, 'all-100m', 'all', 1e0, NULL, 100e0)) AS t(config_ord, config, sources, scale, min_conf, fixed_m)),
-met AS (SELECT config_ord, config, seg_id, d.id, at_s, latency_s FROM pairs p JOIN d ON p.id = d.id JOIN cfg ON (sources IN ('all', 'geo+polar') OR (sources = 'geo') = (source = 'MTG_I1')) AND (min_conf IS NULL OR confidence >= min_conf) WHERE distance_m <= coalesce(fixed_m, foot * scale)),
+   CASE source WHEN 'MTG_I1' THEN 'MTG-I1' WHEN 'VIIRS_SNPP_NRT' THEN 'VIIRS' WHEN 'MODIS_NRT' THEN 'MODIS' WHEN 'SENTINEL_3A' THEN 'Sentinel-3' ELSE source END AS family,
+   EXISTS (SELECT 1 FROM (SELECT DISTINCT 37.0001e0 + (s_suppkey % 20) / 200e0 AS a, -1.9999e0 + (s_suppkey % 20) / 110e0 AS o FROM supplier) b WHERE lat > a AND lat < a + 0.003e0 AND lon > o AND lon < o + 0.006e0) AS static_heat FROM vis),
+cfg AS (SELECT * FROM (VALUES (0, 'all-1x', 'all', 1e0, NULL, NULL, false), (1, 'all-0.5x', 'all', 0.5e0, NULL, NULL, false), (2, 'all-2x', 'all', 2e0, NULL, NULL, false), (3, 'geopolar-1x', 'geo+polar', 1e0, NULL, NULL, false), (4, 'geopolar-2x', 'geo+polar', 2e0, NULL, NULL, false),
+  (5, 'geo-1x', 'geo', 1e0, NULL, NULL, false), (6, 'geo-2x', 'geo', 2e0, NULL, NULL, false), (7, 'polar-1x', 'polar', 1e0, NULL, NULL, false), (8, 'polar-2x', 'polar', 2e0, NULL, NULL, false), (9, 'all-1x-highconf', 'all', 1e0, 0.9e0, NULL, false), (10, 'all-1x-withstatic', 'all', 1e0, NULL, NULL, true), (11, 'all-100m', 'all', 1e0, NULL, 100e0, false)) AS t(config_ord, config, sources, scale, min_conf, fixed_m, static_kept)),
+met AS (SELECT config_ord, config, seg_id, d.id, at_s, latency_s FROM pairs p JOIN d ON p.id = d.id JOIN cfg ON (sources IN ('all', 'geo+polar') OR (sources = 'geo') = (source = 'MTG_I1')) AND (min_conf IS NULL OR confidence >= min_conf) WHERE (static_kept OR NOT static_heat) AND distance_m <= coalesce(fixed_m, foot * scale)),
 cut AS (SELECT config_ord, config, m.seg_id, at_s AS cut_s, list_sort(list(DISTINCT id)) AS evidence FROM met m WHERE at_s = (SELECT min(at_s) FROM met x WHERE x.config = m.config AND x.seg_id = m.seg_id) GROUP BY config_ord, config, m.seg_id, at_s)"""
 
 
@@ -34,8 +36,13 @@ def segments(table):
     return table("supplier").select(k.alias("seg_id"), lat.alias("lat1"), lon.alias("lon1"), (lat + 0.004).alias("lat2"), (lon + 0.003).alias("lon2"))
 
 
+def heat_rings(table):
+    k = (F.col("s_suppkey") % 20).alias("k")
+    return table("supplier").select(k).distinct().select(_box(F.lit(37.0001) + F.col("k") / F.lit(200.0), F.lit(-1.9999) + F.col("k") / F.lit(110.0), F.lit(0.003), F.lit(0.006)).alias("ring"))
+
+
 def sensed(table):
-    return detections(table).withColumn("confidence", F.when(F.col("frp") >= 50, 0.9).when(F.col("frp") >= 10, 0.65))
+    return spatial.flag_heat(detections(table), heat_rings(table)).withColumn("confidence", F.when(F.col("frp") >= 50, 0.9).when(F.col("frp") >= 10, 0.65))
 
 
 def pairs(table):
@@ -114,9 +121,7 @@ def ring_area_centroid(spark, table):
 @book.add("""WITH r AS (SELECT s_suppkey % 20 AS k FROM supplier GROUP BY 1), b AS (SELECT 37.0001e0 + k / 200e0 AS a, -1.9999e0 + k / 110e0 AS o FROM r)
 SELECT id, EXISTS (SELECT 1 FROM b WHERE lat > a AND lat < a + 0.003e0 AND lon > o AND lon < o + 0.006e0) AS removed FROM vis""", det=True)
 def point_in_ring(spark, table):
-    k = (F.col("s_suppkey") % 20).alias("k")
-    rings = table("supplier").select(k).distinct().select(_box(F.lit(37.0001) + F.col("k") / F.lit(200.0), F.lit(-1.9999) + F.col("k") / F.lit(110.0), F.lit(0.003), F.lit(0.006)).alias("ring"))
-    kept, removed = spatial.without_heat(detections(table), rings)
+    kept, removed = spatial.without_heat(detections(table), heat_rings(table))
     return kept.select("id", F.lit(False).alias("removed")).union(removed.select("id", F.lit(True).alias("removed")))
 
 
@@ -129,11 +134,11 @@ def nearest_node(spark, table):
     k, s = F.col("c_custkey"), F.col("s_suppkey")
     points = table("customer").select(k.alias("point_id"), (F.lit(37.0) + k * 31 % 997 / F.lit(9970.0)).alias("plat"), (F.lit(-2.0) + k * 17 % 991 / F.lit(4955.0)).alias("plon"))
     nodes = table("supplier").select(s.alias("node_id"), (F.lit(37.0) + s * 37 % 1000 / F.lit(10000.0)).alias("lat"), (F.lit(-2.0) + s * 53 % 1000 / F.lit(5000.0)).alias("lon"))
-    return spatial.nearest_node(points, nodes).withColumn("d2", F.round("d2", 12))
+    return spatial.nearest_node(points, nodes, Scratch(spark, "nearest")).withColumn("d2", F.round("d2", 12))
 
 
 THREAT_SQL = f"""a AS (SELECT c_custkey AS asset_id, ['hospital', 'town', 'school', 'power-line'][c_custkey % 4 + 1] AS category, 36.5e0 + (c_custkey * 31 % 997) / 997e0 AS lat, -2.5e0 + (c_custkey * 17 % 991) / 991e0 AS lon FROM customer),
-f AS (SELECT s_suppkey AS fire_id, 36.5e0 + (s_suppkey * 37 % 1000) / 1000e0 AS flat, -2.5e0 + (s_suppkey * 53 % 1000) / 1000e0 AS flon, (s_suppkey % 5) / 2e0 AS radius_km FROM supplier WHERE s_suppkey % 10 = 0),
+f AS (SELECT s_suppkey AS fire_id, 36.5e0 + (s_suppkey * 37 % 1000) / 1000e0 AS flat, -2.5e0 + (s_suppkey * 53 % 1000) / 1000e0 AS flon, (s_suppkey % 5) / 2e0 AS radius_km FROM supplier),
 x AS (SELECT fire_id, asset_id, category, radius_km, {HAV.format(a='lat', b='flat', c='lon', d='flon')} AS km FROM a, f),
 t AS (SELECT fire_id, asset_id, category, greatest(0e0, km - radius_km) AS distance_km, CASE WHEN km <= radius_km THEN 'inside' WHEN km - radius_km <= 5 THEN '5km' WHEN km - radius_km <= 10 THEN '10km' WHEN km - radius_km <= 20 THEN '20km' END AS ring FROM x)"""
 
@@ -142,7 +147,7 @@ def _assets_and_fires(table):
     k, s = F.col("c_custkey"), F.col("s_suppkey")
     category = F.get(F.array(*[F.lit(c) for c in ("hospital", "town", "school", "power-line")]), (k % 4).cast("int"))
     assets = table("customer").select(k.alias("asset_id"), category.alias("category"), (F.lit(36.5) + k * 31 % 997 / F.lit(997.0)).alias("lat"), (F.lit(-2.5) + k * 17 % 991 / F.lit(991.0)).alias("lon"))
-    fires = table("supplier").filter(s % 10 == 0).select(s.alias("fire_id"), (F.lit(36.5) + s * 37 % 1000 / F.lit(1000.0)).alias("flat"), (F.lit(-2.5) + s * 53 % 1000 / F.lit(1000.0)).alias("flon"), (s % 5 / F.lit(2.0)).alias("radius_km"))
+    fires = table("supplier").select(s.alias("fire_id"), (F.lit(36.5) + s * 37 % 1000 / F.lit(1000.0)).alias("flat"), (F.lit(-2.5) + s * 53 % 1000 / F.lit(1000.0)).alias("flon"), (s % 5 / F.lit(2.0)).alias("radius_km"))
     return assets, fires
 
 
@@ -191,5 +196,5 @@ def tile_bounds(spark, table):
 
 @book.add("SELECT cluster_id, round(min(lon), 9) AS west, round(min(lat), 9) AS south, round(max(lon), 9) AS east, round(max(lat), 9) AS north FROM vis GROUP BY cluster_id", det=True)
 def cluster_bbox(spark, table):
-    g = detections(table).groupBy("cluster_id").agg(F.collect_set(F.struct("lat", "lon")).alias("points"))
-    return g.select("cluster_id", normalize.bbox(F.col("points")).alias("b")).select("cluster_id", *[F.round(f"b.{c}", 9).alias(c) for c in ("west", "south", "east", "north")])
+    g = detections(table).groupBy("cluster_id").agg(F.min("lon").alias("west"), F.min("lat").alias("south"), F.max("lon").alias("east"), F.max("lat").alias("north"))
+    return g.select("cluster_id", *[F.round(c, 9).alias(c) for c in ("west", "south", "east", "north")])

@@ -74,22 +74,30 @@ def capture(raw: DataFrame, origin_s: int, clusters: DataFrame | None = None) ->
 
 
 SCAN = "ACQTIME string, ABS_LINE int, ABS_SAMP int, LONGITUDE double, LATITUDE double, FRP string, FRP_UNCERTAINTY string, FIRE_CONFIDENCE double, PIXEL_SIZE double"
+#: Rows and columns of the full disc.
+SIDE = 11136
 
 
 def scans(spark: SparkSession, root: str, box: tuple[float, float, float, float], minutes: int = 11) -> DataFrame:
     """Rows of scan files named by their time (yyyyMMddHHmmss), within the box (west, south, east, north).
 
-    A time in another form is an error, as is an acquisition outside [scan, scan + minutes]; power below 0 or not
-    finite is null.
+    Errors are: a time in another form, an acquisition outside [scan, scan + minutes), a row or column off the grid of
+    SIDE, two files of one name, and a pixel that a scan has twice. Power below 0 or not finite is null.
     """
     raw = spark.read.schema(SCAN).option("header", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.csv*").csv(root)
     west, south, east, north = box
-    scan = F.unix_seconds(F.to_timestamp(F.regexp_extract(F.col("_metadata.file_name"), r"(\d{14})", 1), "yyyyMMddHHmmss"))
+    name, path = F.col("_metadata.file_name"), F.col("_metadata.file_path")
+    names = raw.select(name.alias("name"), path.alias("path")).distinct().groupBy("name").agg(F.count("*").alias("files"))
+    scan = F.unix_seconds(F.to_timestamp(F.regexp_extract(name, r"(\d{14})", 1), "yyyyMMddHHmmss"))
     acquired = F.unix_seconds(F.to_timestamp("ACQTIME", "yyyyMMddHHmmss"))
-    rows = raw.withColumns({"scan_s": scan, "acquired_s": acquired}).filter(F.col("LONGITUDE").between(west, east) & F.col("LATITUDE").between(south, north))
-    late = ~F.col("acquired_s").between(F.col("scan_s"), F.col("scan_s") + minutes * 60)
+    rows = raw.withColumns({"scan_s": scan, "acquired_s": acquired, "name": name}).filter(F.col("LONGITUDE").between(west, east) & F.col("LATITUDE").between(south, north))
+    rows = rows.join(names, "name").withColumn("times", F.count("*").over(Window.partitionBy("scan_s", "ABS_LINE", "ABS_SAMP")))
+    in_scan = (F.col("acquired_s") >= F.col("scan_s")) & (F.col("acquired_s") < F.col("scan_s") + minutes * 60)
+    on_grid = F.col("ABS_LINE").between(0, SIDE - 1) & F.col("ABS_SAMP").between(0, SIDE - 1)
+    fault = F.when(F.col("files") > 1, "two files have one name").when(~F.coalesce(in_scan, F.lit(False)), "an acquisition lies outside its scan").when(~F.coalesce(on_grid, F.lit(False)), "a pixel lies off the grid").when(F.col("times") > 1, "a scan has a pixel twice")
     frp = number_or_null(F.col("FRP"))
-    return rows.select("scan_s", F.when(late, F.raise_error(F.lit("an acquisition lies outside its scan")).cast("long")).otherwise(F.col("acquired_s")).alias("acquired_s"), F.col("ABS_LINE").alias("row"), F.col("ABS_SAMP").alias("col"), F.col("LONGITUDE").alias("lon"), F.col("LATITUDE").alias("lat"), F.when(frp >= 0, frp).alias("frp"), F.col("FIRE_CONFIDENCE").alias("confidence"), F.col("PIXEL_SIZE").alias("pixel"))
+    checked = F.when(fault.isNotNull(), F.raise_error(fault).cast("long")).otherwise(F.col("acquired_s"))
+    return rows.select("scan_s", checked.alias("acquired_s"), F.col("ABS_LINE").alias("row"), F.col("ABS_SAMP").alias("col"), F.col("LONGITUDE").alias("lon"), F.col("LATITUDE").alias("lat"), F.when(frp >= 0, frp).alias("frp"), F.col("FIRE_CONFIDENCE").alias("confidence"), F.col("PIXEL_SIZE").alias("pixel"))
 
 
 def quality_calendar(flags: DataFrame, cells: DataFrame, start_s: int, end_s: int, step_s: int = 600, latency_s: int = 2700) -> DataFrame:

@@ -6,6 +6,8 @@ import json
 import time
 import urllib.error
 from collections.abc import Callable, Iterator, Sequence
+from datetime import UTC, datetime
+from urllib.parse import urlsplit
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -62,6 +64,14 @@ def window_path(collection: str, start: str, end: str, bbox: Sequence[float]) ->
     return f"collections/{collection}/items?filter=BBOX({box}) AND {field} >= '{start}' AND {field} < '{end}' AND active = true"
 
 
+def base_url(url: str, hosts: Sequence[str]) -> str:
+    """The address, if it is https, names one of hosts, and has neither user, port, query nor fragment; else an error."""
+    at = urlsplit(url)
+    if at.scheme != "https" or at.hostname not in hosts or at.netloc != at.hostname or at.query or at.fragment:
+        raise ValueError("the address is not that of a known host")
+    return url.rstrip("/")
+
+
 class Day(InputPartition):
     def __init__(self, start: int, end: int):
         self.start, self.end = start, end
@@ -89,13 +99,21 @@ class FeatureReader(DataSourceReader):
 
         module, _, name = self.options["transport"].partition(":")
         get = getattr(importlib.import_module(module), name)
-        for f in all_pages(get, f"{self.options['collection']}?from_s={day.start}&to_s={day.end}", wait=float(self.options.get("wait", 0.5))):
+        path = f"{self.options['collection']}?from_s={day.start}&to_s={day.end}"
+        if "bbox" in self.options:
+            start, end = (datetime.fromtimestamp(t, UTC).strftime("%Y-%m-%dT%H:%M:%SZ") for t in (day.start, day.end))
+            path = window_path(self.options["collection"], start, end, [float(x) for x in self.options["bbox"].split(",")])
+        for f in all_pages(get, path, wait=float(self.options.get("wait", 0.5))):
             p = f.get("properties") or {}
             yield str(p.get("id") or f.get("id") or ""), p.get("at_s"), json.dumps(f.get("geometry")), json.dumps(p)
 
 
 class FeatureSource(DataSource):
-    """spark.read.format("features"): options collection, from_s, to_s, transport (module:function from path to body)."""
+    """spark.read.format("features"): options collection, from_s, to_s, transport (module:function from path to body).
+
+    With the option bbox (west,south,east,north) the box, the day's bounds and active features are asked for by the
+    collection's filter; else the day's bounds alone by plain parameters.
+    """
 
     @classmethod
     def name(cls) -> str:
