@@ -11,14 +11,8 @@ from emberglass.constants import DEFAULT_FOOTPRINT_M, FAMILIES, FAMILY, FOOTPRIN
 from emberglass.functions.geo import haversine_km, in_ring, metres_per_degree, point_segment_m
 from emberglass.storage import Scratch
 
-#: Metres of a degree in the index; a cell spans two radii, so the two models of a degree may differ by up to a factor 2.
-INDEX_LAT_M, INDEX_LON_M = 110977.0, 111320.0
-
-
-def cells_around(lat: Column, lon: Column, size_deg: float) -> Column:
-    """The point's cell and its eight neighbours."""
-    r, c = F.floor(lat / size_deg).cast("long"), F.floor(lon / size_deg).cast("long")
-    return F.array(*[F.struct((r + a).alias("r"), (c + b).alias("c")) for a in (-1, 0, 1) for b in (-1, 0, 1)])
+#: Metres of a degree in the index, of latitude the fewest that there are.
+INDEX_LAT_M, INDEX_LON_M = 110500.0, 111320.0
 
 
 def cells_of_box(south: Column, west: Column, north: Column, east: Column, size_deg: float) -> Column:
@@ -27,22 +21,28 @@ def cells_of_box(south: Column, west: Column, north: Column, east: Column, size_
     return F.flatten(F.transform(rows, lambda r: F.transform(cols, lambda c: F.struct(r.alias("r"), c.alias("c")))))
 
 
-def near_segments(segments: DataFrame, det: DataFrame, radius_m: float, most_lat: float = 60.0) -> DataFrame:
-    """(seg_id, id, distance_m) of all pairs within radius_m, each once.
+def near_segments(segments: DataFrame, det: DataFrame, radius_m: float, most_lat: float = 60.0, one_piece: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(seg_id, id, distance_m) of all pairs within radius_m, each once, with the columns of det that carry names.
 
-    segments: seg_id, lat1, lon1, lat2, lon2 (a node is a segment of no length), det: id, lat, lon. Segments are listed
-    in every cell of their box, detections look into nine cells. most_lat bounds the latitudes for which the index's
-    metres hold; beyond it the call is refused rather than pairs lost.
+    segments: seg_id, lat1, lon1, lat2, lon2 (a node is a segment of no length; rows of one seg_id are one line; if every
+    seg_id has one_piece, pairs need no further shuffle), det: id, lat, lon. Segments are listed in every cell, half a radius wide, of their box and radius_m around it; detections look
+    into their own cell. most_lat bounds the latitudes for which the index's metres hold; beyond it the call is refused
+    rather than pairs lost.
     """
-    size = 2 * radius_m / (INDEX_LON_M * math.cos(math.radians(most_lat)))
-    s = segments.withColumn("cell", F.explode(cells_of_box(F.least("lat1", "lat2"), F.least("lon1", "lon2"), F.greatest("lat1", "lat2"), F.greatest("lon1", "lon2"), size)))
+    size = radius_m / 2 / INDEX_LON_M
+    south, north = F.least("lat1", "lat2") - radius_m / INDEX_LAT_M, F.greatest("lat1", "lat2") + radius_m / INDEX_LAT_M
+    far = radius_m / INDEX_LON_M / F.cos(F.radians(F.least(F.lit(89.0), F.greatest(F.abs(south), F.abs(north))))) * 1.01
+    box = cells_of_box(south, F.least("lon1", "lon2") - far, north, F.greatest("lon1", "lon2") + far, size)
+    s = segments.withColumn("cell", F.explode(box)).select("seg_id", "lat1", "lon1", "lat2", "lon2", F.col("cell.r").alias("r"), F.col("cell.c").alias("c"))
     ok = F.abs(F.col("lat")) <= most_lat
-    guarded = det.select("id", "lat", "lon").withColumn("lat", F.when(ok, F.col("lat")).otherwise(F.raise_error(F.lit(f"a detection lies beyond {most_lat} degrees")).cast("double")))
+    guarded = det.select("id", "lat", "lon", *carry).withColumn("lat", F.when(ok, F.col("lat")).otherwise(F.raise_error(F.lit(f"a detection lies beyond {most_lat} degrees")).cast("double")))
     of_lat, of_lon = metres_per_degree(F.col("lat"))
-    d = guarded.withColumns({"of_lat": of_lat, "of_lon": of_lon}).withColumn("cell", F.explode(cells_around(F.col("lat"), F.col("lon"), size)))
+    d = guarded.withColumns({"of_lat": of_lat, "of_lon": of_lon, "r": F.floor(F.col("lat") / size).cast("long"), "c": F.floor(F.col("lon") / size).cast("long")})
     metres = point_segment_m(F.col("lat"), F.col("lon"), F.col("lat1"), F.col("lon1"), F.col("lat2"), F.col("lon2"), (F.col("of_lat"), F.col("of_lon")))
-    pairs = s.join(d, "cell").withColumn("distance_m", metres).filter(F.col("distance_m") <= radius_m)
-    return pairs.groupBy("seg_id", "id").agg(F.min("distance_m").alias("distance_m"))
+    pairs = s.join(d, ["r", "c"]).withColumn("distance_m", metres).filter(F.col("distance_m") <= radius_m)
+    if one_piece:
+        return pairs.select("seg_id", "id", "distance_m", *carry)
+    return pairs.groupBy("seg_id", "id").agg(F.min("distance_m").alias("distance_m"), *[F.first(c).alias(c) for c in carry])
 
 
 def radius_m(source: Column, scale: Column, fixed: Column) -> Column:
@@ -56,25 +56,32 @@ def allows(sources: Column, min_conf: Column, source: Column, conf: Column) -> C
     return of & (min_conf.isNull() | F.coalesce(conf >= min_conf, F.lit(False)))
 
 
+CARRIED = ("at_s", "source", "confidence", "static_heat")
+
+
 def cut_field(pairs: DataFrame, det: DataFrame, configs: DataFrame) -> DataFrame:
     """(config_ord, config, seg_id, cut_s, evidence): first time of a detection within the configuration's radius, and
     the sorted ids of all at that time. The twelve configurations are a broadcast table.
 
     det may say in a column static_heat which detections lie at a known source of heat (see flag_heat()): only
-    configurations with static_kept take those. Pairs beyond a sensor's largest radius go first; times come from partial
-    aggregates, and evidence is collected for the pairs at those times alone.
+    configurations with static_kept take those. Of a segment's pairs only the earliest of each kind of detection and each
+    of the configurations' radii meets the configurations; evidence is collected for the pairs at the cuts alone. Pairs
+    that carry the columns CARRIED of det are not joined with it again.
     """
     if "static_heat" not in det.columns:
         det = det.withColumn("static_heat", F.lit(False))
-    largest = configs.agg(F.max("scale").alias("most_scale"), F.max("fixed_m").alias("most_fixed"))  # one row
-    near = pairs.join(det.select("id", "at_s", "source", "confidence", "static_heat"), "id").join(F.broadcast(largest))
-    near = near.filter(F.col("distance_m") <= F.greatest(radius_m(F.col("source"), F.col("most_scale"), F.lit(None).cast("double")), F.col("most_fixed")))
+    circles = sorted({(r["scale"], r["fixed_m"]) for r in configs.select("scale", "fixed_m").collect()}, key=str)  # twelve rows
+    radii = F.array(*[radius_m(F.col("source"), F.lit(scale), F.lit(fixed).cast("double")) for scale, fixed in circles])
+    near = pairs if set(CARRIED) <= set(pairs.columns) else pairs.select("seg_id", "id", "distance_m").join(det.select("id", *CARRIED), "id")
+    # the least radius that holds the pair stands for its distance
+    near = near.withColumn("reach_m", F.array_min(F.filter(radii, lambda r: r >= F.col("distance_m")))).filter("reach_m is not null")
     takes = allows(F.col("sources"), F.col("min_conf"), F.col("source"), F.col("confidence")) & (F.col("static_kept") | ~F.col("static_heat"))
 
     def met(rows: DataFrame) -> DataFrame:
-        return rows.join(F.broadcast(configs), takes).filter(F.col("distance_m") <= radius_m(F.col("source"), F.col("scale"), F.col("fixed_m")))
+        return rows.join(F.broadcast(configs), takes).filter(F.col("reach_m") <= radius_m(F.col("source"), F.col("scale"), F.col("fixed_m")))
 
-    first = met(near.select("seg_id", "at_s", "source", "confidence", "static_heat", "distance_m")).groupBy("config_ord", "config", "seg_id").agg(F.min("at_s").alias("cut_s"))
+    earliest = near.groupBy("seg_id", "source", "confidence", "static_heat", "reach_m").agg(F.min("at_s").alias("at_s"))
+    first = met(earliest).groupBy("config_ord", "config", "seg_id").agg(F.min("at_s").alias("cut_s"))
     at_cut = near.join(first.select("seg_id", F.col("cut_s").alias("at_s")).distinct(), ["seg_id", "at_s"], "left_semi")
     evidence = met(at_cut).select("config_ord", "seg_id", F.col("at_s").alias("cut_s"), "id")
     found = first.join(evidence, ["config_ord", "seg_id", "cut_s"]).groupBy("config_ord", "config", "seg_id", "cut_s")
@@ -158,35 +165,32 @@ SEVERITY = {"inside": 0, "5km": 1, "10km": 2, "20km": 3}
 
 
 def _columns(row: Column, size_deg: Column) -> Column:
-    """Into how many columns a row of cells is cut, so that each is wider than size_deg of arc everywhere in the row and
-    in those next to it; 1 near the poles."""
-    top = (F.greatest(F.abs(row), F.abs(row + 1)) + 1) * size_deg
-    return F.when(top >= 88, F.lit(1)).otherwise(F.greatest(F.lit(1), F.floor(360 * F.cos(F.radians(top)) / (size_deg * 1.1)))).cast("long")
+    """Into how many columns a row of cells is cut, so that they are about size_deg of arc wide."""
+    return F.greatest(F.lit(1), F.floor(360 * F.cos(F.radians(F.least(F.lit(90.0), F.abs(row + 0.5) * size_deg))) / size_deg)).cast("long")
 
 
 def within(points: DataFrame, discs: DataFrame, km: Column) -> DataFrame:
     """points (lat, lon, ...) with the discs (dlat, dlon, reach_km, ...) in whose reach they are; km is the distance.
 
-    Discs lie in grids of cells as large as their reach, by powers of two; points look into nine cells of each grid that
-    there is (some twenty at most). Rows of cells are cut into fewer columns towards the poles and close at 180 degrees.
+    A disc is listed in every cell of its box, in a grid of cells a quarter to half as large as its reach; a point looks
+    into its own cell of each grid that there is (some twenty at most), so a pair meets once. Rows of cells are cut into
+    fewer columns towards the poles and close at 180 degrees.
     """
     reach = F.greatest(F.col("reach_km"), F.lit(0.001)) / 110.0
-    step = F.least(F.lit(180.0), F.pow(F.lit(2.0), F.ceil(F.log2(reach))))
-    d = discs.filter("dlat is not null and dlon is not null and reach_km is not null").withColumn("size", step)
-    row = F.floor(F.col("dlat") / F.col("size")).cast("long")
-
-    def column(lon: Column, n: Column) -> Column:
-        return F.pmod(F.floor((lon + 180) / 360 * n).cast("long"), n)
-
-    d = d.withColumn("cell", F.struct(row.alias("r"), column(F.col("dlon"), _columns(row, F.col("size"))).alias("c")))
-    p = points.join(F.broadcast(d.select("size").distinct()))  # powers of two up to 180
-    around = []
-    for i in (-1, 0, 1):
-        r = F.floor(F.col("lat") / F.col("size")).cast("long") + i
-        n = _columns(r, F.col("size"))
-        around += [F.struct(r.alias("r"), F.pmod(column(F.col("lon"), n) + j, n).alias("c")) for j in (-1, 0, 1)]
-    p = p.withColumn("cell", F.explode(F.array_distinct(F.array(*around))))
-    return p.join(d, ["size", "cell"]).filter(km <= F.col("reach_km")).drop("size", "cell")
+    step = F.least(F.lit(90.0), F.pow(F.lit(2.0), F.floor(F.log2(reach)) - 1))
+    known = discs.filter("dlat is not null and dlon is not null and reach_km is not null").withColumn("size", step)
+    lat, size = F.col("dlat"), F.col("size")
+    rows = F.sequence(F.floor((lat - reach) / size).cast("long"), F.floor((lat + reach) / size).cast("long"))
+    turn = F.when(F.abs(lat) + reach >= 89.9, 180.0).otherwise(F.degrees(F.asin(F.least(F.lit(1.0), F.sin(F.radians(reach)) / F.cos(F.radians(lat))))))
+    d = known.withColumn("turn", turn + 1e-9).withColumn("r", F.explode(rows)).withColumn("n", _columns(F.col("r"), size))
+    column = lambda lon: F.floor((lon + 180) / 360 * F.col("n")).cast("long")
+    low, high = column(F.col("dlon") - F.col("turn")), column(F.col("dlon") + F.col("turn"))
+    d = d.withColumn("c", F.explode(F.sequence(low, F.least(high, low + F.col("n") - 1)))).withColumn("c", F.pmod("c", "n")).drop("turn", "n")
+    p = points.join(F.broadcast(known.select("size").distinct()))  # powers of two up to 90
+    p = p.withColumn("r", F.floor(F.col("lat") / size).cast("long")).withColumn("n", _columns(F.col("r"), size))
+    p = p.withColumn("c", F.pmod(column(F.col("lon")), F.col("n"))).drop("n")
+    close = (F.abs(F.col("lat") - F.col("dlat")) * 110 <= F.col("reach_km")) & (km <= F.col("reach_km"))
+    return p.join(d, ["size", "r", "c"]).filter(close).drop("size", "r", "c")
 
 
 def threats(assets: DataFrame, fires: DataFrame, most_km: float = 20.0) -> DataFrame:

@@ -46,11 +46,13 @@ def sensed(table):
 
 
 def pairs(table):
-    return spatial.near_segments(segments(table), detections(table), 2000.0)
+    return spatial.near_segments(segments(table), detections(table), 2000.0, one_piece=True)
 
 
 def cuts(spark, table):
-    return spatial.cut_field(pairs(table), sensed(table), sweep_configs(spark))
+    det = sensed(table)
+    met = spatial.near_segments(segments(table), det, 2000.0, one_piece=True, carry=spatial.CARRIED)
+    return spatial.cut_field(met, det, sweep_configs(spark))
 
 
 @book.add(f"WITH {SEG_SQL} SELECT seg_id, id, round(distance_m, 4) AS distance_m FROM pairs", det=True)
