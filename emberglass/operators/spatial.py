@@ -39,7 +39,11 @@ def near_segments(segments: DataFrame, det: DataFrame, radius_m: float, most_lat
     of_lat, of_lon = metres_per_degree(F.col("lat"))
     d = guarded.withColumns({"of_lat": of_lat, "of_lon": of_lon, "r": F.floor(F.col("lat") / size).cast("long"), "c": F.floor(F.col("lon") / size).cast("long")})
     metres = point_segment_m(F.col("lat"), F.col("lon"), F.col("lat1"), F.col("lon1"), F.col("lat2"), F.col("lon2"), (F.col("of_lat"), F.col("of_lon")))
-    pairs = s.join(d, ["r", "c"]).withColumn("distance_m", metres).filter(F.col("distance_m") <= radius_m)
+    # a generated column is computed once, where a projected one is put into every expression that uses it
+    # the join makes far more rows than it reads, so its partitions must not be merged for the little they read
+    n = int(det.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    met = s.repartition(n, "r", "c").join(d.repartition(n, "r", "c"), ["r", "c"]).select("seg_id", "id", *carry, F.explode(F.array(metres)).alias("distance_m"))
+    pairs = met.filter(F.col("distance_m") <= radius_m)
     if one_piece:
         return pairs.select("seg_id", "id", "distance_m", *carry)
     return pairs.groupBy("seg_id", "id").agg(F.min("distance_m").alias("distance_m"), *[F.first(c).alias(c) for c in carry])
@@ -80,6 +84,7 @@ def cut_field(pairs: DataFrame, det: DataFrame, configs: DataFrame) -> DataFrame
     def met(rows: DataFrame) -> DataFrame:
         return rows.join(F.broadcast(configs), takes).filter(F.col("reach_m") <= radius_m(F.col("source"), F.col("scale"), F.col("fixed_m")))
 
+    near = Scratch(pairs.sparkSession, "sweep").save(near.select("seg_id", "id", "reach_m", *CARRIED), "near")
     earliest = near.groupBy("seg_id", "source", "confidence", "static_heat", "reach_m").agg(F.min("at_s").alias("at_s"))
     first = met(earliest).groupBy("config_ord", "config", "seg_id").agg(F.min("at_s").alias("cut_s"))
     at_cut = near.join(first.select("seg_id", F.col("cut_s").alias("at_s")).distinct(), ["seg_id", "at_s"], "left_semi")
