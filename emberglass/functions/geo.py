@@ -110,3 +110,60 @@ def utm30_forward(lat: Column, lon: Column) -> tuple[Column, Column]:
 def grid_cell(lat: Column, lon: Column, lon0: float, lat0: float, cell: float) -> tuple[Column, Column]:
     """(row, col) of a grid whose row 0 is north and whose north-west corner is (lat0, lon0)."""
     return F.floor((F.lit(lat0) - lat) / cell + 1e-9).cast("int"), F.floor((lon - F.lit(lon0)) / cell + 1e-9).cast("int")
+
+
+def utm30_inverse(east: Column, north: Column) -> tuple[Column, Column]:
+    """(lat, lon) of a place in zone 30 north (Snyder's series)."""
+    a, f, k0 = 6378137.0, 1 / 298.257223563, 0.9996
+    e2 = f * (2 - f)
+    ep2, e1 = e2 / (1 - e2), (1 - (1 - e2) ** 0.5) / (1 + (1 - e2) ** 0.5)
+    mu = north / (k0 * a * (1 - e2 / 4 - 3 * e2**2 / 64 - 5 * e2**3 / 256))
+    p = mu + (3 * e1 / 2 - 27 * e1**3 / 32) * F.sin(2 * mu) + (21 * e1**2 / 16 - 55 * e1**4 / 32) * F.sin(4 * mu) + (151 * e1**3 / 96) * F.sin(6 * mu) + (1097 * e1**4 / 512) * F.sin(8 * mu)
+    c, t, w = ep2 * F.pow(F.cos(p), 2), F.pow(F.tan(p), 2), 1 - e2 * F.pow(F.sin(p), 2)
+    n, r = F.lit(a) / F.sqrt(w), F.lit(a * (1 - e2)) / F.pow(w, 1.5)
+    d = (east - 500000.0) / (n * k0)
+    lat = p - (n * F.tan(p) / r) * (d * d / 2 - (5 + 3 * t + 10 * c - 4 * c * c - 9 * ep2) * F.pow(d, 4) / 24 + (61 + 90 * t + 298 * c + 45 * t * t - 252 * ep2 - 3 * c * c) * F.pow(d, 6) / 720)
+    lon = (d - (1 + 2 * t + c) * F.pow(d, 3) / 6 + (5 - 2 * c + 28 * t - 3 * c * c + 8 * ep2 + 24 * t * t) * F.pow(d, 5) / 120) / F.cos(p)
+    return F.degrees(lat), F.degrees(lon) - 3.0
+
+
+def drift_bearing(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
+    """Bearing to a tenth of a degree, below 360; null where both places are one."""
+    r = F.round(bearing_deg(lat1, lon1, lat2, lon2), 1)
+    return F.when((lat1 != lat2) | (lon1 != lon2), F.when(r >= 360, 0.0).otherwise(r))
+
+
+def signed_area_m2(ring: Column) -> Column:
+    """Area on the plane at the first vertex, above 0 where the ring runs counter-clockwise."""
+    of_lat, of_lon = metres_per_degree(F.element_at(ring, 1)["lat"])
+    return total(_pairs(ring, lambda p, q: p["lon"] * of_lon * q["lat"] * of_lat - q["lon"] * of_lon * p["lat"] * of_lat)) / 2
+
+
+def line_length_m(line: Column) -> Column:
+    """Metres along a line on the plane at its first vertex."""
+    of_lat, of_lon = metres_per_degree(F.element_at(line, 1)["lat"])
+    return F.when(F.size(line) < 2, 0.0).otherwise(total(_pairs(line, lambda p, q: F.hypot((q["lon"] - p["lon"]) * of_lon, (q["lat"] - p["lat"]) * of_lat))))
+
+
+def point_line_m(lat: Column, lon: Column, line: Column) -> Column:
+    """Metres to the nearest part of a line; null for an empty one."""
+    one = F.element_at(line, 1)
+    return F.when(F.size(line) == 1, point_segment_m(lat, lon, one["lat"], one["lon"], one["lat"], one["lon"])).when(F.size(line) > 1, F.array_min(_pairs(line, lambda p, q: point_segment_m(lat, lon, p["lat"], p["lon"], q["lat"], q["lon"]))))
+
+
+def padded_box(south: Column, west: Column, north: Column, east: Column, metres: float) -> Column:
+    of_lat, of_lon = metres_per_degree((south + north) / 2)
+    return F.struct((south - metres / of_lat).alias("south"), (west - metres / of_lon).alias("west"), (north + metres / of_lat).alias("north"), (east + metres / of_lon).alias("east"))
+
+
+def slope_aspect(dz_east: Column, dz_south: Column) -> tuple[Column, Column]:
+    """(slope, aspect) in degrees from the rises per metre towards east and, as rows run, south; the aspect looks down."""
+    return F.degrees(F.atan(F.hypot(dz_east, dz_south))), F.pmod(F.degrees(F.atan2(-dz_east, dz_south)) + 360.0, F.lit(360.0))
+
+
+def frp_scale(frp: Column) -> Column:
+    return F.least(F.lit(1.0), F.greatest(F.lit(0.0), frp / 150))
+
+
+def confidence_label(confidence: Column) -> Column:
+    return F.when(confidence >= 0.8, "HIGH").when(confidence >= 0.5, "NOMINAL").when(confidence.isNotNull(), "LOW")

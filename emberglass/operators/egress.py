@@ -53,18 +53,23 @@ def route(edges: list[tuple], cut: dict, departure: dict, source, destinations:
     out: dict = {}
     for e, a, b, s, m in edges:
         out.setdefault(a, []).append((e, b, s, m))
-    heap, done = [(0.0, source, departure[source], (), INF)], set()
+    heap, done, came = [(0.0, source, departure[source], INF, None, None)], set(), {}
     while heap:
-        m, n, t, way, spare = heapq.heappop(heap)
+        m, n, t, spare, before, e = heapq.heappop(heap)
         if n in done:
             continue
         done.add(n)
+        came[n] = (before, e)
         if n in destinations and n != source:
-            return list(way), m, spare
+            way = []
+            while came[n][1] is not None:
+                n, e = came[n]
+                way.append(e)
+            return way[::-1], m, spare
         for e, b, s, length in out.get(n, []):
             until = cut.get(e, INF)
-            if b in departure and t + s <= min(until, departure[b]):
-                heapq.heappush(heap, (m + length, b, t + s, (*way, e), min(spare, until - t)))
+            if b not in done and b in departure and t + s <= min(until, departure[b]):
+                heapq.heappush(heap, (m + length, b, t + s, min(spare, until - t), n, e))
     return None
 
 
