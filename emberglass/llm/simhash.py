@@ -106,7 +106,8 @@ def links(distinct: DataFrame, scratch: Scratch, bucket: int = BUCKET) -> DataFr
         more = sizes.filter("n > 2").select("mask", "value", "n")
         if more.isEmpty():
             break
-        shared = scratch.save(variants.join(more, ["mask", "value"]), f"shared-{width}")
+        # the buckets grow with the input, so they are not broadcast at any size
+        shared = scratch.save(variants.join(more.hint("merge"), ["mask", "value"]), f"shared-{width}")
         small = shared if last else shared.filter(F.col("n") <= bucket)
         a, b = small.select("mask", "value", F.col("fp").alias("src")), small.select("mask", "value", F.col("fp").alias("dst"))
         found.append(scratch.save(a.join(b, (a["mask"] == b["mask"]) & (a["value"] == b["value"]) & (F.col("src") < F.col("dst")) & _apart(BITS)).select("src", "dst").distinct(), "links"))
@@ -238,14 +239,14 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_
         a, b = (nodes.select(F.col("node").alias(c), F.col("doc_id").alias(f"i{c}"), F.col("size").alias(f"n{c}"), F.col("odd").alias(f"o{c}")) for c in "ab")
         differ = F.aggregate(F.zip_with("oa", "ob", lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda k, n: k + n)
         may = (F.greatest("na", "nb") * similarity - 1e-6 <= F.least("na", "nb")) & (differ * (1 + similarity) <= (F.col("na") + F.col("nb")) * (1 - similarity) + 1e-6)
-        pairs = scratch.save(pairs.join(a, "a").join(b, "b").filter(may).select("a", "b", "ia", "ib"), "near")
+        pairs = scratch.save(pairs.join(a.hint("merge"), "a").join(b.hint("merge"), "b").filter(may).select("a", "b", "ia", "ib"), "near")
         wanted = pairs.select(slot("a", "ia")).union(pairs.select(slot("b", "ib"))).distinct()  # SLOTS rows at most
         chosen = rows.withColumn("slot", slot("node", "doc_id")).join(F.broadcast(wanted), "slot", "left_semi").select("node", "text")
         sets = scratch.save(map_batches(chosen, gram_sets, "node string, grams array<long>").dropDuplicates(["node"]), "grams")
         a, b = sets.select(F.col("node").alias("a"), F.col("grams").alias("x")), sets.select(F.col("node").alias("b"), F.col("grams").alias("y"))
         shared = F.size(F.array_intersect("x", "y"))
         share = F.when(F.size("x") + F.size("y") == 0, 1.0).otherwise(shared / (F.size("x") + F.size("y") - shared))
-        linked = scratch.save(pairs.join(a, "a").join(b, "b").filter(share >= similarity).select(F.col("a").alias("src"), F.col("b").alias("dst")), "linked")
+        linked = scratch.save(pairs.join(a.hint("merge"), "a").join(b.hint("merge"), "b").filter(share >= similarity).select(F.col("a").alias("src"), F.col("b").alias("dst")), "linked")
         scratch.drop(sets)
         return linked
 
@@ -253,10 +254,10 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_
     each = scratch.save(each.withColumn("nid", F.xxhash64("node")), "prints")
     nodes = scratch.save(each.groupBy("node", "nid").agg(F.min("doc_id").alias("doc_id"), *[F.first(c).alias(c) for c in ("fp", "size", "odd")]), "nodes")
     heads = scratch.save(nodes.groupBy("fp").agg(F.min("node").alias("head")), "heads")
-    same = nodes.join(heads, "fp").select(F.col("head").alias("a"), F.col("node").alias("b"))
+    same = nodes.join(heads.hint("merge"), "fp").select(F.col("head").alias("a"), F.col("node").alias("b"))
     near = chains(heads.select("fp"), CANDIDATE_BITS)
     a, b = heads.select(F.col("fp").alias("src"), F.col("head").alias("a")), heads.select(F.col("fp").alias("dst"), F.col("head").alias("b"))
-    pairs = same.union(near.join(a, "src").join(b, "dst").select("a", "b")).filter("a <> b")
+    pairs = same.union(near.join(a.hint("merge"), "src").join(b.hint("merge"), "dst").select("a", "b")).filter("a <> b")
 
     meet = Window.partitionBy("gram")
     order = meet.orderBy("nid", "pos")
@@ -274,16 +275,16 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_
 
     def named(found: DataFrame) -> DataFrame:
         a, b = nodes.select(F.col("nid").alias("m"), F.col("node").alias("a")), nodes.select(F.col("nid").alias("n"), F.col("node").alias("b"))
-        return found.distinct().join(a, "m").join(b, "n").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+        return found.distinct().join(a.hint("merge"), "m").join(b.hint("merge"), "n").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
     first = shared.filter((F.col("h.nid") != F.col("nid")) & enough(F.col("h.size"), F.col("h.pos"), F.col("size"), F.col("pos")))
     pairs = pairs.union(named(first.select(F.col("h.nid").alias("m"), F.col("nid").alias("n"))))
     pairs = scratch.save(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "candidates")
     linked = verified(pairs)
-    groups = scratch.save(nodes.join(connected_components(linked, scratch), "node", "left").select("nid", F.xxhash64(F.coalesce("component", "node")).alias("root")), "groups")
-    rooted = shared.drop("h").join(groups, "nid")
+    groups = scratch.save(nodes.join(connected_components(linked, scratch).hint("merge"), "node", "left").select("nid", F.xxhash64(F.coalesce("component", "node")).alias("root")), "groups")
+    rooted = shared.drop("h").join(groups.hint("merge"), "nid")
     apart = rooted.groupBy("gram").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).filter("r0 <> r1").select("gram")
-    open_ = scratch.save(rooted.join(apart, "gram"), "open")
+    open_ = scratch.save(rooted.join(apart.hint("merge"), "gram"), "open")
     scratch.drop(shared)
     x, y = (open_.select("gram", *[F.col(c).alias(f"{c}{k}") for c in ("nid", "size", "pos", "root")]) for k in (0, 1))
     fit = (x["gram"] == y["gram"]) & (F.col("nid0") < F.col("nid1")) & (F.col("root0") != F.col("root1")) & enough(F.col("size0"), F.col("pos0"), F.col("size1"), F.col("pos1"))
