@@ -52,7 +52,8 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("mixing", mixed),
     ("BPE encoding", encoded),
 ]
-#: A trained model and XXH64 are not in SQL; tests/llm compares each stage with brute force.
+#: A trained model and XXH64 are not in SQL; tests/llm compares line dedup and mixing with SQL, near-dedup with brute force
+#: and encoding with the library, and measures the classifier.
 ORACLE_SQL = None
 
 
