@@ -134,9 +134,12 @@ def drift_bearing(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Col
 
 
 def signed_area_m2(ring: Column) -> Column:
-    """Area on the plane at the first vertex, above 0 where the ring runs counter-clockwise."""
-    of_lat, of_lon = metres_per_degree(F.element_at(ring, 1)["lat"])
-    return total(_pairs(ring, lambda p, q: p["lon"] * of_lon * q["lat"] * of_lat - q["lon"] * of_lon * p["lat"] * of_lat)) / 2
+    """Area on the plane at the first vertex, above 0 where the ring runs counter-clockwise. Measured from that vertex, so
+    that small rings lose no digits to their distance from the origin."""
+    at = F.element_at(ring, 1)
+    of_lat, of_lon = metres_per_degree(at["lat"])
+    x, y = lambda p: (p["lon"] - at["lon"]) * of_lon, lambda p: (p["lat"] - at["lat"]) * of_lat
+    return total(_pairs(ring, lambda p, q: x(p) * y(q) - x(q) * y(p))) / 2
 
 
 def line_length_m(line: Column) -> Column:

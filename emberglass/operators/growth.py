@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from emberglass.functions.geo import bearing_deg, haversine_km
@@ -49,6 +49,18 @@ def observed(det: DataFrame, now_s: int, window_s: int = 21600, least: int = 4,
     return halves.filter((F.col("detections") >= least) & (F.col("span") >= least_span_s)).select("cluster_id", "detections", F.when(moved, bearing_deg(*at)).alias("bearing"), F.when(moved, km / hours).alias("rate_kmh"))
 
 
+def motion(states: DataFrame, most_gap: float, least: int = 3) -> DataFrame:
+    """states (fire, t in hours, ord, lat, lon) with bearing and rate_kmh from the state before; null for a first state, or
+    if that one is of the same time or over most_gap hours ago. Fires of fewer than least dated states are left out."""
+    w = Window.partitionBy("fire")
+    o = w.orderBy("t", "ord")
+    rows = states.filter("t is not null").withColumns({"n_": F.count("*").over(w), "t_": F.lag("t").over(o), "lat_": F.lag("lat").over(o), "lon_": F.lag("lon").over(o)})
+    dt = F.col("t") - F.col("t_")
+    at = [F.col(c) for c in ("lat_", "lon_", "lat", "lon")]
+    ok = (dt > 0) & (dt <= most_gap)
+    return rows.filter(F.col("n_") >= least).select(*states.columns, F.when(ok, bearing_deg(*at)).alias("bearing"), F.when(ok, haversine_km(*at) / dt).alias("rate_kmh"))
+
+
 def baselines(vectors: DataFrame, corpus_rate_kmh: float) -> DataFrame:
     """Three predictors per cluster: as observed, persistence, and persistence of bearing at the corpus' mean rate."""
     kinds = F.explode(F.array(*[F.lit(k) for k in ("observed", "persistence", "constant_rate")]))

@@ -54,6 +54,35 @@ def horizon_labels(flags: DataFrame, issues: DataFrame, step_s: int = 600) -> Da
     return met.groupBy("cell", "issue_s").agg(*out)
 
 
+BIN_S, BINS, SCANS_A_BIN = 1800, 6, 3
+
+
+def input_bins(scans: DataFrame, issues: DataFrame) -> DataFrame:
+    """(cell, issue_s, recent_fire, and for each of the six half hours before a full hour, oldest first: fire_k,
+    observable_k, frp_k, measured_k) from scans (cell, scan_s, available_s, flag, frp: summed power, n_frp: how many).
+
+    Only scans that were available by the issue count. fire and observable are shares of the three scans of a bin, so a
+    scan that lacks counts as not observable; frp is log1p(power / 3) / 5. recent_fire is the last observable scan's
+    state, 0 if none. A cell without any scan in those three hours has no row. Scans meet issues by the hour in an equality
+    join, so a scan is used by three issues at most, and only partial sums are shuffled by cell.
+    """
+    hours = BIN_S * BINS // HOUR
+    asked = issues.withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(hours)))).select("issue_s", (F.col("issue_s") / HOUR - F.col("k")).alias("hour"))
+    met = scans.withColumn("hour", F.floor(F.col("scan_s") / HOUR).cast("double")).join(asked, "hour")
+    fire, seen, ready = F.col("flag").isin(1, 2), F.col("flag").isin(0, 1, 2), F.col("available_s") <= F.col("issue_s")
+    place = F.floor((F.col("scan_s") - F.col("issue_s")) / BIN_S) + BINS
+    out = [F.coalesce(F.max(F.when(ready & seen, F.struct("scan_s", fire.alias("fire"))))["fire"].cast("double"), F.lit(0.0)).alias("recent_fire")]
+    for k in range(BINS):
+        use = ready & (place == k)
+        out += [
+            (F.count_if(use & fire) / SCANS_A_BIN).alias(f"fire_{k}"),
+            (F.count_if(use & seen) / SCANS_A_BIN).alias(f"observable_{k}"),
+            (F.log1p(F.coalesce(F.sum(F.when(use, F.col("frp"))), F.lit(0.0)) / 3) / 5).alias(f"frp_{k}"),
+            (F.coalesce(F.sum(F.when(use, F.col("n_frp"))), F.lit(0)) / SCANS_A_BIN).alias(f"measured_{k}"),
+        ]
+    return met.groupBy("cell", "issue_s").agg(*out)
+
+
 def grid_sums(points: DataFrame) -> DataFrame:
     """(row, col, frp, detections): power above 0 and finite is summed, all detections count."""
     f = F.col("frp")

@@ -39,6 +39,12 @@ def r2_mape(rows: DataFrame, keys: list[str], obs: str, pred: str) -> DataFrame:
     return r.groupBy(*keys).agg(F.count("*").alias("n"), F.when((F.count("*") > 1) & (tot > 0), 1 - res / tot).alias("r2"), F.median(F.when(o > 0, F.abs(p - o) / o)).alias("mape"))
 
 
+def median_r2(scores: DataFrame) -> DataFrame:
+    """One row: the groups whose r2 is known and finite, and its median (null if there is none)."""
+    known = scores.filter(F.col("r2").isNotNull() & ~F.isnan("r2") & (F.abs("r2") < float("inf")))
+    return known.agg(F.count("*").alias("fires"), F.median("r2").alias("median_r2"))
+
+
 def bearing_errors(pairs: DataFrame) -> DataFrame:
     e = pairs.filter("bearing is not null and bearing1 is not null").select(circular_error(F.col("bearing1"), F.col("bearing")).alias("e"))
     return e.agg(F.count("*").alias("n"), F.median("e").alias("median_error"))

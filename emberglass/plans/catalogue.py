@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from emberglass.plans import events, more, relational, roads, scoring, spatial
+from emberglass.plans import events, measures, more, relational, roads, scoring, spatial
 
-BOOKS = [events.book, spatial.book, more.book, scoring.book, roads.book, relational.book]
+BOOKS = [events.book, spatial.book, more.book, measures.book, scoring.book, roads.book, relational.book]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
