@@ -45,6 +45,21 @@ def median_r2(scores: DataFrame) -> DataFrame:
     return known.agg(F.count("*").alias("fires"), F.median("r2").alias("median_r2"))
 
 
+def corpus_summary(pairs: DataFrame, group: str = "fire") -> DataFrame:
+    """One row over pairs of states with others (see leave_one_out): fires, pairs, least, median and greatest gap, and the
+    pooled r2 of area1 by persistence and by the other fires' mean growth; null where undefined. Pooled without a window,
+    so no task gets all pairs. No pairs give zeros and nulls."""
+    o, n = F.col("area1"), F.count("area1")
+
+    def r2(pred: Column, given: Column) -> Column:
+        of = F.when(given, o)
+        k, tot = F.count(of), F.var_pop(of) * F.count(of)
+        return F.when((k > 1) & (tot > 0), 1 - F.sum(F.when(given, F.pow(o - pred, 2))) / tot)
+
+    constant = F.col("area") + F.col("others") * F.col("dt")
+    return pairs.agg(F.count_distinct(group).alias("fires"), n.alias("pairs"), F.min("dt").alias("dt_min"), F.median("dt").alias("dt_median"), F.max("dt").alias("dt_max"), r2(F.col("area"), F.lit(True)).alias("r2_persistence"), r2(constant, F.col("others").isNotNull()).alias("r2_constant"))
+
+
 def bearing_errors(pairs: DataFrame) -> DataFrame:
     e = pairs.filter("bearing is not null and bearing1 is not null").select(circular_error(F.col("bearing1"), F.col("bearing")).alias("e"))
     return e.agg(F.count("*").alias("n"), F.median("e").alias("median_error"))

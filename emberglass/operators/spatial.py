@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from emberglass.constants import DEFAULT_FOOTPRINT_M, FAMILIES, FAMILY, FOOTPRINT_M, GEOSTATIONARY, lookup
@@ -238,3 +238,37 @@ def tile_bounds(bounds: DataFrame, rows: int, cols: int) -> DataFrame:
     t = bounds.withColumn("row", F.explode(F.sequence(F.lit(0), F.lit(rows - 1)))).withColumn("col", F.explode(F.sequence(F.lit(0), F.lit(cols - 1))))
     h, w = (F.col("north") - F.col("south")) / rows, (F.col("east") - F.col("west")) / cols
     return t.select("row", "col", (F.col("south") + h * F.col("row")).alias("south"), (F.col("west") + w * F.col("col")).alias("west"), (F.col("south") + h * (F.col("row") + 1)).alias("north"), (F.col("west") + w * (F.col("col") + 1)).alias("east"))
+
+
+def coverage_at(lat: Column, lon: Column, boxes: dict[str, tuple[float, float, float, float]]) -> Column:
+    """The name of the first box (south, west, north, east; edges included) that holds a place; null if none does. Boxes
+    are configuration, a handful, and become part of the expression."""
+    hits = [F.when(lat.between(s, n) & lon.between(w, e), F.lit(name)) for name, (s, w, n, e) in boxes.items()]
+    return F.coalesce(*hits, F.lit(None).cast("string"))
+
+
+def local_observations(events: DataFrame, observations: DataFrame, size: int = 64) -> DataFrame:
+    """(event_id, id) of the observations (id, row, col) in each event's size x size patch about its seed cell (seed_row,
+    seed_col): from size / 2 before it to size / 2 - 1 after. They meet in buckets of that size, of which a patch touches
+    four at most."""
+    bucket = lambda c: F.floor(c / size).cast("long")
+    r0, c0 = F.col("seed_row") - size // 2, F.col("seed_col") - size // 2
+    e = events.select("event_id", r0.alias("r0"), c0.alias("c0"))
+    e = e.withColumn("br", F.explode(F.sequence(bucket(F.col("r0")), bucket(F.col("r0") + size - 1)))).withColumn("bc", F.explode(F.sequence(bucket(F.col("c0")), bucket(F.col("c0") + size - 1))))
+    o = observations.select("id", "row", "col", bucket(F.col("row")).alias("br"), bucket(F.col("col")).alias("bc"))
+    inside = F.col("row").between(F.col("r0"), F.col("r0") + size - 1) & F.col("col").between(F.col("c0"), F.col("c0") + size - 1)
+    return e.join(o, ["br", "bc"]).filter(inside).select("event_id", "id")
+
+
+def components_of_pixels(pixels: DataFrame, components: DataFrame) -> DataFrame:
+    """pixels (row, col, ...) with component; null where components (row, col, component) has none. A cell that it has more
+    than once is an error, whether a pixel asks for it or not."""
+    one = components.groupBy("row", "col").agg(F.count("*").alias("n"), F.first("component").alias("component"))
+    sound = F.when(F.col("n") == 1, F.col("component")).otherwise(F.raise_error(F.lit("a cell is in more than one component")).cast(components.schema["component"].dataType))
+    # the check is part of what is joined, so every cell meets it before the join
+    return pixels.join(one.select("row", "col", sound.alias("component")), ["row", "col"], "left")
+
+
+def placed(rows: DataFrame, by: str, *order: Column | str) -> DataFrame:
+    """rows with nth, the place in the order within each group."""
+    return rows.withColumn("nth", F.row_number().over(Window.partitionBy(by).orderBy(*order)))

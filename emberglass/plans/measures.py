@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from emberglass.functions import geo
-from emberglass.operators import audits, causal, egress, growth, issues, normalize, routes, scoring, snapshots
+from emberglass.operators import audits, causal, egress, growth, issues, normalize, routes, scoring, snapshots, spatial
 from emberglass.plans.base import Book, detections
 from emberglass.plans.events import BEAR, HAV
 from emberglass.plans.scoring import STATE_SQL, states
@@ -239,3 +239,59 @@ def six_input_bins(spark, table):
     scans = table("orders").select((F.col("o_custkey") % 5).alias("cell"), (k * 600).alias("scan_s"), (k * 600 + k % 9 * 900).alias("available_s"), F.when(k % 37 == 0, 1).when(k % 50 == 0, 4).otherwise(0).alias("flag"), F.when(k % 3 == 0, (k % 40).cast("double")).alias("frp"), F.when(k % 3 == 0, 1).otherwise(0).alias("n_frp"))
     out = issues.input_bins(scans, spark.range(60).select((F.col("id") * 18000).alias("issue_s")))
     return out.select("cell", "issue_s", "recent_fire", *[F.round(c, 9).alias(c) for c in out.columns[3:]])
+
+
+@book.add(f"""WITH {STATE_SQL}, g AS (SELECT fire, avg((area1 - area) / dt) AS growth FROM pairs GROUP BY fire), o AS (SELECT fire, ((SELECT sum(growth) FROM g) - growth) / ((SELECT count(*) FROM g) - 1) AS others FROM g),
+m AS (SELECT (SELECT avg(area1) FROM pairs) AS m), r AS (SELECT sum(pow(area1 - area, 2)) AS p, sum(pow(area1 - (area + others * dt), 2)) AS c, sum(pow(area1 - m, 2)) AS t FROM pairs JOIN o USING (fire), m)
+SELECT (SELECT count(DISTINCT fire) FROM pairs) AS fires, (SELECT count(*) FROM pairs) AS pairs, round((SELECT min(dt) FROM pairs), 6) AS dt_min, round((SELECT median(dt) FROM pairs), 6) AS dt_median, round((SELECT max(dt) FROM pairs), 6) AS dt_max, round(1 - p / t, 6) AS r2_persistence, round(1 - c / t, 6) AS r2_constant FROM r""")
+def corpus_summary(spark, table):
+    pairs = scoring.state_pairs(states(table), 4000)
+    rates = scoring.leave_one_out(scoring.group_rates(pairs)).select("fire", "others")
+    out = scoring.corpus_summary(pairs.join(rates, "fire"))
+    return out.select("fires", "pairs", *[F.round(c, 6).alias(c) for c in out.columns[2:]])
+
+
+BOXES = {"andalusia": (36.0, -7.5, 38.7, -1.6), "murcia": (37.3, -2.4, 38.8, -0.6)}
+
+
+@book.add(f"""WITH {CORNER_SQL} SELECT id, CASE WHEN a BETWEEN 36 AND 38.7 AND o BETWEEN -7.5 AND -1.6 THEN 'andalusia' WHEN a BETWEEN 37.3 AND 38.8 AND o BETWEEN -2.4 AND -0.6 THEN 'murcia' END AS box FROM c""")
+def covered_places(spark, table):
+    return _corners(table).select("id", spatial.coverage_at(F.col("a"), F.col("o"), BOXES).alias("box"))
+
+
+@book.add("""WITH e AS (SELECT s_suppkey AS event_id, s_suppkey * 37 % 2001 - 32 AS r, s_suppkey * 53 % 1903 - 32 AS c FROM supplier), o AS (SELECT o_orderkey AS id, o_orderkey * 31 % 2111 AS r, o_orderkey * 17 % 1999 AS c FROM orders)
+SELECT event_id, id FROM e JOIN o ON o.r BETWEEN e.r AND e.r + 63 AND o.c BETWEEN e.c AND e.c + 63""")
+def patch_observations(spark, table):
+    s, k = F.col("s_suppkey"), F.col("o_orderkey")
+    events = table("supplier").select(s.alias("event_id"), (s * 37 % 2001).alias("seed_row"), (s * 53 % 1903).alias("seed_col"))
+    return spatial.local_observations(events, table("orders").select(k.alias("id"), (k * 31 % 2111).alias("row"), (k * 17 % 1999).alias("col")))
+
+
+@book.add("""SELECT o_orderkey AS id, c_custkey * 3 AS component FROM orders LEFT JOIN customer ON (c_custkey + 10) // 50 = o_custkey // 50 AND (c_custkey + 10) % 50 = o_custkey % 50""")
+def pixel_components(spark, table):
+    c, k = F.col("c_custkey"), F.col("o_custkey")
+    components = table("customer").select(F.floor((c + 10) / 50).alias("row"), ((c + 10) % 50).alias("col"), (c * 3).alias("component"))
+    pixels = table("orders").select(F.col("o_orderkey").alias("id"), F.floor(k / 50).alias("row"), (k % 50).alias("col"))
+    return spatial.components_of_pixels(pixels, components).select("id", "component")
+
+
+@book.add("""SELECT c_nationkey, c_custkey, CAST(row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey % 3 > 0, c_acctbal DESC, c_custkey) AS INT) AS nth FROM customer""")
+def list_order(spark, table):
+    c = table("customer").select("c_nationkey", "c_custkey", "c_acctbal")
+    return spatial.placed(c, "c_nationkey", F.col("c_custkey") % 3 > 0, F.desc("c_acctbal"), "c_custkey").drop("c_acctbal")
+
+
+@book.add("""WITH n AS (SELECT o_custkey AS sentence, o_orderkey AS ord, CASE o_orderkey % 4 WHEN 0 THEN ' ' || upper(n_name) WHEN 1 THEN r_name WHEN 2 THEN r_name ELSE CASE WHEN o_custkey % 3 = 0 THEN 'nowhere ' || o_orderkey % 5 ELSE n_name END END AS name
+  FROM orders JOIN nation ON n_nationkey = o_custkey % 25 JOIN region ON r_regionkey = o_custkey % 5),
+k AS (SELECT sentence, ord, name, lower(trim(name)) AS k FROM n), p AS (SELECT DISTINCT lower(trim(n_name)) AS k FROM nation), w AS (SELECT lower(trim(r_name)) AS k, r_regionkey AS edge FROM region),
+e AS (SELECT DISTINCT l_orderkey * 2 AS sentence, l_partkey % 5 AS edge FROM lineitem), f AS (SELECT sentence, ord, name, CASE WHEN k IN (SELECT k FROM p) THEN NULL WHEN k NOT IN (SELECT k FROM w) THEN 0
+  WHEN sentence IN (SELECT sentence FROM e) AND NOT EXISTS (SELECT 1 FROM e JOIN w ON e.edge = w.edge WHERE e.sentence = k.sentence AND w.k = k.k) THEN 1 END AS rank FROM k),
+x AS (SELECT *, row_number() OVER (PARTITION BY sentence ORDER BY rank NULLS LAST, ord) AS nth FROM f)
+SELECT sentence, CASE rank WHEN 0 THEN 'unresolved_name' WHEN 1 THEN 'not_passable' END AS reason, CASE WHEN rank IS NOT NULL THEN name END AS name FROM x WHERE nth = 1""")
+def sentence_faults(spark, table):
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    o = table("orders").join(table("nation"), F.col("n_nationkey") == c % 25).join(table("region"), F.col("r_regionkey") == c % 5)
+    name = F.when(k % 4 == 0, F.concat(F.lit(" "), F.upper("n_name"))).when(k % 4 < 3, F.col("r_name")).when(c % 3 == 0, F.concat(F.lit("nowhere "), (k % 5).cast("string"))).otherwise(F.col("n_name"))
+    ways = table("region").select(F.col("r_regionkey").alias("id"), F.col("r_name").alias("name"), F.col("r_regionkey").cast("long").alias("edge"))
+    route_edges = table("lineitem").select((F.col("l_orderkey") * 2).alias("sentence"), (F.col("l_partkey") % 5).alias("edge"))
+    return routes.verified(o.select(c.alias("sentence"), k.alias("ord"), name.alias("name")), table("nation").select(F.col("n_nationkey").alias("id"), F.col("n_name").alias("name")), ways, route_edges)

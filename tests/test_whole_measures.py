@@ -2,8 +2,10 @@
 
 import math
 
+import pytest
+
 from emberglass.functions import geo
-from emberglass.operators import growth, issues, scoring
+from emberglass.operators import growth, issues, scoring, spatial
 from pyspark.sql import functions as F
 
 SCAN = "cell long, scan_s long, available_s long, flag int, frp double, n_frp int"
@@ -52,3 +54,35 @@ def test_median_r2_leaves_out_the_unknown(spark):
     df = spark.createDataFrame(rows, "fire long, r2 double")
     assert tuple(scoring.median_r2(df).first()) == (2, 0.6)
     assert tuple(scoring.median_r2(df.limit(0)).first()) == (0, None)
+
+
+def test_patches_hold_what_brute_force_finds(spark):
+    events = [(k, k * 41 % 150 - 20, k * 67 % 130 - 20) for k in range(20)]
+    seen = [(k, k * 31 % 180 - 50, k * 17 % 170 - 50) for k in range(300)]
+    e, o = spark.createDataFrame(events, "event_id long, seed_row long, seed_col long"), spark.createDataFrame(seen, "id long, row long, col long")
+    want = sorted((i, k) for i, r, c in events for k, y, x in seen if r - 32 <= y < r + 32 and c - 32 <= x < c + 32)
+    assert sorted(map(tuple, spatial.local_observations(e, o).collect())) == want and want
+    assert spatial.local_observations(e.limit(0), o).count() == spatial.local_observations(e, o.limit(0)).count() == 0
+
+
+def test_a_cell_in_two_components_is_an_error(spark):
+    pixels = spark.createDataFrame([(0, 0), (0, 1), (0, 0), (None, 0)], "row long, col long")
+    once = spark.createDataFrame([(0, 0, 5)], "row long, col long, component long")
+    got = [r["component"] for r in spatial.components_of_pixels(pixels, once).collect()]
+    assert sorted(got, key=str) == [5, 5, None, None]
+    with pytest.raises(Exception, match="more than one component"):
+        spatial.components_of_pixels(pixels, once.union(once)).collect()
+
+
+def test_summary_of_one_fire_and_of_none(spark):
+    df = spark.createDataFrame([(1, 1.0, 2.0, 1.0, None), (1, 2.0, 4.0, 3.0, None)], "fire long, area double, area1 double, dt double, others double")
+    r = scoring.corpus_summary(df).first()
+    assert (r["fires"], r["pairs"], r["dt_median"], r["r2_persistence"], r["r2_constant"]) == (1, 2, 2.0, 1 - 5 / 2, None)
+    assert tuple(scoring.corpus_summary(df.limit(0)).first()) == (0, 0, None, None, None, None, None)
+
+
+def test_the_first_box_that_holds_a_place(spark):
+    boxes = {"a": (0.0, 0.0, 2.0, 2.0), "b": (1.0, 1.0, 3.0, 3.0)}
+    df = spark.createDataFrame([(1.5, 1.5), (2.5, 3.0), (9.0, 9.0), (None, 1.0)], "lat double, lon double")
+    assert [r[0] for r in df.select(spatial.coverage_at(F.col("lat"), F.col("lon"), boxes)).collect()] == ["a", "b", None, None]
+    assert [r[0] for r in df.select(spatial.coverage_at(F.col("lat"), F.col("lon"), {})).collect()] == [None] * 4
