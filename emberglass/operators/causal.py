@@ -54,6 +54,11 @@ def timeline(det: DataFrame, start_s: int | None = None, end_s: int | None = Non
     )
 
 
+def timeline_origin(det: DataFrame, from_s: int | None = None) -> DataFrame:
+    """One row: origin_s, where a window starts or, if it doesn't say, the earliest at_s; null without either."""
+    return det.agg(F.coalesce(F.lit(from_s).cast("long"), F.min("at_s")).alias("origin_s"))
+
+
 def asof(frames: DataFrame, cursors: DataFrame, by: str | None = None) -> DataFrame:
     """cursors (cursor_s) with the latest frame (frame_s, payload) not after each; before the first frame the first.
 

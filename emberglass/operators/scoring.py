@@ -101,9 +101,54 @@ def class_weight(rows: DataFrame, y: str) -> DataFrame:
     return rows.agg(F.when((pos == 0) | (neg == 0), F.raise_error(F.lit("only one class")).cast("double")).otherwise(F.greatest(F.lit(1.0), F.least(F.lit(50.0), neg / pos))).alias("weight"))
 
 
+def _clipped_logit(p: Column, eps: float) -> Column:
+    """Null for a null or NaN, which least() and greatest() would pass over."""
+    q = F.when(p.isNotNull() & ~F.isnan(p), F.least(F.lit(1 - eps), F.greatest(F.lit(eps), p)))
+    return F.log(q / (1 - q))
+
+
 def calibrated(p: Column, slope: float, intercept: float, eps: float = 1e-6) -> Column:
-    q = F.least(F.lit(1 - eps), F.greatest(F.lit(eps), p))
-    return 1 / (1 + F.exp(-(slope * F.log(q / (1 - q)) + intercept)))
+    """The probability with its clipped logit moved along a line; null for a null or NaN."""
+    return 1 / (1 + F.exp(-(slope * _clipped_logit(p, eps) + intercept)))
+
+
+def fit_calibrator(rows: DataFrame, y: str, p: str, weight: str | None = None, penalty: float = 1e-3, rounds: int = 50, eps: float = 1e-6) -> tuple[float, float]:
+    """(slope, intercept) for calibrated(): a weighted logistic fit of y (0 or 1) to the clipped logit of p over all rows,
+    with penalty / 2 times the slope's square, by Newton's steps.
+
+    Each step is one aggregate of six sums, so nothing but they come to the driver; give rows as a written table, as it
+    is read once a step. Rows without y, p or weight are left out. One class alone, or a slope not above 0, is an error.
+    """
+    data = rows.select(F.col(y).cast("double").alias("y"), _clipped_logit(F.col(p), eps).alias("z"), (F.col(weight) if weight else F.lit(1.0)).cast("double").alias("w")).filter("y is not null and z is not null and w is not null")
+    if data.agg(F.count_distinct("y").alias("n")).first()["n"] < 2:
+        raise ValueError("the calibration rows lack a class")
+
+    def sums(a: float, b: float) -> tuple:
+        at = F.col("z") * a + b
+        m = 1 / (1 + F.exp(-at))
+        h = F.col("w") * m * (1 - m)
+        loss = F.col("w") * (F.log1p(F.exp(-F.abs(at))) + F.greatest(at, F.lit(0.0)) - F.col("y") * at)
+        r = F.col("w") * (m - F.col("y"))
+        return tuple(data.agg(*[F.sum(x) for x in (loss, r * F.col("z"), r, h * F.col("z") * F.col("z"), h * F.col("z"), h)]).first())
+
+    a, b, step = 0.0, 0.0, 1.0
+    loss, ga, gb, haa, hab, hbb = sums(a, b)
+    for _ in range(rounds):
+        g, h = np.array([ga + penalty * a, gb]), np.array([[haa + penalty, hab], [hab, hbb]])
+        d = np.linalg.solve(h, g)
+        if float(np.abs(d).max()) < 1e-10:
+            break
+        before, step = loss + penalty * a * a / 2, 1.0
+        while True:  # half steps until it gets no worse
+            na, nb = a - step * d[0], b - step * d[1]
+            new = sums(float(na), float(nb))
+            if new[0] + penalty * na * na / 2 <= before + 1e-12 * abs(before) or step < 1e-6:
+                break
+            step /= 2
+        a, b, (loss, ga, gb, haa, hab, hbb) = float(na), float(nb), new
+    if a <= 0:
+        raise ValueError("the calibration slope is not above 0")
+    return a, b
 
 
 def monotone(hazards: Column) -> Column:

@@ -240,6 +240,28 @@ def tile_bounds(bounds: DataFrame, rows: int, cols: int) -> DataFrame:
     return t.select("row", "col", (F.col("south") + h * F.col("row")).alias("south"), (F.col("west") + w * F.col("col")).alias("west"), (F.col("south") + h * (F.col("row") + 1)).alias("north"), (F.col("west") + w * (F.col("col") + 1)).alias("east"))
 
 
+#: Metres in a degree of latitude, and of longitude at the equator, as cell surveys measure them.
+SURVEY_LAT_M, SURVEY_LON_M = 110977.0, 111320.0
+
+
+def survey_tiles(bounds: DataFrame, most_m2: float = 4e6) -> DataFrame:
+    """bounds' columns (south, west, north, east, ...) with row, col, area_m2 and each box's tiles in place of its edges: as
+    few equal rows and columns as keep a side within that of a square of most_m2 on the ground at the box's middle. A box
+    without height or width is one tile of it; one that lacks an edge has none."""
+    side = math.sqrt(most_m2)
+    of_lon = lambda lat: F.greatest(F.lit(1.0), SURVEY_LON_M * F.cos(F.radians(lat)))
+    high, wide = F.col("north") - F.col("south"), F.col("east") - F.col("west")
+    count = lambda span, m: F.greatest(F.lit(1), F.ceil(span / (F.lit(side) / m))).cast("int")
+    rows, cols = count(high, F.lit(SURVEY_LAT_M)), count(wide, of_lon((F.col("south") + F.col("north")) / 2))
+    t = bounds.filter("south is not null and west is not null and north is not null and east is not null").withColumns({"n_": rows, "m_": cols})
+    t = t.withColumn("row", F.explode(F.sequence(F.lit(0), F.col("n_") - 1))).withColumn("col", F.explode(F.sequence(F.lit(0), F.col("m_") - 1)))
+    at = lambda low, span, k, n: F.col(low) + k * span / F.col(n)
+    r, c = F.col("row"), F.col("col")
+    t = t.withColumns({"south": at("south", high, r, "n_"), "north": at("south", high, r + 1, "n_"), "west": at("west", wide, c, "m_"), "east": at("west", wide, c + 1, "m_")})
+    area = high * SURVEY_LAT_M * wide * of_lon((F.col("south") + F.col("north")) / 2)
+    return t.withColumn("area_m2", area).drop("n_", "m_")
+
+
 def coverage_at(lat: Column, lon: Column, boxes: dict[str, tuple[float, float, float, float]]) -> Column:
     """The name of the first box (south, west, north, east; edges included) that holds a place; null if none does. Boxes
     are configuration, a handful, and become part of the expression."""

@@ -8,9 +8,10 @@ from emberglass.functions import geo
 from emberglass.operators import audits, causal, egress, growth, issues, normalize, routes, scoring, snapshots, spatial
 from emberglass.plans.base import Book, detections
 from emberglass.plans.events import BEAR, HAV
-from emberglass.plans.scoring import STATE_SQL, states
+from emberglass.plans.scoring import STATE_SQL, scored, states
 from emberglass.plans.spatial import MLAT, MLON
 from emberglass.sources import files
+from emberglass.storage import Scratch
 
 book = Book()
 
@@ -295,3 +296,27 @@ def sentence_faults(spark, table):
     ways = table("region").select(F.col("r_regionkey").alias("id"), F.col("r_name").alias("name"), F.col("r_regionkey").cast("long").alias("edge"))
     route_edges = table("lineitem").select((F.col("l_orderkey") * 2).alias("sentence"), (F.col("l_partkey") % 5).alias("edge"))
     return routes.verified(o.select(c.alias("sentence"), k.alias("ord"), name.alias("name")), table("nation").select(F.col("n_nationkey").alias("id"), F.col("n_name").alias("name")), ways, route_edges)
+
+
+@book.add("""WITH b AS (SELECT s_suppkey AS id, 36e0 + (s_suppkey % 20) / 10e0 AS south, -3e0 + (s_suppkey % 15) / 10e0 AS west, (s_suppkey % 7) / 40e0 AS h, (s_suppkey % 5) / 30e0 AS w FROM supplier),
+n AS (SELECT *, greatest(1, CAST(ceil(h * 110977 / 2000) AS INT)) AS n, greatest(1, CAST(ceil(w * 111320 * cos(radians(south + h / 2)) / 2000) AS INT)) AS m FROM b), r AS (SELECT *, unnest(range(0, n)) AS r FROM n), t AS (SELECT *, unnest(range(0, m)) AS c FROM r)
+SELECT id, CAST(r AS INT) AS "row", CAST(c AS INT) AS col, round(south + r * h / n, 9) AS south, round(west + c * w / m, 9) AS west, round(h / n * 110977 * (w / m) * 111320 * cos(radians(south + (r + 0.5) * h / n)), 3) AS area_m2 FROM t""")
+def survey_tiles(spark, table):
+    s = F.col("s_suppkey")
+    south, west = F.lit(36.0) + s % 20 / F.lit(10.0), F.lit(-3.0) + s % 15 / F.lit(10.0)
+    b = table("supplier").select(s.alias("id"), south.alias("south"), west.alias("west"), (south + s % 7 / F.lit(40.0)).alias("north"), (west + s % 5 / F.lit(30.0)).alias("east"))
+    return spatial.survey_tiles(b).select("id", "row", "col", F.round("south", 9).alias("south"), F.round("west", 9).alias("west"), F.round("area_m2", 3).alias("area_m2"))
+
+
+@book.add("SELECT min(at_s) AS origin_s FROM vis", det=True)
+def timeline_origin(spark, table):
+    return causal.timeline_origin(detections(table))
+
+
+@book.add()
+def calibration_fit(spark, table):
+    """Newton's steps are not in SQL; a test compares the fit with one in numpy."""
+    rows = Scratch(spark, "calibration").save(scored(table).withColumn("w", F.lit(1.0) + F.col("doc_id") % 3), "rows")
+    lower = rows.withColumn("p", 0.6 * F.col("p") + 0.4 * F.col("y"))  # the scores tell the classes apart
+    slope, intercept = scoring.fit_calibrator(lower, "y", "p", "w")
+    return spark.createDataFrame([(round(slope, 6), round(intercept, 6))], "slope double, intercept double")

@@ -2,10 +2,11 @@
 
 import math
 
+import numpy as np
 import pytest
 
 from emberglass.functions import geo
-from emberglass.operators import growth, issues, scoring, spatial
+from emberglass.operators import causal, growth, issues, scoring, spatial
 from pyspark.sql import functions as F
 
 SCAN = "cell long, scan_s long, available_s long, flag int, frp double, n_frp int"
@@ -86,3 +87,37 @@ def test_the_first_box_that_holds_a_place(spark):
     df = spark.createDataFrame([(1.5, 1.5), (2.5, 3.0), (9.0, 9.0), (None, 1.0)], "lat double, lon double")
     assert [r[0] for r in df.select(spatial.coverage_at(F.col("lat"), F.col("lon"), boxes)).collect()] == ["a", "b", None, None]
     assert [r[0] for r in df.select(spatial.coverage_at(F.col("lat"), F.col("lon"), {})).collect()] == [None] * 4
+
+
+def test_the_fit_of_a_calibration_is_the_least_of_its_loss(spark):
+    rng = np.random.default_rng(3)
+    p = np.clip(rng.random(600), 0, 1)
+    y, w = (rng.random(600) < 1 / (1 + np.exp(-(0.7 * np.log((p + 1e-3) / (1.001 - p)) - 0.4)))).astype(int), rng.integers(1, 4, 600)
+    rows = [(int(a), float(b), float(c)) for a, b, c in zip(y, p, w)] + [(None, 0.5, 1.0), (1, None, 1.0), (0, 0.5, None)]
+    df = spark.createDataFrame(rows, "y int, p double, w double").cache()
+    slope, intercept = scoring.fit_calibrator(df, "y", "p", "w")
+    z = np.log(np.clip(p, 1e-6, 1 - 1e-6) / (1 - np.clip(p, 1e-6, 1 - 1e-6)))
+    loss = lambda a, b: float((w * (np.logaddexp(0, a * z + b) - y * (a * z + b))).sum() + 0.5e-3 * a * a)
+    best = loss(slope, intercept)
+    assert all(loss(slope + i * 1e-3, intercept + j * 1e-3) > best for i in (-1, 0, 1) for j in (-1, 0, 1) if i or j)
+    assert [r[0] is None for r in df.filter("p is null").select(scoring.calibrated(F.col("p"), 1.0, 0.0)).collect()] == [True]
+    with pytest.raises(ValueError, match="lack a class"):
+        scoring.fit_calibrator(df.filter("y = 1"), "y", "p")
+    with pytest.raises(ValueError, match="not above 0"):
+        scoring.fit_calibrator(df.withColumn("y", 1 - F.col("y")), "y", "p")
+    df.unpersist()
+
+
+def test_tiles_keep_within_the_area_at_any_latitude(spark):
+    rows = [(1, 36.0, -3.0, 36.1, -2.9), (2, 70.0, 10.0, 70.05, 10.4), (3, 1.0, 1.0, 1.0, 1.0), (4, None, 1.0, 1.0, 1.0)]
+    t = spatial.survey_tiles(spark.createDataFrame(rows, "id long, south double, west double, north double, east double")).collect()
+    assert {r["id"] for r in t} == {1, 2, 3} and all(r["area_m2"] <= 4e6 * 1.01 for r in t) and sum(r["id"] == 3 for r in t) == 1
+    for k, s, w, n, e in rows[:2]:
+        mine = [r for r in t if r["id"] == k]
+        assert min(r["south"] for r in mine) == s and math.isclose(max(r["north"] for r in mine), n) and math.isclose(max(r["east"] for r in mine), e)
+        assert math.isclose(sum((r["north"] - r["south"]) * (r["east"] - r["west"]) for r in mine), (n - s) * (e - w))
+
+
+def test_origin_of_a_window_or_of_the_first_detection(spark):
+    det = spark.createDataFrame([(5,), (3,), (None,)], "at_s long")
+    assert [causal.timeline_origin(d, s).first()[0] for d, s in ((det, 9), (det, None), (det.limit(0), None))] == [9, 3, None]
