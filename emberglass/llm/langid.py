@@ -52,8 +52,8 @@ def runs(word: str, n: int) -> list[str]:
 
 @dataclass
 class Model:
-    """Counts by language: {word: {language's place: times}}, {run: {language's place: times}}, and all words' and, by
-    length, all runs' times in each language."""
+    """Counts by language: {word: {language's place: times}}, {run: {language's place: times}}, and what all words' and, by
+    length, all runs' times in each language are divided by."""
 
     langs: list[str]
     prior: np.ndarray
@@ -63,11 +63,11 @@ class Model:
     n_runs: dict[int, np.ndarray]
 
     def row(self, of: dict[int, int], total: np.ndarray) -> np.ndarray:
-        """Log frequencies, half a time being added to each."""
+        """Log frequencies, half a time being added to each entry."""
         n = np.full(len(self.langs), 0.5)
         for k, times in of.items():
             n[k] += times
-        return np.log(n / (total + 1))
+        return np.log(n / total)
 
     def word(self, word: str) -> np.ndarray:
         """Log frequencies of a word by language: its own, or the mean of its longest known runs; else it tells nothing."""
@@ -189,17 +189,20 @@ def fit(docs: DataFrame, scratch: Scratch, text_col: str = "text", lang_col: str
         return out
 
     def totals(found) -> np.ndarray:
-        out = np.zeros(len(langs))
+        """All times of a language, and half a time for each entry that any language has: one with few words must not
+        find all others likely."""
+        out = np.full(len(langs), sum(r["entries"] for r in found) / 2)
         for r in found:
             out[place[r["lang"]]] += r["n"]
         return out
 
-    n_words = totals(counts.groupBy("lang").agg(F.sum("n").alias("n")).collect())
-    n_runs = grams.groupBy("lang", "length").agg(F.sum("n").alias("n")).collect()
+    sums = [F.sum("n").alias("n"), F.count("*").alias("entries")]
+    n_words = totals(counts.groupBy("lang").agg(*sums).collect())
+    n_runs = grams.groupBy("lang", "length").agg(*sums).collect()
     best_words = kept(_most_frequent(counts, ["lang"], "word", max(1, max_words // len(langs))), 0)
     best_runs = kept(_most_frequent(grams, ["lang", "length"], "word", max(1, max_runs // len(langs) // len(LENGTHS))), 1)
     share = np.array([shares[x] for x in langs], float)
-    return Model(langs, np.log(share / share.sum()), best_words, best_runs, n_words, {n: totals(r for r in n_runs if r["length"] == n) for n in LENGTHS})
+    return Model(langs, np.log(share / share.sum()), best_words, best_runs, n_words, {n: totals([r for r in n_runs if r["length"] == n]) for n in LENGTHS})
 
 
 def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
