@@ -54,24 +54,59 @@ def timeline(det: DataFrame, start_s: int | None = None, end_s: int | None = Non
     )
 
 
+def timeline_frames(det: DataFrame, start_s: int | None = None, end_s: int | None = None) -> DataFrame:
+    """The frames of timeline() as rows (frame_s), each once, in no order: the distinct times within, start and end
+    included. Nothing without a time, unless start and end are both given."""
+    within = det.select(F.col("available_s").cast("long").alias("frame_s")).filter("frame_s is not null")
+    ends = within.agg(F.min("frame_s").alias("lo"), F.max("frame_s").alias("hi"))  # one row
+    ends = ends.select(F.lit(start_s).cast("long").alias("lo") if start_s is not None else "lo", F.lit(end_s).cast("long").alias("hi") if end_s is not None else "hi")
+    for bound, sign in ((start_s, ">="), (end_s, "<=")):
+        within = within if bound is None else within.filter(f"frame_s {sign} {int(bound)}")
+    return within.union(ends.select(F.explode(F.array("lo", "hi")))).filter("frame_s is not null").distinct()
+
+
 def timeline_origin(det: DataFrame, from_s: int | None = None) -> DataFrame:
     """One row: origin_s, where a window starts or, if it doesn't say, the earliest at_s; null without either."""
     return det.agg(F.coalesce(F.lit(from_s).cast("long"), F.min("at_s")).alias("origin_s"))
 
 
+#: As-of picks run over buckets of seconds (about an hour), and these over spans (about a year), as powers of two; times lie
+#: within 2**38 seconds of the origin, which is past the year 9999.
+BUCKET_BITS, SPAN_BITS, TIME_BITS = 12, 25, 38
+
+
 def asof(frames: DataFrame, cursors: DataFrame, by: str | None = None) -> DataFrame:
     """cursors (cursor_s) with the latest frame (frame_s, payload) not after each; before the first frame the first.
 
-    A union and a running last, so that neither side meets all of the other. by names a column to do it within.
+    by names a column to do it within. Of frames at one second that with the largest payload counts. Without any frame
+    there are no rows; repeated cursors keep their number; a cursor without a time has none before it.
+
+    Frames and cursors are counted down to one row a second first. Each bucket's last frame is then carried on over the
+    buckets of its span, each span's over the spans, and only within its own bucket is a cursor compared with frames. So
+    every window holds a few thousand rows at most, however many rows or however few groups there are.
     """
     part = [by] if by else []
-    f = frames.select(*part, F.col("frame_s").alias("t"), F.lit(0).alias("is_cursor"), F.struct("frame_s", "payload").alias("f"))
-    c = cursors.select(*part, F.col("cursor_s").alias("t"), F.lit(1).alias("is_cursor"), F.lit(None).cast(f.schema["f"].dataType).alias("f"))
-    w = Window.partitionBy(*part).orderBy("t", "is_cursor")
-    both = f.union(c).withColumn("last", F.last("f", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    both = both.withColumn("first", F.first("f", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
-    hit = F.coalesce("last", "first")
-    return both.filter("is_cursor = 1").select(*part, F.col("t").alias("cursor_s"), hit["frame_s"].alias("frame_s"), hit["payload"].alias("payload"))
+    told = lambda t: F.when(F.abs(t) < 2**TIME_BITS, t).when(t.isNotNull(), F.raise_error(F.lit("a time is out of range")).cast("long"))
+    f = frames.filter("frame_s is not null").groupBy(*part, F.col("frame_s").alias("t")).agg(F.max(F.struct("frame_s", "payload")).alias("f"))
+    c = cursors.select(*part, F.col("cursor_s").alias("t")).filter("t is not null").distinct()
+    both = f.withColumn("asked", F.lit(False)).unionByName(c.withColumn("asked", F.lit(True)), allowMissingColumns=True)
+    both = both.withColumn("u", told(F.col("t")) + F.lit(2**TIME_BITS))
+    keyed = both.withColumns({"bucket": F.shiftright("u", BUCKET_BITS), "span": F.shiftright("u", SPAN_BITS), "all": F.shiftright("u", TIME_BITS + 1)})
+    buckets = keyed.groupBy(*part, "all", "span", "bucket").agg(F.max("f").alias("last"), F.min("f").alias("first"))
+    spans = buckets.groupBy(*part, "all", "span").agg(F.max("last").alias("last"), F.min("first").alias("first"))
+
+    def before(keys: list[str], order: str):
+        return F.max("last").over(Window.partitionBy(*part, *keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1))
+
+    whole = Window.partitionBy(*part, "all")
+    spans = spans.select(*part, "span", before(["all"], "span").alias("of_span"), F.min("first").over(whole).alias("first"))
+    buckets = buckets.select(*part, "span", "bucket", before(["span"], "bucket").alias("of_bucket"))
+    carried = buckets.join(spans, [*part, "span"]).select(*part, "bucket", F.coalesce("of_bucket", "of_span").alias("carried"), "first")
+    w = Window.partitionBy(*part, "bucket").orderBy("t", "asked").rowsBetween(Window.unboundedPreceding, 0)
+    near = keyed.select(*part, "bucket", "t", "asked", F.last("f", ignorenulls=True).over(w).alias("own")).filter("asked")
+    hit = near.join(carried, [*part, "bucket"]).select(*part, F.col("t").alias("cursor_s"), F.coalesce("own", "carried", "first").alias("hit"))
+    hit = hit.filter("hit is not null").select(*part, "cursor_s", F.col("hit.frame_s").alias("frame_s"), F.col("hit.payload").alias("payload"))
+    return cursors.select(*part, "cursor_s").join(hit, [*part, "cursor_s"]).select(*part, "cursor_s", "frame_s", "payload")
 
 
 def known_cut(cut: Column, latency: Column, cursor_s: int) -> Column:

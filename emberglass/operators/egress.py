@@ -1,14 +1,13 @@
 """Latest departures on a road graph that fire cuts in time, routes, bands and the gate.
 
-One departure solve is a max-min search from the destinations backwards. Solves for different profiles, configurations
-and destinations don't depend on each other: each is a group of its own, over the edges of its region.
+A departure is found by a max-min search from the destinations backwards. Searches for different profiles, configurations
+and destinations are lanes of one table: they take their steps together, over one table of edges.
 """
 
 from __future__ import annotations
 
 import heapq
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -73,20 +72,67 @@ def route(edges: list[tuple], cut: dict, departure: dict, source, destinations:
     return None
 
 
-def departures(edges: DataFrame, keys: list[str]) -> DataFrame:
+#: Hops that one written round of a search takes.
+HOPS = 6
+
+
+def relaxed(edges: DataFrame, seeds: DataFrame, scratch: Scratch, on: list[str], lane: list[str], until: Column, travel: Column, max_rounds: int = 100_000) -> DataFrame:
+    """(on, lane, node, depart_s): the latest second at which one may leave a node and still be in time, for every lane.
+
+    edges: on, src, dst, and what until (the second from which an edge can't be used) and travel (seconds, not negative)
+    are made of; both may also use the lane's columns, so one table of edges serves all profiles and configurations.
+    seeds: on, lane, node, depart_s (infinite: never cut), the destinations.
+
+    A label-correcting search over all lanes at once. A hop joins the nodes' values with the edges that arrive there and
+    keeps the greatest offer by lane and node; a node whose value has not risen offers nothing but that value, by a loop of
+    its own, so old values and new offers meet in one aggregate. HOPS of them are one job; its result is written, and the
+    search ends when nothing rose in its last hop. Partial aggregates take the offers to a node with many ways out; a node
+    with many ways in is a join key that can be split.
+    """
+    loops = edges.select(*on, F.explode(F.array("src", "dst")).alias("node")).union(seeds.select(*on, "node")).distinct()
+    ways = edges.withColumn("loop", F.lit(False)).unionByName(loops.select(*on, F.col("node").alias("src"), F.col("node").alias("dst"), F.lit(True).alias("loop")), allowMissingColumns=True)
+    ways = scratch.save(ways.withColumnRenamed("dst", "node"), "ways")
+    keys = [*on, *lane, "node"]
+    now = seeds.groupBy(*keys).agg(F.max("depart_s").alias("g")).withColumn("fresh", F.lit(True))
+    seen = None
+    for _ in range(max_rounds):
+        for _ in range(HOPS):
+            offer = F.when(F.col("loop"), F.col("g")).otherwise(F.least(until, F.col("g")) - travel)
+            met = now.join(ways, [*on, "node"]).filter(F.col("loop") | F.col("fresh"))
+            offers = met.select(*on, *lane, F.col("src").alias("node"), offer.alias("g"), F.when(F.col("loop"), F.col("g")).alias("own"))
+            best = offers.groupBy(*keys).agg(F.max("g").alias("g"), F.max("own").alias("own"))
+            now = best.select(*keys, "g", (F.col("own").isNull() | (F.col("g") > F.col("own"))).alias("fresh"))
+        now = scratch.save(now, "values")
+        if seen is not None:
+            scratch.drop(seen)
+        seen = now
+        if now.filter("fresh").isEmpty():
+            return now.select(*keys, F.col("g").alias("depart_s"))
+    raise RuntimeError(f"values still rise after {max_rounds * HOPS} hops")
+
+
+def departures(edges: DataFrame, keys: list[str], scratch: Scratch) -> DataFrame:
     """(keys, node, depart_s) for edges (keys, edge, src, dst, travel_s, cut_s null if never, and the destinations as
-    rows with edge null: dst, cut_s). A departure without any bound is null. Each group is one graph and one solve."""
-    schema = ", ".join(f"{k} {edges.schema[k].dataType.simpleString()}" for k in keys) + ", node long, depart_s double"
-
-    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        road = pdf[pdf["edge"].notna()]
-        seeds = {int(d): (float(c) if pd.notna(c) else INF) for d, c in zip(pdf.loc[pdf["edge"].isna(), "dst"], pdf.loc[pdf["edge"].isna(), "cut_s"])}
-        rows = list(zip(road["edge"], road["src"].astype("int64"), road["dst"].astype("int64"), road["travel_s"].astype(float)))
-        cut = {e: float(c) for e, c in zip(road["edge"], road["cut_s"]) if pd.notna(c)}
-        best = latest_departure(rows, cut, seeds)
-        return pd.DataFrame([{**{k: pdf[k].iloc[0] for k in keys}, "node": n, "depart_s": None if g == INF else g} for n, g in sorted(best.items())], columns=[*keys, "node", "depart_s"])
-
-    return edges.groupBy(*keys).applyInPandas(solve, schema)
+    rows with edge null: dst, cut_s). A departure without any bound is null. Each group of keys is a graph of its own;
+    all are searched together."""
+    never = F.lit(INF)
+    ends = edges.filter("edge is null").select(*keys, F.col("dst").alias("node"), F.coalesce("cut_s", never).cast("double").alias("depart_s"))
+    roads = edges.filter("edge is not null").select(*keys, "src", "dst", "travel_s", "cut_s")
+    found = relaxed(roads, ends, scratch, keys, [], F.coalesce("cut_s", never), F.col("travel_s"))
+    return found.select(*keys, "node", F.when(F.col("depart_s") < INF, F.col("depart_s")).alias("depart_s"))
+
+
+def departure_lanes(edges: DataFrame, ends: DataFrame, lanes: DataFrame, scratch: Scratch) -> DataFrame:
+    """(profile, config, destination, node, depart_s; null if unbounded) for every lane and destination.
+
+    edges: src, dst, travel (map of profile to seconds), cut (map of config to the second of the cut, no entry if none).
+    ends: destination, node, cut (the node's own, likewise). lanes: profile, config.
+    """
+    seeds = ends.crossJoin(lanes)  # profiles x configurations: a row for every answer asked for
+    seeds = seeds.select("profile", "config", "destination", "node", F.coalesce(F.try_element_at("cut", F.col("config")), F.lit(INF)).alias("depart_s"))
+    until, travel = F.coalesce(F.try_element_at("cut", F.col("config")), F.lit(INF)), F.element_at("travel", F.col("profile"))
+    found = relaxed(edges, seeds, scratch, [], ["profile", "config", "destination"], until, travel)
+    return found.withColumn("depart_s", F.when(F.col("depart_s") < INF, F.col("depart_s")))
 
 
 def scaled_travel(travel_s: Column, highway: Column, scale: Column) -> Column:

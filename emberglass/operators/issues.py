@@ -40,17 +40,20 @@ def thinned(rows: DataFrame, by: str, order: str, most: int) -> DataFrame:
 
 def horizon_labels(flags: DataFrame, issues: DataFrame, step_s: int = 600) -> DataFrame:
     """(cell, issue_s, fire_1, known_1, ... for each of HORIZONS): whether a cell burns in the first h hours after a full
-    hour, and whether that is known: fire at some scan (flag 1 or 2), or clear (0) at every one.
+    hour, and whether that is known: fire at some scan (flag 1 or 2), or clear (0) at every one that is due. A scan that
+    comes more than once is one scan, and clear only if all its rows say so.
 
     Issues meet scans by the hour in an equality join, so a scan is used by six issues at most.
     """
     asked = issues.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(max(HORIZONS) - 1)))).withColumn("hour", F.col("issue_s") / HOUR + F.col("k"))
-    met = flags.withColumn("hour", F.floor(F.col("scan_s") / HOUR).cast("double")).join(asked, "hour")
+    # one row a scan, so that neither repeats nor a row without a time can stand in for one that is missing
+    scans = flags.groupBy("cell", "scan_s").agg(F.bool_or(F.col("flag").isin(1, 2)).alias("fire"), F.bool_and(F.coalesce(F.col("flag") == 0, F.lit(False))).alias("clear")).filter("scan_s is not null")
+    met = scans.withColumn("hour", F.floor(F.col("scan_s") / HOUR).cast("double")).join(asked, "hour")
     out = []
     for h in HORIZONS:
-        in_h, fire = F.col("k") < h, F.col("flag").isin(1, 2)
-        burns = F.coalesce(F.bool_or(F.when(in_h, fire)), F.lit(False))
-        out += [burns.alias(f"fire_{h}"), (burns | (F.count_if(in_h & (F.col("flag") == 0)) == h * HOUR // step_s)).alias(f"known_{h}")]
+        in_h, due = F.col("k") < h, F.col("scan_s") % step_s == 0
+        burns = F.coalesce(F.bool_or(F.when(in_h, F.col("fire"))), F.lit(False))
+        out += [burns.alias(f"fire_{h}"), (burns | (F.count_if(in_h & due & F.col("clear")) == h * HOUR // step_s)).alias(f"known_{h}")]
     return met.groupBy("cell", "issue_s").agg(*out)
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from emberglass.constants import sweep_configs
 from emberglass.operators import alerts, causal, egress, growth, situation, spatial
+from emberglass.storage import Scratch
 
 MOST_S = 253402300799
 
@@ -43,7 +44,7 @@ def cut_segments(segments: DataFrame, det: DataFrame, at_s: int) -> DataFrame:
 
 
 def departures_of(edges: DataFrame, keys: list[str]) -> DataFrame:
-    return egress.departures(edges, keys)
+    return egress.departures(edges, keys, Scratch(edges.sparkSession, "departures"))
 
 
 def ledger(entries: DataFrame, limit: int | None) -> DataFrame:

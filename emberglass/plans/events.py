@@ -31,6 +31,21 @@ def capture_timeline(spark, table):
     return causal.timeline(detections(table)).select("start_s", "end_s", "duration_s", F.size("frames").cast("long").alias("n_frames"))
 
 
+@book.add("SELECT DISTINCT available_s AS frame_s FROM vis", det=True)
+def capture_frames(spark, table):
+    return causal.timeline_frames(detections(table))
+
+
+@book.add("""WITH f AS (SELECT cluster_id, at_s AS frame_s, max(id) AS payload FROM vis WHERE source = 'MTG_I1' GROUP BY ALL),
+c AS (SELECT cluster_id, available_s AS cursor_s FROM vis WHERE source <> 'MTG_I1'), k AS (SELECT DISTINCT * FROM c),
+j AS (SELECT k.cluster_id, k.cursor_s, max(CASE WHEN frame_s <= cursor_s THEN frame_s END) AS t, min(frame_s) AS first FROM k JOIN f USING (cluster_id) GROUP BY ALL)
+SELECT c.cluster_id, c.cursor_s, f.frame_s, f.payload FROM c JOIN j USING (cluster_id, cursor_s) JOIN f ON f.cluster_id = c.cluster_id AND f.frame_s = coalesce(t, first)""", det=True)
+def frame_asof_by_cluster(spark, table):
+    det = detections(table)
+    frames = det.filter("source = 'MTG_I1'").select("cluster_id", F.col("at_s").alias("frame_s"), F.col("id").alias("payload"))
+    return causal.asof(frames, det.filter("source <> 'MTG_I1'").select("cluster_id", F.col("available_s").alias("cursor_s")), by="cluster_id")
+
+
 @book.add("""WITH f AS (SELECT at_s AS frame_s, min(id) AS payload FROM vis WHERE source = 'MTG_I1' GROUP BY at_s),
 c AS (SELECT DISTINCT at_s AS cursor_s FROM vis WHERE source = 'SENTINEL_3A'),
 j AS (SELECT cursor_s, (SELECT max(frame_s) FROM f WHERE frame_s <= cursor_s) AS t FROM c)
@@ -199,6 +214,9 @@ def polygon_parts_explode(spark, table):
 @book.add(f"SELECT a.id AS a, b.id AS b, round({HAV.format(a='a.lat', b='b.lat', c='a.lon', d='b.lon')}, 6) AS km FROM vis a JOIN vis b ON a.cluster_id = b.cluster_id AND a.id < b.id AND b.at_s - a.at_s <= 3600 AND a.at_s - b.at_s <= 3600", det=True)
 def haversine_pairs(spark, table):
     a = detections(table).select(F.col("id").alias("a"), "cluster_id", F.col("at_s").alias("ta"), F.col("lat").alias("lat1"), F.col("lon").alias("lon1"))
-    b = a.toDF("b", "cluster_id", "tb", "lat2", "lon2")
-    near = a.join(b, "cluster_id").filter("a < b and abs(ta - tb) <= 3600")
+    hour = F.floor(F.col("ta") / 3600).cast("long")
+    b = a.withColumn("hour", hour).toDF("b", "cluster_id", "tb", "lat2", "lon2", "hour")
+    # within an hour of each other: the same hour or its neighbours
+    a = a.withColumn("hour", F.explode(F.array(hour - 1, hour, hour + 1)))
+    near = a.join(b, ["cluster_id", "hour"]).filter("a < b and abs(ta - tb) <= 3600")
     return near.select("a", "b", F.round(geo.haversine_km(F.col("lat1"), F.col("lon1"), F.col("lat2"), F.col("lon2")), 6).alias("km"))

@@ -54,6 +54,23 @@ def horizon_labels(spark, table):
     return issues.horizon_labels(flags, spark.range(40).select((F.col("id") * 36000).alias("issue_s")))
 
 
+_LABELS = ", ".join(
+    f"coalesce(bool_or(fire) FILTER (WHERE d < {h * 3600}), false) AS fire_{h}, "
+    f"coalesce(bool_or(fire) FILTER (WHERE d < {h * 3600}), false) OR count(*) FILTER (WHERE d < {h * 3600} AND clear) = {h * 6} AS known_{h}"
+    for h in issues.HORIZONS
+)
+
+
+@book.add(f"""WITH f AS (SELECT l_partkey % 3 AS cell, (l_orderkey * 7 + l_linenumber) % 20000 * 600 AS s, CASE WHEN l_suppkey % 61 = 0 THEN 1 WHEN l_suppkey % 47 = 0 THEN 4 ELSE 0 END AS flag FROM lineitem),
+g AS (SELECT cell, s, bool_or(flag = 1) AS fire, bool_and(flag = 0) AS clear FROM f GROUP BY ALL), i AS (SELECT unnest(range(0, 333)) * 36000 AS issue_s),
+m AS (SELECT cell, issue_s, s - issue_s AS d, fire, clear FROM g, i WHERE s >= issue_s AND s < issue_s + 21600) SELECT cell, issue_s, {_LABELS} FROM m GROUP BY cell, issue_s""")
+def repeated_scan_labels(spark, table):
+    scan = (F.col("l_orderkey") * 7 + F.col("l_linenumber")) % 20000 * 600
+    flag = F.when(F.col("l_suppkey") % 61 == 0, 1).when(F.col("l_suppkey") % 47 == 0, 4).otherwise(0)
+    flags = table("lineitem").select((F.col("l_partkey") % 3).alias("cell"), scan.alias("scan_s"), flag.alias("flag"))
+    return issues.horizon_labels(flags, spark.range(333).select((F.col("id") * 36000).alias("issue_s")))
+
+
 @book.add("""SELECT CAST(floor((lat - 37) * 200) AS BIGINT) AS "row", CAST(floor((lon + 2) * 100) AS BIGINT) AS col, round(coalesce(sum(CASE WHEN frp > 0 THEN frp END), 0), 6) AS frp, count(*) AS detections FROM vis GROUP BY 1, 2""", det=True)
 def grid_sums(spark, table):
     d = detections(table).select(F.floor((F.col("lat") - 37) * 200).alias("row"), F.floor((F.col("lon") + 2) * 100).alias("col"), "frp")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from emberglass.constants import profiles
+from emberglass.constants import PROFILES, SWEEP, profiles, sweep_configs
 from emberglass.operators import alerts, egress
 from emberglass.plans.base import Book
 from emberglass.storage import Scratch
@@ -29,7 +29,26 @@ _LAYERS = ", ".join(f"r{k} AS (SELECT e.region, e.src AS node, max(least(coalesc
 def latest_departure(spark, table):
     edges = graph(table)
     ends = edges.select("region").distinct().withColumn("k", F.explode(F.array(F.lit(0), F.lit(1)))).select(F.lit(None).cast("long").alias("edge"), "region", F.lit(None).cast("long").alias("src"), (60 + F.col("k")).cast("long").alias("dst"), F.lit(None).cast("double").alias("travel_s"), (5000.0 + 100 * F.col("k")).alias("cut_s"))
-    return egress.departures(edges.unionByName(ends), ["region"])
+    return egress.departures(edges.unionByName(ends), ["region"], Scratch(spark, "departures"))
+
+
+def lanes_graph(spark, table):
+    """(edges, ends, lanes): orders as roads that lead from a customer to twice or half its number, with ways round; travel
+    by profile and cuts by configuration as maps; the first three customers are destinations."""
+    o, c = F.col("o_orderkey"), F.col("o_custkey")
+    configs = [(k, name) for k, name, *_ in SWEEP]
+    to = F.when(o % 3 == 0, F.greatest(F.lit(1), F.floor(c / 2))).otherwise(c * 2 + o % 2).cast("long")
+    travel = F.create_map(*[x for name, *_, speed, _ in PROFILES for x in (F.lit(name), F.round((60 + o % 50) / speed))])
+    cut = F.map_from_entries(F.array_compact(F.array(*[F.when((o + k) % 5 < 2, F.struct(F.lit(name).alias("k"), (2000.0 + (o * (k + 1)) % 3000).alias("v"))) for k, name in configs])))
+    edges = table("orders").select(o.alias("edge"), c.alias("src"), to.alias("dst"), travel.alias("travel"), cut.alias("cut"))
+    own = F.map_from_entries(F.array(*[F.struct(F.lit(name).alias("k"), F.lit(4000.0 + 100 * k).alias("v")) for k, name in configs if k % 3]))
+    ends = table("customer").filter("c_custkey <= 3").select(F.col("c_custkey").alias("destination"), F.col("c_custkey").alias("node"), own.alias("cut"))
+    return edges, ends, profiles(spark).select("profile").crossJoin(sweep_configs(spark).select("config"))  # 24 rows
+
+
+@book.add()
+def departure_lanes(spark, table):
+    return egress.departure_lanes(*lanes_graph(spark, table), Scratch(spark, "lanes"))
 
 
 @book.add("""WITH RECURSIVE g AS (SELECT s_suppkey AS a, s_suppkey - s_suppkey % 4 AS b FROM supplier WHERE s_suppkey % 4 > 0), u AS (SELECT a, b FROM g UNION SELECT b, a FROM g),
