@@ -20,6 +20,19 @@ lat AS (SELECT *, CASE source WHEN 'MTG_I1' THEN 1020 WHEN 'SENTINEL_3A' THEN 21
 vis AS (SELECT *, at_s + latency_s AS available_s FROM lat)"""
 
 
+class Tables:
+    """table(name) is a driver table, table.stream(name) the stream of its files."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        self.spark, self.sf_dir = spark, sf_dir
+
+    def __call__(self, name: str) -> DataFrame:
+        return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+
+    def stream(self, name: str) -> DataFrame:
+        return self.spark.readStream.schema(self(name).schema).parquet(f"{self.sf_dir}/{name}.parquet*")
+
+
 class Book:
     """Queries by name with their DuckDB SQL."""
 
@@ -32,7 +45,7 @@ class Book:
 
         def register(f):
             name = f.__name__
-            self.queries[name] = lambda spark, sf_dir: f(spark, lambda t: spark.read.parquet(f"{sf_dir}/{t}.parquet"))
+            self.queries[name] = lambda spark, sf_dir: f(spark, Tables(spark, sf_dir))
             if sql:
                 text = sql.strip()
                 self.sql[name] = (f"WITH {DET_SQL}, {text[5:]}" if text[:5].upper() == "WITH " else f"WITH {DET_SQL} {text}") if det else text

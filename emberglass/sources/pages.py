@@ -9,9 +9,9 @@ from collections.abc import Callable, Iterator, Sequence
 from datetime import UTC, datetime
 from urllib.parse import urlsplit
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, Filter, GreaterThanOrEqual, InputPartition, LessThan
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, Filter, GreaterThanOrEqual, InputPartition, LessThan
 
 PAGE, MOST_PAGES, ATTEMPTS = 1000, 200, 3
 TIME_FIELD = {"hotspots": "observed_at", "clusters": "last_observed", "perimeters": "computed_at"}
@@ -77,6 +77,39 @@ class Day(InputPartition):
         self.start, self.end = start, end
 
 
+def days(start: int, end: int) -> list[Day]:
+    first = start - start % 86400
+    return [Day(max(d, start), min(d + 86400, end)) for d in range(first, end, 86400)]
+
+
+def _named(name: str) -> Callable:
+    """module:function"""
+    import importlib
+
+    module, _, function = name.partition(":")
+    return getattr(importlib.import_module(module), function)
+
+
+def rows_of(options: dict, day: Day) -> Iterator[tuple]:
+    get = _named(options["transport"])
+    path = f"{options['collection']}?from_s={day.start}&to_s={day.end}"
+    if "bbox" in options:
+        start, end = (datetime.fromtimestamp(t, UTC).strftime("%Y-%m-%dT%H:%M:%SZ") for t in (day.start, day.end))
+        path = window_path(options["collection"], start, end, [float(x) for x in options["bbox"].split(",")])
+    if "base_url" in options:
+        path = f"{base_url(options['base_url'], options['hosts'].split(','))}/{path}"
+    until = time.monotonic() + float(options["deadline_s"]) if "deadline_s" in options else None
+
+    def timely(url: str) -> str:
+        if until is not None and time.monotonic() > until:
+            raise ValueError(f"{options['collection']} took longer than {options['deadline_s']} s")
+        return get(url)
+
+    for f in all_pages(timely, path, wait=float(options.get("wait", 0.5))):
+        p = f.get("properties") or {}
+        yield str(p.get("id") or f.get("id") or ""), p.get("at_s"), json.dumps(f.get("geometry")), json.dumps(p)
+
+
 class FeatureReader(DataSourceReader):
     def __init__(self, options: dict):
         self.options, self.start, self.end = options, int(options["from_s"]), int(options["to_s"])
@@ -91,28 +124,52 @@ class FeatureReader(DataSourceReader):
             yield f
 
     def partitions(self) -> list[Day]:
-        first = self.start - self.start % 86400
-        return [Day(max(d, self.start), min(d + 86400, self.end)) for d in range(first, self.end, 86400)]
+        return days(self.start, self.end)
+
+    def read(self, day: Day) -> Iterator[tuple]:
+        return rows_of(self.options, day)
+
+
+class FeatureStreamReader(DataSourceStreamReader):
+    """Offsets are the second up to which a collection has been read. A batch is what lies between two of them, a partition
+    a day: it can be read again and gives the same question, so a restart from any offset misses and repeats nothing."""
+
+    def __init__(self, options: dict):
+        self.options, self.start = options, int(options["from_s"])
+        self.end = int(options["to_s"]) if "to_s" in options else None
+        self.reached = self.start
+
+    def initialOffset(self) -> dict:
+        return {"at_s": self.start}
+
+    def latestOffset(self) -> dict:
+        """The last full step_s that lies lag_s back, never less than before."""
+        now = int(_named(self.options["clock"])() if "clock" in self.options else time.time()) - int(self.options.get("lag_s", 0))
+        step = int(self.options.get("step_s", 3600))
+        at = now - now % step
+        self.reached = max(self.reached, at if self.end is None else min(at, self.end))
+        return {"at_s": self.reached}
+
+    def partitions(self, start: dict, end: dict) -> list[Day]:
+        self.reached = max(self.reached, end["at_s"])
+        return days(start["at_s"], end["at_s"])
 
     def read(self, day: Day) -> Iterator[tuple]:
-        import importlib
+        return rows_of(self.options, day)
 
-        module, _, name = self.options["transport"].partition(":")
-        get = getattr(importlib.import_module(module), name)
-        path = f"{self.options['collection']}?from_s={day.start}&to_s={day.end}"
-        if "bbox" in self.options:
-            start, end = (datetime.fromtimestamp(t, UTC).strftime("%Y-%m-%dT%H:%M:%SZ") for t in (day.start, day.end))
-            path = window_path(self.options["collection"], start, end, [float(x) for x in self.options["bbox"].split(",")])
-        for f in all_pages(get, path, wait=float(self.options.get("wait", 0.5))):
-            p = f.get("properties") or {}
-            yield str(p.get("id") or f.get("id") or ""), p.get("at_s"), json.dumps(f.get("geometry")), json.dumps(p)
+    def commit(self, end: dict) -> None:
+        """The source keeps nothing for a reader, so there is nothing to let go."""
 
 
 class FeatureSource(DataSource):
     """spark.read.format("features"): options collection, from_s, to_s, transport (module:function from path to body).
 
     With the option bbox (west,south,east,north) the box, the day's bounds and active features are asked for by the
-    collection's filter; else the day's bounds alone by plain parameters.
+    collection's filter; else the day's bounds alone by plain parameters. With base_url, which must name one of hosts, paths
+    become addresses. A day that takes longer than deadline_s is an error.
+
+    As a stream to_s may be missing: it follows clock (module:function, seconds; the machine's if none) lag_s behind, in
+    steps of step_s.
     """
 
     @classmethod
@@ -124,3 +181,12 @@ class FeatureSource(DataSource):
 
     def reader(self, schema) -> FeatureReader:
         return FeatureReader(dict(self.options))
+
+    def streamReader(self, schema) -> FeatureStreamReader:
+        return FeatureStreamReader(dict(self.options))
+
+
+def register(spark: SparkSession) -> None:
+    """Makes the source known to the session, and lets it see filters."""
+    spark.dataSource.register(FeatureSource)
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")

@@ -34,7 +34,7 @@ _roots: dict[str, SparkSession] = {}
 
 def _delete(spark: SparkSession, path: str) -> None:
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jvm.org.apache.hadoop.conf.Configuration()).delete(p, True)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
 @atexit.register

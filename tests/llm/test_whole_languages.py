@@ -76,10 +76,10 @@ def test_small_caches_give_the_same(spark, monkeypatch):
     whole = langid.Scorer(model).score(long)
     monkeypatch.setattr(langid, "_BLOCK", 7)
     small = langid.Scorer(model)
-    small.most = 20
+    small.words.most = small.runs.most = 20
     lang, score = small.score(long)
     assert (lang, score) == (whole[0], pytest.approx(whole[1]))
-    assert len(small.at) <= 20
+    assert len(small.words.at) <= 20 and len(small.runs.at) <= 20
 
 
 def test_words_left_out_back_off(spark):
@@ -120,3 +120,11 @@ def test_held_out_rows_teach_nothing(spark, tmp_path):
         df.write.parquet(f"{tmp_path}/{name}/documents.parquet")
     a, b = ({r["doc_id"]: (r["lang_pred"], r["score"]) for r in op13_langid.query(spark, f"{tmp_path}/{x}").filter("not held_out").collect()} for x in "ab")
     assert a == b and "zz" not in {x[0] for x in b.values()}
+
+
+@pytest.mark.parametrize("text", ["Plain ascii, 9 words_here!", "Été à Zürich ² ½ ª º", "Ünd “so” – weiter", "", "\U0001d400 \U00010400x", "हिन्दी ét x1y_z"])
+def test_quick_patterns_find_the_same_words(text, monkeypatch):
+    want = [m.group() for m in langid.word_pattern().finditer(text.lower())]
+    assert langid.words(text) == want
+    monkeypatch.setattr(langid, "_BLOCK", 2)
+    assert langid.words(text) == want and all(len(b) <= 2 for b in langid.blocks(text))
