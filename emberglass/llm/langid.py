@@ -26,23 +26,39 @@ from emberglass.storage import Scratch
 #: Lengths of runs, longest first; word ends are marked and count as characters.
 LENGTHS = (5, 4, 3, 2, 1)
 #: Entries a training task counts before it sends them on, and numbers a scoring worker keeps for words it has met.
-_COUNTED, _KEPT = 500_000, 8_000_000
+_COUNTED, _KEPT = 500_000, 2_000_000
 #: Words of one text that are scored at once.
 _BLOCK = 65_536
 UNDETERMINED = "und"
+#: The first mark; letters below it are few, and quick to tell from the rest.
+_FIRST_MARK = 0x300
+_HIGH = re.compile(f"[{chr(_FIRST_MARK)}-{chr(sys.maxunicode)}]")
 
 
 @cache
-def word_pattern() -> re.Pattern:
-    """Runs of letters, with the marks that follow them, in any script."""
-    kinds = "".join(unicodedata.category(chr(c))[0] for c in range(sys.maxunicode + 1))
+def word_pattern(end: int = sys.maxunicode + 1) -> re.Pattern:
+    """Runs of letters, with the marks that follow them, in any script; characters from end on are taken for neither."""
+    kinds = "".join(unicodedata.category(chr(c))[0] for c in range(end))
     spans = {k: "".join(f"{re.escape(chr(m.start()))}-{re.escape(chr(m.end() - 1))}" for m in re.finditer(f"{k}+", kinds)) for k in "LM"}
     return re.compile(f"[{spans['L']}][{spans['L']}{spans['M']}]*")
 
 
-def words(text: str) -> Iterator[str]:
-    """Lower-cased words, one at a time."""
-    return (m.group() for m in word_pattern().finditer(text.lower()))
+def blocks(text: str) -> Iterator[list[str]]:
+    """Lower-cased words, at most _BLOCK at a time."""
+    low = text.lower()
+    pattern = word_pattern(128) if low.isascii() else word_pattern() if _HIGH.search(low) else word_pattern(_FIRST_MARK)
+    if len(low) < _BLOCK:
+        found = pattern.findall(low)
+        if found:
+            yield found
+        return
+    matches = pattern.finditer(low)
+    while block := [m.group() for m in islice(matches, _BLOCK)]:
+        yield block
+
+
+def words(text: str) -> list[str]:
+    return [w for block in blocks(text) for w in block]
 
 
 def runs(word: str, n: int) -> list[str]:
@@ -69,61 +85,70 @@ class Model:
             n[k] += times
         return np.log(n / total)
 
-    def word(self, word: str) -> np.ndarray:
-        """Log frequencies of a word by language: its own, or the mean of its longest known runs; else it tells nothing."""
-        if word in self.words:
-            return self.row(self.words[word], self.n_words)
-        for n in LENGTHS:
-            known = Counter(r for r in runs(word, n) if r in self.runs)
-            if known:
-                return sum(k * self.row(self.runs[r], self.n_runs[n]) for r, k in known.items()) / known.total()
-        return np.zeros(len(self.langs))
 
+class Rows:
+    """Rows of log frequencies by name, made when first asked for; with too many of them it begins anew."""
 
-class Scorer:
-    """Scores texts, keeping the rows of words met before."""
-
-    def __init__(self, model: Model):
-        self.model, self.at = model, {}
-        self.rows = np.zeros((1024, max(1, len(model.langs))))
+    def __init__(self, width: int):
+        self.at: dict[str, int] = {}
+        self.rows = np.zeros((1024, max(1, width)))
         self.most = max(1024, _KEPT // self.rows.shape[1])
 
-    def _number(self, word: str) -> int:
-        k = self.at[word] = len(self.at)
+    def add(self, name: str, row: np.ndarray) -> int:
+        k = self.at[name] = len(self.at)
         if k == len(self.rows):
             self.rows = np.vstack([self.rows, np.zeros_like(self.rows)])
-        self.rows[k] = self.model.word(word)
+        self.rows[k] = row
         return k
 
+    def make_room(self, n: int) -> None:
+        if len(self.at) + n > self.most:
+            self.at.clear()
+
+
+class Scorer:
+    """Scores texts, keeping the rows of words and runs met before."""
+
+    def __init__(self, model: Model):
+        self.model, self.words, self.runs = model, Rows(len(model.langs)), Rows(len(model.langs))
+
+    def _word(self, word: str) -> int:
+        """A word's own frequencies, or the mean of its longest known runs'; else it tells nothing."""
+        of = self.model.words.get(word)
+        return self.words.add(word, self.model.row(of, self.model.n_words) if of is not None else self.backoff(word))
+
+    def backoff(self, word: str) -> np.ndarray:
+        known, at = self.model.runs, self.runs.at
+        for n in LENGTHS:
+            found = [r for r in runs(word, n) if r in known]
+            if found:
+                self.runs.make_room(len(found))
+                numbers = [k if (k := at.get(r)) is not None else self.runs.add(r, self.model.row(known[r], self.model.n_runs[n])) for r in found]
+                return np.add.reduce(self.runs.rows[numbers]) / len(numbers)
+        return np.zeros(len(self.model.langs))
+
     def score(self, text: str | None) -> tuple[str, float]:
         """The likeliest language and its probability among the learnt ones; of equal ones the least in order."""
         if not self.model.langs:
             return UNDETERMINED, 0.0
-        sums, any_word, found = self.model.prior.copy(), False, words(text or "")
-        while block := list(islice(found, _BLOCK)):
+        sums, any_word, at = self.model.prior.copy(), False, self.words.at
+        for block in blocks(text or ""):
             any_word = True
-            if len(self.at) + len(block) > self.most:
-                self.at.clear()
-            at = self.at
-            sums += self.rows_of([k if (k := at.get(w)) is not None else self._number(w) for w in block])
+            self.words.make_room(len(block))
+            numbers = [k if (k := at.get(w)) is not None else self._word(w) for w in block]
+            sums += np.add.reduce(self.words.rows[numbers])
         if not any_word:
             return UNDETERMINED, 0.0
         best = int(np.argmax(sums))
         return self.model.langs[best], float(1 / np.exp(sums - sums[best]).sum())
 
-    def rows_of(self, numbers: list[int]) -> np.ndarray:
-        times = np.bincount(numbers)
-        used = np.flatnonzero(times)
-        return times[used] @ self.rows[used]
-
 
 def _count(text_col: int, lang_col: int):
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[str, Counter] = defaultdict(Counter)
         for batch in slices(batches):
             for text, lang in zip(batch.column(text_col).to_pylist(), batch.column(lang_col).to_pylist()):
-                found = words(text or "")
-                while block := list(islice(found, _BLOCK)):
+                for block in blocks(text or ""):
                     seen[lang].update(block)
                     if sum(map(len, seen.values())) > _COUNTED:
                         yield from _sent(seen)
@@ -142,20 +167,28 @@ def _sent(seen: dict[str, Counter]) -> Iterator[pa.RecordBatch]:
 
 
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Runs of each word, as often as the word."""
     seen: dict[str, Counter] = defaultdict(Counter)
-    for batch in batches:
+    for batch in slices(batches):
         for lang, word, times in zip(*(c.to_pylist() for c in batch.columns)):
+            counted = seen[lang]
             for n in LENGTHS:
                 for r in runs(word, n):
-                    seen[lang][f"{n}{r}"] += times
+                    counted[r] += times
         if sum(map(len, seen.values())) > _COUNTED:
             yield from _sent(seen)
     yield from _sent(seen)
 
 
-def _most_frequent(counts: DataFrame, by: list[str], item: str, most: int) -> DataFrame:
-    order = Window.partitionBy(*by).orderBy(F.col("n").desc(), item)
-    return counts.withColumn("_rank", F.row_number().over(order)).filter(F.col("_rank") <= most).drop("_rank")
+def _most_frequent(counts: DataFrame, by: list[str], most: int) -> DataFrame:
+    """Of each group the entries counted most often: down to the least count that at most `most` of them reach.
+
+    Groups are counted by count first, so that no group's entries come together in one task.
+    """
+    steps = counts.groupBy(*by, "n").agg(F.count("*").alias("k"))
+    reached = F.sum("k").over(Window.partitionBy(*by).orderBy(F.col("n").desc()))
+    least = steps.withColumn("reached", reached).filter(F.col("reached") <= most).groupBy(*by).agg(F.min("n").alias("least"))
+    return counts.join(least, by).filter("n >= least").drop("least")
 
 
 def fit(docs: DataFrame, scratch: Scratch, text_col: str = "text", lang_col: str = "lang", max_words: int = 200_000, max_runs: int = 200_000) -> Model:
@@ -163,9 +196,8 @@ def fit(docs: DataFrame, scratch: Scratch, text_col: str = "text", lang_col: str
 
     Words are counted where the texts are and added up; runs are counted from the word counts. Frequencies are over all
     rows. What the model keeps by name is bounded, as every worker holds it: of all languages' words max_words, of their
-    runs max_runs, shared alike among languages (and lengths), the most frequent first; words left out back off to runs
-    like those never seen. Languages are as many as docs names; their number is taken to be far below max_words, else
-    each keeps one word.
+    runs max_runs, shared alike among languages (and lengths), the most frequent, equal ones all or none; words left out
+    back off to runs like those never seen. Languages are as many as docs names, a number far below max_words.
 
     A language whose texts have no words has only its share of rows, by which rows' languages weigh in. Null texts are
     empty. Empty docs give a model without languages.
@@ -178,14 +210,14 @@ def fit(docs: DataFrame, scratch: Scratch, text_col: str = "text", lang_col: str
     if not langs:
         return Model([], np.zeros(0), {}, {}, np.zeros(0), {})
     grams = counts.mapInArrow(_runs, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
-    grams = scratch.save(grams.withColumn("length", F.substring("word", 1, 1).cast("int")), "runs")
+    grams = scratch.save(grams.withColumn("length", F.char_length("word")), "runs")
     place = {x: k for k, x in enumerate(langs)}
 
-    def kept(best: DataFrame, skip: int) -> dict[str, dict[int, int]]:
+    def kept(best: DataFrame) -> dict[str, dict[int, int]]:
         out: dict[str, dict[int, int]] = {}
-        got = best.select("lang", "word", "n").toArrow()
+        got = best.select("lang", "word", "n").toArrow()  # max_words or max_runs rows
         for lang, word, n in zip(*(got[c].to_pylist() for c in ("lang", "word", "n"))):
-            out.setdefault(word[skip:], {})[place[lang]] = n
+            out.setdefault(word, {})[place[lang]] = n
         return out
 
     def totals(found) -> np.ndarray:
@@ -199,8 +231,8 @@ def fit(docs: DataFrame, scratch: Scratch, text_col: str = "text", lang_col: str
     sums = [F.sum("n").alias("n"), F.count("*").alias("entries")]
     n_words = totals(counts.groupBy("lang").agg(*sums).collect())
     n_runs = grams.groupBy("lang", "length").agg(*sums).collect()
-    best_words = kept(_most_frequent(counts, ["lang"], "word", max(1, max_words // len(langs))), 0)
-    best_runs = kept(_most_frequent(grams, ["lang", "length"], "word", max(1, max_runs // len(langs) // len(LENGTHS))), 1)
+    best_words = kept(_most_frequent(counts, ["lang"], max_words // len(langs)))
+    best_runs = kept(_most_frequent(grams, ["lang", "length"], max_runs // len(langs) // len(LENGTHS)))
     share = np.array([shares[x] for x in langs], float)
     return Model(langs, np.log(share / share.sum()), best_words, best_runs, n_words, {n: totals([r for r in n_runs if r["length"] == n]) for n in LENGTHS})
 
@@ -213,11 +245,12 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     rows stay; other columns are not looked at; an empty table gives no rows.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)  # max_words + max_runs entries
-    kept: list[Scorer] = []
 
     def each(batch: pa.RecordBatch) -> pa.RecordBatch:
-        scorer = kept[0] if kept else kept.append(Scorer(shared.value)) or kept[0]
-        got = [scorer.score(t) for t in batch.column(1).to_pylist()]
+        known = shared.value
+        if not hasattr(known, "scorer"):
+            known.scorer = Scorer(known)  # a worker's, over all its tasks
+        got = [known.scorer.score(t) for t in batch.column(1).to_pylist()]
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array([x[0] for x in got], pa.string()), pa.array([x[1] for x in got], pa.float64())], names)
 
     names = [id_col, "lang_pred", "score"]

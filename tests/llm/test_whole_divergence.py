@@ -80,8 +80,8 @@ def test_probability_is_exact(spark):
     r = random.Random(1)
     cases = []
     for _ in range(300):
-        total = r.randrange(10 ** r.randrange(1, 15))
+        total = r.randrange(10 ** r.randrange(1, 16))
         cases.append((r.randrange(total + 1), total, 1 + r.randrange(10**6)))
-    df = spark.createDataFrame(cases, "c long, t long, v long").select("*", divergence.probability(F.col("c"), F.col("t"), F.col("v")).alias("p"))
+    df = spark.createDataFrame(cases, "c long, t long, v long").select("*", divergence.probability(F.col("c"), F.col("t") + F.col("v")).alias("p"))
     for x in df.collect():
         assert x["p"] == 1 + 10**9 * (x["c"] + 1) // (x["t"] + x["v"])
