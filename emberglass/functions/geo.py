@@ -170,3 +170,39 @@ def frp_scale(frp: Column) -> Column:
 
 def confidence_label(confidence: Column) -> Column:
     return F.when(confidence >= 0.8, "HIGH").when(confidence >= 0.5, "NOMINAL").when(confidence.isNotNull(), "LOW")
+
+
+# Fixed values of the geostationary grid: metres above the surface, semi-axes, cells a side, metres a cell, begin.
+GEOS_H, GEOS_A, GEOS_B, GEOS_CELLS, GEOS_CELL_M = 35786400.0, 6378137.0, 6356752.31414, 11136, 1000.0
+# Fixed values, end.
+
+
+def geos_forward(lat: Column, lon: Column) -> tuple[Column, Column]:
+    """(x, y) in metres of the view from above longitude 0, east-west turned within north-south; null where the surface
+    faces away."""
+    b2 = (GEOS_B / GEOS_A) ** 2
+    p = F.atan(b2 * F.tan(F.radians(lat)))  # the angle at the centre
+    r = GEOS_B / F.sqrt(1 - (1 - b2) * F.pow(F.cos(p), 2))
+    px, py, pz = r * F.cos(p) * F.cos(F.radians(lon)), r * F.cos(p) * F.sin(F.radians(lon)), r * F.sin(p)
+    ahead = (GEOS_H + GEOS_A) - px
+    seen = ahead * px - py * py - pz * pz / b2 >= 0
+    return F.when(seen, GEOS_H * F.atan(py / ahead)), F.when(seen, GEOS_H * F.atan(pz / F.hypot(ahead, py)))
+
+
+def geos_inverse(x: Column, y: Column) -> tuple[Column, Column]:
+    """(lat, lon) at which the ray through (x, y) first meets the ellipsoid; null off the disc."""
+    far, b2 = (GEOS_H + GEOS_A) / GEOS_A, (GEOS_B / GEOS_A) ** 2
+    # the ray is (far - t, t * east, t * north), in semi-axes; its least t with X^2 + Y^2 + Z^2 / b2 = 1
+    east = F.tan(x / GEOS_H)
+    north = F.tan(y / GEOS_H) * F.sqrt(1 + east * east)
+    a = 1 + east * east + north * north / b2
+    under = far * far - a * (far * far - 1)
+    t = (far - F.sqrt(F.when(under >= 0, under))) / a
+    px, py, pz = far - t, t * east, t * north
+    return F.degrees(F.atan(pz / (b2 * F.hypot(px, py)))), F.degrees(F.atan2(py, px))
+
+
+def geos_cell(row: Column, col: Column) -> tuple[Column, Column]:
+    """(lat, lon) of a cell's centre, rows from the north; null off the disc."""
+    middle = (GEOS_CELLS - 1) / 2
+    return geos_inverse((col - middle) * GEOS_CELL_M, (middle - row) * GEOS_CELL_M)

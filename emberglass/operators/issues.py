@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from emberglass.operators.rasters import distances
+
 HOUR, DELAY_S, TAIL_H, HORIZONS = 3600, 2700, 6, (1, 3, 6)
 
 
@@ -110,11 +112,8 @@ def offsets(cells: DataFrame, by: str) -> DataFrame:
 
 
 def nearness(cells: DataFrame, by: str) -> DataFrame:
-    """(by, row, col, score): exp(-d / 2), d the distance in cells to the nearest active one; 0 if none is. A group is one
-    grid of bounded size, whose cells meet its active ones."""
-    active = cells.filter("active").select(F.col(by).alias("g_"), F.col("row").alias("r_"), F.col("col").alias("c_"))
-    d = F.min(F.hypot(F.col("row") - F.col("r_"), F.col("col") - F.col("c_")))
-    return cells.join(active, F.col(by) == F.col("g_"), "left").groupBy(by, "row", "col").agg(F.coalesce(F.exp(-d / 2), F.lit(0.0)).alias("score"))
+    """(by, row, col, score): exp(-d / 2), d the distance in cells to the nearest active one; 0 if none is."""
+    return distances(cells, by).select(by, "row", "col", F.coalesce(F.exp(-F.col("distance") / 2), F.lit(0.0)).alias("score"))
 
 
 def novelty(cells: DataFrame) -> DataFrame:

@@ -117,7 +117,7 @@ def _nearest(near: DataFrame, edges: DataFrame, boxes: DataFrame, keys: list[str
 def path_samples(paths: DataFrame, step_km: float = 0.5) -> DataFrame:
     """(line_id, lat, lon): places along each path (array of lat, lon) at equal steps of step_km or less, both ends
     included; a place at a vertex may come twice. Paths of fewer than two points have none."""
-    pairs = F.transform(F.sequence(F.lit(1), F.size("path") - 1), lambda i: F.struct(F.element_at("path", i).alias("p"), F.element_at("path", i + 1).alias("q")))
+    pairs = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("path") - 1)), lambda i: F.struct(F.get("path", i - 1).alias("p"), F.get("path", i).alias("q")))
     km = lambda e: haversine_km(e["p"]["lat"], e["p"]["lon"], e["q"]["lat"], e["q"]["lon"])
     with_km = F.transform(pairs, lambda e: F.struct(e["p"].alias("p"), e["q"].alias("q"), km(e).alias("km")))
     whole = F.aggregate("es", F.lit(0.0), lambda s, e: s + e["km"])

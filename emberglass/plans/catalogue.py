@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from emberglass.plans import events, measures, more, relational, roads, scoring, shapes, spatial, streams
+from emberglass.plans import events, measures, more, named, relational, roads, scoring, shapes, spatial, streams
 
-BOOKS = [events.book, spatial.book, shapes.book, more.book, measures.book, scoring.book, roads.book, streams.book, relational.book]
+BOOKS = [events.book, spatial.book, shapes.book, more.book, measures.book, scoring.book, roads.book, streams.book, named.book, relational.book]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
