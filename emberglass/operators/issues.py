@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from emberglass.operators.ranks import quantiles
 from emberglass.operators.rasters import distances
+from emberglass.storage import Scratch
 
 HOUR, DELAY_S, TAIL_H, HORIZONS = 3600, 2700, 6, (1, 3, 6)
 
@@ -97,7 +99,9 @@ def grid_sums(points: DataFrame) -> DataFrame:
 def sample_stats(samples: DataFrame, value: str, by: str) -> DataFrame:
     """Per group: how many, how many above 0, median, 90th percentile and largest."""
     v = F.col(value)
-    return samples.groupBy(by).agg(F.count("*").alias("n"), F.count_if(v > 0).alias("positive"), F.percentile(v, 0.5).alias("p50"), F.percentile(v, 0.9).alias("p90"), F.max(v).alias("largest"))
+    counts = samples.groupBy(by).agg(F.count("*").alias("n"), F.count_if(v > 0).alias("positive"), F.max(v).alias("largest"))
+    q = quantiles(samples, [by], value, [0.5, 0.9], Scratch(samples.sparkSession, "stats")).select(F.col(by).alias("g_"), "q0", "q1")
+    return counts.join(q, F.col(by).eqNullSafe(F.col("g_"))).select(by, "n", "positive", F.col("q0").alias("p50"), F.col("q1").alias("p90"), "largest")
 
 
 def offsets(cells: DataFrame, by: str) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -10,6 +11,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from emberglass.functions.geo import circular_error
+from emberglass.operators.ranks import quantiles, running
+from emberglass.storage import Scratch
 
 
 def state_pairs(states: DataFrame, most_gap: float | None = None, group: str = "fire") -> DataFrame:
@@ -30,19 +33,23 @@ def leave_one_out(rates: DataFrame, value: str = "growth") -> DataFrame:
     return rates.join(F.broadcast(total), F.lit(True)).withColumn("others", F.when(F.col("k") > 1, (F.col("s") - F.col(value)) / (F.col("k") - 1))).drop("s", "k")  # one row
 
 
+def _scratch(df: DataFrame) -> Scratch:
+    return Scratch(df.sparkSession, "scores")
+
+
 def r2_mape(rows: DataFrame, keys: list[str], obs: str, pred: str) -> DataFrame:
     """1 - SSres / SStot and the median absolute percentage error over observed > 0; null where undefined."""
     o, p = F.col(obs), F.col(pred)
-    w = Window.partitionBy(*keys)
-    r = rows.withColumn("_m", F.avg(o).over(w))
-    tot, res = F.sum(F.pow(o - F.col("_m"), 2)), F.sum(F.pow(o - p, 2))
-    return r.groupBy(*keys).agg(F.count("*").alias("n"), F.when((F.count("*") > 1) & (tot > 0), 1 - res / tot).alias("r2"), F.median(F.when(o > 0, F.abs(p - o) / o)).alias("mape"))
+    tot, res = F.var_pop(o) * F.count(o), F.sum(F.pow(o - p, 2))
+    fit = rows.groupBy(*keys).agg(F.count("*").alias("n"), F.when((F.count("*") > 1) & (tot > 0), 1 - res / tot).alias("r2"))
+    off = quantiles(rows, keys, F.when(o > 0, F.abs(p - o) / o), [0.5], _scratch(rows)).select(*keys, F.col("q0").alias("mape"))
+    same = reduce(lambda a, b: a & b, [F.col(f"f.{k}").eqNullSafe(F.col(f"m.{k}")) for k in keys])
+    return fit.alias("f").join(off.alias("m"), same).select(*[F.col(f"f.{k}").alias(k) for k in keys], "n", "r2", "mape")
 
 
 def median_r2(scores: DataFrame) -> DataFrame:
     """One row: the groups whose r2 is known and finite, and its median (null if there is none)."""
-    known = scores.filter(F.col("r2").isNotNull() & ~F.isnan("r2") & (F.abs("r2") < float("inf")))
-    return known.agg(F.count("*").alias("fires"), F.median("r2").alias("median_r2"))
+    return quantiles(scores, [], "r2", [0.5], _scratch(scores)).select(F.col("n").alias("fires"), F.col("q0").alias("median_r2"))
 
 
 def corpus_summary(pairs: DataFrame, group: str = "fire") -> DataFrame:
@@ -57,23 +64,25 @@ def corpus_summary(pairs: DataFrame, group: str = "fire") -> DataFrame:
         return F.when((k > 1) & (tot > 0), 1 - F.sum(F.when(given, F.pow(o - pred, 2))) / tot)
 
     constant = F.col("area") + F.col("others") * F.col("dt")
-    return pairs.agg(F.count_distinct(group).alias("fires"), n.alias("pairs"), F.min("dt").alias("dt_min"), F.median("dt").alias("dt_median"), F.max("dt").alias("dt_max"), r2(F.col("area"), F.lit(True)).alias("r2_persistence"), r2(constant, F.col("others").isNotNull()).alias("r2_constant"))
+    one = pairs.agg(F.count_distinct(group).alias("fires"), n.alias("pairs"), F.min("dt").alias("dt_min"), F.max("dt").alias("dt_max"), r2(F.col("area"), F.lit(True)).alias("r2_persistence"), r2(constant, F.col("others").isNotNull()).alias("r2_constant"))
+    middle = quantiles(pairs, [], "dt", [0.5], _scratch(pairs)).select(F.col("q0").alias("dt_median"))
+    return one.crossJoin(middle).select("fires", "pairs", "dt_min", "dt_median", "dt_max", "r2_persistence", "r2_constant")  # one row each
 
 
 def bearing_errors(pairs: DataFrame) -> DataFrame:
     e = pairs.filter("bearing is not null and bearing1 is not null").select(circular_error(F.col("bearing1"), F.col("bearing")).alias("e"))
-    return e.agg(F.count("*").alias("n"), F.median("e").alias("median_error"))
+    return quantiles(e, [], "e", [0.5], _scratch(e)).select("n", F.col("q0").alias("median_error"))
 
 
 def average_precision(rows: DataFrame, keys: list[str], y: str, p: str) -> DataFrame:
     """Sum over distinct thresholds of the recall gained times the precision there; equal scores count at once.
 
-    Rows are summed by score first, so only distinct scores are sorted.
+    Rows are summed by score first, and sums run along ranges of scores, so a group of any size is spread.
     """
     g = rows.groupBy(*keys, F.col(p).alias("_p")).agg(F.sum(F.col(y).cast("long")).alias("_tp"), F.count("*").alias("_k"))
-    w = Window.partitionBy(*keys).orderBy(F.desc("_p")).rowsBetween(Window.unboundedPreceding, 0)
-    g = g.withColumns({"_ctp": F.sum("_tp").over(w), "_ck": F.sum("_k").over(w)})
-    return g.groupBy(*keys).agg(F.sum("_k").alias("n"), F.sum("_tp").alias("positives"), F.when(F.sum("_tp") > 0, F.sum(F.col("_tp") * F.col("_ctp") / F.col("_ck")) / F.sum("_tp")).alias("ap"))
+    g = running(g, keys, F.coalesce(-F.col("_p"), F.lit(float("inf"))), ["_tp", "_k"], _scratch(rows))  # no score: last
+    gained = F.sum(F.col("_tp") * F.col("_tp_") / F.col("_k_"))
+    return g.groupBy(*keys).agg(F.sum("_k").alias("n"), F.sum("_tp").alias("positives"), F.when(F.sum("_tp") > 0, gained / F.sum("_tp")).alias("ap"))
 
 
 def confusion(rows: DataFrame, keys: list[str], y: str, p: str, thresholds: list[float]) -> DataFrame:
