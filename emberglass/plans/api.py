@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from emberglass.constants import sweep_configs
-from emberglass.operators import alerts, causal, egress, growth, situation, spatial
+from emberglass.operators import alerts, causal, egress, evacuation, growth, situation, spatial
 from emberglass.storage import Scratch
 
 MOST_S = 253402300799
@@ -36,11 +36,40 @@ def situation_of(det: DataFrame, threats: DataFrame, spread: DataFrame, at_s: in
     return situation.facts(situation.packet(clusters, threats, spread, at_s))
 
 
-def cut_segments(segments: DataFrame, det: DataFrame, at_s: int) -> DataFrame:
+def cuts_of(segments: DataFrame, det: DataFrame, heat: DataFrame | None = None) -> DataFrame:
+    """The cut field of segments or nodes (seg_id, lat1, lon1, lat2, lon2) with the latency of each cut's first evidence.
+    heat: rings of known sources, whose detections count in one configuration alone."""
+    flagged = spatial.flag_heat(det, heat) if heat is not None else det.withColumn("static_heat", F.lit(False))
+    near = spatial.near_segments(segments, flagged, 2000.0, carry=spatial.CARRIED)
+    return evacuation.with_latency(spatial.cut_field(near, flagged, sweep_configs(det.sparkSession)), det)
+
+
+def cut_segments(segments: DataFrame, det: DataFrame, at_s: int, heat: DataFrame | None = None) -> DataFrame:
     """Bands of the segments that are cut under any configuration, from detections delivered by the cursor."""
-    spark = det.sparkSession
-    seen = det.filter(F.col("available_s") <= at_s)
-    return spatial.band(spatial.cut_field(spatial.near_segments(segments, seen, 2000.0), seen, sweep_configs(spark)))
+    return spatial.band(cuts_of(segments, det.filter(F.col("available_s") <= at_s), heat))
+
+
+def evacuate(det: DataFrame, edges: DataFrame, nodes: DataFrame, places: DataFrame, pockets: DataFrame, at_s: int | None = None, heat: DataFrame | None = None) -> dict[str, DataFrame]:
+    """Routes, verdicts and segments at the cursor (the window's end, an hour after the last detection, if none is given).
+
+    edges: edge, src, dst, highway, metres, travel_s, lat1, lon1, lat2, lon2; nodes: node_id, lat, lon; places: sid, name,
+    population, lat, lon, each put on its nearest node; pockets: sid. Cuts come from all detections and count once their
+    first evidence could have been delivered.
+    """
+    scratch = Scratch(det.sparkSession, "evacuate")
+    last, first_seen = det.agg(F.max("at_s"), F.min("available_s")).first()
+    end = 0 if last is None else last + 3600
+    cursor_s = end if at_s is None else at_s
+    ends = ["lat1", "lon1", "lat2", "lon2"]
+    cut = scratch.save(cuts_of(edges.select(F.col("edge").alias("seg_id"), *ends), det, heat), "cuts")
+    points = nodes.select(F.col("node_id").alias("seg_id"), *[F.col(c[:3]).alias(c) for c in ends])
+    burnt = scratch.save(cuts_of(points, det, heat), "burnt")
+    near = spatial.nearest_node(places.select(F.col("sid").alias("point_id"), F.col("lat").alias("plat"), F.col("lon").alias("plon")), nodes, scratch)
+    put = places.join(near.select(F.col("point_id").alias("sid"), F.col("node_id").alias("node")), "sid", "left").select("sid", "name", "population", "node")
+    field = ["config", "cut_s", "latency_s"]
+    observed = first_seen is not None and first_seen <= cursor_s
+    routes, verdicts = evacuation.evacuation(edges, cut.select(F.col("seg_id").alias("edge"), *field), burnt.select(F.col("seg_id").alias("node"), *field), put, pockets, cursor_s, end, observed, scratch)
+    return {"routes": routes, "verdicts": verdicts, "segments": evacuation.segments(edges, cut)}
 
 
 def departures_of(edges: DataFrame, keys: list[str]) -> DataFrame:

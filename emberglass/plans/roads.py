@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from emberglass.constants import PROFILES, SWEEP, profiles, sweep_configs
-from emberglass.operators import alerts, egress
+from emberglass.operators import alerts, egress, evacuation
 from emberglass.plans.base import Book
 from emberglass.storage import Scratch
 
@@ -51,6 +51,27 @@ def departure_lanes(spark, table):
     return egress.departure_lanes(*lanes_graph(spark, table), Scratch(spark, "lanes"))
 
 
+def evacuees(spark, table):
+    """What evacuation() takes: orders as roads as in lanes_graph(), with cuts of every configuration, and regions as places."""
+    o, c = F.col("o_orderkey"), F.col("o_custkey")
+    to = F.when(o % 3 == 0, F.greatest(F.lit(1), F.floor(c / 2))).otherwise(c * 2 + o % 2).cast("long")
+    edges = table("orders").select(o.alias("edge"), c.alias("src"), to.alias("dst"), _highway(o).alias("highway"), (100.0 + o % 900).alias("metres"), (60.0 + o % 50).alias("travel_s")).filter("src <> dst")
+    ords = F.explode(F.sequence(F.lit(0), F.lit(len(SWEEP) - 1)))
+    config = F.get(F.array(*[F.lit(x[1]) for x in SWEEP]), F.col("k")).alias("config")
+    wait = (F.col("k") % 3 * 1000).cast("long").alias("latency_s")
+    cuts = table("orders").select(o.alias("edge"), ords.alias("k")).filter((F.col("edge") + F.col("k")) % 5 < 2).select("edge", config, (2000 + (F.col("edge") * (F.col("k") + 1)) % 9000).cast("long").alias("cut_s"), wait)
+    burnt = table("customer").select(F.col("c_custkey").alias("node"), ords.alias("k")).filter((F.col("node") * 7 + F.col("k")) % 6 == 0).select("node", config, (6000 + (F.col("node") * (F.col("k") + 3)) % 9000).cast("long").alias("cut_s"), wait)
+    r = F.col("r_regionkey")
+    places = table("region").select(r.cast("string").alias("sid"), F.col("r_name").alias("name"), F.when(r % 4 < 3, r * 300).cast("long").alias("population"), (r + 1).cast("long").alias("node"))
+    return edges, cuts, burnt, places, places.select("sid")
+
+
+@book.add()
+def evacuation_routes(spark, table):
+    routes, verdicts = evacuation.evacuation(*evacuees(spark, table), 4000, 20_000, True, Scratch(spark, "evacuation"))
+    return routes.join(verdicts.select("pocket", "verdict"), "pocket")
+
+
 @book.add("""WITH RECURSIVE g AS (SELECT s_suppkey AS a, s_suppkey - s_suppkey % 4 AS b FROM supplier WHERE s_suppkey % 4 > 0), u AS (SELECT a, b FROM g UNION SELECT b, a FROM g),
 r AS (SELECT DISTINCT a AS node, a AS root FROM u UNION SELECT u.b, r.root FROM r JOIN u ON u.a = r.node), c AS (SELECT node, min(root) AS component FROM r GROUP BY node)
 SELECT node, component FROM c""")
