@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from emberglass.constants import DEFAULT_LATENCY_S, LATENCY_S, lookup
+from emberglass.storage import Scratch
 
 
 def with_availability(det: DataFrame, recorded: str | None = None) -> DataFrame:
@@ -92,6 +93,7 @@ def asof(frames: DataFrame, cursors: DataFrame, by: str | None = None) -> DataFr
     both = f.withColumn("asked", F.lit(False)).unionByName(c.withColumn("asked", F.lit(True)), allowMissingColumns=True)
     both = both.withColumn("u", told(F.col("t")) + F.lit(2**TIME_BITS))
     keyed = both.withColumns({"bucket": F.shiftright("u", BUCKET_BITS), "span": F.shiftright("u", SPAN_BITS), "all": F.shiftright("u", TIME_BITS + 1)})
+    keyed = Scratch(frames.sparkSession, "asof").save(keyed, "seconds")  # three readers follow; both sides are read once
     buckets = keyed.groupBy(*part, "all", "span", "bucket").agg(F.max("f").alias("last"), F.min("f").alias("first"))
     spans = buckets.groupBy(*part, "all", "span").agg(F.max("last").alias("last"), F.min("first").alias("first"))
 

@@ -73,7 +73,7 @@ def route(edges: list[tuple], cut: dict, departure: dict, source, destinations:
 
 
 #: Hops that one written round of a search takes.
-HOPS = 6
+HOPS = 8
 
 
 def relaxed(edges: DataFrame, seeds: DataFrame, scratch: Scratch, on: list[str], lane: list[str], until: Column, travel: Column, max_rounds: int = 100_000) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from emberglass.constants import PROFILES, SWEEP, profiles, sweep_configs
-from emberglass.operators import alerts, egress, evacuation
+from emberglass.operators import alerts, egress, evacuation, messages
 from emberglass.plans.base import Book
 from emberglass.storage import Scratch
 
@@ -184,3 +184,32 @@ def cap_documents(spark, table):
     p = table("nation").withColumn("lang", F.explode(F.array(F.lit("es"), F.lit("en"))))
     area = alerts.polygon_text(F.array(F.struct(F.lit(1.0).alias("lat"), F.lit(2.0).alias("lon")), F.struct(F.lit(91.0).alias("lat"), F.lit(0.0).alias("lon"))))
     return alerts.cap_documents(p.select(F.col("n_nationkey").alias("pocket"), F.lit("2024-01-01T00:00:00Z").alias("sent"), "lang", F.concat("n_name", F.lit(" & "), "lang").alias("headline"), area.alias("area")))
+
+
+def _said(sentence: str) -> str:
+    return f"replace(replace(replace('{sentence}', '{{pocket}}', name), '{{road}}', road), '{{destination}}', coalesce(destination, ''))"
+
+
+_SAID = " ".join(f"WHEN instruction = '{k}' AND language = '{lang}' THEN {_said(v[3][lang])}" for k, v in messages.SENTENCES.items() for lang in ("es", "en"))
+
+
+@book.add(f"""WITH w AS (SELECT n_nationkey AS edge, CASE WHEN n_nationkey % 5 > 0 THEN 'Road ' || n_name END AS name, ['motorway', 'primary', 'tertiary', 'track', 'bridleway'][n_nationkey % 5 + 1] AS highway FROM nation),
+r AS (SELECT c_custkey AS pocket, k, 1000e0 * (c_custkey % 7) + 500 * k AS t, (c_custkey + k) % 3 > 0 AS usable, (c_custkey + k) % 25 AS n, CASE WHEN c_custkey % 4 = 0 THEN 'track' ELSE 'primary' END AS slowest FROM customer, (VALUES (0), (1)) AS v(k)),
+b AS (SELECT r.*, n_name AS destination, row_number() OVER (PARTITION BY pocket ORDER BY t DESC, n_name) AS nth FROM r JOIN nation ON n_nationkey = n WHERE usable),
+d AS (SELECT b.*, coalesce((SELECT first(w.name ORDER BY NOT w.highway IN ('motorway', 'primary', 'tertiary'), o.ord) FROM (VALUES (0), (1)) AS o(ord) JOIN w ON w.edge = CASE WHEN o.ord = 0 THEN b.pocket % 25 ELSE b.n END WHERE w.name IS NOT NULL), '') AS road FROM b WHERE nth = 1),
+p AS (SELECT c_custkey AS pocket, c_name AS name, coalesce(road, '') AS road, destination, CASE WHEN c_custkey % 11 = 0 THEN 'no_verified_action' WHEN c_custkey % 10 = 0 THEN 'no_action' WHEN d.t IS NULL OR d.t < 2000 THEN 'no_verified_action' WHEN slowest = 'track' THEN 'evacuate_alternate' ELSE 'evacuate_primary' END AS instruction FROM customer LEFT JOIN d ON d.pocket = c_custkey)
+SELECT pocket, instruction, language, CASE {_SAID} END AS text FROM p, (VALUES ('es'), ('en')) AS l(language) WHERE NOT (instruction LIKE 'evacuate%' AND road = '')""")
+def alert_packages(spark, table):
+    c, k = F.col("c_custkey"), F.col("k")
+    n = table("nation").select(F.col("n_nationkey").alias("n"), F.col("n_name").alias("destination"))
+    highway = F.get(F.array(*[F.lit(h) for h in HIGHWAYS]), (F.col("n") % 5).cast("int"))
+    ways = n.select(F.col("n").alias("edge"), F.when(F.col("n") % 5 > 0, F.concat(F.lit("Road "), "destination")).alias("name"), highway.alias("highway"))
+    at = 1000.0 * (c % 7) + 500 * k
+    r = table("customer").withColumn("k", F.explode(F.array(F.lit(0), F.lit(1)))).select(c.alias("pocket"), ((c + k) % 25).cast("int").alias("n"), F.concat_ws("-", c, k).alias("route"), F.array((c % 25).cast("int"), ((c + k) % 25).cast("int")).alias("edges"), at.alias("earliest_s"), at.alias("open_s"), ((c + k) % 3 > 0).alias("usable"), F.when(c % 4 == 0, "track").otherwise("primary").alias("slowest"))
+    found = r.join(n, "n").withColumns({"km": F.lit(1.0), "travel_min": F.lit(1), "latest_s": F.lit(None).cast("double"), "basis": F.lit(""), "worst_min": F.lit(1.0)})
+    point = F.lit(None).cast("array<struct<lat: double, lon: double>>")
+    places = table("customer").select(c.alias("sid"), F.col("c_name").alias("name"), F.lit(37.0).alias("lat"), F.lit(-2.0).alias("lon"), point.alias("outline"), F.lit(None).cast("array<string>").alias("languages"), (c % 10 != 0).alias("reached"))
+    verdicts = table("customer").select(c.alias("pocket"), F.when(c % 11 == 0, "not_yet_observed").otherwise("routes_open").alias("verdict"))
+    rows = messages.recommended(found, verdicts, places, ways, 2000, 20_000)
+    known = places.select("sid", "name").union(n.select(-1 - F.col("n"), "destination"))
+    return messages.spoken(rows, known, ways)[0].select("pocket", "instruction", "language", "text")
