@@ -30,12 +30,18 @@ def snapshot(det: DataFrame, cursor_s: int) -> DataFrame:
     )
 
 
+#: Cursors of one call: their table is broadcast.
+MOST_CURSORS = 100_000
+
+
 def cumulative_snapshots(det: DataFrame, cursors: DataFrame, bucket_s: int = 86400) -> DataFrame:
     """(cluster_id, cursor_s, n, total_frp) at every cursor of a small regular grid.
 
     Rows are summed by the cursor that first sees them and the sums run on along the cursors, so nothing is repeated
-    for the cursors after it. cursors: one column cursor_s, multiples of bucket_s.
+    for the cursors after it. cursors: one column cursor_s, multiples of bucket_s, at most MOST_CURSORS of them.
     """
+    if cursors.limit(MOST_CURSORS + 1).count() > MOST_CURSORS:
+        raise ValueError(f"more than {MOST_CURSORS} cursors")
     first = (F.ceil(F.col("available_s") / bucket_s) * bucket_s).cast("long")
     steps = det.groupBy("cluster_id", first.alias("cursor_s")).agg(F.count("*").alias("k"), F.sum("frp").alias("f"))
     # a cluster's own steps meet the shared cursors; the grid has clusters x cursors rows, as the result has

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from emberglass.constants import sweep_configs
-from emberglass.operators import alerts, causal, egress, evacuation, growth, situation, spatial
+from emberglass.operators import alerts, causal, coverage, egress, evacuation, growth, messages, polygons, situation, spatial
 from emberglass.storage import Scratch
 
 MOST_S = 253402300799
@@ -78,3 +78,22 @@ def departures_of(edges: DataFrame, keys: list[str]) -> DataFrame:
 
 def ledger(entries: DataFrame, limit: int | None) -> DataFrame:
     return entries.orderBy("seq") if limit is None else alerts.tail(entries, limit)
+
+
+def threats_of(assets: DataFrame, lines: DataFrame, fires: DataFrame, perimeters: DataFrame, spread: DataFrame) -> DataFrame:
+    """What each fire threatens, the most severe first."""
+    found = polygons.threatened(assets, lines, fires, perimeters, spread, Scratch(assets.sparkSession, "threats"))
+    rank = F.element_at(F.create_map(*[x for k, v in spatial.SEVERITY.items() for x in (F.lit(k), F.lit(v))]), F.col("ring"))
+    return found.orderBy("fire_id", rank, "distance_km", "asset_id")
+
+
+def reach_of(cells: DataFrame, settlements: DataFrame, threatened: DataFrame, region: dict[str, float]) -> dict[str, DataFrame]:
+    return coverage.reach_answer(cells, settlements, threatened, region, Scratch(cells.sparkSession, "reach"))
+
+
+def messages_of(answer: dict[str, DataFrame], places: DataFrame, ways: DataFrame, cursor_s: int, window_end_s: int, sent: str, inputs: dict) -> dict[str, DataFrame]:
+    """Packages, rejected sentences, documents and ledger entries of an answer of evacuate(). places and ways: as of
+    messages.recommended(); inputs: what the recommendation rests on, for its fingerprint."""
+    rows = Scratch(places.sparkSession, "messages").save(messages.recommended(answer["routes"], answer["verdicts"], places, ways, cursor_s, window_end_s))
+    packages, rejected = messages.spoken(rows, places, ways)
+    return {"packages": packages, "rejected": rejected, "documents": messages.documents(packages, sent), "entries": messages.entries(rows, cursor_s, messages.fingerprint_of(inputs))}
