@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterator
+from decimal import Decimal
 
 from pyspark.sql import Column, Row, SparkSession
 from pyspark.sql import functions as F
@@ -81,7 +82,7 @@ class Sessions:
     def analyze(table: AnalyzeArgument, key: AnalyzeArgument, at: AnalyzeArgument, gap: AnalyzeArgument) -> AnalyzeResult:
         by, time = _named(key, "key"), _named(at, "at")
         schema = _must_have(table, by, time)
-        if not isinstance(gap.value, (int, float)) or gap.value < 0:
+        if not isinstance(gap.value, (int, float, Decimal)) or gap.value < 0:
             raise ValueError("gap must be a number, 0 or more")
         return AnalyzeResult(_with(schema, ("episode", LongType())), partitionBy=[PartitioningColumn(f"`{by}`")], orderBy=[OrderingColumn(f"`{time}`")])
 
@@ -91,7 +92,7 @@ class Sessions:
     def eval(self, table: Row, key: str, at: str, gap: float) -> Iterator[tuple]:
         now = table[at]
         if now is not None:
-            if self.last is None or now - self.last > gap:
+            if self.last is None or now - self.last > float(gap):
                 self.episode += 1
             self.last = now
         yield *(v for n, v in zip(table.__fields__, table) if n != "episode"), self.episode if now is not None else None
