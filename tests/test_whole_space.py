@@ -4,6 +4,7 @@ import math
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from emberglass.constants import sweep_configs
 from emberglass.operators import spatial
@@ -64,3 +65,24 @@ def test_scans_are_half_open_and_on_the_grid(spark, tmp_path, acquired, row, nam
     else:
         with pytest.raises(Exception, match="acquisition|grid|twice"):
             read()
+
+
+def test_a_sweep_by_places_and_shapes_is_the_sweep_of_all_pairs(spark):
+    rng = random.Random(4)
+    places = [(37 + rng.uniform(0, 0.03), -2 + rng.uniform(0, 0.03)) for _ in range(6)]
+    det = [(k, rng.randrange(9), rng.choice(["MTG_I1", "MODIS_NRT"]), rng.choice([None, 0.65, 0.9]), *places[rng.randrange(6)]) for k in range(600)]
+    det = spark.createDataFrame(det, "id long, at_s long, source string, confidence double, lat double, lon double")
+    ends = [(37.0, -2.0, 37.01, -1.99), (37.02, -1.98, 37.02, -1.98)]
+    segments = spark.createDataFrame([(k, *ends[k % 2]) for k in range(40)], "seg_id long, lat1 double, lon1 double, lat2 double, lon2 double")
+    point = lambda a, b: F.struct(F.lit(a).alias("lat"), F.lit(b).alias("lon"))
+    a, b = places[0]
+    rings = spark.range(1).select(F.array(*[point(a + i, b + j) for i, j in ((-1e-4, -1e-4), (-1e-4, 1e-4), (1e-4, 1e-4), (1e-4, -1e-4))]).alias("ring"))
+    flagged = spatial.flag_heat(det, rings)
+    pairs = spatial.near_segments(segments, flagged, 2000.0, one_piece=True, carry=spatial.CARRIED)
+    columns = ["config", "seg_id", "cut_s", "evidence"]
+    want = sorted(map(tuple, spatial.cut_field(pairs, flagged, sweep_configs(spark)).select(*columns).collect()))
+    cuts, members = spatial.sweep(segments, det, sweep_configs(spark), Scratch(spark, "t"), rings)
+    assert sorted(map(tuple, cuts.join(members, "shape").select(*columns).collect())) == want and want
+    assert {r["shape"] for r in cuts.collect()} == {0, 1}  # two shapes are met, not forty segments
+    by_shape = spatial.family_rows(det, cuts, members=members).collect()
+    assert sorted(map(tuple, by_shape)) == sorted(map(tuple, spatial.family_rows(det, cuts.join(members, "shape")).collect()))
