@@ -86,3 +86,10 @@ def test_a_sweep_by_places_and_shapes_is_the_sweep_of_all_pairs(spark):
     assert {r["shape"] for r in cuts.collect()} == {0, 1}  # two shapes are met, not forty segments
     by_shape = spatial.family_rows(det, cuts, members=members).collect()
     assert sorted(map(tuple, by_shape)) == sorted(map(tuple, spatial.family_rows(det, cuts.join(members, "shape")).collect()))
+
+
+def test_many_nodes_at_one_place_are_met_once(spark):
+    nodes = spark.range(20_000).select((F.col("id") + 7).alias("node_id"), F.lit(10.0).alias("lat"), F.lit(10.0).alias("lon"))
+    points = spark.range(20_000).select(F.col("id").alias("point_id"), (F.lit(10.0) + F.col("id") % 3 / F.lit(1000.0)).alias("plat"), F.lit(10.001).alias("plon"))
+    got = spatial.nearest_node(points, nodes, Scratch(spark, "t"))  # 400 million pairs otherwise
+    assert {tuple(r) for r in got.groupBy("node_id").count().collect()} == {(7, 20_000)}
