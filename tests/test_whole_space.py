@@ -93,3 +93,13 @@ def test_many_nodes_at_one_place_are_met_once(spark):
     points = spark.range(20_000).select(F.col("id").alias("point_id"), (F.lit(10.0) + F.col("id") % 3 / F.lit(1000.0)).alias("plat"), F.lit(10.001).alias("plon"))
     got = spatial.nearest_node(points, nodes, Scratch(spark, "t"))  # 400 million pairs otherwise
     assert {tuple(r) for r in got.groupBy("node_id").count().collect()} == {(7, 20_000)}
+
+
+def test_reach_adds_up_settlements_at_one_place_once(spark):
+    cells = spark.range(20_000).select(F.col("id").alias("cell_id"), F.lit(10.0).alias("clat"), F.lit(10.0).alias("clon"), (F.lit(1000.0) + 500 * (F.col("id") % 2)).alias("range_m"))
+    people = F.when(F.col("id") % 4 > 0, F.col("id") % 5 - 1).alias("population")
+    places = spark.range(20_000).select(F.col("id").alias("sid"), F.lit(10.0).alias("lat"), F.lit(10.001).alias("lon"), people)
+    got = spatial.reach(cells, places, places.filter("sid % 7 = 0"))  # 400 million pairs otherwise
+    safe = [(k % 5 - 1 if k % 4 else None) for k in range(20_000) if k % 7]
+    known = [p for p in safe if p is not None and p >= 0]
+    assert {tuple(r) for r in got.groupBy("measured", "covered", "over_alerted", "unknown").count().collect()} == {(m, 20_000, sum(known), len(safe) - len(known), 10_000) for m in (True, False)}
