@@ -103,3 +103,11 @@ def test_reach_adds_up_settlements_at_one_place_once(spark):
     safe = [(k % 5 - 1 if k % 4 else None) for k in range(20_000) if k % 7]
     known = [p for p in safe if p is not None and p >= 0]
     assert {tuple(r) for r in got.groupBy("measured", "covered", "over_alerted", "unknown").count().collect()} == {(m, 20_000, sum(known), len(safe) - len(known), 10_000) for m in (True, False)}
+
+
+def test_classes_are_cut_into_rows_and_expanded_whole(spark):
+    rows = spark.range(3000).select("id", (F.col("id") % 2).alias("k"))
+    chunks = spatial.in_chunks(rows, ["k"], "id", chunk=100)
+    assert chunks.agg(F.max(F.size("ids"))).first()[0] < 200  # no class of 1500 in one row
+    got = spatial.expanded(rows.select("k").distinct().withColumn("v", F.col("k") * 10), chunks, "k", "id", "v")
+    assert sorted(map(tuple, got.collect())) == [(k, k % 2 * 10) for k in range(3000)]
