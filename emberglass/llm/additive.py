@@ -5,7 +5,11 @@ learnt one after another on what the ones before leave over, on a bounded sample
 extensions of the BEAM best partial sums by a codeword of the next book, the BEAM best go on. Stored per vector are its
 codes and the squared norm of its approximation, so a query's squared distance to it is |q|^2 + norm - 2 * (sum of
 table entries), the table holding the query's product with every codeword. The RERANK best of every query are then
-ranked by their exact distances.
+ranked by their exact distances, whose k-th is a bound.
+
+Codes tell vectors apart only as finely as their error. So the length of what an approximation leaves over is stored too: by
+the triangle inequality a vector is no nearer than its approximation less that length. Whichever vector could be nearer than
+the bound by this is checked exactly, in the task that holds it. Vectors are quantised about the sample's mean.
 """
 
 from __future__ import annotations
@@ -53,14 +57,14 @@ def _extended(x: np.ndarray, sums: np.ndarray, codes: np.ndarray, book: np.ndarr
     return sums[rows, source] + book[word], np.concatenate([codes[rows, source], word[:, :, None].astype(np.uint8)], axis=2)
 
 
-def encode(x: np.ndarray, books: np.ndarray, beam: int = BEAM) -> tuple[np.ndarray, np.ndarray]:
-    """(codes, squared norms of the approximations) of the rows of x by beam search."""
+def encode(x: np.ndarray, books: np.ndarray, beam: int = BEAM) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(codes, squared norms of the approximations, lengths left over) of the rows of x by beam search."""
     sums, codes = np.zeros((len(x), 1, x.shape[1])), np.zeros((len(x), 1, 0), np.uint8)
     for book in books:
         sums, codes = _extended(x, sums, codes, book, beam)
-    best = np.argmin(((x[:, None] - sums) ** 2).sum(2), axis=1)
-    rows = np.arange(len(x))
-    return codes[rows, best], (sums[rows, best] ** 2).sum(1)
+    left = ((x[:, None] - sums) ** 2).sum(2)
+    best, rows = np.argmin(left, axis=1), np.arange(len(x))
+    return codes[rows, best], (sums[rows, best] ** 2).sum(1), np.sqrt(left[rows, best])
 
 
 def learn(x: np.ndarray, books: int = BOOKS, words: int = WORDS_EACH, seed: int = 0, beam: int = 4) -> np.ndarray:
@@ -115,7 +119,9 @@ def search(vectors: DataFrame, is_query, k: int = 10, id_col: str = "vec_id", ve
     empty = "query_id long, rank int, vec_id long, score double"
     if not learnt:
         return spark.createDataFrame([], empty)
-    books = learn(np.array([r["v"] for r in learnt]), seed=seed)
+    seen = np.array([r["v"] for r in learnt])
+    mean = seen.mean(0)
+    books = learn(seen - mean, seed=seed)
     flat = books.reshape(-1, books.shape[2])
     m, words = books.shape[:2]
 
@@ -123,10 +129,10 @@ def search(vectors: DataFrame, is_query, k: int = 10, id_col: str = "vec_id", ve
         for batch in batches:
             for a in range(0, batch.num_rows, _BLOCK):
                 part = batch.slice(a, _BLOCK)
-                codes, norms = encode(_matrix(part.column(1)), books)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(norms)], ["entry", "codes", "norm"])
+                codes, norms, left = encode(_matrix(part.column(1)) - mean, books)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(norms), pa.array(left), part.column(1)], ["entry", "codes", "norm", "left", "v"])
 
-    coded = scratch.save(entries.select("entry", "v").mapInArrow(index, "entry long, codes binary, norm double"), "codes")
+    coded = scratch.save(entries.select("entry", "v").mapInArrow(index, "entry long, codes binary, norm double, left double, v array<double>"), "codes")
     queries = scratch.save(rows.filter(is_query).select("vec_id", "v"), "queries")
     n_queries = queries.count()
     if not n_queries:
@@ -161,7 +167,7 @@ def search(vectors: DataFrame, is_query, k: int = 10, id_col: str = "vec_id", ve
             all_ids, all_q = np.frombuffer(data, np.int64, n), np.frombuffer(data, np.float64, offset=8 * n).reshape(n, -1)
             for at in range(0, n, QUERY_BLOCK):
                 q_ids, q = all_ids[at : at + QUERY_BLOCK], all_q[at : at + QUERY_BLOCK]
-                tables = np.ascontiguousarray((-2 * q @ flat.T).T.astype(np.float32)).reshape(m, words, len(q))
+                tables = np.ascontiguousarray((-2 * (q - mean) @ flat.T).T.astype(np.float32)).reshape(m, words, len(q))
                 top_d, top_e = np.full((len(q), 0), np.inf, np.float32), np.zeros((len(q), 0), np.int64)
                 for a in range(0, len(e), _BLOCK):
                     d = np.repeat(norms[a : a + _BLOCK, None], len(q), axis=1)
@@ -176,11 +182,56 @@ def search(vectors: DataFrame, is_query, k: int = 10, id_col: str = "vec_id", ve
                 for i in range(0, len(q), 64):
                     yield pa.RecordBatch.from_arrays([pa.array(np.repeat(q_ids[i : i + 64], top_e.shape[1])), pa.array(top_e[i : i + 64].ravel()), pa.array(top_d[i : i + 64].ravel().astype(np.float64))], ["query_id", "entry", "about"])
 
-    found = coded.mapInArrow(best, "query_id long, entry long, about double")
+    found = coded.select("entry", "codes", "norm").mapInArrow(best, "query_id long, entry long, about double")
     nth = F.row_number().over(Window.partitionBy("query_id").orderBy("about", "entry"))
     near = scratch.save(found.withColumn("nth", nth).filter(F.col("nth") <= rerank).select("query_id", "entry"), "candidates")
     exact = near.join(entries, "entry").join(queries.select(F.col("vec_id").alias("query_id"), F.col("v").alias("q")), "query_id")
     gap = F.sqrt(F.aggregate(F.zip_with("v", "q", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x))
-    pairs = exact.select("query_id", gap.alias("score"), F.explode("ids").alias("vec_id")).filter("vec_id <> query_id")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
-    return pairs.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+    def nearest(pairs: DataFrame) -> DataFrame:
+        scored = pairs.select("query_id", gap.alias("score"), F.explode("ids").alias("vec_id")).filter("vec_id <> query_id")
+        return scored.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+    first = scratch.save(nearest(exact), "first")
+    # a bound for each query, with the query, in files like those above
+    bound = first.groupBy("query_id").agg(F.max("score").alias("far"), F.count("*").alias("n"))
+    bound = queries.join(bound, F.col("vec_id") == F.col("query_id"), "left").select("vec_id", F.array_insert("v", 1, F.when(F.col("n") >= k, F.col("far")).otherwise(float("inf"))).alias("v"))
+    bounded = scratch.save(bound.repartition(n_blocks, F.xxhash64("vec_id", F.lit(1))).mapInArrow(stored, "path string, n long"), "bounded-files")
+    limits = [(r["path"], r["n"]) for r in bounded.collect()]
+
+    def checked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The k + 1 nearest of a batch for each query that one of its entries may be near to."""
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            e, left, x = batch.column(0).to_numpy(), batch.column(2).to_numpy(), _matrix(batch.column(3))
+            codes = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint8).reshape(-1, m)
+            about = sum(books[j][codes[:, j]] for j in range(m))
+            x_2 = (about**2).sum(1)
+            for path, n in limits:
+                fs, p = filesystem(path)
+                with fs.open_input_stream(p) as f:
+                    data = f.read()
+                ids, rows = np.frombuffer(data, np.int64, n), np.frombuffer(data, np.float64, offset=8 * n).reshape(n, -1)
+                for at in range(0, n, _BLOCK):
+                    q_ids, far, q = ids[at : at + _BLOCK], rows[at : at + _BLOCK, 0] * (1 + 1e-12), rows[at : at + _BLOCK, 1:]
+                    q_c = q - mean
+                    both = (q_c**2).sum(1)[:, None] + x_2
+                    # rounding is far below this share of the squares
+                    least = np.sqrt(np.maximum(0.0, both - 2 * q_c @ about.T - 1e-12 * both)) - left * (1 + 1e-12) - 1e-12 * np.sqrt(both)
+                    may, got_q, got_e = least <= far[:, None], [], []
+                    for i in np.flatnonzero(may.any(1)):
+                        own = np.flatnonzero(may[i])
+                        d = np.sqrt(((x[own] - q[i]) ** 2).sum(1))
+                        own, d = own[d <= far[i]], d[d <= far[i]]
+                        keep = own[np.lexsort((e[own], d))[: k + 1]]
+                        got_q.append(np.repeat(q_ids[i], len(keep)))
+                        got_e.append(e[keep])
+                    if got_q:
+                        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(got_q)), pa.array(np.concatenate(got_e))], ["query_id", "entry"])
+
+    more = coded.select("entry", "codes", "left", "v").mapInArrow(checked, "query_id long, entry long")
+    near = scratch.save(more, "checked")
+    exact = near.join(entries, "entry").join(queries.select(F.col("vec_id").alias("query_id"), F.col("v").alias("q")), "query_id")
+    return nearest(exact)

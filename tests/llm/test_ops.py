@@ -206,6 +206,24 @@ def test_search_finds_neighbours(spark):
     assert [r["vec_id"] for r in sorted((r for r in got if r["query_id"] == 300), key=lambda r: r["rank"])] == [5, *range(301, 310)]
 
 
+@pytest.mark.parametrize("kind", ["tight clusters", "far from zero", "outliers"])
+def test_search_misses_none_where_codes_tell_little(spark, kind):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(1200, 8))
+    if kind == "tight clusters":
+        x = 100 * rng.normal(size=(4, 8))[np.arange(1200) % 4] + 1e-5 * x
+    elif kind == "far from zero":
+        x += 1e6
+    else:
+        x[::50] *= 1e6
+    rows = [(k, v.tolist()) for k, v in enumerate(x)]
+    got = rows_of(additive.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 100 == 0, rerank=16, sample=300))
+    for q in range(0, 1200, 100):
+        d = np.sqrt(((x - x[q]) ** 2).sum(1))
+        want = [k for k in np.lexsort((np.arange(1200), d)) if k != q][:10]
+        assert [r["vec_id"] for r in sorted((r for r in got if r["query_id"] == q), key=lambda r: r["rank"])] == want
+
+
 def test_search_of_nothing(spark):
     assert additive.search(spark.createDataFrame([(1, None)], "vec_id long, embedding array<float>"), F.lit(True)).count() == 0
 
