@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from emberglass.constants import CAPACITY_VPH, DEFAULT_CAPACITY_VPH, GATE_DELAY_S, SPEED_KMH, lookup
 from emberglass.operators.components import connected_components
+from emberglass.operators.spatial import in_chunks
 from emberglass.storage import Scratch
 
 INF = float("inf")
@@ -170,25 +171,51 @@ def topology(edges: DataFrame, nodes: DataFrame, scratch: Scratch) -> DataFrame:
     return size.agg(F.count("*").alias("components"), F.max("n").alias("largest")).crossJoin(alone)  # one row each
 
 
-def epsilon_links(points: DataFrame, eps: float) -> DataFrame:
-    """(src, dst), src < dst, of points (id, x, y) within eps, by grid cells of that size."""
+def spots_of(points: DataFrame) -> DataFrame:
+    """(id, x, y, n): the places of points (id, x, y), each with the least id there and how many there are."""
+    return points.filter("abs(x) < double('infinity') and abs(y) < double('infinity')").groupBy("x", "y").agg(F.min("id").alias("id"), F.count("*").alias("n"))
+
+
+def _near(spots: DataFrame, eps: float) -> DataFrame:
+    """(src, dst), src < dst, of spots (id, x, y) within eps, by grid cells of that size."""
     cell = lambda c: F.floor(F.col(c) / eps).cast("long")
-    a = points.select(F.col("id").alias("src"), F.col("x").alias("ax"), F.col("y").alias("ay"), cell("x").alias("r"), cell("y").alias("c"))
+    a = spots.select(F.col("id").alias("src"), F.col("x").alias("ax"), F.col("y").alias("ay"), cell("x").alias("r"), cell("y").alias("c"))
     o = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)]))
-    b = points.withColumn("o", o).select(F.col("id").alias("dst"), F.col("x").alias("bx"), F.col("y").alias("by"), (cell("x") + F.col("o.i")).alias("r"), (cell("y") + F.col("o.j")).alias("c"))
-    return a.join(b, ["r", "c"]).filter((F.col("src") < F.col("dst")) & (F.pow(F.col("ax") - F.col("bx"), 2) + F.pow(F.col("ay") - F.col("by"), 2) <= eps * eps)).select("src", "dst")
+    b = spots.withColumn("o", o).select(F.col("id").alias("dst"), F.col("x").alias("bx"), F.col("y").alias("by"), (cell("x") + F.col("o.i")).alias("r"), (cell("y") + F.col("o.j")).alias("c"))
+    # the join makes far more rows than it reads, so its partitions must not be merged for the little they read
+    n = int(spots.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    met = a.repartition(n, "r", "c").join(b.repartition(n, "r", "c"), ["r", "c"])
+    return met.filter((F.col("src") < F.col("dst")) & (F.pow(F.col("ax") - F.col("bx"), 2) + F.pow(F.col("ay") - F.col("by"), 2) <= eps * eps)).select("src", "dst")
+
+
+def epsilon_links(points: DataFrame, eps: float) -> DataFrame:
+    """(src, dst), src < dst, of points (id, x, y) within eps. Places meet; their pairs are dealt out anew, then expanded."""
+    spots = spots_of(points)
+    members = in_chunks(points, ["x", "y"], "id").join(spots.select("x", "y", F.col("id").alias("spot")), ["x", "y"]).select("spot", "ids")
+    pairs = _near(spots, eps).union(spots.select("id", "id"))
+    n = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    met = pairs.join(members.select(F.col("spot").alias("src"), F.col("ids").alias("of_src")), "src")
+    met = met.repartition(n, "dst").join(members.select(F.col("spot").alias("dst"), F.col("ids").alias("of_dst")).repartition(n, "dst"), "dst")
+    each = met.select((F.col("src") == F.col("dst")).alias("own"), F.explode("of_src").alias("a"), "of_dst").select("own", "a", F.explode("of_dst").alias("b"))
+    each = each.filter(~F.col("own") | (F.col("a") < F.col("b")))
+    return each.select(F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst"))
 
 
 def dbscan(points: DataFrame, eps: float, least: int, scratch: Scratch) -> DataFrame:
     """points (id, x, y) with kind (core, border, noise) and label: the least core of the cluster; a border point takes
-    the least label of the cores in reach, noise -1. A point counts itself."""
-    links = scratch.save(epsilon_links(points, eps), "links")
+    the least label of the cores in reach, noise -1. A point counts itself. Points at one place are one spot with their
+    number: they share their kind and label."""
+    spots = scratch.save(spots_of(points), "spots")
+    links = scratch.save(_near(spots, eps), "links")
     both = links.union(links.select("dst", "src")).toDF("id", "other")
-    n = both.groupBy("id").agg((F.count("*") + 1).alias("n"))
-    core = scratch.save(points.join(n, "id", "left").filter(F.coalesce("n", F.lit(1)) >= least).select("id"), "core")
+    around = both.join(spots.select(F.col("id").alias("other"), "n"), "other").groupBy("id").agg(F.sum("n").alias("around"))
+    core = scratch.save(spots.join(around, "id", "left").filter(F.col("n") + F.coalesce("around", F.lit(0)) >= least).select("id"), "core")
     inner = links.join(core.select(F.col("id").alias("src")), "src").join(core.select(F.col("id").alias("dst")), "dst")
     label = core.join(connected_components(inner, scratch), F.col("id") == F.col("node"), "left").select("id", F.coalesce("component", "id").alias("label"))
     border = both.join(label.select(F.col("id").alias("other"), "label"), "other").groupBy("id").agg(F.min("label").alias("near"))
-    out = points.join(label, "id", "left").join(border, "id", "left")
+    told = spots.join(label, "id", "left").join(border, "id", "left").select("x", "y", "label", "near", F.lit(True).alias("known"))
+    out = points.join(told, ["x", "y"], "left")
+    alone = F.when(F.lit(least <= 1) & F.col("known").isNull(), F.col("id"))  # a point without a place reaches itself alone
+    out = out.withColumn("label", F.coalesce("label", alone))
     kind = F.when(F.col("label").isNotNull(), "core").when(F.col("near").isNotNull(), "border").otherwise("noise")
     return out.select("id", kind.alias("kind"), F.coalesce("label", "near", F.lit(-1).cast("long")).alias("label"))

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from emberglass.constants import sweep_configs
-from emberglass.operators import spatial
+from emberglass.operators import egress, spatial
 from emberglass.sources import files
 from emberglass.storage import Scratch
 
@@ -111,3 +111,12 @@ def test_classes_are_cut_into_rows_and_expanded_whole(spark):
     assert chunks.agg(F.max(F.size("ids"))).first()[0] < 200  # no class of 1500 in one row
     got = spatial.expanded(rows.select("k").distinct().withColumn("v", F.col("k") * 10), chunks, "k", "id", "v")
     assert sorted(map(tuple, got.collect())) == [(k, k % 2 * 10) for k in range(3000)]
+
+
+def test_points_at_one_place_are_one_spot(spark):
+    points = spark.range(20_000).select("id", F.when(F.col("id") == 9, F.lit(None).cast("double")).otherwise(F.col("id") % 2 * 3.0).alias("x"), F.lit(0.0).alias("y"))
+    got = egress.dbscan(points, 1.0, 4, Scratch(spark, "t"))  # 100 million links otherwise
+    assert {tuple(r) for r in got.groupBy("kind", "label").count().collect()} == {("core", 0, 10_000), ("core", 1, 9_999), ("noise", -1, 1)}
+    few = points.filter("id < 8")
+    assert sorted(map(tuple, egress.epsilon_links(few, 3.0).collect())) == [(a, b) for a in range(8) for b in range(a + 1, 8)]
+    assert sorted(map(tuple, egress.epsilon_links(few, 1.0).collect())) == [(a, b) for a in range(8) for b in range(a + 2, 8, 2)]
