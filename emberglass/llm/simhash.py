@@ -165,12 +165,31 @@ def _grams(text: bytes, n_words: int) -> np.ndarray:
     return np.array(sorted({_signed(xxhash.xxh64_intdigest(joined[x:y], 7)) for x, y in zip(starts, ends)}), np.int64)
 
 
-def _parities(grams: np.ndarray) -> list[int]:
-    """1024 bits in 16 numbers: whether oddly many hashes fall on each. Two sets differ in as many hashes as bits, at least."""
-    odd = np.bincount(grams & 1023, minlength=1024) & 1
+def _parities(grams: np.ndarray, bits: int = 1024) -> list[int]:
+    """bits bits in numbers of 64: whether oddly many hashes fall on each. Two sets differ in as many hashes as bits, at least."""
+    odd = np.bincount(grams & (bits - 1), minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8)).view(np.int64).tolist()
 
 
+def _fine(grams: np.ndarray) -> list[int]:
+    """Parities on two to four bits a hash, a power of two; empty where 1024 are as many."""
+    bits = 1 << (2 * len(grams) - 1).bit_length() if len(grams) else 0
+    return _parities(grams, bits) if bits > 1024 else []
+
+
+def _differ(a: str, b: str) -> Column:
+    """In how many bits two parities differ, the longer folded to the length of the shorter; 0 where one is empty."""
+    short = F.least(F.size(a), F.size(b))
+
+    def folded(c: str) -> Column:
+        at = lambda j: F.sequence(j, F.size(c) - 1, short)
+        whole = lambda: F.transform(F.sequence(F.lit(0), short - 1), lambda j: F.aggregate(at(j), F.lit(0).cast("long"), lambda x, k: x.bitwiseXOR(F.get(c, k))))
+        return F.when(F.size(c) == short, F.col(c)).otherwise(whole())
+
+    both = F.zip_with(folded(a), folded(b), lambda p, q: F.bit_count(p.bitwiseXOR(q)))
+    return F.when(short > 0, F.aggregate(both, F.lit(0), lambda k, n: k + n)).otherwise(0)
+
+
 def _prefix(g: np.ndarray, frequent: tuple[np.ndarray, np.ndarray], similarity: float) -> np.ndarray:
     """A text's first shingles in one order for all texts, frequent ones last, as many as any two texts that share
     similarity of their shingles need to have one in common. No shingles give one of their own."""
@@ -224,8 +243,9 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_
         grams = [_grams(t, n_words) for t in known]
         fps = pa.array([_word_set_fp(set(words(t)), SEED) for t in known], pa.int64())
         sizes, odd = pa.array([len(g) for g in grams], pa.int32()), pa.array([_parities(g) for g in grams], pa.list_(pa.int64()))
+        fine = pa.array([_fine(g) for g in grams], pa.list_(pa.int64()))
         first = pa.array([_prefix(g, frequent, similarity) for g in grams], pa.list_(pa.int64()))
-        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), fps, sizes, odd, first], ["node", "doc_id", "fp", "size", "odd", "first"])
+        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), fps, sizes, odd, fine, first], ["node", "doc_id", "fp", "size", "odd", "fine", "first"])
 
     def gram_sets(batch: pa.RecordBatch) -> pa.RecordBatch:
         out = [_grams(t, n_words) for t in texts(batch.column(1))]
@@ -235,11 +255,14 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_
         return F.pmod(F.xxhash64(node, doc_id), F.lit(SLOTS)).alias("slot")
 
     def verified(pairs: DataFrame) -> DataFrame:
-        """The linked pairs (src, dst) among pairs (a, b). Sets that must differ too much to be linked are not fetched."""
+        """The linked pairs (src, dst) among pairs (a, b). Sets that must differ too much to be linked are not fetched: by
+        1024 parities a text for all pairs, then for those left by as many as long texts need, a thirtieth of their sets."""
         a, b = (nodes.select(F.col("node").alias(c), F.col("doc_id").alias(f"i{c}"), F.col("size").alias(f"n{c}"), F.col("odd").alias(f"o{c}")) for c in "ab")
-        differ = F.aggregate(F.zip_with("oa", "ob", lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda k, n: k + n)
-        may = (F.greatest("na", "nb") * similarity - 1e-6 <= F.least("na", "nb")) & (differ * (1 + similarity) <= (F.col("na") + F.col("nb")) * (1 - similarity) + 1e-6)
-        pairs = scratch.save(pairs.join(a.hint("merge"), "a").join(b.hint("merge"), "b").filter(may).select("a", "b", "ia", "ib"), "near")
+        few = lambda x, y: _differ(x, y) * (1 + similarity) <= (F.col("na") + F.col("nb")) * (1 - similarity) + 1e-6
+        may = (F.greatest("na", "nb") * similarity - 1e-6 <= F.least("na", "nb")) & few("oa", "ob")
+        pairs = scratch.save(pairs.join(a.hint("merge"), "a").join(b.hint("merge"), "b").filter(may).select("a", "b", "ia", "ib", "na", "nb"), "near")
+        a, b = (nodes.select(F.col("node").alias(c), F.col("fine").alias(f"f{c}")) for c in "ab")
+        pairs = scratch.save(pairs.join(a.hint("merge"), "a").join(b.hint("merge"), "b").filter(few("fa", "fb")).select("a", "b", "ia", "ib"), "nearer")
         wanted = pairs.select(slot("a", "ia")).union(pairs.select(slot("b", "ib"))).distinct()  # SLOTS rows at most
         chosen = rows.withColumn("slot", slot("node", "doc_id")).join(F.broadcast(wanted), "slot", "left_semi").select("node", "text")
         sets = scratch.save(map_batches(chosen, gram_sets, "node string, grams array<long>").dropDuplicates(["node"]), "grams")
@@ -250,9 +273,9 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_
         scratch.drop(sets)
         return linked
 
-    each = map_batches(rows, prints, "node string, doc_id long, fp long, size int, odd array<long>, first array<long>")
+    each = map_batches(rows, prints, "node string, doc_id long, fp long, size int, odd array<long>, fine array<long>, first array<long>")
     each = scratch.save(each.withColumn("nid", F.xxhash64("node")), "prints")
-    nodes = scratch.save(each.groupBy("node", "nid").agg(F.min("doc_id").alias("doc_id"), *[F.first(c).alias(c) for c in ("fp", "size", "odd")]), "nodes")
+    nodes = scratch.save(each.groupBy("node", "nid").agg(F.min("doc_id").alias("doc_id"), *[F.first(c).alias(c) for c in ("fp", "size", "odd", "fine")]), "nodes")
     heads = scratch.save(nodes.groupBy("fp").agg(F.min("node").alias("head")), "heads")
     same = nodes.join(heads.hint("merge"), "fp").select(F.col("head").alias("a"), F.col("node").alias("b"))
     near = chains(heads.select("fp"), CANDIDATE_BITS)

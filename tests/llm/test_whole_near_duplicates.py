@@ -67,3 +67,21 @@ def test_no_pair_near_the_threshold_is_lost(spark):
         near += 0.8 <= alike(rows[-2][1], rows[-1][1]) <= 0.9
     rows += [(2000, ""), (2001, " \n"), (2002, "one two"), (2003, "One  two")]
     assert near > 40 and kept(spark, rows) == brute(rows)
+
+
+def test_long_texts_that_only_begin_alike_are_told_apart_by_their_parities(spark):
+    """1024 parities are full at some thousand shingles; those sized to the text refuse what they can't, and lose none."""
+    import numpy as np
+
+    rng = np.random.default_rng(7)
+    rows = []
+    for n, changed in ((3000, 900), (3000, 0), (3000, 300), (3000, 1500), (1100, 30), (700, 500), (300, 10)):
+        one = np.unique(rng.integers(-(2**62), 2**62, n))
+        two = np.unique(np.concatenate([one[changed:], rng.integers(-(2**62), 2**62, changed + n // 12)]))
+        rows.append((simhash._parities(one), simhash._parities(two), simhash._fine(one), simhash._fine(two), len(np.setxor1d(one, two)), len(one) + len(two)))
+    df = spark.createDataFrame(rows, "oa array<long>, ob array<long>, fa array<long>, fb array<long>, apart int, sizes int")
+    got = df.select(simhash._differ("oa", "ob").alias("coarse"), simhash._differ("fa", "fb").alias("fine"), "apart", "sizes").collect()
+    assert all(max(r["coarse"], r["fine"]) <= r["apart"] for r in got)
+    refused = [(r["coarse"] * 1.8 > r["sizes"] * 0.2, r["fine"] * 1.8 > r["sizes"] * 0.2) for r in got]
+    assert refused[0] == refused[3] == (False, True)
+    assert not any(any(x) for x, r in zip(refused, got) if r["apart"] * 1.8 <= r["sizes"] * 0.2)
