@@ -6,9 +6,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from emberglass.constants import PROFILES
+from emberglass.constants import CAPACITY_VPH, DEFAULT_CAPACITY_VPH, PROFILES, lookup
 from emberglass.operators.alerts import resolve
-from emberglass.operators.egress import bottleneck, latest_departure, route
+from emberglass.operators.egress import latest_departure, route
 
 #: Roads that lead through; a placeholder's half width in degrees; a range that stands for one that was not measured.
 THROUGH, BOX_DEG, FALLBACK_RANGE_M = ("motorway", "trunk", "primary", "secondary", "tertiary", "unclassified"), 0.004, 1000.0
@@ -56,15 +56,24 @@ def clearance_range(route_edges: DataFrame, populations: DataFrame) -> DataFrame
     """(route, worst_min, best_min, worst_profile, best_profile, edge): minutes until a route's people are through its
     tightest road, by profile. route_edges: route, ord, edge, highway; populations: route, population (null: unknown,
     no row; 0: 0 minutes). The edge is the worst profile's."""
-    out = None
+    # who has people meets his roads by capacity: the tightest holds up most, but of no people the first road counts
+    n = int(route_edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    people = populations.filter("population is not null").repartition(n, "route").groupBy("route").agg(F.max("population").alias("population"))
+    capacity = lookup(CAPACITY_VPH, F.col("highway"), DEFAULT_CAPACITY_VPH).cast("double")
+    roads = route_edges.select("route", "ord", "edge", capacity.alias("capacity")).repartition(n, "route").join(people, "route")
+    tight = F.when(F.col("population") > 0, F.col("capacity")).when(F.col("population") < 0, -F.col("capacity")).otherwise(0.0)
+    # numbers alone are aggregated, by hashing: structs would be sorted, all of a task's rows at once
+    by = roads.groupBy("route", "population", tight.alias("tight"), "ord").agg(F.max("edge").alias("edge"))
+    by = by.groupBy("route", "population", "tight").agg(F.min_by("edge", "ord").alias("edge"))
+    by = by.groupBy("route", "population").agg(F.min("tight").alias("tight"), F.min_by("edge", "tight").alias("edge"))
+    minutes = []
     for k, (profile, mobile, _, occupancy, _, scale) in enumerate(PROFILES):
         cars = F.col("population") * mobile / occupancy / scale
-        b = bottleneck(route_edges.join(populations.filter("population is not null"), "route").withColumn("vehicles", cars))
-        b = b.withColumns({"profile": F.lit(profile), "k": F.lit(k)})
-        out = b if out is None else out.union(b)
-    worst = F.max(F.struct("clearance_min", (-F.col("k")).alias("k"), "profile", "edge")).alias("w")
-    best = F.min(F.struct("clearance_min", "k", "profile")).alias("b")
-    return out.groupBy("route").agg(worst, best).select("route", F.round("w.clearance_min", 1).alias("worst_min"), F.round("b.clearance_min", 1).alias("best_min"), F.col("w.profile").alias("worst_profile"), F.col("b.profile").alias("best_profile"), F.col("w.edge").alias("edge"))
+        m = cars / F.when(F.col("tight") == 0, 1.0).otherwise(F.abs("tight")) * 60
+        minutes.append((m, F.lit(k), F.lit(profile)))
+    worst = F.array_max(F.array(*[F.struct(m.alias("m"), (-k).alias("k"), p.alias("profile")) for m, k, p in minutes])).alias("w")
+    best = F.array_min(F.array(*[F.struct(m.alias("m"), k.alias("k"), p.alias("profile")) for m, k, p in minutes])).alias("b")
+    return by.select("route", "edge", worst, best).select("route", F.round("w.m", 1).alias("worst_min"), F.round("b.m", 1).alias("best_min"), F.col("w.profile").alias("worst_profile"), F.col("b.profile").alias("best_profile"), "edge")
 
 
 def chosen(gated: DataFrame, by: str) -> DataFrame:

@@ -55,3 +55,18 @@ def test_cell_features(spark):
     assert off[1, 3] == (0.0, 1.0) and off[2, 0] == (0.0, 0.0) and off[1, 0][0] > 0
     thin = issues.thinned(spark.range(100).selectExpr("id", "id % 2 AS g"), "g", "id", 5)
     assert sorted(r["id"] for r in thin.filter("g = 0").collect()) == [0, 24, 48, 72, 98]
+
+
+def test_clearance_sorts_no_task_of_roads_and_keeps_its_ties(spark):
+    """Nobody: the first road; people: the tightest, first in order; unknown: no row. No struct is aggregated by sorting."""
+    from emberglass.operators.routes import clearance_range
+
+    edges = [(r, o, e, h) for r in (1, 2, 3, 4, 5) for o, e, h in ((2, 20, "track"), (1, 10, "motorway"), (3, 30, "service"), (0, 5, "nowhere"))]
+    roads = spark.createDataFrame(edges, "route int, ord int, edge int, highway string")
+    people = spark.createDataFrame([(1, 1000), (2, 0), (3, None), (4, -6)], "route int, population long")
+    out = clearance_range(roads, people)
+    got = {r["route"]: (r["worst_min"], r["best_min"], r["worst_profile"], r["best_profile"], r["edge"]) for r in out.collect()}
+    assert got.keys() == {1, 2, 4} and got[4][4] == 10
+    assert got[1] == (194.4, 93.8, "cautious", "optimistic", 20) and got[2] == (0.0, 0.0, "cautious", "cautious", 5)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" not in plan
