@@ -44,7 +44,8 @@ def excess(p: Column, q: Column) -> Column:
 
 
 def term_counts(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
-    """(lang, source, term, n, docs): occurrences and documents of each term; the term '' stands for the group itself.
+    """(lang, source, term, n, docs): occurrences and documents of each term; the term '' stands for the group itself, its n for
+    nothing.
 
     Each text is split once; its terms and its distinct terms are counted together by one partial aggregate.
     """
@@ -55,9 +56,9 @@ def term_counts(docs: DataFrame, text_col: str = "text", lang_col: str = "lang",
     text = of(text_col)
     # of a text in ASCII, lower() changes A-Z alone, and is faster
     lowered = F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
-    words = F.filter(F.split(lowered, BREAKS, -1), lambda t: t != "")
+    words = F.split(F.concat(F.lit(" "), lowered), BREAKS, -1)  # the first is '', the group itself
     rows = docs.select(of(lang_col).alias("lang"), of(source_col).alias("source"), words.alias("terms"))
-    both = F.array(F.struct(F.lit(1).alias("n"), F.lit(0).alias("d"), F.col("terms").alias("terms")), F.struct(F.lit(0).alias("n"), F.lit(1).alias("d"), F.concat(F.array_distinct("terms"), F.array(F.lit(""))).alias("terms")))
+    both = F.array(F.struct(F.lit(1).alias("n"), F.lit(0).alias("d"), F.col("terms").alias("terms")), F.struct(F.lit(0).alias("n"), F.lit(1).alias("d"), F.array_distinct("terms").alias("terms")))
     flat = rows.select("lang", "source", F.inline(both)).select("lang", "source", "n", "d", F.explode("terms").alias("term"))
     return flat.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("d").alias("docs"))
 
@@ -95,11 +96,10 @@ def audit(docs: DataFrame, scratch: Scratch, least_docs: int = 3, top: int = 200
     profiles = scratch.save(profiles.withColumn("absent", absent), "profiles")
     wide = scratch.save(_wide(vectors, profiles), "wide")
 
-    def with_all(x: Column) -> Column:
-        return F.transform("ps", lambda q, j: F.struct(x["i"].alias("i"), j.alias("j"), x["p"].alias("p"), q.alias("q"), excess(x["p"], F.abs(q)).alias("f")))
-
+    # generated columns meet in compiled code, where a function over nested arrays would be interpreted value by value
     there = F.filter(F.transform("ps", lambda p, i: F.struct(i.alias("i"), p.alias("p"))), lambda x: x["p"] > 0)
-    pairs = wide.select("lang", F.inline(F.flatten(F.transform(there, with_all))))
+    pairs = wide.select("lang", "ps", F.inline(there)).select("lang", "i", "p", F.posexplode("ps").alias("j", "q"))
+    pairs = pairs.withColumn("f", excess(F.col("p"), F.abs("q")))
     lacks = F.col("q") < 0  # that source emits nothing for this term, so its side is added here
     sums = pairs.groupBy("lang", "i", "j").agg(F.sum("f").alias("f"), F.count("*").alias("k"), F.sum(F.when(lacks, excess(-F.col("q"), F.col("p")))).alias("b"), F.count_if(lacks).alias("kb"))
     sides = F.array(F.struct(F.col("i").alias("i"), F.col("j").alias("j"), F.col("f").alias("f"), F.col("k").alias("k")), F.struct(F.col("j").alias("i"), F.col("i").alias("j"), F.col("b").alias("f"), F.col("kb").alias("k")))

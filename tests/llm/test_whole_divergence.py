@@ -85,3 +85,14 @@ def test_probability_is_exact(spark):
     df = spark.createDataFrame(cases, "c long, t long, v long").select("*", divergence.probability(F.col("c"), F.col("t") + F.col("v")).alias("p"))
     for x in df.collect():
         assert x["p"] == 1 + 10**9 * (x["c"] + 1) // (x["t"] + x["v"])
+
+
+def test_terms_are_counted_without_interpreted_functions(spark):
+    """Counting is compiled as a whole; the empty term stands for every group, even one without terms."""
+    from emberglass.llm.divergence import term_counts
+
+    out = term_counts(spark.createDataFrame([("a b A", "x", "s"), ("b", "x", "s"), ("1 2", "x", "t"), (None, "y", "t"), (" b ", "x", "t")], "text string, lang string, source string"))
+    assert "lambda" not in out._jdf.queryExecution().optimizedPlan().toString()
+    got = {(r["lang"], r["source"], r["term"]): (r["n"], r["docs"]) for r in out.collect()}
+    assert {k for k in got if k[2] == ""} == {("x", "s", ""), ("x", "t", ""), ("y", "t", "")}
+    assert {k: v for k, v in got.items() if k[2]} == {("x", "s", "a"): (2, 1), ("x", "s", "b"): (2, 2), ("x", "t", "b"): (1, 1)}
