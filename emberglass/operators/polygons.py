@@ -7,15 +7,24 @@ date line is like any other; one that spans 180 degrees or more from there, as a
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, DoubleType, StructField, StructType
 
 from emberglass.functions.geo import haversine_km, metres_per_degree, point_segment_m
-from emberglass.operators.spatial import INDEX_LAT_M, INDEX_LON_M, SEVERITY, ring_of, within
+from emberglass.operators.spatial import INDEX_LAT_M, INDEX_LON_M, SEVERITY, celled, ring_of, within
 from emberglass.storage import Scratch
 
 #: Radii, as shares of the farthest distance asked for, at which edges are looked for one after the other.
 REACHES = (1 / 16, 1 / 4, 1)
+#: Polygons of no more edges are met whole.
+FEW = 64
+#: Points and polygons of one cell that meet in one call, on average.
+CALL = (4096, 256)
+#: Degrees that such a cell measures at least: a call costs some milliseconds, however little it is given.
+CELL_DEG = 0.25
 
 
 def turned(degrees: Column) -> Column:
@@ -55,11 +64,12 @@ def located(points: DataFrame, polygons: DataFrame, keys: list[str], most_km: fl
     points: keys, which tell points apart, lat, lon. distance_km is 0 inside, else that to the nearest edge, on the plane at
     the point. A point on an edge may count as inside or not. Points and polygons without a place are left out.
 
-    Candidates come from the circles about the polygons' boxes. A candidate then meets the edges in its own column of the
-    polygon, of which there are as many as the root of its number of edges, and crossings to the north are added up. Those
-    outside look for edges in cells of growing size: who finds one within a cell's reach takes no part in the next round.
-    Edges are cut to the length of a cell, so none is listed in many. All are equality joins and aggregates, by polygon
-    and place, and no polygon's edges meet in one row or one task.
+    Candidates come from the circles about the polygons' boxes. Polygons of no more than FEW edges meet them whole, see
+    _met(). With a larger one a candidate meets the edges in its own column of the polygon, of which there are as many as
+    the root of its number of edges, and crossings to the north are added up. Those outside look for edges in cells of
+    growing size: who finds one within a cell's reach takes no part in the next round. Edges are cut to the length of a
+    cell, so none is listed in many. All are equality joins and aggregates, by polygon and place, and no large polygon's
+    edges meet in one row or one task.
     """
     edges = scratch.save(edges_of(polygons), "edges")
     boxes = scratch.save(outlines(edges), "boxes")
@@ -67,7 +77,13 @@ def located(points: DataFrame, polygons: DataFrame, keys: list[str], most_km: fl
     corner = lambda lat: haversine_km(mid_lat, mid_x, lat, F.col("east"))
     reach = F.greatest(corner(F.col("south")), corner(F.col("north"))) * 1.01 + 0.001 + most_km
     discs = boxes.select("*", mid_lat.alias("dlat"), turned(F.col("lon0") + mid_x).alias("dlon"), reach.alias("reach_km"))
-    given = points.select(*keys, "lat", "lon").filter("lat is not null and lon is not null")
+    given = scratch.save(points.select(*keys, "lat", "lon").filter("lat is not null and lon is not null"), "given")
+    few = F.col("n_edges") <= FEW
+    listed = edges.join(boxes.filter(few).select("pid"), "pid", "left_semi").groupBy("pid").agg(F.flatten(F.collect_list(F.array("lat1", "x1", "lat2", "x2"))).alias("edges"))
+    whole = _met(given, scratch.save(discs.filter(few).join(listed, "pid"), "small"), keys, most_km)
+    discs = discs.filter(~few)
+    if discs.isEmpty():
+        return whole
     near = within(given, discs, haversine_km(F.col("lat"), F.col("lon"), F.col("dlat"), F.col("dlon")))
     near = near.withColumn("x", turned(F.col("lon") - F.col("lon0"))).drop("dlat", "dlon", "reach_km")
     near = scratch.save(near.select("pid", *keys, "lat", "lon", "x", "south", "north", "west", "east", "n_edges"), "near")
@@ -89,7 +105,53 @@ def located(points: DataFrame, polygons: DataFrame, keys: list[str], most_km: fl
             out = out.unionByName(met)
             if share < 1:
                 open_ = open_.join(met.select("pid", *keys), ["pid", *keys], "left_anti")
-    return out.select(*keys, "lat", "lon", "pid", "inside", "distance_km")
+    return whole.unionByName(out.select(*keys, "lat", "lon", "pid", "inside", "distance_km"))
+
+
+def _met(given: DataFrame, shapes: DataFrame, keys: list[str], most_km: float) -> DataFrame:
+    """located() for polygons of few edges: shapes (pid, lon0, south, north, west, east, edges, dlat, dlon, reach_km), edges
+    with four numbers for each. Points and polygons meet by cell, and a cell that has many of them is dealt out over more
+    calls, so that each takes few; a call goes through its polygons and takes all points and edges of one at once."""
+    cell = ["size", "r", "c"]
+    p, d = celled(given, shapes.drop("n_edges"), CELL_DEG)
+    deal = lambda rows, n, name: rows.groupBy(*cell).agg(F.ceil(F.count("*") / n).cast("int").alias(name))
+    pieces = deal(p, CALL[0], "n_a").join(deal(d, CALL[1], "n_b"), cell)
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    p = p.join(pieces, cell).withColumns({"a": F.pmod(F.xxhash64(*keys), F.col("n_a")).cast("int"), "b": each("n_b")})
+    d = d.join(pieces, cell).withColumns({"b": F.pmod(F.xxhash64("pid"), F.col("n_b")).cast("int"), "a": each("n_a")})
+    schema = StructType([*given.schema, shapes.schema["pid"], StructField("inside", BooleanType()), StructField("distance_km", DoubleType())])
+
+    def meet(points: pa.Table, polygons: pa.Table) -> pa.Table:
+        lat, lon = (points[c].to_numpy() for c in ("lat", "lon"))
+        rad = np.radians(lat)
+        ky = 111132.92 - 559.82 * np.cos(2 * rad) + 1.175 * np.cos(4 * rad) - 0.0023 * np.cos(6 * rad)  # as metres_per_degree()
+        kx = 111412.84 * np.cos(rad) - 93.5 * np.cos(3 * rad) + 0.118 * np.cos(5 * rad)
+        most = most_km * 1000 + 1e-6
+        found = [(np.empty(0, "i8"), np.empty(0, "i8"), np.empty(0, bool), np.empty(0))]
+        boxes = [polygons[c].to_numpy() for c in ("lon0", "south", "north", "west", "east")]
+        for j, (numbers, lon0, south, north, west, east) in enumerate(zip(polygons["edges"], *boxes)):
+            x = np.mod(lon - lon0 + 180.0, 360.0) - 180.0
+            i = np.flatnonzero(((south - lat) * ky <= most) & ((lat - north) * ky <= most) & ((west - x) * kx <= most) & ((x - east) * kx <= most))
+            if not i.size:
+                continue
+            lat1, x1, lat2, x2 = numbers.values.to_numpy().reshape(-1, 4).T
+            at, x, of_lat, of_lon = lat[i, None], x[i, None], ky[i, None], kx[i, None]
+            with np.errstate(divide="ignore", invalid="ignore"):
+                inside = (((x1 > x) != (x2 > x)) & (at < lat1 + (lat2 - lat1) * ((x - x1) / (x2 - x1)))).sum(1) % 2 == 1
+                px, py, dx, dy = (x - x1) * of_lon, (at - lat1) * of_lat, (x2 - x1) * of_lon, (lat2 - lat1) * of_lat
+                t = np.nan_to_num(np.clip((px * dx + py * dy) / (dx * dx + dy * dy), 0.0, 1.0))
+            km = np.where(inside, 0.0, np.hypot(px - t * dx, py - t * dy).min(1) / 1000)
+            kept = inside | ((km <= most_km) & (most_km > 0))
+            found.append((i[kept], np.full(kept.sum(), j), inside[kept], km[kept]))
+        i, j, inside, km = (np.concatenate(c) for c in zip(*found))
+        columns = {c: points[c].take(pa.array(i)) for c in (*keys, "lat", "lon")} | {"pid": polygons["pid"].take(pa.array(j))}
+        return pa.table(columns | {"inside": pa.array(inside), "distance_km": pa.array(km)})
+
+    # as in near_segments(): far more rows leave than come in
+    parts, by = int(given.sparkSession.conf.get("spark.sql.shuffle.partitions")), [*cell, "a", "b"]
+    by_d = [f"{c}_" for c in by]  # both sides' cells come from the discs' sizes and would be taken for one column
+    p, d = p.select(*by, *keys, "lat", "lon"), d.select(*[F.col(c).alias(f"{c}_") for c in by], "pid", "lon0", "south", "north", "west", "east", "edges")
+    return p.repartition(parts, *by).groupBy(*by).cogroup(d.repartition(parts, *by_d).groupBy(*by_d)).applyInArrow(meet, schema)
 
 
 def _nearest(near: DataFrame, edges: DataFrame, boxes: DataFrame, keys: list[str], reach_km: float) -> DataFrame:
@@ -158,8 +220,9 @@ def threatened(assets: DataFrame, lines: DataFrame, fires: DataFrame, perimeters
     at = within(asked, discs, km).withColumn("km", km).withColumn("inside", F.col("km") <= POINT_KM)
     at = at.select("fire_id", "asset_id", ring_of(F.col("km") - POINT_KM, F.col("inside")).alias("ring"), F.when(F.col("inside"), 0.0).otherwise(F.col("km")).alias("distance_km"))
     rank = F.element_at(F.create_map(*[x for k, v in SEVERITY.items() for x in (F.lit(k), F.lit(v))]), F.col("ring"))
-    found = with_edge.unionByName(at).filter("ring is not null").groupBy("fire_id", "asset_id").agg(F.min(F.struct(rank.alias("rank"), "distance_km", "ring")).alias("b"))
+    # within a fire a more severe ring is never farther, so the least of both are one place's
+    found = with_edge.unionByName(at).filter("ring is not null").groupBy("fire_id", "asset_id").agg(F.min(rank).alias("rank"), F.min("distance_km").alias("distance_km"))
     shapes = spread.select(F.struct("fire_id", "step").alias("pid"), "rings")
     hit = located(assets.select("asset_id", "lat", "lon"), shapes, ["asset_id"], 0.0, scratch).select(F.col("pid.fire_id").alias("fire_id"), "asset_id").distinct()
     out = found.join(hit.withColumn("in_corridor", F.lit(True)), ["fire_id", "asset_id"], "left")
-    return out.select("fire_id", "asset_id", F.col("b.ring").alias("ring"), F.round("b.distance_km", 1).alias("distance_km"), F.coalesce("in_corridor", F.lit(False)).alias("in_corridor"))
+    return out.select("fire_id", "asset_id", F.get(F.array(*[F.lit(k) for k in SEVERITY]), F.col("rank")).alias("ring"), F.round("distance_km", 1).alias("distance_km"), F.coalesce("in_corridor", F.lit(False)).alias("in_corridor"))

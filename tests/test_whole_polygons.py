@@ -1,6 +1,7 @@
 """Containment and distance against a plain test of every edge."""
 
 import math
+import os
 import random
 
 import pytest
@@ -102,3 +103,15 @@ def test_threats_take_the_most_severe(spark):
     spread = spark.createDataFrame([("f", 1, [[{"lat": a, "lon": o} for a, o in [(37.0, -1.88), (37.0, -1.8), (37.1, -1.8), (37.1, -1.88)]]])], f"fire_id string, step int, {RINGS}")
     got = {(r["fire_id"], r["asset_id"]): (r["ring"], r["distance_km"], r["in_corridor"]) for r in polygons.threatened(assets, lines, fires, per, spread, Scratch(spark, "t")).collect()}
     assert got == {("f", "in"): ("inside", 0.0, False), ("f", "near"): ("5km", 2.7, True), ("f", "line"): ("inside", 0.0, False), ("bare", "at"): ("inside", 0.0, False)}
+
+
+def test_small_polygons_meet_whole_and_crowds_are_dealt_out(spark, monkeypatch):
+    monkeypatch.setattr(polygons, "CALL", (7, 2))
+    rng = random.Random(8)
+    shapes = [(k, [star(rng, 37 + rng.uniform(0, 0.1), 179.95 + rng.uniform(0, 0.1), 0.05, 6)]) for k in range(9)]
+    points = [(37 + rng.uniform(-0.2, 0.3), turned(180 + rng.uniform(-0.2, 0.2))) for _ in range(60)]
+    df, scratch = spark.createDataFrame([(i, a, o) for i, (a, o) in enumerate(points)], "i long, lat double, lon double"), Scratch(spark, "t")
+    got = {(r["i"], r["pid"]): (r["inside"], r["distance_km"]) for r in polygons.located(df, frame(spark, shapes), ["i"], 9.0, scratch).collect()}
+    want = {(i, k): x for i, (a, o) in enumerate(points) for k, rings in shapes if (x := plain(a, o, rings))[0] or x[1] <= 9}
+    assert set(got) == set(want) and all(got[k][0] == x[0] and got[k][1] == pytest.approx(x[1], abs=1e-6) for k, x in want.items())
+    assert not any(name.startswith(("near", "met")) for name in os.listdir(scratch.root.removeprefix("file://")))  # no table of candidates
