@@ -77,38 +77,47 @@ def route(edges: list[tuple], cut: dict, departure: dict, source, destinations:
 HOPS = 8
 
 
-def relaxed(edges: DataFrame, seeds: DataFrame, scratch: Scratch, on: list[str], lane: list[str], until: Column, travel: Column, max_rounds: int = 100_000) -> DataFrame:
-    """(on, lane, node, depart_s): the latest second at which one may leave a node and still be in time, for every lane.
+def relaxed(edges: DataFrame, seeds: DataFrame, scratch: Scratch, on: list[str], lane: list[str], values: dict[str, tuple[Column, Column]], max_rounds: int = 100_000) -> DataFrame:
+    """(on, lane, node, values): the latest second at which one may leave a node and still be in time, for every lane, in
+    a column for each of values; null: one can't.
 
-    edges: on, src, dst, and what until (the second from which an edge can't be used) and travel (seconds, not negative)
-    are made of; both may also use the lane's columns, so one table of edges serves all profiles and configurations.
-    seeds: on, lane, node, depart_s (infinite: never cut), the destinations.
+    edges: on, src, dst, and what values are made of: for each an until (the second from which an edge can't be used, null
+    if never) and a travel (seconds, not negative). Both may also use the lane's columns, so one table of edges serves all
+    profiles and configurations. seeds: on, lane, node, values (infinite: never cut), the destinations.
 
     A label-correcting search over all lanes at once. A hop joins the nodes' values with the edges that arrive there and
-    keeps the greatest offer by lane and node; a node whose value has not risen offers nothing but that value, by a loop of
+    keeps the greatest offer by lane and node; a node whose values have not risen offers nothing but them, by a loop of
     its own, so old values and new offers meet in one aggregate. HOPS of them are one job; its result is written, and the
-    search ends when nothing rose in its last hop. Partial aggregates take the offers to a node with many ways out; a node
-    with many ways in is a join key that can be split.
+    search ends when nothing rose in its last hop. A hop moves its rows once, by node: the offers of parallel edges become
+    one before that, and the aggregate leaves its rows where the next join takes them. Several values in a row save
+    the moving of names and keys. A node with many ways in is one task's, which streams them.
     """
+    names = list(values)
     loops = edges.select(*on, F.explode(F.array("src", "dst")).alias("node")).union(seeds.select(*on, "node")).distinct()
     ways = edges.withColumn("loop", F.lit(False)).unionByName(loops.select(*on, F.col("node").alias("src"), F.col("node").alias("dst"), F.lit(True).alias("loop")), allowMissingColumns=True)
-    ways = scratch.save(ways.withColumnRenamed("dst", "node"), "ways")
-    keys = [*on, *lane, "node"]
-    now = seeds.groupBy(*keys).agg(F.max("depart_s").alias("g")).withColumn("fresh", F.lit(True))
+    parts, at = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions")), [*on, "node"]
+    ways = scratch.save(ways.withColumnRenamed("dst", "node"), "ways").repartition(parts, *at)
+    now = seeds.groupBy(*on, *lane, "node").agg(*[F.max(g).alias(g) for g in names]).withColumn("fresh", F.lit(True))
     seen = None
     for _ in range(max_rounds):
+        now = now.repartition(parts, *at)
         for _ in range(HOPS):
-            offer = F.when(F.col("loop"), F.col("g")).otherwise(F.least(until, F.col("g")) - travel)
-            met = now.join(ways, [*on, "node"]).filter(F.col("loop") | F.col("fresh"))
-            offers = met.select(*on, *lane, F.col("src").alias("node"), offer.alias("g"), F.when(F.col("loop"), F.col("g")).alias("own"))
-            best = offers.groupBy(*keys).agg(F.max("g").alias("g"), F.max("own").alias("own"))
-            now = best.select(*keys, "g", (F.col("own").isNull() | (F.col("g") > F.col("own"))).alias("fresh"))
+            met = now.join(ways, at).filter(F.col("loop") | F.col("fresh"))
+            offers = [F.when(F.col("loop"), F.col(g)).when(F.col(g).isNotNull(), F.least(until, g) - travel).alias(g) for g, (until, travel) in values.items()]
+            met = met.select(*on, *lane, "node", "src", "loop", *offers)
+            met = met.groupBy(*on, *lane, "node", "src", "loop").agg(*[F.max(g).alias(g) for g in names])
+            met = met.drop("node").withColumnRenamed("src", "node").repartition(parts, *at)
+            best = met.groupBy(*on, *lane, "node").agg(*[F.max(g).alias(g) for g in names], *[F.max(F.when(F.col("loop"), F.col(g))).alias(f"own_{g}") for g in names])
+            rose = F.lit(False)
+            for g in names:
+                rose = rose | F.coalesce(F.col(g) > F.coalesce(F.col(f"own_{g}"), F.lit(-INF)), F.lit(False))
+            now = best.select(*on, *lane, "node", *names, rose.alias("fresh"))
         now = scratch.save(now, "values")
         if seen is not None:
             scratch.drop(seen)
         seen = now
         if now.filter("fresh").isEmpty():
-            return now.select(*keys, F.col("g").alias("depart_s"))
+            return now.drop("fresh")
     raise RuntimeError(f"values still rise after {max_rounds * HOPS} hops")
 
 
@@ -119,21 +128,60 @@ def departures(edges: DataFrame, keys: list[str], scratch: Scratch) -> DataFrame
     never = F.lit(INF)
     ends = edges.filter("edge is null").select(*keys, F.col("dst").alias("node"), F.coalesce("cut_s", never).cast("double").alias("depart_s"))
     roads = edges.filter("edge is not null").select(*keys, "src", "dst", "travel_s", "cut_s")
-    found = relaxed(roads, ends, scratch, keys, [], F.coalesce("cut_s", never), F.col("travel_s"))
-    return found.select(*keys, "node", F.when(F.col("depart_s") < INF, F.col("depart_s")).alias("depart_s"))
+    found = relaxed(roads, ends, scratch, keys, [], {"depart_s": (F.col("cut_s"), F.col("travel_s"))})
+    return found.filter("depart_s is not null").select(*keys, "node", F.when(F.col("depart_s") < INF, F.col("depart_s")).alias("depart_s"))
+
+
+#: Lanes that go in one row of a search.
+WIDTH = 6
+
+
+def spread(combos: list[tuple[str, str]]) -> tuple[list[str], list[str]]:
+    """Names of profiles and of configurations, in the order of numbered()."""
+    return sorted({p for p, _ in combos}), sorted({c for _, c in combos})
+
+
+def numbered(edges: DataFrame, combos: list[tuple[str, str]]) -> DataFrame:
+    """edges with the maps travel and cut as arrays of seconds, in the order of the names that combos have."""
+    profiles, configs = spread(combos)
+    travel = F.array(*[F.element_at("travel", F.lit(p)).cast("double") for p in profiles])
+    return edges.withColumns({"travel": travel, "cut": F.array(*[F.try_element_at("cut", F.lit(c)).cast("double") for c in configs])})
+
+
+def lanes_by_part(edges: DataFrame, ends: DataFrame, combos: list[tuple[str, str]], scratch: Scratch) -> DataFrame:
+    """(destination, part, node, g_0, g_1, ...): departure_lanes() with WIDTH of combos (profile, config) in a row, in their
+    order; null if one can't get there, infinite if unbounded. edges: src, dst, travel, cut, as numbered() gives them."""
+    profiles, configs = spread(combos)
+    parts = [combos[k : k + WIDTH] for k in range(0, len(combos), WIDTH)]
+    pick = lambda array, places: F.get(F.col(array), F.get(F.array(*[F.lit(k).cast("int") for k in places]), F.col("part")))
+    values, own = {}, []
+    for i in range(len(parts[0])):
+        mine = [part[i] if i < len(part) else None for part in parts]  # the last part may be short
+        values[f"g_{i}"] = (pick("cut", [x and configs.index(x[1]) for x in mine]), pick("travel", [x and profiles.index(x[0]) for x in mine]))
+        seconds = [F.coalesce(F.try_element_at("cut", F.lit(x[1])), F.lit(INF)).cast("double") if x else F.lit(None).cast("double") for x in mine]
+        own.append(F.get(F.array(*seconds), F.col("part")).alias(f"g_{i}"))
+    seeds = ends.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(len(parts) - 1)))).select("destination", "part", "node", *own)
+    return relaxed(edges.select("src", "dst", "travel", "cut"), seeds, scratch, [], ["destination", "part"], values)
+
+
+def in_rows(found: DataFrame, combos: list[tuple[str, str]]) -> DataFrame:
+    """lanes_by_part() with rows (profile, config, ..., depart_s; null if unbounded) in place of its columns."""
+    names = [c for c in found.columns if c.startswith("g_")]
+    lit = F.array(*[F.struct(F.lit(p).alias("profile"), F.lit(c).alias("config")) for p, c in combos])
+    each = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.col(g).alias("g")) for i, g in enumerate(names)])).alias("l")
+    rest = [c for c in found.columns if c not in names and c != "part"]
+    rows = found.select(*rest, "part", each).filter("l.g is not null").withColumn("of", F.get(lit, F.col("part") * WIDTH + F.col("l.i")))
+    return rows.select("of.profile", "of.config", *rest, F.when(F.col("l.g") < INF, F.col("l.g")).alias("depart_s"))
 
 
 def departure_lanes(edges: DataFrame, ends: DataFrame, lanes: DataFrame, scratch: Scratch) -> DataFrame:
     """(profile, config, destination, node, depart_s; null if unbounded) for every lane and destination.
 
     edges: src, dst, travel (map of profile to seconds), cut (map of config to the second of the cut, no entry if none).
-    ends: destination, node, cut (the node's own, likewise). lanes: profile, config.
+    ends: destination, node, cut (the node's own, likewise). lanes: profile, config, at least one; the driver names them.
     """
-    seeds = ends.crossJoin(lanes)  # profiles x configurations: a row for every answer asked for
-    seeds = seeds.select("profile", "config", "destination", "node", F.coalesce(F.try_element_at("cut", F.col("config")), F.lit(INF)).alias("depart_s"))
-    until, travel = F.coalesce(F.try_element_at("cut", F.col("config")), F.lit(INF)), F.element_at("travel", F.col("profile"))
-    found = relaxed(edges, seeds, scratch, [], ["profile", "config", "destination"], until, travel)
-    return found.withColumn("depart_s", F.when(F.col("depart_s") < INF, F.col("depart_s")))
+    combos = sorted((r["profile"], r["config"]) for r in lanes.select("profile", "config").distinct().collect())
+    return in_rows(lanes_by_part(numbered(edges.select("src", "dst", "travel", "cut"), combos), ends, combos, scratch), combos)
 
 
 def scaled_travel(travel_s: Column, highway: Column, scale: Column) -> Column:

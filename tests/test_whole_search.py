@@ -1,5 +1,6 @@
 """Searches over all lanes at once against a heap per lane, and as-of picks against a scan."""
 
+import os
 import random
 
 import pytest
@@ -46,6 +47,25 @@ def test_lanes_equal_their_own_heaps(spark):
     assert got == want
 
 
+def test_lanes_go_several_in_a_row(spark):
+    rng = random.Random(5)
+    lanes = [(p, c) for p in ("slow", "fast") for c in "abcd"][:-1]  # seven: the last part is short, and no full product
+    roads = [(k, k % 30, rng.randrange(30), {"slow": 5.0, "fast": 2.0}, {c: float(rng.randint(20, 300)) for c in "abcd" if rng.random() < 0.5}) for k in range(90)]
+    edges = spark.createDataFrame(roads, "edge long, src long, dst long, travel map<string,double>, cut map<string,double>")
+    ends = spark.createDataFrame([("x", 3, {"a": 250.0}), ("y", 7, {})], "destination string, node long, cut map<string,double>")
+    scratch = Scratch(spark, "t")
+    found = egress.departure_lanes(edges, ends, spark.createDataFrame(lanes, "profile string, config string"), scratch).collect()
+    got = {(r["profile"], r["config"], r["destination"], r["node"]): INF if r["depart_s"] is None else r["depart_s"] for r in found}
+    want = {}
+    for p, c in lanes:
+        for name, node, own in (("x", 3, {"a": 250.0}), ("y", 7, {})):
+            best = egress.latest_departure([(k, a, b, t[p]) for k, a, b, t, _ in roads], {k: cut[c] for k, *_, cut in roads if c in cut}, {node: own.get(c, INF)})
+            want |= {(p, c, name, v): g for v, g in best.items()}
+    assert got == want
+    last = max((d for d in os.listdir(scratch.root.removeprefix("file://")) if d.startswith("values")), key=lambda d: int(d.split("-")[1]))
+    assert spark.read.parquet(scratch.path(last)).count() <= 2 * 2 * 30  # two parts of two destinations, not seven lanes
+
+
 def test_asof_equals_a_scan(spark):
     rng = random.Random(2)
     year = 1 << causal.SPAN_BITS
