@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from emberglass.constants import DEFAULT_LATENCY_S, GATE_DELAY_S, LATENCY_S, PROFILES, SWEEP, lookup
 from emberglass.operators.causal import known_cut
-from emberglass.operators.egress import HOPS, INF, departure_lanes, scaled_travel
+from emberglass.operators.egress import HOPS, INF, WIDTH, in_rows, lanes_by_part, numbered, scaled_travel, spread
 from emberglass.operators.routes import bands, clearance_range
 from emberglass.storage import Scratch
 
@@ -51,38 +51,59 @@ def _known(cuts: DataFrame, key: str, cursor_s: int) -> DataFrame:
     return known.groupBy(key).agg(F.map_from_entries(F.collect_set(F.struct("config", "c"))).alias("cut"))  # twelve entries
 
 
-def ways(found: DataFrame, edges: DataFrame, asked: DataFrame, scratch: Scratch, max_rounds: int = 100_000) -> DataFrame:
+def _place(names: list[str], name: Column) -> Column:
+    """Where a name stands in a fixed list, from 0."""
+    return (F.array_position(F.array(*[F.lit(x) for x in names]), name) - 1).cast("int")
+
+
+def ways(found: DataFrame, combos: list[tuple[str, str]], edges: DataFrame, asked: DataFrame, scratch: Scratch, max_rounds: int = 100_000) -> DataFrame:
     """(route, ord, edge, spare_s): the edges, in order, of the shortest way of each route that leaves at its latest
     departure and is in time at every step; spare_s is the time between an edge's far end and its cut (null: never cut).
 
-    asked: route, profile, config, destination, source, target, depart_s; found: as of departure_lanes(), the same lanes;
-    edges: edge, src, dst, metres (above 0), travel and cut as there. Departures without a bound are null: then only edges
-    that are never cut are in time. Routes without a way have no rows.
+    asked: route, profile, config, destination, source, target, depart_s; found: as of lanes_by_part() of combos, the same
+    lanes; edges: edge, src, dst, metres (above 0), travel and cut as there. Departures without a bound are null in asked:
+    then only edges that are never cut are in time. Routes without a way have no rows.
 
     All routes are searched together. A hop offers each node's label to the ends of its edges and keeps the shortest by
     route and node; labels are made anew from those of the hop before, as a shorter way may arrive too late for what a
-    longer one could still pass. When a round changes none, the ways are followed back, a hop for all routes at a time.
+    longer one could still pass. What is longer than a route's way to its target of the round before takes no part, as
+    metres only add up; a round that finds another way there goes by that one. A round thus joins its routes only with the
+    edges that its hops can come to from the labels at its start. When a round changes none, the ways are followed back, a
+    hop for all routes at a time.
     """
-    lanes = ["profile", "config", "destination"]
-    goes = found.select(*lanes, F.col("node").alias("dst"), F.coalesce("depart_s", F.lit(INF)).alias("g"))
-    net = asked.select("route", *lanes, "source", "target", F.col("depart_s").isNull().alias("unbound")).join(goes, lanes).filter("dst <> source")
-    net = net.join(edges, "dst")
-    cut = F.coalesce(F.try_element_at("cut", F.col("config")), F.lit(INF))
-    net = net.select("route", "unbound", "src", "dst", "edge", "metres", F.element_at("travel", F.col("profile")).alias("s"), cut.alias("until"), F.least(cut, F.col("g")).alias("deadline"), (F.col("src") == F.col("target")).alias("over"))
-    net = scratch.save(net.filter("not over and (not unbound or deadline = double('inf'))").drop("over"), "net")
+    profiles, configs = spread(combos)
+    k = _place([f"{p}/{c}" for p, c in combos], F.concat_ws("/", "profile", "config"))
+    lanes = asked.select("route", "destination", "source", "target", F.col("depart_s").isNull().alias("unbound"), F.floor(k / WIDTH).cast("int").alias("part"), (k % WIDTH).alias("i"), _place(profiles, F.col("profile")).alias("p"), _place(configs, F.col("config")).alias("c"))
+    lanes = scratch.save(lanes, "lanes")
+    g = F.get(F.array(*[c for c in found.columns if c.startswith("g_")]), F.col("i"))
+    # a loop keeps each node among those that its hops come to
+    pairs = scratch.save(edges.select("src", F.explode(F.array_distinct(F.array("src", "dst"))).alias("dst")).distinct(), "pairs")
     none = F.lit(None).cast("long")
     start = asked.select("route", F.col("source").alias("node"), F.lit(0.0).alias("m"), none.alias("prev"), none.alias("edge"), F.coalesce("depart_s", F.lit(0.0)).cast("double").alias("t"), F.lit(None).cast("double").alias("spare"))
     start = scratch.save(start, "start")
-    now, sign = start, None
+    now, most, sign = start, None, None
     for _ in range(max_rounds):
+        ball = now.select("node").distinct()
+        for _ in range(HOPS - 1):
+            ball = ball.join(pairs, F.col("node") == F.col("src")).select(F.col("dst").alias("node")).distinct()
+        near = edges.join(ball.withColumnRenamed("node", "src"), "src", "left_semi")
+        near = scratch.save(near.select("src", "dst", "edge", "metres", "travel", "cut"), "near")
+        goes = found.withColumnRenamed("node", "dst").join(near.select("dst").distinct(), "dst", "left_semi").join(lanes, ["destination", "part"])
+        goes = goes.select("route", "dst", "source", "target", "unbound", "p", "c", g.alias("g")).filter("g is not null and dst <> source")
+        goes = goes.withColumn("most", F.lit(INF)) if most is None else goes.join(most, "route", "left").withColumn("most", F.coalesce("most", F.lit(INF)))
+        net = goes.join(near, "dst").filter("src <> target").withColumn("until", F.coalesce(F.get("cut", F.col("c")), F.lit(INF)))
+        net = net.select("route", "unbound", "most", "src", "dst", "edge", "metres", F.get("travel", F.col("p")).alias("s"), "until", F.least("until", "g").alias("deadline"))
+        net = scratch.save(net.filter("not unbound or deadline = double('inf')"), "net")
         for _ in range(HOPS):
             met = now.select("route", F.col("node").alias("src"), "m", "t").join(net, ["route", "src"])
             at = F.col("t") + F.col("s")
-            met = met.filter(F.col("unbound") | (at <= F.col("deadline")))
+            met = met.filter((F.col("unbound") | (at <= F.col("deadline"))) & (F.col("m") + F.col("metres") <= F.col("most")))
             label = F.struct((F.col("m") + F.col("metres")).alias("m"), F.col("m").alias("before"), F.col("src").alias("prev"), F.col("edge").alias("edge"), at.alias("t"), F.when(F.col("until") < INF, F.col("until") - at).alias("spare"))
             best = met.groupBy("route", F.col("dst").alias("node")).agg(F.min(label).alias("b"))
             now = best.select("route", "node", "b.m", "b.prev", "b.edge", "b.t", "b.spare").union(start)
         now = scratch.save(now, "labels")
+        most = scratch.save(now.join(lanes.select("route", F.col("target").alias("node")), ["route", "node"]).select("route", F.col("m").alias("most")), "most")
+        now = now.join(most, "route", "left").filter("most is null or m <= most").drop("most")
         new = now.agg(F.count("*"), F.sum(F.xxhash64("route", "node", "m", "prev", "edge").cast("decimal(38,0)"))).first()
         if new == sign:
             break
@@ -120,28 +141,29 @@ def evacuation(edges: DataFrame, edge_cuts: DataFrame, node_cuts: DataFrame, pla
     reason. verdicts: pocket, verdict, earliest_s, the latest of its usable routes' earliest departures.
     """
     speed = F.create_map(*[x for name, *_, scale, _ in PROFILES for x in (F.lit(name), scaled_travel(F.col("travel_s"), F.col("highway"), F.lit(scale)).cast("double"))])
+    order = [(p[0], c[1], i * len(SWEEP) + k) for i, p in enumerate(PROFILES) for k, c in enumerate(SWEEP)]
+    pairs = [(p, c) for p, c, _ in order]
     laid = edges.select("edge", "src", "dst", "highway", "metres", "travel_s", speed.alias("travel")).join(_known(edge_cuts, "edge", cursor_s), "edge", "left")
     none = F.create_map().cast("map<string,double>")
-    laid = scratch.save(laid.withColumn("cut", F.coalesce("cut", none)), "roads")
+    laid = scratch.save(numbered(laid.withColumn("cut", F.coalesce("cut", none)), pairs), "roads")
     on_road = places.filter("node is not null").select("sid", "name", "population", "node")
     ends = on_road.select(F.col("sid").alias("destination"), "node").join(_known(node_cuts, "node", cursor_s), "node", "left").withColumn("cut", F.coalesce("cut", none))
     spark = edges.sparkSession
-    order = [(p[0], c[1], i * len(SWEEP) + k) for i, p in enumerate(PROFILES) for k, c in enumerate(SWEEP)]
     lanes = spark.createDataFrame(order, "profile string, config string, ord int")
-    found = scratch.save(departure_lanes(laid, ends, lanes.select("profile", "config"), scratch), "departures")
+    found = lanes_by_part(laid, ends, pairs, scratch)
     homes = pockets.join(on_road, "sid").select(F.col("sid").alias("pocket"), F.col("node").alias("source"), "population")
     others = on_road.select(F.col("sid").alias("destination"), "name", F.col("node").alias("target"))
-    combos = found.join(homes, F.col("node") == F.col("source")).join(others, "destination").filter("source <> target")
+    combos = in_rows(found.join(homes, F.col("node") == F.col("source")).join(others, "destination").filter("source <> target"), pairs)
     route = F.struct("pocket", F.col("destination").alias("sid")).alias("route")
     combos = combos.join(F.broadcast(lanes), ["profile", "config"]).select(route, "ord", "profile", "config", "destination", "source", "target", F.concat_ws("/", "profile", "config").alias("combo"), "depart_s")
     combos = scratch.save(combos, "combos")
     first = combos.groupBy("route").agg(F.min(F.struct("ord", "profile", "config", "destination", "source", "target", "depart_s")).alias("f")).select("route", "f.*")
-    steps = scratch.save(ways(found, laid, first, scratch), "ways")
+    steps = scratch.save(ways(found, pairs, laid, first, scratch), "ways")
     along = steps.join(laid.select("edge", "highway", "metres", "travel"), "edge").join(first.select("route", "profile"), "route")
     rank = F.coalesce(F.array_position(F.array(*[F.lit(x) for x in RANK]), F.col("highway")), F.lit(0))
     way = along.groupBy("route").agg(
         F.array_sort(F.collect_list(F.struct("ord", "edge"))).alias("es"), F.round(F.sum("metres") / 1000, 2).alias("km"),
-        F.round(F.sum(F.element_at("travel", F.col("profile"))) / 60).cast("long").alias("travel_min"), F.max_by("highway", F.struct(rank, -F.col("ord"))).alias("slowest"),
+        F.round(F.sum(F.get("travel", _place(spread(pairs)[0], F.col("profile")))) / 60).cast("long").alias("travel_min"), F.max_by("highway", F.struct(rank, -F.col("ord"))).alias("slowest"),
     )
     band = bands(combos, window_end_s)
     people = homes.join(others).filter("source <> target").select(F.struct("pocket", F.col("destination").alias("sid")).alias("route"), "population")

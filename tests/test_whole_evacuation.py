@@ -1,5 +1,6 @@
 """Routes and verdicts against heaps lane by lane, and against what must not happen."""
 
+import os
 import random
 
 import pytest
@@ -80,6 +81,18 @@ def test_routes_equal_heaps(spark, seed, cursor):
     assert {(r["pocket"], r["verdict"]) for r in verdicts.collect()} >= {("off", "no_verified_action"), ("b", "no_verified_action")}
 
 
+def test_ways_meet_only_the_roads_that_their_hops_come_to(spark):
+    none = spark.createDataFrame([], f"edge long, {CUTS}")
+    chain = [(2 * k + d, k + d, k + 1 - d, "primary", 500.0 + k, 30.0) for k in range(10) for d in (0, 1)]
+    chain += [(1000 + k, 1000 + k, 1, "primary", 500.0, 30.0) for k in range(400)]  # they lead here, and none leads to them
+    frames = [spark.createDataFrame(chain, EDGES), none, none.withColumnRenamed("edge", "node"), spark.createDataFrame([("a", "A", 5, 0), ("b", "B", 5, 9)], PLACES), spark.createDataFrame([("a",)], "sid string")]
+    scratch = Scratch(spark, "t")
+    routes, _ = evacuation.evacuation(*frames, 0, 99_000, True, scratch)
+    assert [r["edges"] for r in routes.collect()] == [[2 * k for k in range(9)]]  # more hops than one round has
+    nets = [d for d in os.listdir(scratch.root.removeprefix("file://")) if d.startswith("net-")]
+    assert max(spark.read.parquet(scratch.path(d)).count() for d in nets) < 100  # of 420 roads
+
+
 def test_nothing_observed_opens_no_route(spark):
     edges, _, _ = made(random.Random(3), 10)
     none = spark.createDataFrame([], f"edge long, {CUTS}")
