@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 
 from emberglass.constants import sweep_configs
 from emberglass.operators import egress, spatial
+from emberglass.plans import base, catalogue
+from emberglass.plans import spatial as plans
 from emberglass.sources import files
 from emberglass.storage import Scratch
 
@@ -120,3 +122,41 @@ def test_points_at_one_place_are_one_spot(spark):
     few = points.filter("id < 8")
     assert sorted(map(tuple, egress.epsilon_links(few, 3.0).collect())) == [(a, b) for a in range(8) for b in range(a + 1, 8)]
     assert sorted(map(tuple, egress.epsilon_links(few, 1.0).collect())) == [(a, b) for a in range(8) for b in range(a + 2, 8, 2)]
+
+
+def _crowd(spark, lines, seen):
+    """Segments of two shapes and detections at three places, most of them at the first, with repeated ids and no places."""
+    s, d = spark.range(lines), spark.range(seen)
+    lat = F.lit(37.0) + F.col("id") % 2 * 0.01
+    segments = s.select(F.col("id").alias("seg_id"), lat.alias("lat1"), F.lit(-2.0).alias("lon1"), (lat + 0.004).alias("lat2"), F.lit(-1.997).alias("lon2"))
+    place = F.when(F.col("id") % 10 < 8, 0).otherwise(F.col("id") % 2 + 1)
+    det = d.select("id", F.when(F.col("id") != 5, F.lit(37.001) + place * 0.012).alias("lat"), F.when(F.col("id") != 6, F.lit(-2.001)).alias("lon"))
+    return segments.union(segments.filter("seg_id < 3")), det.union(det.filter("id between 3 and 8"))
+
+
+def test_pairs_by_place_are_all_pairs(spark, monkeypatch):
+    segments, det = _crowd(spark, 40, 200)
+    want = spatial.near_segments(segments, det.filter("lat is not null and lon is not null"), 2000.0, one_piece=True)
+    want = sorted(map(tuple, want.withColumn("distance_m", F.round("distance_m", 4)).select("seg_id", "id", "distance_m").collect()))
+    assert len(want) > 3000 and len({d for _, _, d in want}) > 3
+    monkeypatch.setattr(spatial, "NEAR_IDS", 7)  # a place's segments are several lists
+    for most in (1 << 25, 300):  # the first place's pairs are one task's, or several tasks'
+        got = spatial.pairs_by_place(segments, det, 2000.0, Scratch(spark, "t"), 4, task_pairs=most)
+        assert got.columns == ["seg_id", "id", "distance_m"] and sorted(map(tuple, got.collect())) == want
+        assert got.rdd.getNumPartitions() == (4 if most > 300 else -(-len(want) // 300))
+    few, none = det.filter("id between 10 and 15"), det.filter("id < 0")
+    alone = segments.filter("seg_id < 2").distinct()
+    assert spatial.pairs_by_place(alone, few, 2000.0, Scratch(spark, "t"), 4).count() == len([1 for s, i, _ in want if s < 2 and 10 <= i <= 15]) // 2
+    assert spatial.pairs_by_place(segments, none, 2000.0, Scratch(spark, "t"), 4).count() == 0
+
+
+def test_spatial_pairs_take_little_room(spark, tmp_path):
+    ts = F.timestamp_seconds(F.lit(1704067200) + F.col("id")).cast("timestamp_ntz")
+    spark.range(4000).withColumnRenamed("id", "s_suppkey").write.parquet(str(tmp_path / "supplier.parquet"))
+    events = spark.range(10_000).select(F.col("id").alias("event_id"), ts.alias("ts"), (F.col("id") % 5 * 10).alias("user_id"), F.lit("view").alias("event_type"), F.lit(9.0).alias("value"))
+    events.write.parquet(str(tmp_path / "events.parquet"))
+    catalogue.queries()["spatial_pairs"](spark, str(tmp_path)).write.parquet(str(tmp_path / "out"))
+    table = base.Tables(spark, str(tmp_path))
+    rows = spatial.near_segments(plans.segments(table), base.detections(table), 2000.0, one_piece=True).count()
+    assert spark.read.parquet(str(tmp_path / "out")).count() == rows > 2_000_000
+    assert sum(p.stat().st_size for p in (tmp_path / "out").glob("*.parquet")) < rows  # 1.9 bytes a row in the order of a join
