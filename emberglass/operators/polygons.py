@@ -9,12 +9,14 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType, DoubleType, StructField, StructType
+from pyspark.sql.types import ArrayType, BooleanType, ByteType, DoubleType, StructField, StructType
 
+from emberglass.constants import EARTH_KM
 from emberglass.functions.geo import haversine_km, metres_per_degree, point_segment_m
-from emberglass.operators.spatial import INDEX_LAT_M, INDEX_LON_M, SEVERITY, celled, ring_of, within
+from emberglass.operators.spatial import INDEX_LAT_M, INDEX_LON_M, SEVERITY, celled, in_chunks, ring_of, within
 from emberglass.storage import Scratch
 
 #: Radii, as shares of the farthest distance asked for, at which edges are looked for one after the other.
@@ -197,6 +199,13 @@ def path_samples(paths: DataFrame, step_km: float = 0.5) -> DataFrame:
 
 #: Kilometres within which a fire without a perimeter is at a place.
 POINT_KM = 0.05
+#: Samples of an asset, and kilometres from the middle of their box, up to which they go together in one row.
+MOST_SAMPLES, SPAN_KM = 1024, 10.0
+#: Samples and kinds of fires that meet in one call of threatened(), assets that a fire has in turn, pairs of samples and
+#: fires that a task tries, and tasks at most.
+THREAT_CALL, TURN, TASK_TRIES, MOST_TASKS = (4096, 512), 128, 1 << 26, 4096
+#: Edges of a fire's foreseen shapes, all together, that are met whole.
+FEW_AHEAD = 4 * FEW
 
 
 def threatened(assets: DataFrame, lines: DataFrame, fires: DataFrame, perimeters: DataFrame, spread: DataFrame, scratch: Scratch, most_km: float = 20.0) -> DataFrame:
@@ -206,15 +215,201 @@ def threatened(assets: DataFrame, lines: DataFrame, fires: DataFrame, perimeters
     fires: fire_id, flat, flon; perimeters: fire_id, rings, one row a fire at most; spread: fire_id, step, rings, the
     shapes foreseen. Of a fire without a perimeter the distance is to its centre, which is inside within POINT_KM. A line
     counts by its samples: the most severe ring, and the least distance within it. Distances are to a tenth of a kilometre.
+
+    An asset's samples are one row, and fires alike in perimeter, centre and foreseen shapes are one kind. Rows and kinds
+    meet by cell, see _met_kinds(), where each pair is whole: pairs are neither shuffled nor written on the way. Assets of
+    more than MOST_SAMPLES samples or wider than SPAN_KM, and fires of many edges, are met by sample and by polygon.
     """
     samples = path_samples(lines.select(F.col("asset_id").alias("line_id"), "path")).select(F.col("line_id").alias("asset_id"), "lat", "lon", F.lit(True).alias("of_line"))
     places = assets.join(lines.select("asset_id"), "asset_id", "left_anti").select("asset_id", "lat", "lon", F.lit(False).alias("of_line"))
-    asked = places.unionByName(samples).distinct()
+    placed = F.col("lat").isNotNull() & F.col("lon").isNotNull()
+    asked = scratch.save(places.unionByName(samples).filter(placed).distinct(), "asked")
+    bare = fires.join(perimeters.select("fire_id"), "fire_id", "left_anti").select("fire_id", "flat", "flon").filter("flat is not null and flon is not null").distinct()
+    shapes = spread.select(F.struct("fire_id", "step").alias("pid"), "rings")
+    edges, ahead = scratch.save(edges_of(perimeters.select(F.col("fire_id").alias("pid"), "rings")), "edges"), scratch.save(edges_of(shapes), "ahead")
+
+    large = edges.groupBy(F.col("pid").alias("fire_id")).count().filter(F.col("count") > FEW)
+    large = large.union(ahead.groupBy("pid.fire_id").count().filter(F.col("count") > FEW_AHEAD)).union(bare.groupBy("fire_id").count().filter("count > 1"))
+    large = scratch.save(large.select("fire_id").distinct(), "large")
+    units, long = _units(asked, assets.filter(placed), scratch)
+    kinds = _kinds(edges.join(large.withColumnRenamed("fire_id", "pid"), "pid", "left_anti"), ahead, bare.join(large, "fire_id", "left_anti"), most_km)
+    out = _met_kinds(units, scratch.save(kinds, "kinds"), most_km, scratch)
+    pairs = lambda points, which: _by_pair(points, assets, bare.join(large, "fire_id", which), perimeters.join(large, "fire_id", which), spread.join(large, "fire_id", which), scratch, most_km)
+    if not large.isEmpty():
+        out = out.unionByName(pairs(asked, "left_semi"))
+    if not long.isEmpty():
+        out = out.unionByName(pairs(asked.join(long, "asset_id", "left_semi"), "left_anti"))
+    return out
+
+
+def _units(asked: DataFrame, assets: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """(units, long): asset_id, samples (array of lat, lon, asked, own: whether it is asked for, and is the asset's own place),
+    the middle of their box as lat, lon and span, the kilometres that they are from there at most, and the asset_id of those
+    too long for one row."""
+    flags = lambda a, b: [F.lit(a).alias("asked"), F.lit(b).alias("own")]
+    every = asked.select("asset_id", "lat", "lon", *flags(True, False)).unionByName(assets.select("asset_id", "lat", "lon", *flags(False, True)))
+    every = scratch.save(every.groupBy("asset_id", "lat", "lon").agg(F.max("asked").alias("asked"), F.max("own").alias("own")), "every")
+    beyond = F.pmod("lon", F.lit(360.0))  # longitudes that do not jump at the date line
+    of = [F.count("*").alias("n"), F.min("lat").alias("south"), F.max("lat").alias("north"), F.min("lon").alias("w0"), F.max("lon").alias("e0"), F.min(beyond).alias("w1"), F.max(beyond).alias("e1")]
+    box = every.groupBy("asset_id").agg(F.max("asked").alias("asked"), *of).filter("asked")
+    straight = F.col("e0") - F.col("w0") <= F.col("e1") - F.col("w1")
+    west, east = F.when(straight, F.col("w0")).otherwise(F.col("w1")), F.when(straight, F.col("e0")).otherwise(F.col("e1"))
+    lat, lon = (F.col("south") + F.col("north")) / 2, (west + east) / 2
+    span = F.greatest(*[haversine_km(lat, lon, F.col(c), east) for c in ("south", "north")]) * 1.01
+    box = box.select("asset_id", "n", (east - west).alias("wide"), lat.alias("mid_lat"), F.when(F.col("n") == 1, F.col("w0")).otherwise(turned(lon)).alias("mid_lon"), F.when(F.col("n") == 1, 0.0).otherwise(span).alias("span"))
+    box = scratch.save(box.withColumn("whole", (F.col("n") <= MOST_SAMPLES) & (F.col("wide") < 90) & (F.col("span") <= SPAN_KM - 0.001)), "assets")
+    units = every.join(box.filter("whole").select("asset_id", "mid_lat", "mid_lon", "span"), "asset_id").groupBy("asset_id")
+    units = units.agg(F.collect_list(F.struct("lat", "lon", "asked", "own")).alias("samples"), F.first("mid_lat").alias("lat"), F.first("mid_lon").alias("lon"), F.first("span").alias("span"))
+    return scratch.save(units.withColumn("span", F.when(F.col("span") > 0, F.lit(SPAN_KM)).otherwise(0.0)), "units"), box.filter("not whole").select("asset_id")
+
+
+def _kinds(edges: DataFrame, ahead: DataFrame, bare: DataFrame, most_km: float) -> DataFrame:
+    """(ids, lon0, edges, ahead, dlat, dlon, reach_km): fires alike in all that tells what they threaten, some hundred ids a
+    row. edges: four numbers for each of the perimeter's, none of a fire that is its centre; ahead: lon0 and edges of each
+    shape foreseen. A kind is a circle that holds all it threatens."""
+    four = F.array("lat1", "x1", "lat2", "x2")
+    listed = lambda rows: rows.groupBy("pid").agg(F.first("lon0").alias("lon0"), F.flatten(F.array_sort(F.collect_list(four))).alias("edges"))
+    mid_lat, mid_x = (F.col("south") + F.col("north")) / 2, (F.col("west") + F.col("east")) / 2
+    corner = lambda lat: haversine_km(mid_lat, mid_x, lat, F.col("east"))
+    reach = F.greatest(corner(F.col("south")), corner(F.col("north"))) * 1.01 + 0.001 + most_km
+    rows = listed(edges).join(outlines(edges).drop("lon0"), "pid")
+    rows = rows.select(F.col("pid").alias("fire_id"), "lon0", "edges", mid_lat.alias("dlat"), turned(F.col("lon0") + mid_x).alias("dlon"), reach.alias("reach_km"))
+    none = F.array().cast("array<double>")
+    centres = bare.select("fire_id", F.col("flon").alias("lon0"), none.alias("edges"), F.col("flat").alias("dlat"), F.col("flon").alias("dlon"), F.lit(most_km + POINT_KM).alias("reach_km"))
+    seen = listed(ahead).groupBy("pid.fire_id").agg(F.array_sort(F.collect_list(F.struct("lon0", "edges"))).alias("ahead"))
+    rows = rows.unionByName(centres).join(seen, "fire_id", "left")
+    rows = rows.withColumn("ahead", F.coalesce("ahead", F.array().cast(seen.schema["ahead"].dataType)))
+    return in_chunks(rows, ["lon0", "edges", "ahead", "dlat", "dlon", "reach_km"], "fire_id")
+
+
+def _met_kinds(units: DataFrame, kinds: DataFrame, most_km: float, scratch: Scratch) -> DataFrame:
+    """threatened() for _units() and _kinds(). They meet by cell as in _met(), but a call gives each kind's assets as lists
+    of TURN: a fire of the kind goes through a list before the next fire does, which files keep in little room. There are as
+    many tasks as what is tried asks for."""
+    cell = ["span", "size", "r", "c"]
+    reaching = kinds.join(F.broadcast(units.select("span").distinct())).withColumn("reach_km", F.col("reach_km") + F.col("span"))
+    p, d = celled(units, reaching, CELL_DEG)
+    share = lambda rows, n, what, name: rows.groupBy(*cell).agg(F.ceil(F.sum(what) / n).cast("int").alias(f"n_{name}"), F.sum(what).alias(f"k_{name}"))
+    pieces = share(p, THREAT_CALL[0], F.size("samples"), "a").join(share(d, THREAT_CALL[1], F.lit(1), "b"), cell)
+    pieces = scratch.save(pieces, "pieces")
+    tries = pieces.agg(F.coalesce(F.sum(F.col("k_a") * F.col("k_b")), F.lit(0))).first()[0]
+    parts = max(int(units.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(MOST_TASKS, -(-tries // TASK_TRIES)))
+    pieces = pieces.select(*cell, "n_a", "n_b")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    p = p.join(pieces, cell).withColumns({"a": F.pmod(F.xxhash64("asset_id"), F.col("n_a")).cast("int"), "b": each("n_b")})
+    d = d.join(pieces, cell).withColumns({"b": F.pmod(F.xxhash64("dlat", "dlon", "edges", "ids"), F.col("n_b")).cast("int"), "a": each("n_a")})
+    found = StructType([StructField("asset_id", units.schema["asset_id"].dataType), StructField("rank", ByteType()), StructField("distance_km", DoubleType()), StructField("in_corridor", BooleanType())])
+    schema = StructType([StructField("ids", kinds.schema["ids"].dataType), StructField("near", ArrayType(found))])
+
+    def crossed(lat: np.ndarray, x: np.ndarray, edges: np.ndarray) -> np.ndarray:
+        """Which of the points lie within edges (lat1, x1, lat2, x2 as rows)."""
+        inside = np.zeros(lat.size, bool)
+        lat1, x1, lat2, x2 = edges[:, :, None]
+        i = np.flatnonzero((lat >= edges[::2].min()) & (lat <= edges[::2].max()) & (x >= edges[1::2].min()) & (x <= edges[1::2].max()))
+        if i.size:
+            lat, x = lat[i], x[i]
+            with np.errstate(divide="ignore", invalid="ignore"):
+                inside[i] = (((x1 > x) != (x2 > x)) & (lat < lat1 + (lat2 - lat1) * ((x - x1) / (x2 - x1)))).sum(0) % 2 == 1
+        return inside
+
+    def meet(points: pa.Table, polygons: pa.Table) -> pa.Table:
+        samples, names = points["samples"].combine_chunks(), points["asset_id"].combine_chunks()
+        unit = np.repeat(np.arange(len(names)), pc.list_value_length(samples).to_numpy())
+        lat, lon, asked, own = (pc.struct_field(samples.flatten(), c).to_numpy(zero_copy_only=False) for c in ("lat", "lon", "asked", "own"))
+        own = np.flatnonzero(own)
+        rad = np.radians(lat)
+        ky = 111132.92 - 559.82 * np.cos(2 * rad) + 1.175 * np.cos(4 * rad) - 0.0023 * np.cos(6 * rad)  # as metres_per_degree()
+        kx = 111412.84 * np.cos(rad) - 93.5 * np.cos(3 * rad) + 0.118 * np.cos(5 * rad)
+        cos = np.cos(rad)
+        off = lambda at, lon0: (x := at - lon0) - 360.0 * np.rint(x / 360.0)
+        most = most_km * 1000 + 1e-6
+        least = ky.min()
+
+        def near(edges: np.ndarray, lon0: float) -> tuple[np.ndarray, ...]:
+            """(samples, kilometres, whether inside) of a perimeter."""
+            south, north, west, east = edges[::2].min(), edges[::2].max(), edges[1::2].min(), edges[1::2].max()
+            i = np.flatnonzero((lat >= south - most / least) & (lat <= north + most / least) & asked)
+            x, of_lon = off(lon[i], lon0), kx[i]
+            i = i[((west - x) * of_lon <= most) & ((x - east) * of_lon <= most)]
+            if not i.size:
+                return i, np.empty(0), np.empty(0, bool)
+            x, at, of_lat, of_lon, best = off(lon[i], lon0), lat[i], ky[i] ** 2, kx[i] ** 2, np.full(i.size, np.inf)
+            inside = crossed(at, x, edges)
+            with np.errstate(divide="ignore", invalid="ignore"):
+                for lat1, x1, lat2, x2 in edges.T:  # one edge at a time stays in the processor's cache
+                    px, py, dx, dy = x - x1, at - lat1, x2 - x1, lat2 - lat1
+                    t = px * (dx * of_lon)
+                    t += py * (dy * of_lat)
+                    t /= dx * dx * of_lon + dy * dy * of_lat
+                    t = np.fmin(np.fmax(t, 0.0, out=t), 1.0, out=t)
+                    px -= dx * t
+                    py -= dy * t
+                    px *= px
+                    px *= of_lon
+                    py *= py
+                    py *= of_lat
+                    px += py
+                    np.minimum(best, px, out=best)
+            return i, np.where(inside, 0.0, np.sqrt(best) / 1000), inside
+
+        def about(dlat: float, dlon: float) -> tuple[np.ndarray, ...]:
+            """The same of a centre."""
+            i = np.flatnonzero(asked & (np.abs(lat - dlat) * 110 <= most_km + POINT_KM))
+            at = np.radians(dlat)
+            h = np.sin((at - rad[i]) / 2) ** 2 + cos[i] * np.cos(at) * np.sin(np.radians(dlon - lon[i]) / 2) ** 2  # as haversine_km()
+            km = 2 * EARTH_KM * np.arcsin(np.minimum(1.0, np.sqrt(h)))
+            return i, km, km <= POINT_KM
+
+        rows, which, ends, at = [(np.empty(0, "i8"), np.empty(0, "i1"), np.empty(0), np.empty(0, bool))], [], [0], 0
+        listed, shapes = polygons["edges"].combine_chunks(), polygons["ahead"].combine_chunks()
+        for j, (lon0, dlat, dlon) in enumerate(zip(*[polygons[c].to_numpy() for c in ("lon0", "dlat", "dlon")])):
+            numbers = listed[j].values.to_numpy()
+            if numbers.size:
+                i, km, inside = near(numbers.reshape(-1, 4).T, lon0)
+                edge = km
+            else:
+                i, km, inside = about(dlat, dlon)
+                edge, km = km - POINT_KM, np.where(inside, 0.0, km)
+            rank = np.where(inside, 0, 1 + (edge > 5).astype("i1") + (edge > 10)).astype("i1")
+            kept = inside | ((edge <= most_km) & (edge <= 20) & (most_km > 0))
+            i, rank, km = i[kept], rank[kept], km[kept]
+            if not i.size:
+                continue
+            first = np.flatnonzero(np.diff(unit[i], prepend=-1))  # a unit's samples follow each other
+            # within a fire a more severe ring is never farther, so the least of both are one place's
+            u, rank, km = unit[i[first]], np.minimum.reduceat(rank, first), np.minimum.reduceat(km, first)
+            hit = np.zeros(len(names), bool)
+            for shape in shapes[j].values if own.size else ():
+                numbers = shape["edges"].values.to_numpy().reshape(-1, 4).T
+                o = own[(lat[own] >= numbers[::2].min()) & (lat[own] <= numbers[::2].max())]
+                hit[unit[o[crossed(lat[o], off(lon[o], shape["lon0"].as_py()), numbers)]]] = True
+            tenths = km * 10
+            low = np.floor(tenths)
+            rows.append((u, rank, (low + (tenths - low >= 0.5)) / 10, hit[u]))
+            starts = range(0, u.size, TURN)
+            which += [j] * len(starts)
+            ends += [at + min(k + TURN, u.size) for k in starts]
+            at += u.size
+        u, rank, km, hit = (np.concatenate(c) for c in zip(*rows))
+        each = pa.StructArray.from_arrays([names.take(pa.array(u)), pa.array(rank), pa.array(km), pa.array(hit)], ["asset_id", "rank", "distance_km", "in_corridor"])
+        lists = pa.ListArray.from_arrays(pa.array(np.array(ends, "i4")), each)
+        return pa.table({"ids": polygons["ids"].take(pa.array(which, pa.int64())), "near": lists})
+
+    by = [*cell, "a", "b"]
+    by_d = [f"{c}_" for c in by]  # as in _met()
+    p, d = p.select(*by, "asset_id", "samples"), d.select(*[F.col(c).alias(f"{c}_") for c in by], "ids", "lon0", "edges", "ahead", "dlat", "dlon")
+    met = p.repartition(parts, *by).groupBy(*by).cogroup(d.repartition(parts, *by_d).groupBy(*by_d)).applyInArrow(meet, schema)
+    each = met.select(F.explode("ids").alias("fire_id"), "near").select("fire_id", F.explode("near").alias("n"))
+    return each.select("fire_id", "n.asset_id", F.get(F.array(*[F.lit(k) for k in SEVERITY]), F.col("n.rank").cast("int")).alias("ring"), "n.distance_km", "n.in_corridor")
+
+
+def _by_pair(asked: DataFrame, assets: DataFrame, bare: DataFrame, perimeters: DataFrame, spread: DataFrame, scratch: Scratch, most_km: float) -> DataFrame:
+    """threatened() for any assets and fires, by sample and polygon. asked: asset_id, of_line, lat, lon; bare: the fires
+    without a perimeter."""
     keys = ["asset_id", "of_line", "plat", "plon"]  # a sample is told by its place
-    asked = asked.filter("lat is not null and lon is not null").withColumns({"plat": F.col("lat"), "plon": F.col("lon")})
+    asked = asked.withColumns({"plat": F.col("lat"), "plon": F.col("lon")})
     with_edge = located(asked, perimeters.select(F.col("fire_id").alias("pid"), "rings"), keys, most_km, scratch)
     with_edge = with_edge.select(F.col("pid").alias("fire_id"), "asset_id", ring_of(F.col("distance_km"), F.col("inside")).alias("ring"), "distance_km")
-    bare = fires.join(perimeters.select("fire_id"), "fire_id", "left_anti")
     discs = bare.select("fire_id", F.col("flat").alias("dlat"), F.col("flon").alias("dlon"), F.lit(most_km + POINT_KM).alias("reach_km"))
     km = haversine_km(F.col("lat"), F.col("lon"), F.col("dlat"), F.col("dlon"))
     at = within(asked, discs, km).withColumn("km", km).withColumn("inside", F.col("km") <= POINT_KM)
@@ -223,6 +418,7 @@ def threatened(assets: DataFrame, lines: DataFrame, fires: DataFrame, perimeters
     # within a fire a more severe ring is never farther, so the least of both are one place's
     found = with_edge.unionByName(at).filter("ring is not null").groupBy("fire_id", "asset_id").agg(F.min(rank).alias("rank"), F.min("distance_km").alias("distance_km"))
     shapes = spread.select(F.struct("fire_id", "step").alias("pid"), "rings")
-    hit = located(assets.select("asset_id", "lat", "lon"), shapes, ["asset_id"], 0.0, scratch).select(F.col("pid.fire_id").alias("fire_id"), "asset_id").distinct()
+    own = assets.join(asked.select("asset_id").distinct(), "asset_id", "left_semi").select("asset_id", "lat", "lon")
+    hit = located(own, shapes, ["asset_id"], 0.0, scratch).select(F.col("pid.fire_id").alias("fire_id"), "asset_id").distinct()
     out = found.join(hit.withColumn("in_corridor", F.lit(True)), ["fire_id", "asset_id"], "left")
     return out.select("fire_id", "asset_id", F.get(F.array(*[F.lit(k) for k in SEVERITY]), F.col("rank")).alias("ring"), F.round("distance_km", 1).alias("distance_km"), F.coalesce("in_corridor", F.lit(False)).alias("in_corridor"))

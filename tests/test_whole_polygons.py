@@ -115,3 +115,52 @@ def test_small_polygons_meet_whole_and_crowds_are_dealt_out(spark, monkeypatch):
     want = {(i, k): x for i, (a, o) in enumerate(points) for k, rings in shapes if (x := plain(a, o, rings))[0] or x[1] <= 9}
     assert set(got) == set(want) and all(got[k][0] == x[0] and got[k][1] == pytest.approx(x[1], abs=1e-6) for k, x in want.items())
     assert not any(name.startswith(("near", "met")) for name in os.listdir(scratch.root.removeprefix("file://")))  # no table of candidates
+
+
+def written(spark):
+    """(bytes shuffled, rows shuffled) by this application so far."""
+    store, gateway = spark.sparkContext._jsc.sc().statusStore(), spark.sparkContext._gateway
+    stages = store.stageList(None, False, False, gateway.new_array(gateway.jvm.double, 0), None)
+    stages = [stages.apply(k) for k in range(stages.size())]
+    return sum(s.shuffleWriteBytes() for s in stages), sum(s.shuffleWriteRecords() for s in stages)
+
+
+def test_threats_of_fires_alike_are_found_once_and_not_shuffled(spark, tmp_path):
+    box = lambda a, o, d: [[{"lat": a + i, "lon": turned(o + j)} for i, j in ((-d, -d), (-d, d), (d, d), (d, -d))]]
+    rng = random.Random(3)
+    assets = spark.createDataFrame([(k, 37 + rng.uniform(-0.1, 0.1), turned(180 + rng.uniform(-0.1, 0.1))) for k in range(300)], "asset_id long, lat double, lon double")
+    lines = spark.createDataFrame([], "asset_id long, path array<struct<lat: double, lon: double>>")
+    fires = spark.createDataFrame([(k, 37.0, 179.99) for k in range(2000)], "fire_id long, flat double, flon double")
+    per = spark.createDataFrame([(k, box(37.0, 179.99, 0.02)) for k in range(0, 2000, 2)], f"fire_id long, {RINGS}")
+    spread = spark.createDataFrame([(k, 1, box(37.05, -179.99, 0.03)) for k in range(0, 2000, 4)], f"fire_id long, step int, {RINGS}")
+    before = written(spark)[1]
+    polygons.threatened(assets, lines, fires, per, spread, Scratch(spark, "t")).write.parquet(str(tmp_path / "out"))
+    assert written(spark)[1] - before < 60_000  # 600,000 pairs
+    out = spark.read.parquet(str(tmp_path / "out"))
+    assert out.count() == out.select("fire_id", "asset_id").distinct().count() == 600_000
+    assert sum(p.stat().st_size for p in (tmp_path / "out").glob("*.parquet")) < 300_000
+    kinds = {}
+    for r in out.filter("fire_id < 4").collect():
+        kinds.setdefault(r["fire_id"], set()).add((r["asset_id"], r["ring"], r["distance_km"], r["in_corridor"]))
+    assert kinds[1] == kinds[3] != kinds[0] and {r[:3] for r in kinds[0]} == {r[:3] for r in kinds[2]}
+    assert {r[0] for r in kinds[0] if r[3]} == {r["asset_id"] for r in assets.collect() if abs(r["lat"] - 37.05) < 0.03 and abs(turned(r["lon"] + 179.99)) < 0.03}
+    assert not any(r[3] for k in (1, 2, 3) for r in kinds[k])
+
+
+def test_threats_met_whole_are_those_met_by_pair(spark, monkeypatch):
+    rng = random.Random(12)
+    near = lambda d: (37 + rng.uniform(-d, d), turned(180 + rng.uniform(-d, d)))
+    point = lambda p: {"lat": p[0], "lon": p[1]}
+    assets = spark.createDataFrame([(k, *near(0.4)) for k in range(60)] + [(61, None, 1.0), (62, 37.0, 180.0), (62, 37.3, 180.0)], "asset_id int, lat double, lon double")
+    paths = [(k, [point(near(0.03)) for _ in range(3)]) for k in range(50, 90)] + [(k, [point(near(0.5)) for _ in range(3)]) for k in range(55, 100, 9)]
+    lines = spark.createDataFrame(paths, "asset_id int, path array<struct<lat: double, lon: double>>")
+    fires = spark.createDataFrame([(f"f{k % 29}", *near(0.3)) for k in range(30)] + [("no", None, 1.0)], "fire_id string, flat double, flon double")
+    ring = lambda d, n: [point(p) for p in star(rng, *near(0.3), d, n)]
+    per = spark.createDataFrame([(f"f{k}", [ring(0.1, 100 if k == 3 else 7), ring(0.02, 5)]) for k in range(10)] + [("f10", None), ("x", [ring(0.1, 4)])], f"fire_id string, {RINGS}")
+    spread = spark.createDataFrame([(f"f{k}", s, [ring(0.2, 90 if k > 25 else 6)]) for k in range(0, 29, 2) for s in (1, 2, 3)], f"fire_id string, step int, {RINGS}")
+    found = lambda: sorted(map(tuple, polygons.threatened(assets, lines, fires, per, spread, Scratch(spark, "t")).collect()))
+    monkeypatch.setattr(polygons, "THREAT_CALL", (50, 3))
+    monkeypatch.setattr(polygons, "TURN", 5)
+    whole = found()
+    monkeypatch.setattr(polygons, "MOST_SAMPLES", 0)  # every asset is too long
+    assert whole == found() and len(whole) > 800 and {r[4] for r in whole} == {True, False} and len({r[2] for r in whole}) == 4
