@@ -160,3 +160,25 @@ def test_spatial_pairs_take_little_room(spark, tmp_path):
     rows = spatial.near_segments(plans.segments(table), base.detections(table), 2000.0, one_piece=True).count()
     assert spark.read.parquet(str(tmp_path / "out")).count() == rows > 2_000_000
     assert sum(p.stat().st_size for p in (tmp_path / "out").glob("*.parquet")) < rows  # 1.9 bytes a row in the order of a join
+
+
+def _shuffled(spark):
+    """Rows shuffled by this application so far."""
+    store, gateway = spark.sparkContext._jsc.sc().statusStore(), spark.sparkContext._gateway
+    stages = store.stageList(None, False, False, gateway.new_array(gateway.jvm.double, 0), None)
+    return sum(stages.apply(k).shuffleWriteRecords() for k in range(stages.size()))
+
+
+@pytest.mark.parametrize("name, most", [("threat_rings", 0.5)])
+def test_threats_are_shuffled_once_at_most(spark, tmp_path, name, most):
+    category = F.lit("x").alias("c_mktsegment")
+    spark.range(3000).select(F.col("id").alias("c_custkey"), category).write.parquet(str(tmp_path / "customer.parquet"))
+    spark.range(500).withColumnRenamed("id", "s_suppkey").write.parquet(str(tmp_path / "supplier.parquet"))
+    before, kept = _shuffled(spark), spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as where tables are large
+    try:
+        catalogue.queries()[name](spark, str(tmp_path)).write.parquet(str(tmp_path / "out"))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
+    rows = spark.read.parquet(str(tmp_path / "out")).count()
+    assert rows > 100_000 and _shuffled(spark) - before < most * rows
