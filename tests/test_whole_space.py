@@ -169,7 +169,7 @@ def _shuffled(spark):
     return sum(stages.apply(k).shuffleWriteRecords() for k in range(stages.size()))
 
 
-@pytest.mark.parametrize("name, most", [("threat_rings", 0.5)])
+@pytest.mark.parametrize("name, most", [("threat_rings", 0.5), ("recommendation_order", 1.5)])
 def test_threats_are_shuffled_once_at_most(spark, tmp_path, name, most):
     category = F.lit("x").alias("c_mktsegment")
     spark.range(3000).select(F.col("id").alias("c_custkey"), category).write.parquet(str(tmp_path / "customer.parquet"))
