@@ -323,7 +323,7 @@ def _met_kinds(units: DataFrame, kinds: DataFrame, most_km: float, scratch: Scra
         cos = np.cos(rad)
         off = lambda at, lon0: (x := at - lon0) - 360.0 * np.rint(x / 360.0)
         most = most_km * 1000 + 1e-6
-        least = ky.min()
+        least = ky.min(initial=np.inf)  # a part may have got no samples
 
         def near(edges: np.ndarray, lon0: float) -> tuple[np.ndarray, ...]:
             """(samples, kilometres, whether inside) of a perimeter."""
